@@ -75,25 +75,21 @@ def right_closed_bin(x, edges: Sequence[float], include_lowest: bool = True) ->
     return out
 
 
-def left_closed_bin(x, lo, step, nbins: int, hi=None) -> Column:
-    """Histogram bin of x for edges lo + i*step (last edge = hi, last bin closed).
-
-    Starts from floor((x-lo)/step) and corrects by one against the edge
-    values, which reproduces searchsorted-on-edges exactly; bins are
-    [e_i, e_{i+1}) with the last one closed. x outside [lo, hi] -> NULL.
+def edge_bin(x, lo, step, nbins: int, hi) -> Column:
+    """Histogram bin of x for edges e_i = lo + i*step (i = 0..nbins, e_nbins = hi):
+    bins [e_i, e_{i+1}) with the last one closed, as the count of interior edges
+    <= x. This is searchsorted on the edge values, so values on an edge land
+    exactly as in a numpy histogram. x outside [lo, hi] -> NULL.
     lo/step/hi may be Columns or floats.
     """
     x = col(x)
-    lo = F.lit(lo) if not isinstance(lo, Column) else lo
-    step = F.lit(step) if not isinstance(step, Column) else step
-    hi = F.lit(hi) if (hi is not None and not isinstance(hi, Column)) else hi
-    last = nbins - 1
-    raw = F.least(F.floor((x - lo) / step).cast("int"), F.lit(last))
-    edge = lambda k: F.when(k == F.lit(nbins), hi if hi is not None else lo + k * step).otherwise(lo + k * step)
-    dec = F.when((raw > 0) & (x < edge(raw)), raw - 1).otherwise(raw)
-    inc = F.when((dec < F.lit(last)) & (x >= edge(dec + 1)), dec + 1).otherwise(dec)
-    inside = (x >= lo) & ((x <= hi) if hi is not None else F.lit(True))
-    return F.when(inside, inc)
+    lo = lo if isinstance(lo, Column) else F.lit(float(lo))
+    step = step if isinstance(step, Column) else F.lit(float(step))
+    hi = hi if isinstance(hi, Column) else F.lit(float(hi))
+    cnt = F.lit(0)
+    for i in range(1, nbins):
+        cnt = cnt + F.when(x >= lo + F.lit(i) * step, F.lit(1)).otherwise(F.lit(0))
+    return F.when((x >= lo) & (x <= hi), cnt)
 
 
 def quarter(t) -> Column:
@@ -159,3 +155,37 @@ def ks_pvalue(d, n, m, terms: int = 100) -> Column:
     )
     p = F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0))
     return F.when((n <= 0) | (m <= 0), F.lit(None).cast("double")).when(lam < F.lit(0.2), F.lit(1.0)).otherwise(p)
+
+
+def chi2_sf(stat, dof, terms: int = 2000) -> Column:
+    """Chi-square survival function Q(dof/2, stat/2) by the lower-gamma series in log space.
+
+    P(a, x) = sum_n exp(a ln x - x - lnGamma(a+n+1) + n ln x); lnGamma(a+n+1) is
+    accumulated as lnGamma(a+1) + sum_k ln(a+k), and lnGamma(a+1) for a = dof/2
+    (integer or half-integer) as a product. Far in the tail (x - a above
+    50*sqrt(a) + 50) Q is below double precision and returns 0.
+    """
+    x = col(stat).cast("double") / F.lit(2.0)
+    a = col(dof).cast("double") / F.lit(2.0)
+    # lnGamma(a+1): a integer -> sum ln(1..a); half-integer -> ln(sqrt(pi)) + sum ln(k - 1/2), k=1..a+1/2
+    is_int = F.floor(a) == a
+    lg_int = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(a).cast("int"), F.lit(1))), F.lit(0.0),
+                         lambda acc, k: acc + F.when(k.cast("double") <= a, F.ln(k.cast("double"))).otherwise(F.lit(0.0)))
+    lg_half = F.lit(0.5723649429247001) + F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.floor(a + F.lit(0.5)).cast("int"), F.lit(1))), F.lit(0.0),
+        lambda acc, k: acc + F.ln(k.cast("double") - F.lit(0.5)))
+    lg = F.when(is_int, lg_int).otherwise(lg_half)
+    lnx = F.ln(x)
+    acc0 = F.struct(F.lit(0.0).alias("s"), lg.alias("lg"))
+    series = F.aggregate(
+        F.sequence(F.lit(0), F.lit(terms - 1)), acc0,
+        lambda acc, n: F.struct(
+            (acc["s"] + F.exp(a * lnx - x - F.when(n == 0, acc["lg"]).otherwise(acc["lg"] + F.ln(a + n.cast("double")))
+                              + n.cast("double") * lnx)).alias("s"),
+            F.when(n == 0, acc["lg"]).otherwise(acc["lg"] + F.ln(a + n.cast("double"))).alias("lg")),
+        lambda acc: acc["s"])
+    q = F.least(F.greatest(F.lit(1.0) - series, F.lit(0.0)), F.lit(1.0))
+    return (F.when(col(dof) <= 0, F.lit(None).cast("double"))
+            .when(x <= 0, F.lit(1.0))
+            .when(x - a > F.lit(50.0) * F.sqrt(a) + F.lit(50.0), F.lit(0.0))
+            .otherwise(q))

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 32
+DEFAULT_BUCKETS = 64
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
@@ -46,12 +46,16 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
 
 
 def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, bucketing: str = "range") -> DataFrame:
     """Add `<c>_below` (sum over strictly smaller `order` in the same group) and
     `<c>_total` for each c in cols. `order` must be distinct within a group.
 
     buckets <= 1 falls back to a plain window partitioned by `by` (fine when
-    there are many small groups).
+    there are many small groups). Any monotone bucket function is exact; the
+    choice only affects balance:
+      unit      floor(x * buckets) clipped; for probabilities, no pre-pass
+      range     equal-width over each group's [min, max]; one cheap aggregate
+      quantile  approximate quantiles; balanced for any distribution, costlier
     """
     by = list(by)
     if buckets <= 1:
@@ -63,22 +67,43 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
             *[F.sum(c).over(wt).alias(f"{c}_total") for c in cols],
         )
 
-    fracs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(F.col(order), F.array(*[F.lit(f) for f in fracs]), 10000)
-    if by:
-        bounds = counts.groupBy(*by).agg(q.alias("_bounds"))
-        # one row per group; AQE broadcasts it only if its runtime size is small
-        c2 = counts.join(bounds, by)
-        bucket = F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(order)))
+    x = F.col(order).cast("double")
+    if bucketing == "unit":
+        # values in [0, 1] (probabilities): fixed cut points, no pre-pass
+        c2 = counts.withColumn("_bucket", F.least(F.greatest(F.floor(x * F.lit(buckets)), F.lit(0)),
+                                                  F.lit(buckets - 1)).cast("int"))
+    elif bucketing == "range":
+        # equal-width cut of each group's [min, max]: one cheap aggregate (groups rows)
+        if by:
+            rng = counts.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+            c2 = counts.join(rng, by)
+            lo, hi = F.col("_lo"), F.col("_hi")
+        else:
+            r = counts.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+            c2 = counts
+            lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
+        width = F.when(hi > lo, (hi - lo) / F.lit(buckets))
+        b = F.coalesce(F.floor((x - lo) / width), F.lit(0))
+        c2 = c2.withColumn("_bucket", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
+        if by:
+            c2 = c2.drop("_lo", "_hi")
+    elif bucketing == "quantile":
+        fracs = [i / buckets for i in range(1, buckets)]
+        q = F.percentile_approx(x, F.array(*[F.lit(f) for f in fracs]), 10000)
+        if by:
+            bounds = counts.groupBy(*by).agg(q.alias("_bounds"))
+            c2 = counts.join(bounds, by)
+            bucket = F.size(F.filter(F.col("_bounds"), lambda v: v < x))
+        else:
+            cut = counts.agg(q.alias("b")).first()["b"] or []
+            c2 = counts
+            bucket = F.size(F.filter(F.array(*[F.lit(float(v)) for v in cut]).cast("array<double>"),
+                                     lambda v: v < x))
+        c2 = c2.withColumn("_bucket", bucket.cast("int"))
+        if by:
+            c2 = c2.drop("_bounds")
     else:
-        # no group: the cut points are `buckets-1` numbers, inlined as literals
-        cut = counts.agg(q.alias("b")).first()["b"] or []
-        c2 = counts
-        bucket = F.size(F.filter(F.array(*[F.lit(float(v)) for v in cut]).cast("array<double>"),
-                                 lambda b: b < F.col(order).cast("double")))
-    c2 = c2.withColumn("_bucket", bucket.cast("int"))
-    if by:
-        c2 = c2.drop("_bounds")
+        raise ValueError("bucketing must be 'unit', 'range' or 'quantile'")
 
     bt = c2.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}_bt") for c in cols])
     wo = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,9 +123,11 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
 
 
 def ranked_scores(df: DataFrame, by: Sequence[str], score: str, label: str,
-                  weight: str | None = None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Score-count table with pos/neg prefix sums and totals."""
-    return prefix_sums(score_counts(df, by, score, label, weight), by, score, ["pos", "neg"], buckets)
+                  weight: str | None = None, buckets: int = DEFAULT_BUCKETS,
+                  bucketing: str = "unit") -> DataFrame:
+    """Score-count table with pos/neg prefix sums and totals (scores are probabilities)."""
+    return prefix_sums(score_counts(df, by, score, label, weight), by, score, ["pos", "neg"],
+                       buckets, bucketing)
 
 
 def _exact(c):

@@ -35,9 +35,15 @@ def register(name: str, sql: str | None = None, round_doubles: bool = True):
 
 
 def rnd(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double/float column to `digits`."""
+    """Round every double/float column to `digits` as round(x * 10^d) / 10^d.
+
+    Rounding the scaled value to an integer is the same operation in Spark and
+    DuckDB (half away from zero on an exactly representable double), whereas
+    rounding at a decimal scale differs between them on decimal ties.
+    """
+    k = float(10 ** digits)
     return df.select(*[
-        F.round(F.col(f.name).cast("double"), digits).alias(f.name)
+        (F.round(F.col(f.name).cast("double") * F.lit(k), 0) / F.lit(k)).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])

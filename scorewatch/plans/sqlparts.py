@@ -112,7 +112,14 @@ def dlit(x: float) -> str:
 
 
 def r6(expr: str, alias: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {alias}"
+    """round(x * 1e6) / 1e6: identical IEEE steps in Spark and DuckDB (see catalog.rnd)."""
+    return f"round(CAST({expr} AS DOUBLE) * 1e6) / 1e6 AS {alias}"
+
+
+def edge_bin_sql(x: str, lo: str, step: str, hi: str, nb: int) -> str:
+    """Histogram bin as the count of interior edges lo + i*step <= x (last bin closed)."""
+    terms = " + ".join(f"(CASE WHEN {x} >= {lo} + {i} * {step} THEN 1 ELSE 0 END)" for i in range(1, nb))
+    return f"CASE WHEN {x} >= {lo} AND {x} <= {hi} THEN {terms or '0'} END"
 
 
 def div0(a: str, b: str) -> str:
@@ -246,3 +253,44 @@ FROM {src} {_gb(by)}"""
     sel.append(r6("auc_pr", "auc_pr"))
     join = f"JOIN ({r}) r USING ({', '.join(by)})" if by else f"CROSS JOIN ({r}) r"
     return f"SELECT {_sel(by)}{', '.join(sel)} FROM ({a}) a {join}"
+
+
+def long_sql(src: str, features: Sequence[str], flag: str = "is_cur") -> str:
+    """(feature, value, is_cur) unpivot of `src` with every feature cast to double."""
+    casts = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in features)
+    return (f"SELECT feature, value, {flag} AS is_cur FROM "
+            f"(UNPIVOT (SELECT {flag}, {casts} FROM {src}) ON {', '.join(features)} INTO NAME feature VALUE value) "
+            f"WHERE value IS NOT NULL AND NOT isnan(value)")
+
+
+def ks_p_sql(d: str, n: str, m: str) -> str:
+    en = f"round(CAST({n} AS DOUBLE) * {m} / ({n} + {m}))"
+    lam = f"((sqrt({en}) + 0.12e0 + 0.11e0 / sqrt({en})) * {d})"
+    series = (f"list_reduce(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END)"
+              f" * exp(-2e0 * CAST(k * k AS DOUBLE) * {lam} * {lam})), lambda x, y: x + y, 0e0)")
+    return (f"CASE WHEN {n} <= 0 OR {m} <= 0 THEN NULL WHEN {lam} < 0.2e0 THEN 1e0 "
+            f"ELSE least(greatest(2e0 * {series}, 0e0), 1e0) END")
+
+
+def ks_sql(long: str, alpha: float = 0.05) -> str:
+    return f"""SELECT feature, {r6('d', 'statistic')}, {r6(ks_p_sql('d', 'n_ref', 'n_cur'), 'p_value')},
+  {ks_p_sql('d', 'n_ref', 'n_cur')} < {dlit(alpha)} AS is_drift, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur
+FROM (SELECT feature, max(abs(cdf_ref - cdf_cur)) AS d, max(n_ref) AS n_ref, max(n_cur) AS n_cur FROM (
+  SELECT feature,
+    CAST(sum(c_ref) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+      / CAST(sum(c_ref) OVER (PARTITION BY feature) AS DOUBLE) AS cdf_ref,
+    CAST(sum(c_cur) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+      / CAST(sum(c_cur) OVER (PARTITION BY feature) AS DOUBLE) AS cdf_cur,
+    sum(c_ref) OVER (PARTITION BY feature) AS n_ref, sum(c_cur) OVER (PARTITION BY feature) AS n_cur
+  FROM (SELECT feature, value, count_if(NOT is_cur) AS c_ref, count_if(is_cur) AS c_cur FROM ({long}) GROUP BY feature, value))
+  GROUP BY feature)"""
+
+
+def chi2_sf_sql(stat: str, dof: str) -> str:
+    x = f"(CAST({stat} AS DOUBLE) / 2e0)"
+    a = f"(CAST({dof} AS DOUBLE) / 2e0)"
+    series = (f"list_reduce(list_transform(range(0, 2000), lambda n: exp({a} * ln({x}) - {x} - lgamma({a} + n + 1e0)"
+              f" + n * ln({x}))), lambda p, q: p + q, 0e0)")
+    return (f"CASE WHEN {dof} <= 0 THEN NULL WHEN {x} <= 0 THEN 1e0 "
+            f"WHEN {x} - {a} > 50e0 * sqrt({a}) + 50e0 THEN 0e0 "
+            f"ELSE least(greatest(1e0 - {series}, 0e0), 1e0) END")
