@@ -9,6 +9,7 @@ from scorewatch.plans.catalog import ORACLE, QUERIES
 _MODULES = (
     "scorewatch.plans.q_metrics",
     "scorewatch.plans.q_drift",
+    "scorewatch.plans.q_basic",
 )
 
 

@@ -93,20 +93,26 @@ def loans_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second schema from lineitem: label loan_status, period ship_month, key (row_hash, dup_no).
+    """Second schema from lineitem: label loan_status, period ISSUE_MONTH, key (row_hash, dup_no).
 
-    lineitem has no unique key; the key is the full-row hash plus a row number
-    among identical hashes. The window is partitioned by the hash, so it never
-    gathers the table in one task.
+    lineitem has no unique key; the key is the full-row hash plus the copy
+    number among identical rows. Copies of one row may be a third of the
+    table, so copies are numbered per (hash, input partition) - a group no
+    larger than one input split - and offset by the counts of earlier
+    partitions (a table of at most partitions rows per hash).
     """
     from pyspark.sql import Window
 
     li = read_table(spark, sf_dir, "lineitem")
     h = F.xxhash64(*[F.col(c) for c in li.columns])
-    w = Window.partitionBy("row_hash").orderBy("l_orderkey", "l_linenumber")
+    d = li.withColumn("row_hash", h).withColumn("_part", F.spark_partition_id())
+    counts = d.groupBy("row_hash", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    wo = Window.partitionBy("row_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("row_hash", "_part", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("row_hash", "_part").orderBy("l_linenumber")
     return (
-        li.withColumn("row_hash", h)
-        .withColumn("dup_no", F.row_number().over(w))
+        d.join(offsets, ["row_hash", "_part"])
+        .withColumn("dup_no", F.row_number().over(w) + F.col("_off"))
         .select(
             "row_hash", "dup_no",
             ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("ISSUE_MONTH"),
