@@ -10,6 +10,7 @@ _MODULES = (
     "scorewatch.plans.q_metrics",
     "scorewatch.plans.q_drift",
     "scorewatch.plans.q_basic",
+    "scorewatch.plans.q_features",
 )
 
 
