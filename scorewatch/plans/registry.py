@@ -11,6 +11,7 @@ _MODULES = (
     "scorewatch.plans.q_drift",
     "scorewatch.plans.q_basic",
     "scorewatch.plans.q_features",
+    "scorewatch.plans.q_ensemble",
 )
 
 
