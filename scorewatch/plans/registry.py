@@ -12,6 +12,7 @@ _MODULES = (
     "scorewatch.plans.q_basic",
     "scorewatch.plans.q_features",
     "scorewatch.plans.q_ensemble",
+    "scorewatch.plans.q_stream",
 )
 
 
