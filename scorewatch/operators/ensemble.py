@@ -229,3 +229,39 @@ def weighted_importance(importances: DataFrame, weights: DataFrame, by: Sequence
     s = j.groupBy(*by, feature).agg(F.sum(F.col("weight") * F.col(imp)).alias("_s"))
     w = Window.partitionBy(*by)  # one row per feature
     return s.select(*by, feature, F.try_divide(F.col("_s"), F.sum("_s").over(w)).alias("importance"))
+
+
+def search_weights(batch_metrics: DataFrame, scored_eval: DataFrame, grid: Sequence[tuple[float, float]],
+                   batch: str = "batch", model: str = "model_id", key: str = "loan_id") -> DataFrame:
+    """#133: evaluate (alpha, min_weight) pairs by replaying the weight trajectory over
+    the batch metrics and scoring the final ensemble's AUC on held-out rows.
+
+    The grid is attached by `explode` of a literal array (a generator, no cross
+    join); each candidate's replay runs as one grouped pandas fold; the
+    evaluation joins the final weights to the held-out long scores on model id.
+    """
+    from scorewatch.operators.rankstats import auc_roc
+
+    cands = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(float(a)).alias("alpha"), F.lit(float(m)).alias("floor"))
+                      for i, (a, m) in enumerate(grid)])
+    bm = batch_metrics.withColumn("_g", F.explode(cands)).select("*", "_g.*").drop("_g")
+    schema = f"cand int, alpha double, floor double, `{model}` string, weight double"
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        a, fl, c = float(pdf["alpha"].iloc[0]), float(pdf["floor"].iloc[0]), int(pdf["cand"].iloc[0])
+        models = sorted(pdf[model].astype(str).unique())
+        w = np.full(len(models), 1.0 / len(models))
+        for _, g in pdf.sort_values([batch, model]).groupby(batch, sort=True):
+            g = g.set_index(g[model].astype(str)).reindex(models)
+            s = SCORE_AUC_WEIGHT * g["auc_roc"].to_numpy(float) + SCORE_BRIER_WEIGHT / (g["brier_score"].to_numpy(float) + EPS)
+            e = np.exp(s - np.nanmax(s))
+            w = np.maximum((1 - a) * w + a * e / np.nansum(e), fl)
+            w = w / w.sum()
+        return pd.DataFrame({"cand": c, "alpha": a, "floor": fl, model: models, "weight": w})
+
+    final = bm.groupBy("cand").applyInPandas(replay, schema)
+    ens = scored_eval.join(final, model).groupBy("cand", "alpha", "floor", key, "label").agg(
+        F.sum(F.col("weight") * F.col("prob")).alias("prob"))
+    return auc_roc(ens, ["cand", "alpha", "floor"]).select("cand", "alpha", "floor", "auc_roc")

@@ -13,6 +13,7 @@ _MODULES = (
     "scorewatch.plans.q_features",
     "scorewatch.plans.q_ensemble",
     "scorewatch.plans.q_stream",
+    "scorewatch.plans.q_train",
 )
 
 
