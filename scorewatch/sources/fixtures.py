@@ -34,8 +34,10 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("ext"),
-            F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double").alias("disc_sum"),
+            # exact 2-decimal sums as integer cents (long sums stay in the fast
+            # hash aggregate; a decimal(28,2) buffer does not)
+            (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.lit(100.0)).alias("ext"),
+            (F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / F.lit(100.0)).alias("disc_sum"),
             F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("bad"),
         )
     )
