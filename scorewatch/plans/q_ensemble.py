@@ -169,7 +169,8 @@ def weighted_importance(spark, sf_dir):
 
 
 _STAB_METRICS = ["auc_roc", "brier_score", "default_rate"]
-_PERIOD_C = f"""pm AS (SELECT a.month_no, a.auc_roc, b.brier_score, b.default_rate
+_PERIOD_C = f"""pm AS (SELECT a.month_no, CASE WHEN a.n_pos = 0 OR a.n_neg = 0 THEN 0.5e0 ELSE a.auc_roc END AS auc_roc,
+   b.brier_score, b.default_rate
    FROM ({auc_sql(ranked_sql("(SELECT * FROM scored_long WHERE model_id = 'c')", ['month_no']), ['month_no'])}) a
    JOIN (SELECT month_no, avg((prob - label) * (prob - label)) AS brier_score, avg(label) AS default_rate
          FROM scored_long WHERE model_id = 'c' GROUP BY month_no) b USING (month_no)),
