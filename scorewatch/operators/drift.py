@@ -377,3 +377,23 @@ def window_drift(ref_tail: DataFrame, cur: DataFrame, features: Sequence[str],
 def reference_tail(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """#84: the last n rows by `order` (top-k: each partition keeps n, then merge)."""
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def performance_comparison(ref_metrics: DataFrame, cur_metrics: DataFrame, metric_cols: Sequence[str]) -> DataFrame:
+    """#57: metric-wise comparison of two one-row metric frames: (metric, reference, current, change)."""
+    def long(df):
+        parts = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metric_cols)
+        return df.selectExpr(f"stack({len(metric_cols)}, {parts}) AS (metric, value)")
+    j = long(ref_metrics).withColumnRenamed("value", "reference").join(
+        long(cur_metrics).withColumnRenamed("value", "current"), "metric")
+    return j.select("metric", "reference", "current", (F.col("current") - F.col("reference")).alias("change"))
+
+
+def drift_history(checks: Sequence[tuple[int, DataFrame]], path: str) -> DataFrame:
+    """#99: append one result row per drift check to a results table (check_no keyed,
+    overwrite of the check's own partition keeps re-runs idempotent) and read it back."""
+    spark = None
+    for check_no, row in checks:
+        spark = row.sparkSession
+        row.withColumn("check_no", F.lit(check_no)).write.mode("overwrite").parquet(f"{path}/check={check_no}")
+    return spark.read.parquet(path).drop("check")

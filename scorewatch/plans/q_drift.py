@@ -338,3 +338,42 @@ def period_drift(spark, sf_dir):
     """#105: every period's KS against the first 12 months, in one job (reference never copied)."""
     lo = FX.loans_shift(spark, sf_dir)
     return D.ks_by_group(lo.where(F.col("month_no") < 12), lo, _PERIOD_FEATS, ["month_no"])
+
+
+_CMP = ["auc_roc", "brier_score", "calibration_error", "log_loss"]
+
+
+def _cmp_sql() -> str:
+    from scorewatch.plans.sqlparts import all_metrics_sql
+
+    src_r = "(SELECT TARGET AS label, score_c AS prob FROM loans WHERE month_no < 40)"
+    src_c = "(SELECT TARGET AS label, score_c AS prob FROM loans WHERE month_no >= 40)"
+    un = lambda s: f"(UNPIVOT ({all_metrics_sql(s, [])}) ON {', '.join(_CMP)} INTO NAME metric VALUE value)"
+    return with_views("loans") + f"""
+SELECT r.metric, r.value AS reference, c.value AS current, round((c.value - r.value) * 1e6) / 1e6 AS change
+FROM {un(src_r)} r JOIN {un(src_c)} c ON r.metric = c.metric"""
+
+
+@register("performance_comparison", _cmp_sql())
+def performance_comparison(spark, sf_dir):
+    """#57: reference (months < 40) vs current metric rows of the mixed score, joined on metric."""
+    from scorewatch.operators import metrics as M
+
+    lo = FX.loans(spark, sf_dir).select("month_no", F.col("TARGET").alias("label"), F.col("score_c").alias("prob"))
+    r = M.all_metrics(lo.where(F.col("month_no") < 40), [])
+    c = M.all_metrics(lo.where(F.col("month_no") >= 40), [])
+    from scorewatch.plans.catalog import rnd
+    # compare the rounded metric rows, as the report shows them
+    return D.performance_comparison(rnd(r), rnd(c), _CMP)
+
+
+@register("drift_history", None)
+def drift_history(spark, sf_dir):
+    """#98/#99: window drift of each 20-month block vs the first block, appended per check."""
+    from scorewatch.session import scratch_path
+
+    lo = FX.loans(spark, sf_dir)
+    ref = lo.where(F.col("month_no") < 20)
+    checks = [(i, D.window_drift(ref, lo.where((F.col("month_no") >= 20 * i) & (F.col("month_no") < 20 * (i + 1))), _WIN_FEATS))
+              for i in range(1, 4)]
+    return D.drift_history(checks, scratch_path(spark, "drift-history"))
