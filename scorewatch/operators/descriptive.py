@@ -100,6 +100,36 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42, bucket_bits: i
     return below.drop("_mix", "_b").unionByName(inside.drop("_mix", "_b", "_rn"))
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, dv, sv, n): rows per distinct value of every column, in one job.
+
+    Numeric columns are unpivoted as doubles (dv), the others as strings (sv),
+    so no value is formatted to text; the unpivot feeds a grouped count
+    directly (partial aggregation map-side). NULL is one value (dv and sv NULL).
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    num = [c for c in columns if isinstance(types[c], NumericType)]
+    oth = [c for c in columns if c not in set(num)]
+    parts = []
+    if num:
+        e = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in num)
+        parts.append(df.selectExpr(f"stack({len(num)}, {e}) AS (column, dv)").withColumn("sv", F.lit(None).cast("string")))
+    if oth:
+        e = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in oth)
+        parts.append(df.selectExpr(f"stack({len(oth)}, {e}) AS (column, sv)").withColumn("dv", F.lit(None).cast("double")))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return long.groupBy("column", "dv", "sv").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct, rows, top_share): exact distinct non-NULL values, rows, and
+    the share of the most frequent value (NULL counted as a value) - one shuffle job."""
+    vc = value_counts(df, columns)
+    return vc.groupBy("column").agg(
+        F.count_if(F.col("dv").isNotNull() | F.col("sv").isNotNull()).alias("distinct"),
+        F.sum("n").alias("rows"), (F.max("n") / F.sum("n")).alias("top_share"))
+
+
 def column_roles(df: DataFrame, exclude: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """#15: (column, distinct, rows, role) for every column in one aggregate.
 
@@ -108,10 +138,13 @@ def column_roles(df: DataFrame, exclude: Sequence[str] = (), approx: bool = Fals
     0.05 or distinct > 50); else categorical.
     """
     cols = [c for c in df.columns if c not in set(exclude)]
-    dist = F.approx_count_distinct if approx else F.count_distinct
-    a = df.agg(F.count(F.lit(1)).alias("_rows"), *[dist(F.col(c)).alias(c) for c in cols])
-    parts = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
-    long = a.selectExpr("_rows AS rows", f"stack({len(cols)}, {parts}) AS (column, distinct)")
+    if approx:
+        a = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.col(c)).alias(c) for c in cols])
+        parts = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
+        long = a.selectExpr("_rows AS rows", f"stack({len(cols)}, {parts}) AS (column, distinct)")
+    else:
+        long = column_profile(df, cols).select("column", F.col("distinct").cast("bigint").alias("distinct"),
+                                              F.col("rows").cast("bigint").alias("rows"))
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
     lname = F.lower(F.col("column"))
     is_label = F.lit(False)
