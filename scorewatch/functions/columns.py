@@ -92,6 +92,25 @@ def edge_bin(x, lo, step, nbins: int, hi) -> Column:
     return F.when((x >= lo) & (x <= hi), cnt)
 
 
+def with_edge_bin(df, x: str, lo, step, nbins: int, hi, out: str = "bin"):
+    """DataFrame form of `edge_bin` with constant work per row: a first guess
+    floor((x - lo) / step) in its own column, then one correction step against the
+    edge values lo + k*step (last edge = hi). Same bins as counting edges."""
+    xc = F.col(x)
+    lo = lo if isinstance(lo, Column) else F.lit(float(lo))
+    step = step if isinstance(step, Column) else F.lit(float(step))
+    hi = hi if isinstance(hi, Column) else F.lit(float(hi))
+    last = nbins - 1
+    g = F.least(F.greatest(F.floor((xc - lo) / step), F.lit(0)), F.lit(last)).cast("int")
+    d = df.withColumn("_g", g)
+    k = F.col("_g")
+    edge = lambda i: F.when(i == F.lit(nbins), hi).otherwise(lo + i * step)
+    b = (F.when(xc < edge(k), k - 1)
+         .when((k < F.lit(last)) & (xc >= edge(k + 1)), k + 1)
+         .otherwise(k))
+    return d.withColumn(out, F.when((xc >= lo) & (xc <= hi), b)).drop("_g")
+
+
 def quarter(t) -> Column:
     """#23: floor(t/3)+1, absolute (no modulo)."""
     return (F.floor(col(t) / F.lit(3)) + 1).cast("bigint")

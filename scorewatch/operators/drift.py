@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import (
-    chi2_sf, drift_level, edge_bin, ks_pvalue, lin_edges,
+    chi2_sf, drift_level, edge_bin, ks_pvalue, lin_edges, with_edge_bin,
 )
 from scorewatch.operators.rankstats import DEFAULT_BUCKETS, prefix_sums
 
@@ -147,8 +147,8 @@ def js_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
     # joint range: one small aggregate per feature (features rows)
     rng = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(nb))
-    binned = long.join(rng, "feature").where(F.col("hi") > F.col("lo")).withColumn(
-        "bin", edge_bin("value", F.col("lo"), step, nb, F.col("hi")))
+    binned = with_edge_bin(long.join(rng, "feature").where(F.col("hi") > F.col("lo")),
+                           "value", F.col("lo"), step, nb, F.col("hi"))
     counts = binned.groupBy("feature", "bin").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
     w = Window.partitionBy("feature")  # at most `edges` rows per feature

@@ -46,7 +46,7 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
 
 
 def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
-                buckets: int = DEFAULT_BUCKETS, bucketing: str = "range") -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, bucketing: str = "range", checkpoint: bool = False) -> DataFrame:
     """Add `<c>_below` (sum over strictly smaller `order` in the same group) and
     `<c>_total` for each c in cols. `order` must be distinct within a group.
 
@@ -67,6 +67,15 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
             *[F.sum(c).over(wt).alias(f"{c}_total") for c in cols],
         )
 
+    # The pre-aggregated table is read three or four times below (cut points,
+    # bucket totals, the running window). With checkpoint=True it is written
+    # once as a table in the shared checkpoint folder, so an expensive upstream
+    # (joins, wide unpivots) runs once instead of once per branch; off by
+    # default because for cheap upstreams the extra write costs more (measured).
+    if checkpoint:
+        from scorewatch.session import cut_lineage
+
+        counts = cut_lineage(counts, "prefix-counts")
     x = F.col(order).cast("double")
     if bucketing == "unit":
         # values in [0, 1] (probabilities): fixed cut points, no pre-pass
