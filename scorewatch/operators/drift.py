@@ -342,13 +342,38 @@ def recommendations(score, ks_ratio, pred_drift, auc_deg) -> Column:
 
 def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], prob: str = "prob",
                  label: str | None = "label", alpha: float = SIGNIFICANCE) -> DataFrame:
-    """#104: one row: KS/JS summary, prediction drift, overall score, level, recommendations."""
-    ks = ks_drift(ref, cur, features, alpha)
-    js = js_drift(ref, cur, features)
+    """#104: one row: KS/JS summary, prediction drift, overall score, level, recommendations.
+
+    The prediction KS runs in the same unpivot/prefix-sum job as the feature KS
+    (the prediction is one more column of the long frame)."""
+    pred = "__prediction__"
+    feats = list(features)
+    ks_all = ks_drift(ref.withColumn(pred, F.col(prob)), cur.withColumn(pred, F.col(prob)), feats + [pred], alpha)
+    ks = ks_all.where(F.col("feature") != pred)
+    js = js_drift(ref, cur, feats)
     summ = drift_summary(ks, js).withColumn("_k", F.lit(1))
-    pdft = prediction_drift(ref, cur, prob, label, alpha).withColumn("_k", F.lit(1))
-    row = summ.unionByName(pdft, allowMissingColumns=True).groupBy("_k").agg(
-        *[F.max(c).alias(c) for c in summ.columns + pdft.columns if c != "_k"]).drop("_k")
+    pk = ks_all.where(F.col("feature") == pred).select(
+        F.col("statistic").alias("prediction_ks_statistic"), F.col("p_value").alias("prediction_ks_p_value"),
+        F.col("is_drift").alias("prediction_drift"), F.lit(1).alias("_k"))
+    sel = [F.col(prob).alias("prob")] + ([F.col(label).alias("label")] if label else [])
+    both = (ref.select(*sel).withColumn("is_cur", F.lit(False))
+            .unionByName(cur.select(*sel).withColumn("is_cur", F.lit(True))))
+    means = both.agg((F.avg(F.when(F.col("is_cur"), F.col("prob"))) - F.avg(F.when(~F.col("is_cur"), F.col("prob"))))
+                     .alias("mean_prediction_shift")).withColumn("_k", F.lit(1))
+    parts = [summ, pk, means]
+    if label:
+        from scorewatch.operators.rankstats import auc_roc as _auc
+
+        a = _auc(both, ["is_cur"]).groupBy().agg(
+            (F.max(F.when(~F.col("is_cur"), F.col("auc_roc"))) - F.max(F.when(F.col("is_cur"), F.col("auc_roc"))))
+            .alias("auc_degradation")).withColumn("_k", F.lit(1))
+        parts.append(a.withColumn("significant_auc_drop",
+                                  F.coalesce(F.col("auc_degradation") > F.lit(0.05), F.lit(False))))
+    u = parts[0]
+    for p_ in parts[1:]:
+        u = u.unionByName(p_, allowMissingColumns=True)
+    cols = [c for p_ in parts for c in p_.columns if c != "_k"]
+    row = u.groupBy("_k").agg(*[F.max(c).alias(c) for c in cols]).drop("_k")
     score = overall_drift_score("ks_drift_ratio", "js_drift_ratio", "prediction_drift")
     auc_deg = F.col("auc_degradation") if label else F.lit(None).cast("double")
     return row.select(
