@@ -59,7 +59,7 @@ def split_frame(df: DataFrame, is_cur: str | Column) -> tuple[DataFrame, DataFra
 # ---------------------------------------------------------------- KS ----------
 
 def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
-         buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+         buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
     """#88: both empirical CDFs at every distinct value of the union, per feature."""
     long = tagged_long(ref, cur, features)
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
@@ -74,7 +74,7 @@ def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
 
 
 def ks_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = None,
-             alpha: float = SIGNIFICANCE, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             alpha: float = SIGNIFICANCE, buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
     """#90/#91: two-sample KS per feature: statistic D, p_value, is_drift = p < alpha.
 
     NULL values are skipped (n_ref / n_cur count the non-NULL ones).
@@ -90,7 +90,7 @@ def ks_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
 
 
 def ks_by_group(ref: DataFrame, cur: DataFrame, features: Sequence[str], group: Sequence[str],
-                alpha: float = SIGNIFICANCE, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                alpha: float = SIGNIFICANCE, buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
     """KS of every group of `cur` (e.g. each period) against one reference, in one job.
 
     The reference CDF is computed once at every distinct value of the union;

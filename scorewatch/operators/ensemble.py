@@ -115,7 +115,7 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], extra: Seq
     plus running sums `<c>_below` of `extra` columns, without a single-task window:
     distributed prefix sums over one exact composite order key."""
     d = df.withColumn("_key", order_key(df, order)).withColumn("_one", F.lit(1).cast("bigint"))
-    ps = prefix_sums(d, by, "_key", ["_one", *extra], buckets=64, bucketing="range")
+    ps = prefix_sums(d, by, "_key", ["_one", *extra], bucketing="range")
     return ps.withColumn("rn", F.col("_one_below") + F.lit(1)).drop("_one", "_one_below", "_one_total", "_key")
 
 

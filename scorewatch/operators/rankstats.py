@@ -24,7 +24,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+# Cut count for the ordered buckets: "auto" sizes it from Catalyst's size
+# estimate of the input (no job): one bucket per ~64 MB, between 16 and 65536.
+# Small inputs get few buckets (little overhead); a 100 TB input gets enough
+# that each (group, bucket) window stays within one task's memory.
+DEFAULT_BUCKETS = "auto"
+BYTES_PER_BUCKET = 64 * 1024 * 1024
+MIN_BUCKETS, MAX_BUCKETS = 16, 65536
+QUANTILE_BUCKETS_MAX = 256
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Sum of the size estimates of the plan's leaf relations (the input files),
+    from plan statistics only - no job runs."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - statistics unavailable
+        return None
+
+
+def auto_buckets(df: DataFrame) -> int:
+    """Bucket count from the input size: one bucket per ~64 MB of input, clamped."""
+    size = input_bytes(df)
+    if size is None:
+        return 64
+    return int(min(max(size // BYTES_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS))
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
@@ -46,7 +71,7 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
 
 
 def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
-                buckets: int = DEFAULT_BUCKETS, bucketing: str = "range", checkpoint: bool = False) -> DataFrame:
+                buckets: int | str = DEFAULT_BUCKETS, bucketing: str = "range", checkpoint: bool = False) -> DataFrame:
     """Add `<c>_below` (sum over strictly smaller `order` in the same group) and
     `<c>_total` for each c in cols. `order` must be distinct within a group.
 
@@ -58,6 +83,8 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
       quantile  approximate quantiles; balanced for any distribution, costlier
     """
     by = list(by)
+    if buckets == "auto":
+        buckets = auto_buckets(counts)
     if buckets <= 1:
         wb = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         wt = Window.partitionBy(*by)
@@ -97,6 +124,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
         if by:
             c2 = c2.drop("_lo", "_hi")
     elif bucketing == "quantile":
+        buckets = min(buckets, QUANTILE_BUCKETS_MAX)
         fracs = [i / buckets for i in range(1, buckets)]
         q = F.percentile_approx(x, F.array(*[F.lit(f) for f in fracs]), 10000)
         if by:
@@ -132,7 +160,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
 
 
 def ranked_scores(df: DataFrame, by: Sequence[str], score: str, label: str,
-                  weight: str | None = None, buckets: int = DEFAULT_BUCKETS,
+                  weight: str | None = None, buckets: int | str = DEFAULT_BUCKETS,
                   bucketing: str = "unit") -> DataFrame:
     """Score-count table with pos/neg prefix sums and totals (scores are probabilities)."""
     return prefix_sums(score_counts(df, by, score, label, weight), by, score, ["pos", "neg"],
@@ -170,14 +198,14 @@ def auc_terms(ranked: DataFrame, by: Sequence[str], weighted: bool = False) -> D
 
 
 def auc_roc(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob",
-            weight: str | None = None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+            weight: str | None = None, buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
     """#66/#67: exact ROC AUC and average precision per group. Single-class group -> NULL."""
     r = ranked_scores(df, by, prob, label, weight, buckets)
     return auc_terms(r, by, weighted=weight is not None)
 
 
 def curve_points(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
     """#81: ROC and PR points, one per distinct score used as threshold (score >= t).
 
     Columns: by..., threshold, tp, fp, tpr, fpr, precision, recall.
@@ -195,7 +223,7 @@ def curve_points(df: DataFrame, by: Sequence[str] = (), label: str = "label", pr
 
 
 def two_sample_cdf(long_df: DataFrame, by: Sequence[str], value: str, is_b: str,
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
     """#88: empirical CDFs of two samples at every distinct value.
 
     Input is long: (by..., value, is_b) with is_b true for sample B. Output:
