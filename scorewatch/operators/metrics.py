@@ -276,36 +276,72 @@ def best_threshold(df: DataFrame, by: Sequence[str] = (), label: str = "label",
 def all_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob",
                 weight: str | None = None, threshold: float = 0.5, bins: int = ECE_BINS,
                 ece_mode: str = "standard", buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
-    """#79/#80: the full metric row per group.
+    """#79/#80: the full metric row per group, from ONE pass over the rows.
+
+    Every metric here is a function of the per-(group, score) label counts, so
+    the raw rows are aggregated once (map-side partial aggregation) into the
+    score-count table; the bucketed prefix sums add the rank terms, and one
+    grouped aggregate over that table yields AUC, AP, confusion counts, Brier,
+    log loss, ECE bins and profit counts together.
 
     Single-class groups get auc_roc = 0.5 and degenerate = true (#80); the
     other metrics are still computed. Weighted forms (#73) apply to
     AUC/AP/threshold metrics/Brier/log loss; ECE and profit ignore weights.
+    Rows with a NULL probability are not scored (validate with #21 first).
     """
     by = list(by)
-    a = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(label) == 1).alias("n_pos_rows"),
-        F.avg(_y(label)).alias("default_rate"),
-        *confusion_counts(by, label, prob, weight, threshold),
-        brier_expr(label, prob, weight).alias("brier_score"),
-        log_loss_expr(label, prob, weight).alias("log_loss"),
-        *ece_aggs(label, prob, bins),
-        *profit_aggs(label, prob),
-    )
-    a = a.select(
-        *by, "n", "default_rate", "brier_score", "log_loss", *_threshold_cols(),
+    r = ranked_scores(df, by, prob, label, weight, buckets)
+    p = F.col(prob).cast("double")
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    pn = F.col("pos_n") if weight else F.col("pos")
+    nn = F.col("neg_n") if weight else F.col("neg")
+    pnd, nnd = pn.cast("double"), nn.cast("double")
+    above = p > F.lit(threshold)
+    wsum = (lambda cond, c: F.sum(F.when(cond, c).otherwise(F.lit(0.0)))) if weight else \
+        (lambda cond, c: F.sum(F.when(cond, c).otherwise(F.lit(0))).cast("bigint"))
+    pc = F.least(F.greatest(p, F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS))
+    e = lin_edges(0.0, 1.0, bins + 1)
+    dsum = pnd * (p - F.lit(1.0)) + nnd * p            # sum of (p - y) over the rows at this score
+    ece_parts_ = []
+    for b in range(bins):
+        inb = (p > F.lit(e[b])) & (p <= F.lit(e[b + 1]))
+        ece_parts_.append(F.sum(F.when(inb, dsum).otherwise(F.lit(0.0))).alias(f"_s{b}"))
+        cnt_in = (inb | (p == F.lit(0.0))) if b == 0 else inb
+        ece_parts_.append(F.sum(F.when(cnt_in, pn + nn).otherwise(F.lit(0))).alias(f"_c{b}"))
+    prof = []
+    for i, t in enumerate(PROFIT_THRESHOLDS):
+        keep = p <= F.lit(t)
+        prof.append(F.sum(F.when(keep, nn).otherwise(F.lit(0))).alias(f"_tn{i}"))
+        prof.append(F.sum(F.when(keep, pn).otherwise(F.lit(0))).alias(f"_fn{i}"))
+    if weight:
+        auc_num = F.sum(pos * (F.lit(2.0) * F.col("neg_below") + neg))
+        auc = F.try_divide(auc_num, F.lit(2.0) * F.max("pos_total") * F.max("neg_total"))
+    else:
+        ex = lambda c: F.col(c).cast("decimal(38,0)")
+        auc_num = F.sum(ex("pos") * (ex("neg_below") * F.lit(2) + ex("neg"))).cast("double")
+        auc = F.try_divide(auc_num, F.lit(2.0) * F.max("pos_total").cast("double") * F.max("neg_total").cast("double"))
+    pos_ge = (F.col("pos_total") - F.col("pos_below")).cast("double")
+    all_ge = pos_ge + (F.col("neg_total") - F.col("neg_below")).cast("double")
+    ap = F.try_divide(F.sum(pos * F.try_divide(pos_ge, all_ge)), F.max("pos_total").cast("double"))
+    a = r.groupBy(*by).agg(
+        F.sum(pn + nn).alias("_n"), F.sum(pn).alias("n_pos_rows"),
+        wsum(above, F.col("pos")).alias("tp"), wsum(above, F.col("neg")).alias("fp"),
+        wsum(~above, F.col("neg")).alias("tn"), wsum(~above, F.col("pos")).alias("fn"),
+        F.try_divide(F.sum(pos * (p - F.lit(1.0)) * (p - F.lit(1.0)) + neg * p * p), F.sum(pos + neg)).alias("brier_score"),
+        F.try_divide(F.sum(-(pos * F.ln(pc) + neg * F.ln(F.lit(1.0) - pc))), F.sum(pos + neg)).alias("log_loss"),
+        *ece_parts_,
+        F.sum(F.when(p == F.lit(0.0), dsum).otherwise(F.lit(0.0))).alias("_z"),
+        *prof, auc.alias("_auc"), ap.alias("auc_pr"))
+    degenerate = (F.col("n_pos_rows") == 0) | (F.col("n_pos_rows") == F.col("_n"))
+    dr = F.try_divide(F.col("n_pos_rows").cast("double"), F.col("_n").cast("double"))
+    return a.select(
+        *by, F.col("_n").alias("n"), dr.alias("default_rate"), "brier_score", "log_loss", *_threshold_cols(),
         ece_from_aggs(bins, ece_mode).alias("calibration_error"),
         *best_threshold_cols(),
-        F.col("default_rate").alias("default_rate_if_all_approved"),
-        ((F.col("n_pos_rows") == 0) | (F.col("n_pos_rows") == F.col("n"))).alias("degenerate"),
-    )
-    r = auc_terms(ranked_scores(df, by, prob, label, weight, buckets), by, weighted=weight is not None)
-    r = r.select(*by, "auc_roc", "auc_pr")
-    merged = a.unionByName(r, allowMissingColumns=True)
-    value_cols = [c for c in a.columns if c not in by] + ["auc_roc", "auc_pr"]
-    out = merged.groupBy(*by).agg(*[F.max(c).alias(c) for c in value_cols])
-    return out.withColumn("auc_roc", F.when(F.col("degenerate"), F.lit(0.5)).otherwise(F.col("auc_roc")))
+        dr.alias("default_rate_if_all_approved"),
+        degenerate.alias("degenerate"),
+        F.when(degenerate, F.lit(0.5)).otherwise(F.col("_auc")).alias("auc_roc"),
+        "auc_pr")
 
 
 def prediction_summary(df: DataFrame, by: Sequence[str] = (), label: str = "label",

@@ -54,20 +54,22 @@ def auto_buckets(df: DataFrame) -> int:
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
                  weight: str | None = None) -> DataFrame:
-    """(by..., score, pos, neg): label-1 and label-0 totals per distinct score.
+    """(by..., score, pos, neg[, pos_n, neg_n]): label-1 and label-0 totals per distinct score.
 
-    Unweighted counts are exact longs; weighted ones are double sums.
+    Unweighted counts are exact longs; weighted ones are double sums, and then
+    the unweighted counts come along as pos_n / neg_n.
     """
     y = F.col(label)
+    one = F.when(y == 1, F.lit(1)).otherwise(F.lit(0))
+    zero = F.when(y == 1, F.lit(0)).otherwise(F.lit(1))
     if weight is None:
-        pos = F.sum(F.when(y == 1, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
-        neg = F.sum(F.when(y == 1, F.lit(0)).otherwise(F.lit(1))).cast("bigint")
+        aggs = [F.sum(one).cast("bigint").alias("pos"), F.sum(zero).cast("bigint").alias("neg")]
     else:
         w = F.col(weight).cast("double")
-        pos = F.sum(F.when(y == 1, w).otherwise(F.lit(0.0)))
-        neg = F.sum(F.when(y == 1, F.lit(0.0)).otherwise(w))
-    return (df.where(F.col(score).isNotNull()).groupBy(*by, score)
-            .agg(pos.alias("pos"), neg.alias("neg")))
+        aggs = [F.sum(F.when(y == 1, w).otherwise(F.lit(0.0))).alias("pos"),
+                F.sum(F.when(y == 1, F.lit(0.0)).otherwise(w)).alias("neg"),
+                F.sum(one).cast("bigint").alias("pos_n"), F.sum(zero).cast("bigint").alias("neg_n")]
+    return df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(*aggs)
 
 
 def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
