@@ -38,7 +38,7 @@ def input_bytes(df: DataFrame) -> int | None:
     """Sum of the size estimates of the plan's leaf relations (the input files),
     from plan statistics only - no job runs."""
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - statistics unavailable
         return None

@@ -108,3 +108,26 @@ def test_generators_are_seeded(spark):
     assert tuple(a) == tuple(b)
     s = gen_loans(spark, 500, seed=1, kind="stress")
     assert "loan_status" in s.columns and "ISSUE_MONTH" in s.columns
+
+
+def test_read_loans_csv_and_errors(spark, tmp_path):
+    from scorewatch.sources.tables import LoanSpec, read_loans
+
+    path = str(tmp_path / "loans_csv")
+    FX.loans(spark, SF).select("loan_id", "month_no", "AMT_CREDIT", "TARGET").write.option("header", True).csv(path)
+    spec = LoanSpec(label="TARGET", period="month_no", fmt="csv",
+                    schema="loan_id BIGINT, month_no INT, AMT_CREDIT DOUBLE, TARGET INT")
+    df = read_loans(spark, path, spec)
+    assert df.count() == FX.loans(spark, SF).count()
+    with pytest.raises(ValueError, match="Required column"):
+        read_loans(spark, path, LoanSpec(label="loan_status", fmt="csv", schema=spec.schema))
+    with pytest.raises(Exception):
+        read_loans(spark, str(tmp_path / "missing"), spec)
+    fb = read_loans(spark, str(tmp_path / "missing"), spec, on_error="fallback", fallback_rows=200)
+    assert fb.count() == 200 and "TARGET" in fb.columns
+
+
+def test_pipeline_skips_all_null_temporal(spark):
+    df = FX.loans(spark, SF).select("loan_id", F.lit(None).cast("int").alias("issue_month"), "AMT_CREDIT", "TARGET")
+    st = FT.FeaturePipeline(label="TARGET", exclude=["loan_id"]).fit(df)
+    assert st.temporal is None
