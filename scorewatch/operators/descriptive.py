@@ -113,7 +113,9 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = []
     if num:
         e = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in num)
-        parts.append(df.selectExpr(f"stack({len(num)}, {e}) AS (column, dv)").withColumn("sv", F.lit(None).cast("string")))
+        parts.append(df.selectExpr(f"stack({len(num)}, {e}) AS (column, dv)")
+                     .withColumn("dv", F.nanvl(F.col("dv"), F.lit(None).cast("double")))  # NaN is missing
+                     .withColumn("sv", F.lit(None).cast("string")))
     if oth:
         e = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in oth)
         parts.append(df.selectExpr(f"stack({len(oth)}, {e}) AS (column, sv)").withColumn("dv", F.lit(None).cast("double")))
@@ -130,6 +132,17 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.sum("n").alias("rows"), (F.max("n") / F.sum("n")).alias("top_share"))
 
 
+def role_of(name: str, numeric_type: bool, distinct: int, rows: int) -> str:
+    """#15 rule for one column (driver-side twin of the `column_roles` expression)."""
+    ln = name.lower()
+    if any(p in ln for p in LABEL_NAME_PARTS):
+        return "label"
+    if any(p in ln for p in TEMPORAL_NAME_PARTS):
+        return "temporal"
+    many = (rows and distinct / rows > NUMERIC_DISTINCT_SHARE) or distinct > NUMERIC_DISTINCT_MIN
+    return "numeric" if numeric_type and many else "categorical"
+
+
 def column_roles(df: DataFrame, exclude: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """#15: (column, distinct, rows, role) for every column in one aggregate.
 
