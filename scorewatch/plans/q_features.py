@@ -193,6 +193,7 @@ def feature_pipeline(spark, sf_dir):
     pipe.fit(ls.where(F.col("split") == "train"))
     out = pipe.transform(ls.where(F.col("split") == "test"), keep=["loan_id"])
     cols = [c for c in out.columns if c != "loan_id"]
-    a = out.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
-    parts = ", ".join(f"'{c}', CAST(`m_{c}` AS DOUBLE), CAST(`s_{c}` AS DOUBLE)" for c in cols)
-    return a.selectExpr(f"stack({len(cols)}, {parts}) AS (column, mean, std)")
+    # long form: one narrow aggregate per column instead of one very wide row
+    parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = out.selectExpr(f"stack({len(cols)}, {parts}) AS (column, value)")
+    return long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
