@@ -17,10 +17,8 @@ W_LONG = with_views("scored_long")
 
 
 def _model_metrics(spark, sf_dir):
-    sl = FX.scored_long(spark, sf_dir)
-    a = RS.auc_roc(sl, ["model_id"]).select("model_id", "auc_roc")
-    b = M.brier(sl, ["model_id"]).select("model_id", "brier_score")
-    return a.join(b, "model_id")
+    """AUC and Brier per model from one pass (the score-count table)."""
+    return M.all_metrics(FX.scored_long(spark, sf_dir), ["model_id"]).select("model_id", "auc_roc", "brier_score")
 
 
 _MM_SQL = f"""mm AS (SELECT a.model_id, a.auc_roc, b.brier_score FROM ({auc_sql(ranked_sql('scored_long', ['model_id']), ['model_id'])}) a
