@@ -320,11 +320,11 @@ def overall_drift_score(ks_ratio, js_ratio, pred_drift) -> Column:
 
 
 # fixed values (must equal the original's): recommendation texts in order
-REC_RETRAIN = "High drift detected - consider model retraining"
-REC_REVIEW = "Significant feature drift - review feature engineering"
-REC_RECALIBRATE = "Prediction drift detected - consider recalibration"
-REC_URGENT = "Significant performance degradation - urgent model update needed"
-REC_CONTINUE = "Drift levels acceptable - continue monitoring"
+REC_RETRAIN = "HIGH DRIFT DETECTED: Consider immediate model retraining"
+REC_REVIEW = "Significant feature drift detected: Review data pipeline and feature engineering"
+REC_RECALIBRATE = "Prediction distribution has shifted: Model recalibration recommended"
+REC_URGENT = "Model performance has significantly degraded: Urgent retraining required"
+REC_CONTINUE = "No significant drift detected: Continue monitoring"
 
 
 def recommendations(score, ks_ratio, pred_drift, auc_deg) -> Column:
