@@ -355,16 +355,23 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], prob:
     pk = ks_all.where(F.col("feature") == pred).select(
         F.col("statistic").alias("prediction_ks_statistic"), F.col("p_value").alias("prediction_ks_p_value"),
         F.col("is_drift").alias("prediction_drift"), F.lit(1).alias("_k"))
-    sel = [F.col(prob).alias("prob")] + ([F.col(label).alias("label")] if label else [])
+    sel = [F.col(prob).alias("prob")] + ([F.col(label).alias("label")] if label else [F.lit(0).alias("label")])
     both = (ref.select(*sel).withColumn("is_cur", F.lit(False))
             .unionByName(cur.select(*sel).withColumn("is_cur", F.lit(True))))
-    means = both.agg((F.avg(F.when(F.col("is_cur"), F.col("prob"))) - F.avg(F.when(~F.col("is_cur"), F.col("prob"))))
-                     .alias("mean_prediction_shift")).withColumn("_k", F.lit(1))
-    parts = [summ, pk, means]
+    # mean shift and AUC of both samples from ONE score-count table per sample
+    from scorewatch.operators.rankstats import auc_terms, ranked_scores
+
+    r = ranked_scores(both, ["is_cur"], "prob", "label")
+    g = r.groupBy("is_cur").agg(
+        F.try_divide(F.sum(F.col("prob") * (F.col("pos") + F.col("neg"))),
+                     F.sum(F.col("pos") + F.col("neg")).cast("double")).alias("mean_p"))
+    parts = [summ, pk]
+    mean_row = g.groupBy().agg(
+        (F.max(F.when(F.col("is_cur"), F.col("mean_p"))) - F.max(F.when(~F.col("is_cur"), F.col("mean_p"))))
+        .alias("mean_prediction_shift")).withColumn("_k", F.lit(1))
+    parts.append(mean_row)
     if label:
-        from scorewatch.operators.rankstats import auc_roc as _auc
-
-        a = _auc(both, ["is_cur"]).groupBy().agg(
+        a = auc_terms(r, ["is_cur"]).groupBy().agg(
             (F.max(F.when(~F.col("is_cur"), F.col("auc_roc"))) - F.max(F.when(F.col("is_cur"), F.col("auc_roc"))))
             .alias("auc_degradation")).withColumn("_k", F.lit(1))
         parts.append(a.withColumn("significant_auc_drop",
