@@ -77,10 +77,19 @@ def scored_long(spark: SparkSession, sf_dir: str, base: DataFrame | None = None)
 
 
 def loans_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`loans` with split: train 40 / val 15 / test 25 months."""
-    from scorewatch.operators.splits import temporal_split
+    """`loans` with split: train 40 / val 15 / test 25 months.
 
-    return temporal_split(loans(spark, sf_dir), "month_no", 40, 15, 25, keep_period=True)
+    `loans` has exactly one row per order with the order's month, so the split
+    bounds (distinct months, validation) are computed from `orders` alone -
+    the joins of the view are not evaluated just to validate the split.
+    """
+    from scorewatch.operators.splits import drop_null_period, split_bounds, split_expr
+
+    months = read_table(spark, sf_dir, "orders").select(
+        ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int").alias("month_no"))
+    base, train_end, val_end = split_bounds(months, "month_no", 40, 15, 25)
+    return drop_null_period(loans(spark, sf_dir), "month_no").withColumn(
+        "split", split_expr("month_no", base, train_end, val_end))
 
 
 def loans_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
