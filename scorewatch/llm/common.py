@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scorewatch.session import scratch_path
 
@@ -41,6 +43,23 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_
             start = stop
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns but `text` in one struct, so that no name of theirs can clash
+    with one that an operator adds."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).cast("int").alias("_")]).alias("row"), "text")
+
+
+def unbundled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `bundled` had, in their order."""
+    return df.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """`schema` with the fields of `ddl` behind."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type, from_pandas=False) for c, f in zip(columns, schema, strict=True)],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quality", "sharding", "urls", "chat")
+_MODULES = ("mtree", "huffman", "quality", "pieces", "jaccard", "packing", "sharding", "urls", "privacy", "chat")
 
 
 def _entries(attribute: str) -> dict:

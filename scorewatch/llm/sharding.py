@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters rows uniformly over buckets of about `BUCKET_BYTES` by a seeded hash of
+Pass 1 scatters rows uniformly over buckets of at most about `BUCKET_BYTES` by a seeded hash of
 the row (its id, text checksum and place in the input, so that equal rows scatter too)
 and writes them with their bucket. Pass 2 gathers each bucket, sorts it by that hash, shuffles it with a seeded Fisher-Yates
 permutation, and writes it. Buckets follow each other in one random order of all rows;
@@ -47,7 +47,9 @@ def _fisher_yates(seed: int):
 def shuffled(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """`docs` with `_index`, the row's place in a random order of all rows, and `_total`."""
     size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 64).alias("b")).first()["b"] or 1
-    keyed = written(scatter(docs, text, max(1, -(-size // bucket_bytes)), seed), "scattered")
+    # Buckets fit in memory, and there are enough of them for every task of a shuffle.
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    keyed = written(scatter(docs, text, buckets, seed), "scattered")
     # One row per bucket; their running sum says where each bucket begins in the whole order.
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     first = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -106,7 +106,8 @@ class UrlModel:
 
 
 def prepared(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    return with_features(with_rule(with_parts(pages, url), rules), url)
+    """(page_id, url) with parts, rule and features."""
+    return with_features(with_rule(with_parts(pages.select("page_id", url), url), rules), url)
 
 
 def fit(df: DataFrame, url: str = "url", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, depth: int = DEPTH,
@@ -119,7 +120,7 @@ def fit(df: DataFrame, url: str = "url", max_labelled: int = MAX_LABELLED, round
 
 
 def q_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prepared(table(spark, sf_dir, "pages").select("page_id", "url"))
+    df = prepared(table(spark, sf_dir, "pages"))
     return fit(df).judge(df).select("page_id", "host", "path", "rule", "verdict")
 
 
