@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import as_batch, slices, table, written
+from scorewatch.llm.common import as_batch, bundled, slices, table, unbundled, written
 from scorewatch.llm.components import components
 from scorewatch.llm.words import mix, positions, split_words, window_hashes, word_hashes
 

@@ -97,7 +97,7 @@ def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> l
     """(entity, term, window, start, end) of the words around each find. The window's number is
     that of its words, so that copies of a passage share it."""
     words = [(m.start(), m.end()) for m in TERM.finditer(text)]
-    starts = [s for s, _ in spans]
+    starts = [s for s, _, _ in spans]
 
     def free(s: int, e: int) -> bool:
         i = bisect_left(starts, e)

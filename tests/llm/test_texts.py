@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from conftest import SF_MID, SF_SMALL
 
@@ -41,8 +42,7 @@ def test_quality_query(spark, edge_dir, where):
     trusted = {i for i, v in labels.items() if good[i] and not any(t for _, t in v)}
 
     def buckets(text):
-        cut = re.sub(r"([^\W_]|\s)|([^\w\s]|_)", lambda m: m[0], text or "")
-        cut = re.sub(r"((?:[^\w\s]|_)+)", r" \1 ", cut)
+        cut = regex.sub(r"([^\p{L}\p{N} \t\n\f\r]+)", r" \1 ", text or "")
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in WORD.findall(cut)], np.uint64)
         m = np.uint64(0x9E3779B97F4A7C15)
         pair = mix(mix(h[:-1]) * m + h[1:]) if len(h) > 1 else h[:0]
