@@ -262,7 +262,7 @@ class Forest:
         # Every block of queries that share a home visits all other trees.
         blocks = floors.withColumnRenamed("home", "tree").withColumn("part", share).groupBy("tree", "part").applyInArrow(_block(self.dim), PAGE_DDL)
         others = F.filter(F.sequence(F.lit(0), F.lit(max(0, self.n_trees - 1))), lambda t: t != F.col("tree"))
-        sent = blocks.withColumn("tree", F.explode(others).cast("int"))
+        sent = blocks.withColumn("tree", F.explode(others))
         found = first.unionByName(self._meet(sent, k))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
