@@ -275,7 +275,7 @@ def best_threshold(df: DataFrame, by: Sequence[str] = (), label: str = "label",
 
 def all_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob",
                 weight: str | None = None, threshold: float = 0.5, bins: int = ECE_BINS,
-                ece_mode: str = "standard", buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+                ece_mode: str = "standard", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """#79/#80: the full metric row per group, from ONE pass over the rows.
 
     Every metric here is a function of the per-(group, score) label counts, so

@@ -24,32 +24,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cut count for the ordered buckets: "auto" sizes it from Catalyst's size
-# estimate of the input (no job): one bucket per ~64 MB, between 16 and 65536.
-# Small inputs get few buckets (little overhead); a 100 TB input gets enough
-# that each (group, bucket) window stays within one task's memory.
-DEFAULT_BUCKETS = "auto"
-BYTES_PER_BUCKET = 64 * 1024 * 1024
-MIN_BUCKETS, MAX_BUCKETS = 16, 65536
-QUANTILE_BUCKETS_MAX = 256
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Sum of the size estimates of the plan's leaf relations (the input files),
-    from plan statistics only - no job runs."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001 - statistics unavailable
-        return None
-
-
-def auto_buckets(df: DataFrame) -> int:
-    """Bucket count from the input size: one bucket per ~64 MB of input, clamped."""
-    size = input_bytes(df)
-    if size is None:
-        return 64
-    return int(min(max(size // BYTES_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS))
+# Cut count for the ordered buckets: a parameter; None takes the session's number of
+# shuffle partitions, so each (group, bucket) window is about one task's share.
+DEFAULT_BUCKETS = None
+
+
+def checked_label(label: str):
+    """The label; any value but 0 and 1 (NULL too) is an error when the rows are read."""
+    y = F.col(label)
+    return F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.concat(F.lit(f"{label} must be 0 or 1, not "), F.coalesce(y.cast("string"), F.lit("NULL")))))
+
+
+def checked_score(score: str):
+    """The score as double; NaN, infinite and out-of-range values are an error. NULL: not scored."""
+    p = F.col(score).cast("double")
+    return F.when(p.isNull() | ((p >= 0) & (p <= 1)), p).otherwise(F.raise_error(F.concat(F.lit(f"{score} must lie in [0, 1], not "), p.cast("string"))))
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
@@ -59,21 +48,21 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
     Unweighted counts are exact longs; weighted ones are double sums, and then
     the unweighted counts come along as pos_n / neg_n.
     """
+    df = df.select(*by, checked_score(score).alias(score), checked_label(label).cast("int").alias(label), *([weight] if weight else []))
     y = F.col(label)
-    one = F.when(y == 1, F.lit(1)).otherwise(F.lit(0))
-    zero = F.when(y == 1, F.lit(0)).otherwise(F.lit(1))
+    one, zero = F.when(y == 1, F.lit(1)).otherwise(F.lit(0)), F.when(y == 0, F.lit(1)).otherwise(F.lit(0))
     if weight is None:
         aggs = [F.sum(one).cast("bigint").alias("pos"), F.sum(zero).cast("bigint").alias("neg")]
     else:
         w = F.col(weight).cast("double")
         aggs = [F.sum(F.when(y == 1, w).otherwise(F.lit(0.0))).alias("pos"),
-                F.sum(F.when(y == 1, F.lit(0.0)).otherwise(w)).alias("neg"),
+                F.sum(F.when(y == 0, w).otherwise(F.lit(0.0))).alias("neg"),
                 F.sum(one).cast("bigint").alias("pos_n"), F.sum(zero).cast("bigint").alias("neg_n")]
     return df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(*aggs)
 
 
 def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
-                buckets: int | str = DEFAULT_BUCKETS, bucketing: str = "range", checkpoint: bool = False) -> DataFrame:
+                buckets: int | None = DEFAULT_BUCKETS, bucketing: str = "range", checkpoint: bool = False) -> DataFrame:
     """Add `<c>_below` (sum over strictly smaller `order` in the same group) and
     `<c>_total` for each c in cols. `order` must be distinct within a group.
 
@@ -85,8 +74,8 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
       quantile  approximate quantiles; balanced for any distribution, costlier
     """
     by = list(by)
-    if buckets == "auto":
-        buckets = auto_buckets(counts)
+    if buckets is None:
+        buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if buckets <= 1:
         wb = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         wt = Window.partitionBy(*by)
@@ -126,7 +115,6 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
         if by:
             c2 = c2.drop("_lo", "_hi")
     elif bucketing == "quantile":
-        buckets = min(buckets, QUANTILE_BUCKETS_MAX)
         fracs = [i / buckets for i in range(1, buckets)]
         q = F.percentile_approx(x, F.array(*[F.lit(f) for f in fracs]), 10000)
         if by:
@@ -162,7 +150,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
 
 
 def ranked_scores(df: DataFrame, by: Sequence[str], score: str, label: str,
-                  weight: str | None = None, buckets: int | str = DEFAULT_BUCKETS,
+                  weight: str | None = None, buckets: int | None = DEFAULT_BUCKETS,
                   bucketing: str = "unit") -> DataFrame:
     """Score-count table with pos/neg prefix sums and totals (scores are probabilities)."""
     return prefix_sums(score_counts(df, by, score, label, weight), by, score, ["pos", "neg"],
@@ -200,14 +188,14 @@ def auc_terms(ranked: DataFrame, by: Sequence[str], weighted: bool = False) -> D
 
 
 def auc_roc(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob",
-            weight: str | None = None, buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+            weight: str | None = None, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """#66/#67: exact ROC AUC and average precision per group. Single-class group -> NULL."""
     r = ranked_scores(df, by, prob, label, weight, buckets)
     return auc_terms(r, by, weighted=weight is not None)
 
 
 def curve_points(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob",
-                 buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """#81: ROC and PR points, one per distinct score used as threshold (score >= t).
 
     Columns: by..., threshold, tp, fp, tpr, fpr, precision, recall.
@@ -225,7 +213,7 @@ def curve_points(df: DataFrame, by: Sequence[str] = (), label: str = "label", pr
 
 
 def two_sample_cdf(long_df: DataFrame, by: Sequence[str], value: str, is_b: str,
-                   buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """#88: empirical CDFs of two samples at every distinct value.
 
     Input is long: (by..., value, is_b) with is_b true for sample B. Output:

@@ -92,35 +92,39 @@ def regime_rates(df: DataFrame, period: str, label: str, cycle: int | None = 24)
             .agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(label).cast("double")).alias("default_rate")))
 
 
+MIX_MODULUS = 2147483647
+
+
 def mix_key(key, seed: int = 42):
-    """Seeded integer mix in [0, 2^31): (key*48271 + seed) mod (2^31-1).
+    """Seeded integer mix in [0, 2^31 - 1): (key * 48271 + seed) mod (2^31 - 1).
 
-    Used as a repeatable pseudo-random order. Plain integer arithmetic, so
-    any SQL engine computes the same value.
+    Used as a repeatable pseudo-random order. The key is reduced first, so any 64-bit key
+    works; a key that is no integer goes through a 64-bit hash. Plain integer arithmetic, so
+    any SQL engine computes the same value for integers.
     """
-    return F.pmod(F.col(key).cast("bigint") * F.lit(48271) + F.lit(seed), F.lit(2147483647))
+    k = F.coalesce(F.col(key).try_cast("bigint"), F.xxhash64(key))
+    return F.pmod(F.pmod(k, F.lit(MIX_MODULUS)) * F.lit(48271) + F.lit(seed), F.lit(MIX_MODULUS))
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, bucket_bits: int = 8) -> DataFrame:
     """#130: seeded stratified k-fold assignment as a `fold` column.
 
     Within each class rows are numbered in the seeded `mix_key` order and
     fold = (row_number - 1) % k, so per-class fold sizes differ by at most one.
-    The numbering is distributed: rows are cut into 256 ordered buckets by the
-    high bits of the mix, bucket counts (<= 256 per class) give offsets, and
+    The numbering is distributed: rows are cut into 2^bucket_bits ordered buckets by the
+    high bits of the mix, bucket counts (that many rows per class) give offsets, and
     the row_number window is partitioned by (class, bucket), so a class
-    holding a third of the table is still spread over 256 tasks.
+    holding a third of the table is still spread over all buckets.
     """
     if k < 2:
         raise ValueError("cv_folds must be at least 2")
-    m = mix_key(key, seed)
-    d = df.withColumn("_mix", m).withColumn("_b", F.shiftright(F.col("_mix"), 23))
+    d = df.withColumn("_mix", mix_key(key, seed)).withColumn("_b", F.shiftright(F.col("_mix"), 31 - bucket_bits))
     counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     w = Window.partitionBy(label, "_b").orderBy("_mix", key)
     return (
-        d.join(F.broadcast(offsets), [label, "_b"])  # <= 256 rows per class: bounded
+        d.join(offsets, [label, "_b"])
         .withColumn("fold", ((F.row_number().over(w) + F.col("_off") - 1) % k).cast("int"))
         .drop("_mix", "_b", "_off")
     )

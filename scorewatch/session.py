@@ -5,13 +5,15 @@ create sessions, they take the caller's.
 
 `work_dir` returns the shared folder the cluster names in
 ``spark.checkpoint.dir``. It is where lineage-cutting tables, streaming
-checkpoints and streaming sinks live. Only when the setting is absent (local
-tests) do we create one.
+checkpoints and streaming sinks live. Only a local master (tests) gets a
+temporary folder when the setting is absent; on a cluster that is an error,
+because every executor would write to its own disk.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,11 +44,13 @@ def make_session(master: str = "local[8]", partitions: int = 8, app: str = "scor
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder; set one under the system temp dir only if unset."""
+    """Shared checkpoint folder; one under the system temp dir only for an unset setting on a local master."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="scorewatch-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
