@@ -154,10 +154,7 @@ def duplicate_columns(spark, sf_dir):
     lo = FX.loans(spark, sf_dir).select(
         "score_a", "score_b", "AMT_CREDIT",
         (F.col("CNT_ITEMS") / (F.col("CNT_ITEMS") + F.lit(2.0))).alias("items_ratio"))
-    pairs = FT.duplicate_columns(lo, lo.columns)
-    first = lo.limit(1)
-    return first.select(F.explode(F.array(*[F.struct(F.lit(a).alias("kept"), F.lit(b).alias("duplicate"))
-                                            for a, b in pairs] or [F.struct(F.lit(None).cast("string").alias("kept"), F.lit(None).cast("string").alias("duplicate"))])).alias("p")).select("p.kept", "p.duplicate").where(F.col("kept").isNotNull())
+    return FT.duplicate_columns_frame(lo, lo.columns)
 
 
 _SCALE = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "revol_util", "CNT_ITEMS"]
