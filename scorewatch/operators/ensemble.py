@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +25,6 @@ RECALIBRATION_THRESHOLD = 0.15
 WINDOW = 1000
 MIN_BUFFER = 100
 TREND_WINDOW = 10
-BROADCAST_ROW_LIMIT = 100000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after checking the row count (a cheap action on a small table)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def equal_weights(models: DataFrame, by: Sequence[str] = (), model: str = "model_id") -> DataFrame:
@@ -42,31 +35,55 @@ def equal_weights(models: DataFrame, by: Sequence[str] = (), model: str = "model
 
 def ensemble_score(long_scores: DataFrame, weights: DataFrame, key: Sequence[str], by: Sequence[str] = (),
                    model: str = "model_id", prob: str = "prob") -> DataFrame:
-    """#52/#114: sum_i w_i p_i per row key: join on (by, model) with the checked-small
-    weight table, then one grouped sum (partial aggregation map-side)."""
-    j = long_scores.join(bounded_broadcast(weights), [*by, model])
+    """#52/#114: sum_i w_i p_i per row key: join on (by, model) with the weight table, then one
+    grouped sum (partial aggregation map-side). Whether the weights are broadcast is decided
+    from their size at run time."""
+    j = long_scores.join(weights, [*by, model])
     return j.groupBy(*by, *key).agg(F.sum(F.col("weight") * F.col(prob)).alias("prob"))
 
 
-def update_weights(model_metrics: DataFrame, weights: DataFrame, by: Sequence[str] = (),
-                   model: str = "model_id", alpha: float = ALPHA, min_weight: float = MIN_WEIGHT,
-                   auc: str = "auc_roc", brier: str = "brier_score") -> DataFrame:
-    """#89/#116: s = 0.6*auc + 0.4/(brier + 1e-8); w <- (1-a) w + a softmax(s);
-    floor at min_weight; renormalise. Softmax subtracts the max first."""
+def stability(auc: str = "auc_roc", brier: str = "brier_score"):
+    """0.6 * auc + 0.4 / (brier + 1e-8); the AUC of a batch with one class is 0.5. NULL without a Brier score."""
+    return (F.lit(SCORE_AUC_WEIGHT) * F.coalesce(F.nanvl(F.col(auc).cast("double"), F.lit(None).cast("double")), F.lit(0.5))
+            + F.lit(SCORE_BRIER_WEIGHT) / (F.col(brier) + F.lit(EPS)))
+
+
+def check_weight_params(alpha: float, min_weight: float) -> None:
     if not 0 <= alpha <= 1:
         raise ValueError("stability_alpha must be in [0, 1]")
     if not 0 <= min_weight < 1:
         raise ValueError("min_weight must be in [0, 1)")
+
+
+def update_weights(model_metrics: DataFrame, weights: DataFrame, by: Sequence[str] = (),
+                   model: str = "model_id", alpha: float = ALPHA, min_weight: float = MIN_WEIGHT,
+                   auc: str = "auc_roc", brier: str = "brier_score") -> DataFrame:
+    """#89/#116: s = `stability`; w <- (1-a) w + a softmax(s); floor at min_weight; renormalise.
+    Softmax subtracts the max first. A model without metrics keeps its weight until the floor
+    and the normalisation."""
+    check_weight_params(alpha, min_weight)
     w = Window.partitionBy(*by)
-    m = model_metrics.join(weights, [*by, model])
-    s = F.lit(SCORE_AUC_WEIGHT) * F.col(auc) + F.lit(SCORE_BRIER_WEIGHT) / (F.col(brier) + F.lit(EPS))
-    x = m.withColumn("_s", s).withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(w)))
+    x = weights.join(model_metrics, [*by, model], "left").withColumn("_s", stability(auc, brier))
+    x = x.withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(w)))
     x = x.withColumn("_soft", F.col("_e") / F.sum("_e").over(w))
-    x = x.withColumn("_w", F.greatest((F.lit(1.0 - alpha)) * F.col("weight") + F.lit(alpha) * F.col("_soft"),
-                                      F.lit(min_weight)))
+    new = F.coalesce(F.lit(1.0 - alpha) * F.col("weight") + F.lit(alpha) * F.col("_soft"), F.col("weight"))
+    x = x.withColumn("_w", F.greatest(new, F.lit(min_weight)))
     return x.select(*by, model, (F.col("_w") / F.sum("_w").over(w)).alias("weight"))
 
 
+def monitor_metrics(scored: DataFrame, by: Sequence[str], batch: str, order: Sequence[str], model: str = "model_id",
+                    n: int = WINDOW, min_n: int = MIN_BUFFER, label: str = "label", prob: str = "prob") -> DataFrame:
+    """#116/#123: what an update of each batch reads: (by..., model, batch, brier_score, auc_roc),
+    the model's rolling Brier score over its last n pairs at the end of the batch, and the
+    batch's AUC (0.5 with one class). `order` begins with `batch`."""
+    from scorewatch.operators.rankstats import auc_roc
+
+    keys = [*by, model]
+    rolling = batch_reports(rolling_brier(scored, keys, order, n, min_n, label, prob), keys, batch)
+    auc = auc_roc(scored, [*keys, batch], label, prob).select(*keys, batch, F.coalesce("auc_roc", F.lit(0.5)).alias("auc_roc"))
+    return rolling.join(auc, [*keys, batch]).select(*keys, batch, F.col("rolling_brier").alias("brier_score"), "auc_roc")
+
+
 def weight_stats(weights: DataFrame, model_metrics: DataFrame, by: Sequence[str] = (), model: str = "model_id",
                  auc: str = "auc_roc", brier: str = "brier_score",
                  threshold: float = RECALIBRATION_THRESHOLD) -> DataFrame:
@@ -182,86 +199,76 @@ def early_stop(history: DataFrame, by: Sequence[str], order: str, metric: str, p
 
 
 def weight_trajectory(batch_metrics: DataFrame, by: Sequence[str], batch: str, model: str = "model_id",
-                      alpha: float = ALPHA, min_weight: float = MIN_WEIGHT,
+                      alpha: float | str = ALPHA, min_weight: float | str = MIN_WEIGHT,
                       auc: str = "auc_roc", brier: str = "brier_score") -> DataFrame:
-    """#119: replay weight updates over successive batches per key (ordered fold).
+    """#119: weights after every batch, from equal weights: (by..., batch, model, weight).
 
-    The per-key input is the small (batch x model) metric table, so the fold
-    runs as a grouped pandas function, in parallel over keys.
-    """
+    One ordered fold per key over its batches, each batch one array of (model, stability)
+    structs; a key's history is batches x models small rows. `alpha` and `min_weight` may name
+    columns that are constant within a key (parameter search)."""
     by = list(by)
-    fields = [f for f in batch_metrics.schema.fields if f.name in set(by)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-                       + [f"`{batch}` bigint", f"`{model}` string", "weight double"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values([batch, model])
-        models = sorted(pdf[model].astype(str).unique())
-        w = np.full(len(models), 1.0 / len(models))
-        out = []
-        for b, g in pdf.groupby(batch, sort=True):
-            g = g.set_index(g[model].astype(str)).reindex(models)
-            s = SCORE_AUC_WEIGHT * g[auc].to_numpy(dtype=float) + SCORE_BRIER_WEIGHT / (g[brier].to_numpy(dtype=float) + EPS)
-            e = np.exp(s - np.nanmax(s))
-            soft = e / np.nansum(e)
-            w = np.maximum((1 - alpha) * w + alpha * soft, min_weight)
-            w = w / w.sum()
-            for m_, wv in zip(models, w):
-                row = {k: pdf[k].iloc[0] for k in by}
-                row.update({batch: int(b), model: m_, "weight": float(wv)})
-                out.append(row)
-        return pd.DataFrame(out, columns=by + [batch, model, "weight"])
-
-    src = batch_metrics.select(*by, F.col(batch).cast("bigint").alias(batch), F.col(model).cast("string").alias(model),
-                               F.col(auc).cast("double").alias(auc), F.col(brier).cast("double").alias(brier))
-    if by:
-        return src.groupBy(*by).applyInPandas(fold, schema)
-    return src.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(
-        lambda p: fold(p.drop(columns=["_k"])), schema)
+    for v, check in ((alpha, lambda x: check_weight_params(x, 0)), (min_weight, lambda x: check_weight_params(0, x))):
+        if not isinstance(v, str):
+            check(v)
+    a, floor = (F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in (alpha, min_weight))
+    per = (batch_metrics.select(*by, batch, F.col(model).alias("_m"), stability(auc, brier).alias("_s"), a.alias("_a"), floor.alias("_f"))
+           .groupBy(*by, batch).agg(F.sort_array(F.collect_list(F.struct("_m", "_s"))).alias("_scores"), F.max("_a").alias("_a"), F.max("_f").alias("_f")))
+    seq = per.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(batch).alias("_b"), "_scores"))).alias("_seq"),
+                               F.max("_a").alias("_a"), F.max("_f").alias("_f"))
+    seq = seq.withColumn("_models", F.array_sort(F.array_distinct(F.flatten(F.transform("_seq", lambda x: F.transform(x["_scores"], lambda y: y["_m"]))))))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+
+    def step(acc, x):
+        s = F.transform("_models", lambda m: F.get(F.filter(x["_scores"], lambda y: y["_m"] == m), F.lit(0))["_s"])
+        top = F.array_max(F.filter(s, lambda v: v.isNotNull()))
+        e = F.transform(s, lambda v: F.exp(v - top))
+        new = F.zip_with(acc["w"], e, lambda w, v: F.greatest(
+            F.coalesce((F.lit(1.0) - F.col("_a")) * w + F.col("_a") * v / add(e), w), F.col("_f")))
+        w = F.transform(new, lambda v: v / add(new))
+        return F.struct(w.alias("w"), F.concat(acc["out"], F.array(F.struct(x["_b"].alias("b"), w.alias("w")))).alias("out"))
+
+    kind = dict(seq.selectExpr("_seq[0]._b AS b").dtypes)["b"]
+    init = F.struct(F.transform("_models", lambda _: F.lit(1.0) / F.size("_models")).alias("w"),
+                    F.array().cast(f"array<struct<b:{kind},w:array<double>>>").alias("out"))
+    out = seq.select(*by, "_models", F.explode(F.aggregate("_seq", init, step, lambda acc: acc["out"])).alias("_o"))
+    out = out.select(*by, F.col("_o.b").alias(batch), F.explode(F.arrays_zip("_models", F.col("_o.w").alias("weight"))).alias("_x"))
+    return out.select(*by, batch, F.col("_x._models").alias(model), F.col("_x.weight").alias("weight"))
 
 
 def weighted_importance(importances: DataFrame, weights: DataFrame, by: Sequence[str] = (),
                         model: str = "model_id", feature: str = "feature", imp: str = "importance") -> DataFrame:
     """#128: sum_models w * importance per feature, normalised to sum to 1 per key."""
-    j = importances.join(bounded_broadcast(weights), [*by, model])
+    j = importances.join(weights, [*by, model])
     s = j.groupBy(*by, feature).agg(F.sum(F.col("weight") * F.col(imp)).alias("_s"))
     w = Window.partitionBy(*by)  # one row per feature
     return s.select(*by, feature, F.try_divide(F.col("_s"), F.sum("_s").over(w)).alias("importance"))
 
 
-def search_weights(batch_metrics: DataFrame, scored_eval: DataFrame, grid: Sequence[tuple[float, float]],
-                   batch: str = "batch", model: str = "model_id", key: str = "loan_id") -> DataFrame:
-    """#133: evaluate (alpha, min_weight) pairs by replaying the weight trajectory over
-    the batch metrics and scoring the final ensemble's AUC on held-out rows.
+def search_weights(scored: DataFrame, scored_eval: DataFrame, grid: Sequence[tuple[float, float, int, float]],
+                   batch: str, order: Sequence[str], model: str = "model_id", key: str = "loan_id",
+                   min_n: int = MIN_BUFFER) -> DataFrame:
+    """#133: evaluate (alpha, min_weight, window, recalibration_threshold) candidates: replay the
+    weights over the batches of `scored` with the monitors' rolling window, then score the final
+    ensemble on `scored_eval`. Output: the candidate, how many batches called for recalibration,
+    and the AUC.
 
-    The grid is attached by `explode` of a literal array (a generator, no cross
-    join); each candidate's replay runs as one grouped pandas fold; the
-    evaluation joins the final weights to the held-out long scores on model id.
-    """
+    Candidates are attached by `explode` of a literal array; one fold per candidate; the final
+    weights meet the held-out scores on the model id."""
     from scorewatch.operators.rankstats import auc_roc
 
-    cands = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(float(a)).alias("alpha"), F.lit(float(m)).alias("floor"))
-                      for i, (a, m) in enumerate(grid)])
-    bm = batch_metrics.withColumn("_g", F.explode(cands)).select("*", "_g.*").drop("_g")
-    schema = f"cand int, alpha double, floor double, `{model}` string, weight double"
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        a, fl, c = float(pdf["alpha"].iloc[0]), float(pdf["floor"].iloc[0]), int(pdf["cand"].iloc[0])
-        models = sorted(pdf[model].astype(str).unique())
-        w = np.full(len(models), 1.0 / len(models))
-        for _, g in pdf.sort_values([batch, model]).groupby(batch, sort=True):
-            g = g.set_index(g[model].astype(str)).reindex(models)
-            s = SCORE_AUC_WEIGHT * g["auc_roc"].to_numpy(float) + SCORE_BRIER_WEIGHT / (g["brier_score"].to_numpy(float) + EPS)
-            e = np.exp(s - np.nanmax(s))
-            w = np.maximum((1 - a) * w + a * e / np.nansum(e), fl)
-            w = w / w.sum()
-        return pd.DataFrame({"cand": c, "alpha": a, "floor": fl, model: models, "weight": w})
-
-    final = bm.groupBy("cand").applyInPandas(replay, schema)
-    ens = scored_eval.join(final, model).groupBy("cand", "alpha", "floor", key, "label").agg(
-        F.sum(F.col("weight") * F.col("prob")).alias("prob"))
-    return auc_roc(ens, ["cand", "alpha", "floor"]).select("cand", "alpha", "floor", "auc_roc")
+    batches = None
+    for n in sorted({int(g[2]) for g in grid}):
+        m = monitor_metrics(scored, [], batch, order, model, n, min_n).withColumn("window", F.lit(n))
+        batches = m if batches is None else batches.unionByName(m)
+    cands = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(float(a)).alias("alpha"), F.lit(float(f)).alias("min_weight"),
+                               F.lit(int(n)).alias("w"), F.lit(float(t)).alias("threshold")) for i, (a, f, n, t) in enumerate(grid)])
+    each = batches.withColumn("_g", F.explode(cands)).where(F.col("_g.w") == F.col("window")).select("*", "_g.cand", "_g.alpha", "_g.min_weight", "_g.threshold").drop("_g")
+    keys = ["cand", "alpha", "min_weight", "window", "threshold"]
+    path = weight_trajectory(each, keys, batch, model, "alpha", "min_weight")
+    final = path.groupBy(*keys, model).agg(F.max_by("weight", F.col(batch)).alias("weight"))
+    calls = (each.groupBy(*keys, batch).agg(F.max("brier_score").alias("b")).groupBy(*keys)
+             .agg(F.count_if(F.col("b") > F.col("threshold")).alias("recalibrations")))
+    ens = scored_eval.join(final, model).groupBy(*keys, key, "label").agg(F.sum(F.col("weight") * F.col("prob")).alias("prob"))
+    # Weights add up to 1 but for rounding.
+    ens = ens.withColumn("prob", F.least(F.col("prob"), F.lit(1.0)))
+    return auc_roc(ens, keys).select(*keys, "auc_roc").join(calls, keys)

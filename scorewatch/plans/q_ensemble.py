@@ -11,18 +11,28 @@ from scorewatch.operators import splits as SP
 from scorewatch.operators import stability as ST
 from scorewatch.plans.catalog import register
 from scorewatch.plans.sqlparts import all_metrics_sql, auc_sql, r6, ranked_sql, with_views
+from scorewatch.session import cut_lineage
 from scorewatch.sources import fixtures as FX
 
 W_LONG = with_views("scored_long")
 
 
-def _model_metrics(spark, sf_dir):
-    """AUC and Brier per model from one pass (the score-count table)."""
-    return M.all_metrics(FX.scored_long(spark, sf_dir), ["model_id"]).select("model_id", "auc_roc", "brier_score")
+_MONTH_AUC = auc_sql(ranked_sql("scored_long", ["model_id", "month_no"]), ["model_id", "month_no"])
+
+_ROLLING_SQL = """SELECT model_id, month_no, n_window, rolling_brier FROM (
+  SELECT model_id, month_no, row_number() OVER (PARTITION BY model_id, month_no ORDER BY loan_id DESC) AS r,
+    count(*) OVER w AS n_window,
+    CASE WHEN count(*) OVER w >= 100 THEN avg((prob - label) * (prob - label)) OVER w ELSE 0e0 END AS rolling_brier
+  FROM scored_long WINDOW w AS (PARTITION BY model_id ORDER BY month_no, loan_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
+WHERE r = 1"""
 
+# What the weight update of each month reads: rolling score of the monitor, AUC of the month.
+_MON_SQL = f"""rb AS ({_ROLLING_SQL}),
+ma AS (SELECT model_id, month_no, coalesce(auc_roc, 0.5e0) AS auc_roc FROM ({_MONTH_AUC})),
+mon AS (SELECT model_id, month_no, rb.rolling_brier AS brier_score, ma.auc_roc FROM rb JOIN ma USING (model_id, month_no))"""
 
-_MM_SQL = f"""mm AS (SELECT a.model_id, a.auc_roc, b.brier_score FROM ({auc_sql(ranked_sql('scored_long', ['model_id']), ['model_id'])}) a
-  JOIN (SELECT model_id, avg((prob - label) * (prob - label)) AS brier_score FROM scored_long GROUP BY model_id) b USING (model_id)),
+_MM_SQL = _MON_SQL + """,
+mm AS (SELECT model_id, auc_roc, brier_score FROM mon WHERE month_no = (SELECT max(month_no) FROM mon)),
 w0 AS (SELECT model_id, 1e0 / count(*) OVER () AS weight FROM mm),
 s AS (SELECT mm.model_id, w0.weight, 0.6e0 * auc_roc + 0.4e0 / (brier_score + 1e-8) AS s FROM mm JOIN w0 USING (model_id)),
 e AS (SELECT model_id, weight, exp(s - max(s) OVER ()) AS e FROM s),
@@ -30,15 +40,24 @@ f AS (SELECT model_id, greatest(0.9e0 * weight + 0.1e0 * (e / sum(e) OVER ()), 0
 nw AS (SELECT model_id, w / sum(w) OVER () AS weight FROM f)"""
 
 
+def _monitored(spark, sf_dir):
+    """Monitor metrics of every model at every month, a small table that is written once."""
+    m = EN.monitor_metrics(FX.scored_long(spark, sf_dir), [], "month_no", ["month_no", "loan_id"])
+    return cut_lineage(m, "monitor-metrics")
+
+
 def _updated(spark, sf_dir):
-    mm = _model_metrics(spark, sf_dir)
+    mon = _monitored(spark, sf_dir)
+    last = mon.agg(F.max("month_no")).first()[0]
+    mm = mon.where(F.col("month_no") == last).select("model_id", "auc_roc", "brier_score")
     w0 = EN.equal_weights(mm, [], "model_id")
     return mm, EN.update_weights(mm, w0, [], "model_id", alpha=0.1, min_weight=0.05)
 
 
 @register("weight_update", W_LONG.rstrip("\n") + ",\n" + _MM_SQL + f"\nSELECT model_id, {r6('weight', 'weight')} FROM nw")
 def weight_update(spark, sf_dir):
-    """#89/#116: one stability-weight update from equal weights (alpha 0.1, floor 0.05)."""
+    """#89/#116: the last month's update from equal weights (alpha 0.1, floor 0.05): rolling Brier score of
+    each model's monitor and the month's AUC."""
     return _updated(spark, sf_dir)[1]
 
 
@@ -63,13 +82,7 @@ def ensemble_score(spark, sf_dir):
     return EN.ensemble_score(FX.scored_long(spark, sf_dir), w, ["loan_id"])
 
 
-@register("rolling_brier", W_LONG + f"""
-SELECT model_id, month_no, n_window, {r6('rolling_brier', 'rolling_brier')} FROM (
-  SELECT model_id, month_no, row_number() OVER (PARTITION BY model_id, month_no ORDER BY loan_id DESC) AS r,
-    count(*) OVER w AS n_window,
-    CASE WHEN count(*) OVER w >= 100 THEN avg((prob - label) * (prob - label)) OVER w ELSE 0e0 END AS rolling_brier
-  FROM scored_long WINDOW w AS (PARTITION BY model_id ORDER BY month_no, loan_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
-WHERE r = 1""")
+@register("rolling_brier", W_LONG + f"SELECT model_id, month_no, n_window, {r6('rolling_brier', 'rolling_brier')} FROM ({_ROLLING_SQL})")
 def rolling_brier(spark, sf_dir):
     """#82: rolling Brier over the last 1000 pairs per model, reported at the end of each month."""
     r = EN.rolling_brier(FX.scored_long(spark, sf_dir), ["model_id"], ["month_no", "loan_id"], 1000, 100)
@@ -109,12 +122,18 @@ def early_stop(spark, sf_dir):
     return r.select("model_id", "stop_at", "best_score", F.col("steps").cast("bigint").alias("steps"))
 
 
-@register("weight_trajectory", None)
+@register("weight_trajectory", "WITH RECURSIVE " + W_LONG[len("WITH "):].rstrip("\n") + ",\n" + _MON_SQL + f""",
+mt AS (SELECT *, dense_rank() OVER (ORDER BY month_no) AS i, 0.6e0 * auc_roc + 0.4e0 / (brier_score + 1e-8) AS s FROM mon),
+t AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS month_no, model_id, 1e0 / count(*) OVER () AS weight FROM (SELECT DISTINCT model_id FROM mt)
+  UNION ALL
+  SELECT i, month_no, model_id, w / sum(w) OVER () FROM (
+    SELECT i, month_no, model_id, greatest(0.9e0 * weight + 0.1e0 * (e / sum(e) OVER ()), 0.05e0) AS w FROM (
+      SELECT mt.i, mt.month_no, t.model_id, t.weight, exp(mt.s - max(mt.s) OVER ()) AS e
+      FROM t JOIN mt ON mt.i = t.i + 1 AND mt.model_id = t.model_id)))
+SELECT month_no, model_id, {r6('weight', 'weight')} FROM t WHERE i > 0""")
 def weight_trajectory(spark, sf_dir):
-    """#119: weights replayed over 8 successive 10-month batches (grouped pandas fold)."""
-    sl = FX.scored_long(spark, sf_dir).withColumn("batch", (F.col("month_no") / 10).cast("int"))
-    m = M.all_metrics(sl, ["batch", "model_id"]).select("batch", "model_id", "auc_roc", "brier_score")
-    return EN.weight_trajectory(m, [], "batch", "model_id")
+    """#119: weights after every month, one ordered fold from equal weights."""
+    return EN.weight_trajectory(_monitored(spark, sf_dir), [], "month_no")
 
 
 @register("fold_brier", with_views("loans") + f"""
@@ -128,9 +147,6 @@ def fold_brier(spark, sf_dir):
     return M.brier(f, ["fold"])
 
 
-_MONTH_AUC = auc_sql(ranked_sql("scored_long", ["model_id", "month_no"]), ["model_id", "month_no"])
-
-
 @register("composite_stability", W_LONG.rstrip("\n") + f""",
 s AS (SELECT model_id, avg((prob - label) * (prob - label)) AS brier, stddev_pop(prob) AS p_std FROM scored_long GROUP BY model_id),
 h AS (SELECT model_id, month_no, auc_roc, CAST(row_number() OVER (PARTITION BY model_id ORDER BY month_no) - 1 AS DOUBLE) AS x FROM ({_MONTH_AUC})),
@@ -167,39 +183,41 @@ def weighted_importance(spark, sf_dir):
 
 
 _STAB_METRICS = ["auc_roc", "brier_score", "default_rate"]
-_PERIOD_C = f"""pm AS (SELECT a.month_no, CASE WHEN a.n_pos = 0 OR a.n_neg = 0 THEN 0.5e0 ELSE a.auc_roc END AS auc_roc,
-   b.brier_score, b.default_rate
-   FROM ({auc_sql(ranked_sql("(SELECT * FROM scored_long WHERE model_id = 'c')", ['month_no']), ['month_no'])}) a
-   JOIN (SELECT month_no, avg((prob - label) * (prob - label)) AS brier_score, avg(label) AS default_rate
-         FROM scored_long WHERE model_id = 'c' GROUP BY month_no) b USING (month_no)),
-st AS (SELECT metric, count(*) AS periods, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max
-   FROM (UNPIVOT pm ON {', '.join(_STAB_METRICS)} INTO NAME metric VALUE value) GROUP BY metric HAVING count(*) > 1),
-sts AS (SELECT metric, mean, std, min, max, max - min AS range, CASE WHEN mean <> 0 THEN std / mean ELSE 'inf'::DOUBLE END AS cv FROM st)"""
+_PERIOD_SQL = f"""pm AS (SELECT a.model_id, a.month_no, CASE WHEN a.n_pos = 0 OR a.n_neg = 0 THEN 0.5e0 ELSE a.auc_roc END AS auc_roc,
+   b.brier_score, b.default_rate FROM ({_MONTH_AUC}) a
+   JOIN (SELECT model_id, month_no, avg((prob - label) * (prob - label)) AS brier_score, avg(label) AS default_rate
+         FROM scored_long GROUP BY ALL) b USING (model_id, month_no)),
+st AS (SELECT model_id, metric, count(*) AS periods, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max
+   FROM (UNPIVOT pm ON {', '.join(_STAB_METRICS)} INTO NAME metric VALUE value) GROUP BY model_id, metric HAVING count(*) > 1),
+sts AS (SELECT model_id, metric, mean, std, min, max, max - min AS range, CASE WHEN mean <> 0 THEN std / mean ELSE 'inf'::DOUBLE END AS cv FROM st)"""
+
+
+def _period_metrics(spark, sf_dir):
+    return M.all_metrics(FX.scored_long(spark, sf_dir), ["model_id", "month_no"])
 
 
-def _period_metrics_c(spark, sf_dir):
-    sl = FX.scored_long(spark, sf_dir).where(F.col("model_id") == "c")
-    return M.all_metrics(sl, ["month_no"])
+def _stability_stats(spark, sf_dir):
+    return ST.stability_stats(_period_metrics(spark, sf_dir), _STAB_METRICS, ["model_id"])
 
 
-@register("stability_stats", W_LONG.rstrip("\n") + ",\n" + _PERIOD_C + f"""
-SELECT metric, {r6('mean', 'mean')}, {r6('std', 'std')}, {r6('min', 'min')}, {r6('max', 'max')}, {r6('range', 'range')}, {r6('cv', 'cv')} FROM sts""")
+@register("stability_stats", W_LONG.rstrip("\n") + ",\n" + _PERIOD_SQL + f"""
+SELECT model_id, metric, {r6('mean', 'mean')}, {r6('std', 'std')}, {r6('min', 'min')}, {r6('max', 'max')}, {r6('range', 'range')}, {r6('cv', 'cv')} FROM sts""")
 def stability_stats(spark, sf_dir):
-    """#108: mean, population std, min, max, range and cv of monthly metrics of model c."""
-    return ST.stability_stats(_period_metrics_c(spark, sf_dir), _STAB_METRICS)
+    """#108: mean, population std, min, max, range and cv of monthly metrics of every model."""
+    return _stability_stats(spark, sf_dir)
 
 
 _SCORE_SQL = ("0.5e0 * least(coalesce(max(CASE WHEN metric = 'auc_roc' THEN cv END), 'inf'::DOUBLE), 1e0)"
               " + 0.5e0 * least(coalesce(max(CASE WHEN metric = 'brier_score' THEN cv END), 'inf'::DOUBLE), 1e0)")
 
 
-@register("stability_score", W_LONG.rstrip("\n") + ",\n" + _PERIOD_C + f"""
-SELECT {r6(_SCORE_SQL, 'overall_stability_score')},
+@register("stability_score", W_LONG.rstrip("\n") + ",\n" + _PERIOD_SQL + f"""
+SELECT model_id, {r6(_SCORE_SQL, 'overall_stability_score')},
   CASE WHEN {_SCORE_SQL} < 0.1e0 THEN 'Good' WHEN {_SCORE_SQL} < 0.2e0 THEN 'Moderate' ELSE 'Needs attention' END AS stability_level
-FROM sts""")
+FROM sts GROUP BY model_id""")
 def stability_score(spark, sf_dir):
-    """#109/#110: overall stability score and level for model c."""
-    return ST.stability_score(ST.stability_stats(_period_metrics_c(spark, sf_dir), _STAB_METRICS))
+    """#109/#110: overall stability score and level of every model."""
+    return ST.stability_score(_stability_stats(spark, sf_dir), ["model_id"])
 
 
 @register("target_check", W_LONG + f"""
@@ -216,36 +234,43 @@ def target_check(spark, sf_dir):
 
 
 @register("generalisation", with_views("scored_long", "doc_quality") + f"""
-SELECT {r6('a.auc_roc', 'auc_loans')}, {r6('b.auc_roc', 'auc_docs')}, {r6('abs(a.auc_roc - b.auc_roc)', 'auc_gap')},
+SELECT model_id, {r6('a.auc_roc', 'auc_loans')}, {r6('b.auc_roc', 'auc_docs')}, {r6('abs(a.auc_roc - b.auc_roc)', 'auc_gap')},
   CASE WHEN abs(a.auc_roc - b.auc_roc) < 0.1e0 THEN 'Good' ELSE 'Needs attention' END AS generalisation
-FROM ({auc_sql(ranked_sql("(SELECT * FROM scored_long WHERE model_id = 'a')", []), [])}) a
+FROM ({auc_sql(ranked_sql('scored_long', ['model_id']), ['model_id'])}) a
 CROSS JOIN ({auc_sql(ranked_sql('doc_quality', []), [])}) b""")
 def generalisation(spark, sf_dir):
-    """#112: AUC gap between two datasets (loans model a vs document quality scores)."""
-    a = RS.auc_roc(FX.scored_long(spark, sf_dir).where(F.col("model_id") == "a"), []).select(
-        F.col("auc_roc").alias("auc_loans"), F.lit(1).alias("_k"))
-    b = RS.auc_roc(FX.doc_quality(spark, sf_dir), []).select(F.col("auc_roc").alias("auc_docs"), F.lit(1).alias("_k"))
-    u = a.unionByName(b, allowMissingColumns=True).groupBy("_k").agg(F.max("auc_loans").alias("auc_loans"),
-                                                                     F.max("auc_docs").alias("auc_docs"))
-    return u.select("auc_loans", "auc_docs", F.abs(F.col("auc_loans") - F.col("auc_docs")).alias("auc_gap"),
-                    ST.generalisation_expr("auc_loans", "auc_docs").alias("generalisation"))
-
-
-@register("advice", None)
+    """#112: AUC gap of every model between two datasets (loans vs document quality scores)."""
+    a = RS.auc_roc(FX.scored_long(spark, sf_dir), ["model_id"]).select("model_id", F.col("auc_roc").alias("auc_loans"))
+    docs = RS.auc_roc(FX.doc_quality(spark, sf_dir), []).first()["auc_roc"]  # one number
+    return a.withColumn("auc_docs", F.lit(docs).cast("double")).select(
+        "model_id", "auc_loans", "auc_docs", F.abs(F.col("auc_loans") - F.col("auc_docs")).alias("auc_gap"),
+        ST.generalisation_expr("auc_loans", "auc_docs").alias("generalisation"))
+
+
+def _advice_sql() -> str:
+    from scorewatch.plans.q_drift import REPORT_CTES, SCORE_SQL
+
+    rules = [("auc_roc < 0.82e0", ST.ADVICE_AUC), ("calibration_error > 0.05e0", ST.ADVICE_ECE), ("drift > 0.2e0", ST.ADVICE_DRIFT),
+             ("entropy < 0.5e0", ST.ADVICE_DIVERSITY), ("stability > 0.15e0", ST.ADVICE_STABILITY)]
+    fired = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in rules) + "], lambda x: x IS NOT NULL)"
+    ok = "[" + ", ".join(f"'{t}'" for t in ST.ADVICE_OK) + "]"
+    return with_views("scored_long", "loans_shift").rstrip("\n") + ",\n" + REPORT_CTES + ",\n" + _MM_SQL + ",\n" + _PERIOD_SQL + f""",
+x AS (SELECT m.model_id, m.auc_roc, m.calibration_error, (SELECT {SCORE_SQL} FROM summ s CROSS JOIN pred p) AS drift,
+   (SELECT -sum(weight * ln(weight + 1e-8)) FROM nw) AS entropy, z.stability
+  FROM ({all_metrics_sql('scored_long', ['model_id'])}) m
+  JOIN (SELECT model_id, {_SCORE_SQL} AS stability FROM sts GROUP BY model_id) z USING (model_id))
+SELECT model_id, CASE WHEN len({fired}) = 0 THEN {ok} ELSE {fired} END AS advice FROM x"""
+
+
+@register("advice", _advice_sql())
 def advice(spark, sf_dir):
-    """#113: final advice from model c's metrics, the drift score, weight entropy and stability."""
+    """#113: final advice for every model from its metrics and stability, the drift score and the
+    entropy of the ensemble's weights."""
     from scorewatch.plans.q_drift import _report
 
-    m = M.all_metrics(FX.scored_long(spark, sf_dir).where(F.col("model_id") == "c"), []).select(
-        "auc_roc", "calibration_error", F.lit(1).alias("_k"))
-    d = _report(spark, sf_dir).select("overall_drift_score", F.lit(1).alias("_k"))
+    m = M.all_metrics(FX.scored_long(spark, sf_dir), ["model_id"]).select("model_id", "auc_roc", "calibration_error")
+    drift = _report(spark, sf_dir).first()["overall_drift_score"]  # one number each
     mm, w = _updated(spark, sf_dir)
-    e = EN.weight_stats(w, mm, []).select("weight_entropy", F.lit(1).alias("_k"))
-    s = ST.stability_score(ST.stability_stats(_period_metrics_c(spark, sf_dir), _STAB_METRICS)).select(
-        "overall_stability_score", F.lit(1).alias("_k"))
-    u = m.unionByName(d, allowMissingColumns=True).unionByName(e, allowMissingColumns=True).unionByName(
-        s, allowMissingColumns=True)
-    row = u.groupBy("_k").agg(*[F.max(c).alias(c) for c in ("auc_roc", "calibration_error", "overall_drift_score",
-                                                            "weight_entropy", "overall_stability_score")])
-    return row.select(ST.advice("auc_roc", "calibration_error", "overall_drift_score", "weight_entropy",
-                                "overall_stability_score").alias("advice"))
+    entropy = EN.weight_stats(w, mm, []).first()["weight_entropy"]
+    j = m.join(ST.stability_score(_stability_stats(spark, sf_dir), ["model_id"]), "model_id")
+    return j.select("model_id", ST.advice("auc_roc", "calibration_error", F.lit(drift), F.lit(entropy), "overall_stability_score").alias("advice"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewatch.plans.catalog import register
-from scorewatch.plans.sqlparts import ks_sql, r6, with_views
+from scorewatch.plans.sqlparts import auc_sql, ks_sql, r6, ranked_sql, with_views
 from scorewatch.sources import fixtures as FX
 from scorewatch.streaming import monitor as SM
 
@@ -53,7 +53,14 @@ def stream_drift(spark, sf_dir):
     return out.withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
-@register("stream_weights", None)
+@register("stream_weights", W.rstrip("\n") + f""",
+l AS (SELECT 'a' AS model_id, label, prob FROM event_scores UNION ALL SELECT 'b', label, least(prob * 0.5e0 + 0.25e0, 1e0) FROM event_scores),
+mm AS (SELECT a.model_id, coalesce(a.auc_roc, 0.5e0) AS auc_roc, b.brier_score FROM ({auc_sql(ranked_sql('l', ['model_id']), ['model_id'])}) a
+  JOIN (SELECT model_id, avg((prob - label) * (prob - label)) AS brier_score FROM l GROUP BY model_id) b USING (model_id)),
+s AS (SELECT model_id, 0.6e0 * auc_roc + 0.4e0 / (brier_score + 1e-8) AS s FROM mm),
+e AS (SELECT model_id, exp(s - max(s) OVER ()) AS e FROM s),
+f AS (SELECT model_id, greatest(0.9e0 * 0.5e0 + 0.1e0 * (e / sum(e) OVER ()), 0.05e0) AS w FROM e)
+SELECT model_id, {r6('w / sum(w) OVER ()', 'weight')}, CAST(0 AS BIGINT) AS batch_id FROM f""")
 def stream_weights(spark, sf_dir):
     """#142: per micro-batch ensemble weight update over two event scores (idempotent by batch id)."""
     st = SM.event_score_stream(spark, sf_dir).withColumn(

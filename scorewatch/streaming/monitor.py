@@ -103,12 +103,12 @@ def last_n_monitor(stream: DataFrame, key: str, order: Sequence[str] = ("ts", "e
             buf = pd.DataFrame({"o1": list(o1), "o2": list(o2), "p": list(p), "y": list(y)})
         else:
             buf, seen = pd.DataFrame({"o1": [], "o2": [], "p": [], "y": []}), 0
-        parts = [buf]
-        for pdf in pdfs:
+        allr = buf
+        for pdf in pdfs:  # chunks of a key's rows: never more than n rows and a chunk at a time
             seen += len(pdf)
-            parts.append(pd.DataFrame({"o1": pdf["_o1"].astype("int64"), "o2": pdf["_o2"].astype("int64"),
-                                       "p": pdf[prob].astype(float), "y": pdf[label].astype(float)}))
-        allr = pd.concat(parts, ignore_index=True).sort_values(["o1", "o2"]).tail(n)
+            more = pd.DataFrame({"o1": pdf["_o1"].astype("int64"), "o2": pdf["_o2"].astype("int64"),
+                                 "p": pdf[prob].astype(float), "y": pdf[label].astype(float)})
+            allr = (pd.concat([allr, more], ignore_index=True) if len(allr) else more).sort_values(["o1", "o2"]).tail(n)
         state.update((allr["o1"].astype("int64").tolist(), allr["o2"].astype("int64").tolist(),
                       allr["p"].tolist(), allr["y"].tolist(), int(seen)))
         cnt = len(allr)
@@ -138,25 +138,33 @@ def run_stream_drift(stream: DataFrame, reference: DataFrame, features: Sequence
     return stream.sparkSession.read.parquet(path)
 
 
-def run_stream_weights(stream: DataFrame, models: Sequence[str], label: str = "label",
-                       alpha: float = 0.1, min_weight: float = 0.05) -> DataFrame:
-    """#142: per micro-batch weight update. Each batch reads the previous batch's
-    weights from the output table (equal weights at the start) and writes its own
-    batch folder, so re-running a batch is idempotent."""
+def batch_weights(batch: DataFrame, prev: DataFrame | None, models: Sequence[str], label: str = "label",
+                  alpha: float = 0.1, min_weight: float = 0.05) -> DataFrame:
+    """#142: the weights after one micro-batch, from the weights before it (None: equal weights)."""
     from scorewatch.operators import ensemble as EN
     from scorewatch.operators.metrics import brier
     from scorewatch.operators.rankstats import auc_roc
 
+    parts = ", ".join(f"'{m}', `{m}`" for m in models)
+    long = batch.selectExpr(f"`{label}` AS label", f"stack({len(models)}, {parts}) AS (model_id, prob)").where(F.col("prob").isNotNull())
+    mm = auc_roc(long, ["model_id"]).select("model_id", "auc_roc").join(
+        brier(long, ["model_id"]).select("model_id", "brier_score"), "model_id")
+    if prev is None:
+        prev = EN.equal_weights(batch.sparkSession.createDataFrame([(m,) for m in models], "model_id string"), [], "model_id")
+    return EN.update_weights(mm, prev, [], "model_id", alpha, min_weight)
+
+
+def run_stream_weights(stream: DataFrame, models: Sequence[str], label: str = "label",
+                       alpha: float = 0.1, min_weight: float = 0.05) -> DataFrame:
+    """#142: per micro-batch weight update. Each batch reads the previous batch's
+    weights from the output table (equal weights at the start) and writes its own
+    batch folder, so re-running a batch is idempotent. A batch with one class counts an AUC of
+    0.5; a model without scores in a batch keeps its weight."""
     spark = stream.sparkSession
     out = scratch_path(spark, "stream-weights")
     data = f"{out}/data"
-    cols = list(models)
 
     def sink(batch: DataFrame, batch_id: int):
-        parts = ", ".join(f"'{m}', `{m}`" for m in cols)
-        long = batch.selectExpr(f"`{label}` AS label", f"stack({len(cols)}, {parts}) AS (model_id, prob)")
-        mm = auc_roc(long, ["model_id"]).select("model_id", "auc_roc").join(
-            brier(long, ["model_id"]).select("model_id", "brier_score"), "model_id")
         prev = None
         if batch_id > 0:
             try:
@@ -166,9 +174,7 @@ def run_stream_weights(stream: DataFrame, models: Sequence[str], label: str = "l
                 old, last = None, None
             if last is not None:
                 prev = old.where(F.col("batch_id") == last).select("model_id", "weight")
-        if prev is None:
-            prev = EN.equal_weights(mm, [], "model_id")
-        w = EN.update_weights(mm, prev, [], "model_id", alpha, min_weight)
+        w = batch_weights(batch, prev, models, label, alpha, min_weight)
         w.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{data}/batch_id={batch_id}")
 
