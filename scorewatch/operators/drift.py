@@ -51,6 +51,23 @@ def tagged_long(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> Data
             .unionByName(unpivot(cur, features).withColumn("is_cur", F.lit(True))))
 
 
+def value_ranges(long: DataFrame) -> dict[str, tuple[float, float]]:
+    """{feature: (min, max)} of a long frame: one row per feature, bounded by the schema."""
+    rows = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    return {r["feature"]: (r["lo"], r["hi"]) for r in rows}
+
+
+def with_ranges(long: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """Add `lo` and `hi` as literals of each row's feature: no join on a handful of hot keys.
+    Rows of features without a spread are left out."""
+    wide = {f: r for f, r in ranges.items() if r[0] is not None and r[1] > r[0]}
+    lo = hi = F.lit(None).cast("double")
+    for f, (a, b) in wide.items():
+        lo = F.when(F.col("feature") == f, F.lit(float(a))).otherwise(lo)
+        hi = F.when(F.col("feature") == f, F.lit(float(b))).otherwise(hi)
+    return long.withColumn("lo", lo).withColumn("hi", hi).where(F.col("hi").isNotNull())
+
+
 def split_frame(df: DataFrame, is_cur: str | Column) -> tuple[DataFrame, DataFrame]:
     c = F.col(is_cur) if isinstance(is_cur, str) else is_cur
     return df.where(~c), df.where(c)
@@ -59,7 +76,7 @@ def split_frame(df: DataFrame, is_cur: str | Column) -> tuple[DataFrame, DataFra
 # ---------------------------------------------------------------- KS ----------
 
 def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
-         buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+         buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """#88: both empirical CDFs at every distinct value of the union, per feature."""
     long = tagged_long(ref, cur, features)
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
@@ -74,7 +91,7 @@ def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
 
 
 def ks_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = None,
-             alpha: float = SIGNIFICANCE, buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+             alpha: float = SIGNIFICANCE, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """#90/#91: two-sample KS per feature: statistic D, p_value, is_drift = p < alpha.
 
     NULL values are skipped (n_ref / n_cur count the non-NULL ones).
@@ -90,7 +107,7 @@ def ks_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
 
 
 def ks_by_group(ref: DataFrame, cur: DataFrame, features: Sequence[str], group: Sequence[str],
-                alpha: float = SIGNIFICANCE, buckets: int | str = DEFAULT_BUCKETS) -> DataFrame:
+                alpha: float = SIGNIFICANCE, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """KS of every group of `cur` (e.g. each period) against one reference, in one job.
 
     The reference CDF is computed once at every distinct value of the union;
@@ -144,11 +161,9 @@ def js_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
     feats = common_features(ref, cur, features)
     nb = edges - 1
     long = tagged_long(ref, cur, feats).where(F.col("value").isNotNull())
-    # joint range: one small aggregate per feature (features rows)
-    rng = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ranges = value_ranges(long)
     step = (F.col("hi") - F.col("lo")) / F.lit(float(nb))
-    binned = with_edge_bin(long.join(rng, "feature").where(F.col("hi") > F.col("lo")),
-                           "value", F.col("lo"), step, nb, F.col("hi"))
+    binned = with_edge_bin(with_ranges(long, ranges), "value", F.col("lo"), step, nb, F.col("hi"))
     counts = binned.groupBy("feature", "bin").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
     w = Window.partitionBy("feature")  # at most `edges` rows per feature
@@ -158,7 +173,8 @@ def js_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
         (F.col("c_cur") / F.sum("c_cur").over(w)).alias("q"))
     dist, div = _js_from_probs("p", "q", ["feature"])
     js = probs.groupBy("feature").agg(dist.alias("js_distance"), div.alias("js_divergence"))
-    out = rng.select("feature").join(js, "feature", "left")
+    names = long.sparkSession.createDataFrame([(f,) for f in ranges], "feature string")
+    out = names.join(js, "feature", "left")
     return out.select("feature", "js_distance", "js_divergence",
                       F.coalesce(F.col("js_distance") > F.lit(threshold), F.lit(False)).alias("is_drift"))
 
@@ -212,13 +228,13 @@ def _ref_binned(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: i
     (right-closed, lowest edge lowered by 0.1% of the range); values of the current
     sample beyond the outer edges go to the outer bins."""
     long = tagged_long(ref, cur, features).where(F.col("value").isNotNull())
-    rng = long.where(~F.col("is_cur")).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ranges = value_ranges(long.where(~F.col("is_cur")))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     x = F.col("value")
     # bin k covers (lo + k*w, lo + (k+1)*w]; outer bins are open-ended
     raw = F.ceil((x - F.col("lo")) / width).cast("int") - 1
     b = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))
-    binned = long.join(rng, "feature").where(F.col("hi") > F.col("lo")).withColumn("bin", b)
+    binned = with_ranges(long, ranges).withColumn("bin", b)
     return binned.groupBy("feature", "bin").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
 
@@ -340,50 +356,50 @@ def recommendations(score, ks_ratio, pred_drift, auc_deg) -> Column:
     return F.when(F.size(fired) == 0, F.array(F.lit(REC_CONTINUE))).otherwise(fired)
 
 
+#: Metrics that a report compares between the two samples.
+COMPARED = ("auc_roc", "auc_pr", "precision", "recall", "f1_score", "accuracy", "specificity", "sensitivity", "false_positive_rate",
+            "brier_score", "log_loss", "calibration_error", "optimal_threshold", "max_profit", "profit_at_05_threshold",
+            "approval_rate_optimal", "default_rate_if_all_approved")
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], prob: str = "prob",
                  label: str | None = "label", alpha: float = SIGNIFICANCE) -> DataFrame:
-    """#104: one row: KS/JS summary, prediction drift, overall score, level, recommendations.
+    """#104: one row: KS/JS summary, prediction drift, overall score, level, recommendations, and
+    with labels the performance comparison, `<metric>_degradation` = reference - current (#57).
 
     The prediction KS runs in the same unpivot/prefix-sum job as the feature KS
-    (the prediction is one more column of the long frame)."""
+    (the prediction is one more column of the long frame); all performance figures come
+    from one score-count table of both samples."""
+    from scorewatch.operators.metrics import all_metrics
+
     pred = "__prediction__"
     feats = list(features)
     ks_all = ks_drift(ref.withColumn(pred, F.col(prob)), cur.withColumn(pred, F.col(prob)), feats + [pred], alpha)
-    ks = ks_all.where(F.col("feature") != pred)
-    js = js_drift(ref, cur, feats)
-    summ = drift_summary(ks, js).withColumn("_k", F.lit(1))
-    pk = ks_all.where(F.col("feature") == pred).select(
-        F.col("statistic").alias("prediction_ks_statistic"), F.col("p_value").alias("prediction_ks_p_value"),
-        F.col("is_drift").alias("prediction_drift"), F.lit(1).alias("_k"))
+    is_pred = F.col("feature") == pred
+    of_pred = lambda c: F.max(F.when(is_pred, F.col(c))).alias(f"prediction_ks_{c}")
+    k = ks_all.agg(F.count_if(~is_pred).alias("total_features"), F.count_if(~is_pred & F.col("is_drift")).alias("ks_drift_count"),
+                   of_pred("statistic"), of_pred("p_value"), F.max(F.when(is_pred, F.col("is_drift"))).alias("prediction_drift"))
+    js = js_drift(ref, cur, feats).agg(F.count(F.lit(1)).alias("js_total"), F.count_if("is_drift").alias("js_drift_count"))
     sel = [F.col(prob).alias("prob")] + ([F.col(label).alias("label")] if label else [F.lit(0).alias("label")])
     both = (ref.select(*sel).withColumn("is_cur", F.lit(False))
             .unionByName(cur.select(*sel).withColumn("is_cur", F.lit(True))))
-    # mean shift and AUC of both samples from ONE score-count table per sample
-    from scorewatch.operators.rankstats import auc_terms, ranked_scores
-
-    r = ranked_scores(both, ["is_cur"], "prob", "label")
-    g = r.groupBy("is_cur").agg(
-        F.try_divide(F.sum(F.col("prob") * (F.col("pos") + F.col("neg"))),
-                     F.sum(F.col("pos") + F.col("neg")).cast("double")).alias("mean_p"))
-    parts = [summ, pk]
-    mean_row = g.groupBy().agg(
-        (F.max(F.when(F.col("is_cur"), F.col("mean_p"))) - F.max(F.when(~F.col("is_cur"), F.col("mean_p"))))
-        .alias("mean_prediction_shift")).withColumn("_k", F.lit(1))
-    parts.append(mean_row)
+    of = lambda c, flag: F.max(F.when(F.col("is_cur") == flag, F.col(c)))
+    mean = both.groupBy("is_cur").agg(F.avg("prob").alias("m")).agg((of("m", True) - of("m", False)).alias("mean_prediction_shift"))
+    parts = [k, js, mean]
     if label:
-        a = auc_terms(r, ["is_cur"]).groupBy().agg(
-            (F.max(F.when(~F.col("is_cur"), F.col("auc_roc"))) - F.max(F.when(F.col("is_cur"), F.col("auc_roc"))))
-            .alias("auc_degradation")).withColumn("_k", F.lit(1))
-        parts.append(a.withColumn("significant_auc_drop",
-                                  F.coalesce(F.col("auc_degradation") > F.lit(0.05), F.lit(False))))
+        m = all_metrics(both, ["is_cur"]).withColumn("auc", F.when(~F.col("degenerate"), F.col("auc_roc")))
+        gap = of("auc", False) - of("auc", True)
+        parts.append(m.agg(gap.alias("auc_degradation"), F.coalesce(gap > F.lit(0.05), F.lit(False)).alias("significant_auc_drop"),
+                           *[(of(c, False) - of(c, True)).alias(f"{c}_degradation") for c in COMPARED]))
     u = parts[0]
-    for p_ in parts[1:]:
+    for p_ in parts[1:]:  # one row each
         u = u.unionByName(p_, allowMissingColumns=True)
-    cols = [c for p_ in parts for c in p_.columns if c != "_k"]
-    row = u.groupBy("_k").agg(*[F.max(c).alias(c) for c in cols]).drop("_k")
+    row = u.agg(*[F.max(c).alias(c) for p_ in parts for c in p_.columns])
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    row = row.withColumn("ks_drift_ratio", ratio("ks_drift_count", "total_features")).withColumn("js_drift_ratio", ratio("js_drift_count", "js_total"))
     score = overall_drift_score("ks_drift_ratio", "js_drift_ratio", "prediction_drift")
     auc_deg = F.col("auc_degradation") if label else F.lit(None).cast("double")
-    return row.select(
+    return row.drop("js_total").select(
         "*", score.alias("overall_drift_score"), drift_level(score).alias("drift_level"),
         recommendations(score, "ks_drift_ratio", "prediction_drift", auc_deg).alias("recommendations"))
 
@@ -412,13 +428,14 @@ def reference_tail(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def performance_comparison(ref_metrics: DataFrame, cur_metrics: DataFrame, metric_cols: Sequence[str]) -> DataFrame:
-    """#57: metric-wise comparison of two one-row metric frames: (metric, reference, current, change)."""
+    """#57: metric-wise comparison of two one-row metric frames: (metric, reference, current,
+    degradation = reference - current)."""
     def long(df):
         parts = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metric_cols)
         return df.selectExpr(f"stack({len(metric_cols)}, {parts}) AS (metric, value)")
     j = long(ref_metrics).withColumnRenamed("value", "reference").join(
         long(cur_metrics).withColumnRenamed("value", "current"), "metric")
-    return j.select("metric", "reference", "current", (F.col("current") - F.col("reference")).alias("change"))
+    return j.select("metric", "reference", "current", (F.col("reference") - F.col("current")).alias("degradation"))
 
 
 def drift_history(checks: Sequence[tuple[int, DataFrame]], path: str) -> DataFrame:

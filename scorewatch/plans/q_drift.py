@@ -8,7 +8,7 @@ from scorewatch.functions.columns import lin_edges
 from scorewatch.operators import drift as D
 from scorewatch.plans.catalog import register
 from scorewatch.plans.sqlparts import (
-    auc_sql, chi2_sf_sql, dlit, edge_bin_sql, ks_p_sql, ks_sql, long_sql, r6, ranked_sql, with_views,
+    all_metrics_sql, auc_sql, chi2_sf_sql, dlit, edge_bin_sql, ks_p_sql, ks_sql, long_sql, r6, ranked_sql, with_views,
 )
 from scorewatch.sources import fixtures as FX
 
@@ -247,16 +247,27 @@ def recommendations(spark, sf_dir):
     return _report(spark, sf_dir).select("recommendations")
 
 
-@register("drift_report", _W.rstrip("\n") + "," + _SUMMARY_PARTS + ",\n" + _PRED_CTE + f"""
+SCORE_SQL = _SCORE
+REPORT_CTES = _SUMMARY_PARTS.strip() + ",\n" + _PRED_CTE
+
+
+def _report_sql() -> str:
+    m = all_metrics_sql("(SELECT is_current, TARGET AS label, score_b AS prob FROM loans_shift)", ["is_current"], rounded=False)
+    gaps = ", ".join(r6(f"max(CASE WHEN NOT is_current THEN {c} END) - max(CASE WHEN is_current THEN {c} END)", f"{c}_degradation") for c in D.COMPARED)
+    return _W.rstrip("\n") + "," + _SUMMARY_PARTS + ",\n" + _PRED_CTE + f""",
+perf AS (SELECT {gaps} FROM ({m}))
 SELECT CAST(s.total_features AS BIGINT) AS total_features, CAST(s.ks_drift_count AS BIGINT) AS ks_drift_count,
   CAST(s.js_drift_count AS BIGINT) AS js_drift_count, {r6('s.ks_drift_ratio', 'ks_drift_ratio')}, {r6('s.js_drift_ratio', 'js_drift_ratio')},
   p.prediction_ks_statistic, p.prediction_ks_p_value, p.prediction_drift, p.mean_prediction_shift,
-  p.auc_degradation, p.significant_auc_drop,
+  p.auc_degradation, p.significant_auc_drop, perf.*,
   {r6(_SCORE, 'overall_drift_score')}, {_LEVEL} AS drift_level,
   {_recs_sql(_SCORE, 's.ks_drift_ratio', 'p.prediction_drift', 'p.auc_degradation')} AS recommendations
-FROM summ s CROSS JOIN pred p""")
+FROM summ s CROSS JOIN pred p CROSS JOIN perf"""
+
+
+@register("drift_report", _report_sql())
 def drift_report(spark, sf_dir):
-    """#104: the full drift report row."""
+    """#104/#57: the full drift report row with the performance comparison."""
     return _report(spark, sf_dir)
 
 
@@ -288,37 +299,37 @@ def reference_tail(spark, sf_dir):
                             ["month_no", "loan_id"], 1000)
 
 
-@register("common_features", with_views("loans_shift") + """
-SELECT column_name AS feature FROM (DESCRIBE SELECT * FROM loans_shift WHERE NOT is_current)
-WHERE column_name IN (SELECT column_name FROM (DESCRIBE SELECT loan_id, AMT_CREDIT, score_b, revol_util, TARGET FROM loans_shift))""")
+_SOME = ["AMT_CREDIT", "revol_util", "score_b", "CNT_ITEMS"]
+
+
+@register("common_features", _W.rstrip("\n") + f""",
+l AS ({long_sql('loans_shift', _SOME, 'is_current')})
+SELECT feature, count_if(NOT is_cur) AS n_ref, count_if(is_cur) AS n_cur FROM l GROUP BY feature""")
 def common_features(spark, sf_dir):
-    """#53: features present in both the reference and the current frame."""
+    """#53: features present in both frames, with their values in each."""
     ref, cur = _ref_cur(spark, sf_dir)
-    cols = D.common_features(ref, cur.select("loan_id", "AMT_CREDIT", "score_b", "revol_util", "TARGET"))
-    # plan-time column intersection, returned as a one-column frame built from the current frame's schema
-    return cur.limit(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
+    feats = D.common_features(ref.select(*FEATURES), cur.select("loan_id", *_SOME))
+    return (D.tagged_long(ref, cur, feats).where(F.col("value").isNotNull()).groupBy("feature")
+            .agg(F.count_if(~F.col("is_cur")).alias("n_ref"), F.count_if("is_cur").alias("n_cur")))
 
 
 @register("bin_align", _W.rstrip("\n") + ",\n" + _refbin_sql().split("counts AS")[0].rstrip().rstrip(",") + """,
 rh AS (SELECT feature, bin, count(*) AS c FROM binned WHERE NOT is_cur GROUP BY feature, bin),
-ch AS (SELECT feature, bin, count(*) AS c FROM binned WHERE is_cur AND bin >= 3 GROUP BY feature, bin)
+ch AS (SELECT feature, bin, count(*) AS c FROM binned WHERE is_cur GROUP BY feature, bin)
 SELECT coalesce(rh.feature, ch.feature) AS feature, coalesce(rh.bin, ch.bin) AS bin,
   CAST(coalesce(rh.c, 0) AS BIGINT) AS c_ref, CAST(coalesce(ch.c, 0) AS BIGINT) AS c_cur
 FROM rh FULL OUTER JOIN ch ON rh.feature = ch.feature AND rh.bin = ch.bin""")
 def bin_align(spark, sf_dir):
-    """#54: outer alignment of two histograms (current limited to bins >= 3 so bins differ)."""
+    """#54: outer alignment of two histograms over the reference's bins."""
     ref, cur = _ref_cur(spark, sf_dir)
     c = D._ref_binned(ref, cur, FEATURES, 10)
     rh = c.where(F.col("c_ref") > 0).select("feature", "bin", F.col("c_ref").alias("count"))
-    ch = c.where((F.col("c_cur") > 0) & (F.col("bin") >= 3)).select("feature", "bin", F.col("c_cur").alias("count"))
+    ch = c.where(F.col("c_cur") > 0).select("feature", "bin", F.col("c_cur").alias("count"))
     return D.bin_align(rh, ch)
 
 
-_PERIOD_FEATS = ["AMT_CREDIT", "score_b"]
-
-
 @register("period_drift", with_views("loans_shift") + f"""
-, long AS (SELECT month_no, feature, value FROM (UNPIVOT (SELECT month_no, CAST(AMT_CREDIT AS DOUBLE) AS AMT_CREDIT, CAST(score_b AS DOUBLE) AS score_b FROM loans_shift) ON AMT_CREDIT, score_b INTO NAME feature VALUE value) WHERE value IS NOT NULL),
+, long AS (SELECT is_cur AS month_no, feature, value FROM ({long_sql('loans_shift', FEATURES, 'month_no')})),
 ref AS (SELECT feature, value FROM long WHERE month_no < 12),
 refc AS (SELECT feature, value, count(*) AS c FROM ref GROUP BY ALL),
 curc AS (SELECT month_no, feature, value, count(*) AS c FROM long GROUP BY ALL),
@@ -337,37 +348,40 @@ SELECT month_no, feature, {r6('d', 'statistic')}, {r6(ks_p_sql('d', 'n_ref', 'n_
 def period_drift(spark, sf_dir):
     """#105: every period's KS against the first 12 months, in one job (reference never copied)."""
     lo = FX.loans_shift(spark, sf_dir)
-    return D.ks_by_group(lo.where(F.col("month_no") < 12), lo, _PERIOD_FEATS, ["month_no"])
-
-
-_CMP = ["auc_roc", "brier_score", "calibration_error", "log_loss"]
+    return D.ks_by_group(lo.where(F.col("month_no") < 12), lo, FEATURES, ["month_no"])
 
 
 def _cmp_sql() -> str:
-    from scorewatch.plans.sqlparts import all_metrics_sql
-
-    src_r = "(SELECT TARGET AS label, score_c AS prob FROM loans WHERE month_no < 40)"
-    src_c = "(SELECT TARGET AS label, score_c AS prob FROM loans WHERE month_no >= 40)"
-    un = lambda s: f"(UNPIVOT ({all_metrics_sql(s, [])}) ON {', '.join(_CMP)} INTO NAME metric VALUE value)"
-    return with_views("loans") + f"""
-SELECT r.metric, r.value AS reference, c.value AS current, round((c.value - r.value) * 1e6) / 1e6 AS change
-FROM {un(src_r)} r JOIN {un(src_c)} c ON r.metric = c.metric"""
+    m = all_metrics_sql("(SELECT month_no >= 40 AS is_current, TARGET AS label, score_c AS prob FROM loans)", ["is_current"], rounded=False)
+    return with_views("loans").rstrip("\n") + f""",
+l AS (SELECT is_current, metric, value FROM (UNPIVOT ({m}) ON {', '.join(D.COMPARED)} INTO NAME metric VALUE value))
+SELECT r.metric, {r6('r.value', 'reference')}, {r6('c.value', 'current')}, {r6('r.value - c.value', 'degradation')}
+FROM (SELECT * FROM l WHERE NOT is_current) r JOIN (SELECT * FROM l WHERE is_current) c ON r.metric = c.metric"""
 
 
 @register("performance_comparison", _cmp_sql())
 def performance_comparison(spark, sf_dir):
-    """#57: reference (months < 40) vs current metric rows of the mixed score, joined on metric."""
+    """#57: all metrics of the mixed score, reference (months < 40) against current."""
     from scorewatch.operators import metrics as M
 
-    lo = FX.loans(spark, sf_dir).select("month_no", F.col("TARGET").alias("label"), F.col("score_c").alias("prob"))
-    r = M.all_metrics(lo.where(F.col("month_no") < 40), [])
-    c = M.all_metrics(lo.where(F.col("month_no") >= 40), [])
-    from scorewatch.plans.catalog import rnd
-    # compare the rounded metric rows, as the report shows them
-    return D.performance_comparison(rnd(r), rnd(c), _CMP)
+    lo = FX.loans(spark, sf_dir).select((F.col("month_no") >= 40).alias("is_current"), F.col("TARGET").alias("label"), F.col("score_c").alias("prob"))
+    m = M.all_metrics(lo, ["is_current"])
+    return D.performance_comparison(m.where(~F.col("is_current")), m.where("is_current"), D.COMPARED)
+
+
+def _history_sql() -> str:
+    parts = []
+    for i in range(1, 4):
+        src = f"(SELECT *, month_no >= 20 AS is_cur2 FROM loans WHERE month_no < 20 OR (month_no >= {20 * i} AND month_no < {20 * (i + 1)}))"
+        parts.append(f"SELECT {i} AS check_no, * FROM ({ks_sql(long_sql(src, _WIN_FEATS, 'is_cur2'))})")
+    return with_views("loans").rstrip("\n") + f""",
+idx AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(_WIN_FEATS))}) t(feature, idx))
+SELECT check_no, count_if(is_drift) > 0 AS drift_detected, {r6('CAST(count_if(is_drift) AS DOUBLE) / count(*)', 'drift_ratio')},
+  coalesce(list_sort(list(idx) FILTER (WHERE is_drift)), []) AS drifted_features, {r6('avg(p_value)', 'mean_p_value')}, {r6('min(p_value)', 'min_p_value')}
+FROM ({' UNION ALL '.join(parts)}) JOIN idx USING (feature) GROUP BY check_no"""
 
 
-@register("drift_history", None)
+@register("drift_history", _history_sql())
 def drift_history(spark, sf_dir):
     """#98/#99: window drift of each 20-month block vs the first block, appended per check."""
     from scorewatch.session import scratch_path

@@ -1,6 +1,6 @@
 """DuckDB SQL twins of the fixture views and of the grouped metric plans.
 
-Only used to build the oracle strings in `oracle.py` (the driver runs them in
+Only used to build the oracle strings of the query modules (the driver runs them in
 DuckDB against the same parquet tables). Nothing here runs on Spark.
 """
 
@@ -116,6 +116,9 @@ def r6(expr: str, alias: str) -> str:
     return f"round(CAST({expr} AS DOUBLE) * 1e6) / 1e6 AS {alias}"
 
 
+_r6 = r6
+
+
 def edge_bin_sql(x: str, lo: str, step: str, hi: str, nb: int) -> str:
     """Histogram bin as the count of interior edges lo + i*step <= x (last bin closed)."""
     terms = " + ".join(f"(CASE WHEN {x} >= {lo} + {i} * {step} THEN 1 ELSE 0 END)" for i in range(1, nb))
@@ -208,8 +211,9 @@ def best_parts(profits: list[str], thresholds: Sequence[float] = PROFIT_THRESHOL
 
 
 def all_metrics_sql(src: str, by: Sequence[str], label: str = "label", prob: str = "prob",
-                    weight: str | None = None, threshold: float = 0.5, ece_mode: str = "standard") -> str:
-    """SQL twin of `operators.metrics.all_metrics`, doubles rounded to 6 digits."""
+                    weight: str | None = None, threshold: float = 0.5, ece_mode: str = "standard", rounded: bool = True) -> str:
+    """SQL twin of `operators.metrics.all_metrics`, doubles rounded to 6 digits (or as they are)."""
+    r6 = _r6 if rounded else lambda expr, alias: f"CAST({expr} AS DOUBLE) AS {alias}"
     t = dlit(threshold)
     pred, y1 = f"{prob} > {t}", f"{label} = 1"
     ece_aggs, ece_std, ece_compat = ece_parts(prob, label)
