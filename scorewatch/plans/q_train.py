@@ -9,8 +9,8 @@ from scorewatch.operators import fitted as FT
 from scorewatch.operators import metrics as M
 from scorewatch.operators import training as TR
 from scorewatch.plans.catalog import register
-from scorewatch.plans.sqlparts import r6, with_views
-from scorewatch.session import scratch_path
+from scorewatch.plans.sqlparts import all_metrics_sql, auc_sql, r6, ranked_sql, with_views
+from scorewatch.session import cut_lineage, scratch_path
 from scorewatch.sources import fixtures as FX
 from scorewatch.sources import io as IO
 
@@ -32,13 +32,13 @@ def train_base(spark, sf_dir):
 
 
 def _cv(spark, sf_dir):
-    d = _train_frame(spark, sf_dir)
-    return TR.cross_validate(d.where(F.col("split") != "test"), FEATS, "loan_id", "label", k=3)
+    ls = FX.loans_split(spark, sf_dir).where(F.col("split") != "test").select("loan_id", F.col("TARGET").alias("label"), "month_no", *FEATS)
+    return TR.cross_validate(ls, None, "loan_id", "label", pipeline=lambda: FT.FeaturePipeline(label="label", exclude=["loan_id"]))
 
 
 @register("cross_validate", None)
 def cross_validate(spark, sf_dir):
-    """#131/#132/#136: 3-fold stratified CV of the equal-weight ensemble on train+val."""
+    """#131/#132/#136: 5-fold stratified CV of the equal-weight ensemble on train+val, features fitted per fold."""
     return _cv(spark, sf_dir).select("fold", "n", "auc_roc", "brier_score", "calibration_error")
 
 
@@ -62,46 +62,67 @@ def isotonic(spark, sf_dir):
 
 @register("calibrated_cv", None)
 def calibrated_cv(spark, sf_dir):
-    """#122: cross-fitted isotonic calibration (3 hash folds) averaged per row."""
-    from scorewatch.operators.splits import stratified_folds
-
-    lo = FX.loans(spark, sf_dir).select("loan_id", F.col("TARGET").alias("label"), F.col("score_b").alias("prob"))
-    f = stratified_folds(lo, "loan_id", "label", 3, 42)
-    parts = []
-    for i in range(3):
-        m = TR.fit_isotonic(f.where(F.col("fold") != i))
-        parts.append(TR.apply_isotonic(f, m).select("loan_id", "label", F.col("calibrated").alias("p")))
-    allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    avg = allp.groupBy("loan_id", "label").agg(F.avg("p").alias("prob"))
-    return M.all_metrics(avg, []).select("n", "auc_roc", "brier_score", "calibration_error")
+    """#122: base learners cross-fitted with isotonic calibration on train, metrics per learner on test."""
+    d = _train_frame(spark, sf_dir)
+    models = TR.calibrated_cv(d.where(F.col("split") == "train"), FEATS, "loan_id", "label")
+    sl = TR.score_calibrated(models, d.where(F.col("split") == "test"), ["loan_id"], "label")
+    return M.all_metrics(sl, ["model_id"]).select("model_id", "n", "auc_roc", "brier_score", "calibration_error")
 
 
-@register("search_weights", None)
+#: alpha, min_weight, window, recalibration threshold
+GRID = [(a, f, n, t) for a in (0.05, 0.1, 0.3) for f in (0.01, 0.05) for n in (500, 1000) for t in (0.15, 0.25)]
+
+
+def _search_sql() -> str:
+    rows = ", ".join(f"({i}, {a!r}e0, {f!r}e0, {n}, {t!r}e0)" for i, (a, f, n, t) in enumerate(GRID))
+    roll = " UNION ALL ".join(
+        f"""SELECT model_id, month_no, {n} AS win, rb FROM (SELECT model_id, month_no, row_number() OVER (PARTITION BY model_id, month_no ORDER BY loan_id DESC) AS r,
+    CASE WHEN count(*) OVER w >= 100 THEN avg((prob - label) * (prob - label)) OVER w ELSE 0e0 END AS rb
+  FROM hist WINDOW w AS (PARTITION BY model_id ORDER BY month_no, loan_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) WHERE r = 1"""
+        for n in sorted({g[2] for g in GRID}))
+    auc = auc_sql(ranked_sql("hist", ["model_id", "month_no"]), ["model_id", "month_no"])
+    return "WITH RECURSIVE " + with_views("scored_long")[len("WITH "):].rstrip("\n") + f""",
+hist AS (SELECT * FROM scored_long WHERE month_no < 55),
+g(cand, alpha, floor, win, threshold) AS (VALUES {rows}),
+mon AS (SELECT g.*, r.model_id, r.month_no, r.rb, 0.6e0 * coalesce(a.auc_roc, 0.5e0) + 0.4e0 / (r.rb + 1e-8) AS s, dense_rank() OVER (ORDER BY r.month_no) AS i
+  FROM ({roll}) r JOIN ({auc}) a USING (model_id, month_no) JOIN g ON g.win = r.win),
+t AS (SELECT CAST(0 AS BIGINT) AS i, cand, model_id, 1e0 / count(*) OVER (PARTITION BY cand) AS weight FROM (SELECT DISTINCT cand, model_id FROM mon)
+  UNION ALL
+  SELECT i, cand, model_id, w / sum(w) OVER (PARTITION BY cand) FROM (
+    SELECT i, cand, model_id, greatest((1e0 - alpha) * weight + alpha * (e / sum(e) OVER (PARTITION BY cand)), floor) AS w FROM (
+      SELECT m.i, t.cand, t.model_id, m.alpha, m.floor, t.weight, exp(m.s - max(m.s) OVER (PARTITION BY t.cand)) AS e
+      FROM t JOIN mon m ON m.i = t.i + 1 AND m.model_id = t.model_id AND m.cand = t.cand))),
+fin AS (SELECT cand, model_id, weight FROM t WHERE i = (SELECT max(i) FROM t)),
+ens AS (SELECT f.cand, x.loan_id, x.label, least(sum(f.weight * x.prob), 1e0) AS prob FROM scored_long x JOIN fin f USING (model_id) WHERE x.month_no >= 55 GROUP BY ALL),
+calls AS (SELECT cand, count_if(b > threshold) AS recalibrations FROM (SELECT cand, threshold, month_no, max(rb) AS b FROM mon GROUP BY ALL) GROUP BY cand)
+SELECT g.cand, {r6('g.alpha', 'alpha')}, {r6('g.floor', 'min_weight')}, g.win AS window, {r6('g.threshold', 'threshold')}, {r6('z.auc_roc', 'auc_roc')}, calls.recalibrations
+FROM ({auc_sql(ranked_sql('ens', ['cand']), ['cand'])}) z JOIN g USING (cand) JOIN calls USING (cand)"""
+
+
+@register("search_weights", _search_sql())
 def search_weights(spark, sf_dir):
-    """#133: weight-parameter search over replayed trajectories; AUC on the test split."""
+    """#133: search over alpha, floor, monitor window and recalibration threshold by replayed trajectories; AUC on the test split."""
     sl = FX.scored_long(spark, sf_dir)
-    hist = sl.where(F.col("month_no") < 55).withColumn("batch", (F.col("month_no") / 5).cast("int"))
-    bm = M.all_metrics(hist, ["batch", "model_id"]).select("batch", "model_id", "auc_roc", "brier_score")
     ev = sl.where(F.col("month_no") >= 55).select("loan_id", "model_id", "label", "prob")
-    grid = [(a, m) for a in (0.01, 0.1, 0.3) for m in (0.01, 0.05, 0.2)]
-    return EN.search_weights(bm, ev, grid, "batch", "model_id", "loan_id")
+    return EN.search_weights(sl.where(F.col("month_no") < 55), ev, GRID, "month_no", ["month_no", "loan_id"])
 
 
 @register("evaluate_split", None)
 def evaluate_split(spark, sf_dir):
-    """#134/#135: feature pipeline fit on train, models trained, test scored and evaluated."""
+    """#134/#135: feature pipeline fit on train, models trained, test scored and evaluated; with the
+    importance of the most important feature under the ensemble's weights."""
     ls = FX.loans_split(spark, sf_dir).drop("score_a", "score_b", "score_c", "customer_id")
     pipe = FT.FeaturePipeline(label="TARGET", exclude=["loan_id", "split"])
     pipe.fit(ls.where(F.col("split") == "train"))
-    tr = pipe.transform(ls.where(F.col("split") == "train"), keep=["loan_id"]).join(
-        ls.select("loan_id", F.col("TARGET").alias("label")), "loan_id")
-    te = pipe.transform(ls.where(F.col("split") == "test"), keep=["loan_id"]).join(
-        ls.select("loan_id", F.col("TARGET").alias("label")), "loan_id")
-    feats = [c for c in tr.columns if c not in ("loan_id", "label")]
-    models = TR.train_base(tr, feats, "label", TR.EnsembleSpec(n_base_models=2))
-    sl = TR.score_long(models, te, ["loan_id"], "label")
-    ens = sl.groupBy("loan_id", "label").agg(F.avg("prob").alias("prob"))
-    return M.all_metrics(ens, []).select("n", "auc_roc", "auc_pr", "brier_score", "calibration_error", "f1_score")
+    tr, te = (cut_lineage(pipe.transform(ls.where(F.col("split") == s), keep=["loan_id", "TARGET"]), f"features-{s}") for s in ("train", "test"))
+    feats = [c for c in tr.columns if c not in ("loan_id", "TARGET")]
+    models = TR.train_base(tr, feats, "TARGET")
+    sl = TR.score_long(models, te, ["loan_id"], "TARGET")
+    w = EN.equal_weights(sl, [], "model_id")
+    ens = EN.ensemble_score(sl, w, ["loan_id", "label"])
+    top = EN.weighted_importance(TR.importances(models, feats), w).orderBy(F.desc("importance"), "feature").first()
+    m = M.all_metrics(ens, []).select("n", "auc_roc", "auc_pr", "brier_score", "calibration_error", "f1_score")
+    return m.select("*", F.lit(top["feature"]).alias("top_feature"), F.lit(top["importance"]).alias("top_importance"))
 
 
 @register("predictions_sink", with_views("loans") + f"""
@@ -127,7 +148,7 @@ def scored_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("json_sink", None)
+@register("json_sink", with_views("scored_long") + all_metrics_sql("scored_long", ["model_id"]))
 def json_sink(spark, sf_dir):
     """#9: metric rows written as JSON lines and read back."""
     path = scratch_path(spark, "metrics-json")
@@ -135,7 +156,13 @@ def json_sink(spark, sf_dir):
     return spark.read.json(path)
 
 
-@register("state_roundtrip", None)
+def _state_sql() -> str:
+    from scorewatch.plans.q_ensemble import _MM_SQL
+
+    return with_views("scored_long").rstrip("\n") + ",\n" + _MM_SQL + f"\nSELECT model_id, {r6('weight', 'weight')}, {len(FEATS)} AS n_columns FROM nw"
+
+
+@register("state_roundtrip", _state_sql())
 def state_roundtrip(spark, sf_dir):
     """#10: save weights + feature names + parameters, load them back."""
     from scorewatch.plans.q_ensemble import _updated
