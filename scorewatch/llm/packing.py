@@ -5,13 +5,14 @@ pieces behind a first one that holds the rest. Full pieces are sequences of thei
 every other piece is a document to place.
 
 A round range-sorts unplaced documents and the gaps of open sequences together, largest
-first. Each range is swept once: a gap is laid on a stack, a document takes the gap on
-top, the smallest that still fits it. What a range could not settle is counted; ranks in
-these counts say which left-over gap of an earlier range each left-over document takes,
-by the same last-in first-out rule, so no gap is given twice. Gaps shrink, full ones and
-those below the smallest document are closed, and the round repeats. If the unplaced
-documents need more room than all gaps have, or nothing was matched, the largest of them
-open new sequences: as many as their sum needs.
+first. Each range is swept once by best fit: gaps that fit the document at hand lie on a
+stack with the smallest on top; the document takes that one, and what is left of the gap
+waits until documents are small enough for it. What a range could not settle is counted;
+ranks in these counts say which left-over gap of an earlier range each left-over document
+takes, last in first out, so no gap is given twice. Gaps shrink, full ones and those below
+the smallest document are closed, and the round repeats. If the unplaced documents need
+more room than all gaps have, or nothing was matched, the largest of them open new
+sequences: as many as their sum needs. The number of ranges follows the rows that are left.
 
 Defined cases: null text is empty and gives a piece of the end id alone; null and repeated
 doc_ids are documents of their own; equal lengths are placed by row id; an empty table
@@ -20,6 +21,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +45,7 @@ def _cut(path: str, capacity: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 21):
+        for b in slices(batches, "text"):
             counts, ids = with_end(*encode_byte_bpe(path, b.column("text")), end)
             raw = memoryview(ids.astype("<u4").tobytes())
             n_pieces = -(-counts // capacity)
@@ -70,20 +72,36 @@ SWEPT_DDL = "part int, what string, rank long, pid long, length long, sid long,
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (size, doc, id), largest first and gaps before documents of their size."""
-    part, stack = TaskContext.get().partitionId(), []
+    """Rows (size, doc, id), largest first and gaps before documents of their size. A row `gap`
+    fits all documents of later ranges, a row `low` may not; ranks go from the stack's top."""
+    part, size = TaskContext.get().partitionId(), 0
+    stack: list[tuple[int, int]] = []
+    waiting: list[tuple[int, int]] = []  # heap of (-gap, sid)
     met, alone = [], []
+
+    def ready(size: int) -> None:
+        while waiting and -waiting[0][0] >= size:
+            gap, sid = heapq.heappop(waiting)
+            stack.append((sid, -gap))
+
     for b in batches:
         for size, doc, i in zip(*(b.column(c).to_pylist() for c in ("size", "doc", "id")), strict=True):
             if not doc:
-                stack.append((i, size))
-            elif stack:
-                met.append((i, size, *stack.pop()))
+                heapq.heappush(waiting, (-size, i))
+                continue
+            ready(size)
+            if stack:
+                sid, gap = stack.pop()
+                met.append((i, size, sid, gap))
+                if gap > size:
+                    heapq.heappush(waiting, (size - gap, sid))
             else:
                 alone.append((i, size))
+    ready(size)
     rows = [(part, "met", k, *m) for k, m in enumerate(met)]
     rows += [(part, "doc", k, i, size, None, None) for k, (i, size) in enumerate(alone)]
-    rows += [(part, "gap", k, None, None, i, size) for k, (i, size) in enumerate(reversed(stack))]
+    rows += [(part, "gap", k, None, None, sid, gap) for k, (sid, gap) in enumerate(reversed(stack))]
+    rows += [(part, "low", k, None, None, sid, -gap) for k, (gap, sid) in enumerate(waiting)]
     if rows:
         yield as_batch(SWEPT, [list(c) for c in zip(*rows, strict=True)])
 
@@ -159,13 +177,13 @@ def place(docs: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROW
         both = (docs.select(F.col("length").alias("size"), F.lit(True).alias("doc"), F.col("pid").alias("id"))
                 .unionByName(gaps.where(F.col("gap") >= left["least"]).select(F.col("gap").alias("size"), F.lit(False).alias("doc"), F.col("sid").alias("id"))))
         order = [F.col("size").desc(), F.col("doc"), F.col("id")]
-        swept = written(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT_DDL), "sweep")
-        seen = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.sum(F.coalesce("gap", F.lit(0)) - F.when(F.col("what") == "met", F.col("length")).otherwise(0)).alias("room"),
-                                                 F.sum("length").alias("tokens")).collect()
+        both = both.repartitionByRange(parts, *order) if parts > 1 else both.coalesce(1)
+        swept = written(both.sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT_DDL), "sweep")
+        seen = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.sum("gap").alias("room"), F.sum("length").alias("tokens")).collect()
         counts = {(r["part"], r["what"]): r["n"] for r in seen}
         spans, rest = _settle(counts)
         unplaced = sum(r["tokens"] for r in seen if r["what"] == "doc")
-        room = sum(r["room"] for r in seen if r["what"] != "doc")
+        room = sum(r["room"] for r in seen if r["what"] in ("gap", "low"))
         need = -(-(unplaced - room) // capacity) if unplaced > room else 0
         if not need and not spans and not any(w == "met" for _, w in counts):
             need = max(1, -(-unplaced // capacity))
@@ -173,12 +191,14 @@ def place(docs: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROW
         alone = out.where("match < 0")
         across = (out.where("what = 'doc' AND match >= 0").select("match", "pid", "length")
                   .join(out.where("what = 'gap' AND match >= 0").select("match", "sid", "gap"), "match").drop("match"))
-        met = alone.where("what = 'met'").select("pid", "length", "sid", "gap").unionByName(across)
+        met = alone.where("what = 'met'").select("pid", "sid", "gap")
+        left_gaps = alone.where("what IN ('gap', 'low')").select("sid", "gap")
+        if spans:
+            met = met.unionByName(across.select("pid", "sid", "gap"))
+            left_gaps = left_gaps.unionByName(across.select("sid", (F.col("gap") - F.col("length")).alias("gap")).where("gap > 0"))
         new = alone.where("what = 'doc' AND opens")
         placed += [met.select("pid", "sid", (capacity - F.col("gap")).alias("place")), new.select("pid", F.col("pid").alias("sid"), F.lit(0).cast("long").alias("place"))]
-        gaps = (met.select("sid", (F.col("gap") - F.col("length")).alias("gap")).where("gap > 0")
-                .unionByName(alone.where("what = 'gap'").select("sid", "gap"))
-                .unionByName(new.select(F.col("pid").alias("sid"), (capacity - F.col("length")).alias("gap"))))
+        gaps = left_gaps.unionByName(new.select(F.col("pid").alias("sid"), (capacity - F.col("length")).alias("gap")))
         docs = alone.where("what = 'doc' AND NOT opens").select("pid", "length")
     out = placed[0]
     for p in placed[1:]:
