@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import bundled, extended, slices, table, unbundled, written
-from scorewatch.llm.words import split_words
+from scorewatch.llm.words import split_words, strings
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, DISCLOSURE = 4, 3, 0.9
@@ -150,7 +150,7 @@ def _terms_in(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             counts, codes, dictionary = split_words(b.column("text"))
-            per_word = [[key64(t.lower()) for t in TERM.findall(w)] for w in dictionary.to_pylist()]
+            per_word = [[key64(t.lower()) for t in TERM.findall(w)] for w in strings(dictionary)]
             n = np.fromiter(map(len, per_word), np.int64, len(per_word))
             term = np.fromiter((x for w in per_word for x in w), np.int64, int(n.sum()))
             place = term & (FILTER_BITS - 1)

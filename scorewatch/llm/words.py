@@ -9,6 +9,11 @@ import pyarrow.compute as pc
 import xxhash
 
 
+def strings(values: pa.Array) -> list[str]:
+    """Python strings of an array without nulls."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(counts, codes, dictionary) of the words `[^\\x20\\x09-\\x0D]+` of each text (null: none).
     `counts[i]` words of text i follow each other in `codes`, which index `dictionary`."""
@@ -23,7 +28,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def word_hashes(dictionary: pa.Array) -> np.ndarray:
     """64-bit hash of each word."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, dictionary.to_pylist()), np.uint64, len(dictionary))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings(dictionary)), np.uint64, len(dictionary))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

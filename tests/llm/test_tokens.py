@@ -149,9 +149,9 @@ def test_empty(spark, empty_dir):
 
 def test_encoder_starts_anew_when_full():
     path = public_tokenizers.path("word_bpe_49k.json")
-    enc = encoders.Encoder(encoders._tokenizers(path), encoders._stop)
+    enc = encoders.Encoder(encoders.Library(path, lower=True).parts)
     want = library("word_bpe_49k.json", ["alpha beta."])[0]
     for _ in range(2):
-        n, ids = enc.gather(enc.entry(["alpha", "beta."]), np.array([2]))
+        n, ids = enc.gather(enc.entry(["alpha", "beta", "."]), np.array([3]))
         assert ids.tolist() == want and n.tolist() == [len(want)]
         enc.clear()
