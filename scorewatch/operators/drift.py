@@ -25,6 +25,7 @@ PSI_THRESHOLD = 0.25
 JS_EDGES = 50
 PRED_JS_EDGES = 21
 CHI2_BINS = 10
+CHI2_MAX_BINS = 1000  # the p-value's series has converged up to here
 PSI_FLOOR = 1e-4
 
 
@@ -244,6 +245,8 @@ def chi2_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None =
     """#93 (repaired): chi-square goodness of fit of the current bin counts against
     the reference shares on shared reference bins. expected = ref share x n_cur;
     statistic = sum over bins with expected > 0 of (o - e)^2 / e; dof = such bins - 1."""
+    if not 2 <= bins <= CHI2_MAX_BINS:
+        raise ValueError(f"bins must lie in 2..{CHI2_MAX_BINS}")
     feats = common_features(ref, cur, features)
     c = _ref_binned(ref, cur, feats, bins)
     w = Window.partitionBy("feature")  # <= bins rows per feature

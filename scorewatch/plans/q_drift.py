@@ -277,7 +277,7 @@ _WIN_FEATS = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "revol_util", "score_b"]
 @register("window_drift", with_views("loans_shift") + f"""
 , tail AS (SELECT * FROM loans_shift WHERE NOT is_current ORDER BY month_no DESC, loan_id DESC LIMIT 2000),
 both_ AS (SELECT *, false AS is_cur2 FROM tail UNION ALL SELECT *, true FROM loans_shift WHERE is_current),
-ks AS ({ks_sql(long_sql('both_', _WIN_FEATS, 'is_cur2'))}),
+ks AS ({ks_sql(long_sql('both_', _WIN_FEATS, 'is_cur2'), rounded=False)}),
 idx AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(_WIN_FEATS))}) t(feature, idx))
 SELECT count_if(is_drift) > 0 AS drift_detected, {r6('CAST(count_if(is_drift) AS DOUBLE) / count(*)', 'drift_ratio')},
   coalesce(list_sort(list(idx) FILTER (WHERE is_drift)), []) AS drifted_features,
@@ -373,7 +373,7 @@ def _history_sql() -> str:
     parts = []
     for i in range(1, 4):
         src = f"(SELECT *, month_no >= 20 AS is_cur2 FROM loans WHERE month_no < 20 OR (month_no >= {20 * i} AND month_no < {20 * (i + 1)}))"
-        parts.append(f"SELECT {i} AS check_no, * FROM ({ks_sql(long_sql(src, _WIN_FEATS, 'is_cur2'))})")
+        parts.append(f"SELECT {i} AS check_no, * FROM ({ks_sql(long_sql(src, _WIN_FEATS, 'is_cur2'), rounded=False)})")
     return with_views("loans").rstrip("\n") + f""",
 idx AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(_WIN_FEATS))}) t(feature, idx))
 SELECT check_no, count_if(is_drift) > 0 AS drift_detected, {r6('CAST(count_if(is_drift) AS DOUBLE) / count(*)', 'drift_ratio')},

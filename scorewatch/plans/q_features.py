@@ -182,7 +182,53 @@ def equal_freq_bins(spark, sf_dir):
         "column", (F.col("q") + 1).cast("int").alias("q"), "edge")
 
 
-@register("feature_pipeline", None)
+@register("equal_freq_binned", W.rstrip("\n") + """,
+l AS (SELECT col, value FROM (UNPIVOT (SELECT CAST(AMT_CREDIT AS DOUBLE) AS AMT_CREDIT, CAST(AMT_INCOME_TOTAL AS DOUBLE) AS AMT_INCOME_TOTAL FROM loans)
+    ON AMT_CREDIT, AMT_INCOME_TOTAL INTO NAME col VALUE value)),
+e AS (SELECT col, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS edges FROM l GROUP BY col)
+SELECT col AS "column", CAST(len(list_filter(edges, lambda c: c < value)) AS INTEGER) AS bin, count(*) AS n FROM l JOIN e USING (col) GROUP BY ALL""")
+def equal_freq_binned(spark, sf_dir):
+    """#47: rows per equal-frequency bin, the fitted cut points applied to every row."""
+    cols = ["AMT_CREDIT", "AMT_INCOME_TOTAL"]
+    lo = FX.loans(spark, sf_dir).select(*cols)
+    edges = {r["column"]: r["edges"] for r in FT.equal_freq_edges(lo, cols).collect()}  # q - 1 numbers a column
+    binned = lo.select(*[FT.equal_freq_bin(F.col(c).cast("double"), F.array(*[F.lit(e) for e in edges[c]])).alias(c) for c in cols])
+    long = binned.selectExpr(f"stack({len(cols)}, {', '.join(f"'{c}', {c}" for c in cols)}) AS (column, bin)")
+    return long.groupBy("column", "bin").agg(F.count("*").alias("n"))
+
+
+def _pipeline_sql() -> str:
+    """The whole pipeline in SQL for the fixture's columns: fitted on train, summarised on test."""
+    src = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "installment", "revol_util"]
+    bins = " ".join(f"WHEN revol_util > {'lo - (hi - lo) * 0.001e0' if i == 0 else f'{i} * ((hi - lo) / 10e0) + lo'} AND revol_util <= "
+                    f"{'hi' if i == 9 else f'{i + 1} * ((hi - lo) / 10e0) + lo'} THEN {i}" for i in range(10))
+    numbers = {"month_no": "month_no", **{c: c for c in src}, "DAYS_BIRTH": "DAYS_BIRTH", "month_no_quarter": "floor(month_no / 3) + 1",
+               "month_no_trend": "CAST(month_no AS DOUBLE) / mt", "month_no_period": "floor(month_no / 12)",
+               **{f"{c}_time_weighted": f"{c} * CAST(month_no AS DOUBLE)" for c in src},
+               **{f"{c}_time_ratio": f"{c} / (CAST(month_no AS DOUBLE) + 1e-8)" for c in src},
+               "debt_to_income_ratio": "AMT_CREDIT / (AMT_INCOME_TOTAL + 1e-8)", "age_years": "abs(DAYS_BIRTH) / 365.25e0",
+               "payment_to_income_ratio": "installment / (AMT_INCOME_TOTAL + 1e-8)"}
+    years = "abs(DAYS_BIRTH) / 365.25e0"
+    words = {"ORGANIZATION_TYPE": "ORGANIZATION_TYPE", "CNT_ITEMS": "CNT_ITEMS", "credit_utilization_risk": "CASE WHEN revol_util > 50e0 THEN 1 ELSE 0 END",
+             "credit_util_binned": f"CASE {bins} END", "income_credit_ratio_risk": "CASE WHEN AMT_CREDIT / (AMT_INCOME_TOTAL + 1e-8) > 2e0 THEN 1 ELSE 0 END",
+             "age_risk_category": f"CASE WHEN {years} >= 0 AND {years} <= 25 THEN 'age_group_0' WHEN {years} > 25 AND {years} <= 45 THEN 'age_group_1' "
+                                  f"WHEN {years} > 45 AND {years} <= 65 THEN 'age_group_2' WHEN {years} > 65 AND {years} <= 100 THEN 'age_group_3' END",
+             "payment_burden_risk": "CASE WHEN installment / (AMT_INCOME_TOTAL + 1e-8) > 0.3e0 THEN 1 ELSE 0 END"}
+    num = ", ".join(f"coalesce(CAST({e} AS DOUBLE), -999e0) AS {c}" for c, e in numbers.items())
+    cat = ", ".join(f"coalesce(CAST({e} AS VARCHAR), 'Missing') AS {c}" for c, e in words.items())
+    return with_views("loans_split").rstrip("\n") + f""",
+k AS (SELECT CAST(max(month_no) AS DOUBLE) AS mt, min(revol_util) AS lo, max(revol_util) AS hi FROM loans_split WHERE split = 'train'),
+x AS (SELECT * FROM loans_split CROSS JOIN k WHERE split IN ('train', 'test')),
+n AS (SELECT split, col, value FROM (UNPIVOT (SELECT split, {num} FROM x) ON {', '.join(numbers)} INTO NAME col VALUE value)),
+c AS (SELECT split, col, value FROM (UNPIVOT (SELECT split, {cat} FROM x) ON {', '.join(words)} INTO NAME col VALUE value)),
+codes AS (SELECT col, value, CAST(dense_rank() OVER (PARTITION BY col ORDER BY value) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT col, value FROM c WHERE split = 'train')),
+l AS (SELECT split, col, value FROM n UNION ALL SELECT c.split, c.col, codes.code FROM c LEFT JOIN codes ON c.col = codes.col AND c.value = codes.value),
+f AS (SELECT col, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS s FROM l WHERE split = 'train' GROUP BY col)
+SELECT l.col AS "column", {r6('avg((value - m) / s)', 'mean')}, {r6('stddev_pop((value - m) / s)', 'std')}
+FROM l JOIN f USING (col) WHERE split = 'test' GROUP BY l.col"""
+
+
+@register("feature_pipeline", _pipeline_sql())
 def feature_pipeline(spark, sf_dir):
     """#48-50: fit on the train split, transform the test split; per output column mean and std."""
     ls = FX.loans_split(spark, sf_dir).drop("score_a", "score_b", "score_c", "customer_id")

@@ -276,7 +276,8 @@ def ks_p_sql(d: str, n: str, m: str) -> str:
             f"ELSE least(greatest(2e0 * {series}, 0e0), 1e0) END")
 
 
-def ks_sql(long: str, alpha: float = 0.05) -> str:
+def ks_sql(long: str, alpha: float = 0.05, rounded: bool = True) -> str:
+    r6 = _r6 if rounded else lambda expr, alias: f"CAST({expr} AS DOUBLE) AS {alias}"
     return f"""SELECT feature, {r6('d', 'statistic')}, {r6(ks_p_sql('d', 'n_ref', 'n_cur'), 'p_value')},
   {ks_p_sql('d', 'n_ref', 'n_cur')} < {dlit(alpha)} AS is_drift, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur
 FROM (SELECT feature, max(abs(cdf_ref - cdf_cur)) AS d, max(n_ref) AS n_ref, max(n_cur) AS n_cur FROM (
