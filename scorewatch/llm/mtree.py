@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from scorewatch.llm.common import as_batch, table, written
 
 TREE_ROWS, MAX_PIVOTS = 4096, 256
-LEAF, FANOUT = 64, 16
+LEAF, FANOUT = 128, 16
 BLOCK_QUERIES = 256
 
 PAGE = pa.schema([("tree", pa.int32()), ("queries", pa.bool_()), ("page", pa.int32()), ("leaf", pa.bool_()), ("vectors", pa.binary()), ("to_parent", pa.binary()),
@@ -76,20 +76,21 @@ class Builder:
             x = self.x[at]
             self.pages[number] = (True, x, far(x), np.zeros(len(at)), self.norm[at], self.ids[at], self.rows[at])
             return number
-        # Routing objects: each the vector farthest from those before it.
-        near, chosen, owner = np.full(len(at), np.inf), [], np.zeros(len(at), np.int64)
-        nxt = 0
-        while len(chosen) < FANOUT and (not chosen or near[nxt] > 0):
-            d = distances(self.x[at], self.x[at[nxt]])
-            owner[d < near] = len(chosen)
-            near = np.minimum(near, d)
-            chosen.append(at[nxt])
-            nxt = int(near.argmax())
+        # Routing objects: distinct vectors of a seeded sample, so that groups are of like size,
+        # and no more of them than fill their pages well.
+        fanout = max(2, min(FANOUT, -(-10 * len(at) // (7 * LEAF))))
+        some = at[np.random.default_rng([len(at), number]).permutation(len(at))[:4 * FANOUT]]
+        chosen = some[np.sort(np.unique(self.x[some], axis=0, return_index=True)[1])][:fanout]
+        if len(chosen) == 1:
+            d = distances(self.x[at], self.x[chosen[0]])
+            chosen = np.append(chosen, at[d.argmax()]) if d.max() > 0 else chosen
         if len(chosen) == 1:  # all equal: runs of ids
             order = np.lexsort((self.rows[at], self.ids[at]))
             groups = np.array_split(at[order], min(FANOUT, -(-len(at) // LEAF)))
-            chosen = [g[0] for g in groups]
+            chosen = np.array([g[0] for g in groups])
         else:
+            x = self.x[chosen]
+            owner = ((x ** 2).sum(1) - 2 * self.x[at] @ x.T).argmin(1)
             groups = [at[owner == k] for k in range(len(chosen))]
         o = self.x[chosen]
         child = [self.page(g, c) for g, c in zip(groups, o, strict=True)]
