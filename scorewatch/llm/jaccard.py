@@ -1,15 +1,15 @@
 """N-gram Jaccard join: exact links between word-shingle sets by T-occurrence search.
 
-1. One pass over all texts gives each document's set size and 128-bit set fingerprint, and
-   a table of shingle counts in `CELLS` hashed cells. Documents with equal fingerprints are
+1. One pass over all texts counts shingles in `CELLS` hashed cells, another gives each
+   document's set size and 128-bit set fingerprint. Documents with equal fingerprints are
    one set from here on.
-2. All documents order their shingles alike, rare cells first. Two sets that link share a
+2. All documents order their shingles alike, rare cells first (any common order is exact; a
+   good one keeps shared passages out of the first shingles). Two sets that link share a
    shingle among the first n - ceil(0.8 n) + 1 of each. Shingles shared there tie sets into
    blocks (connected components); no set links outside its block.
-3. Each block's texts meet once. Sets enter an inverted index by growing size and are
-   searched as they enter, by DivideSkip: the longest lists are set aside, the short ones
-   are heap-merged, and what they leave is binary-probed in the long lists until the required
-   overlap is reached or out of reach. Sets already in one component need no further link.
+3. Each block's texts meet once. Sets are searched by growing size among smaller ones by
+   DivideSkip: the longest lists are set aside, the short ones are merged, and what they
+   leave is binary-probed in the long lists until the required overlap is out of reach.
    Blocks above `BLOCK_SHINGLES` are dealt into chunks, and every pair of chunks meets.
 4. Links (a spanning forest per task) give the components.
 
@@ -21,8 +21,6 @@ Repeated ids and rows are documents of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +31,12 @@ from pyspark.sql import functions as F
 
 from scorewatch.llm.common import as_batch, bundled, slices, table, unbundled, written
 from scorewatch.llm.components import components
+from scorewatch.llm.encoders import ragged
 from scorewatch.llm.words import mix, positions, split_words, window_hashes, word_hashes
 
 N = 5
-CELLS, PART = 1 << 18, 1 << 12
+#: Counters of one byte; with about one for four different shingles, shared passages stand out.
+CELLS, PART = 1 << 25, 1 << 16
 BLOCK_SHINGLES = 1 << 21
 
 
@@ -79,29 +79,44 @@ def fingerprints(shingle: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.
     return n, out[0], out[1]
 
 
-PASS = "doc_id long, tkey long, n long, f1 long, f2 long, part int, counts binary"
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, places, counts): this task's filled cells, by place in their part; 255 is frequent in
+    any case."""
+    cells = np.zeros(CELLS, np.uint8)
+    for b in slices(batches, "text"):
+        at, n = np.unique(ordered(*sets(b.column("text")))[0] & np.uint64(CELLS - 1), return_counts=True)
+        at = at.astype(np.int64)
+        cells[at] = np.minimum(cells[at] + n, 255)
+    filled = np.flatnonzero(cells)
+    for part in np.unique(filled // PART).tolist():
+        at = filled[np.searchsorted(filled, part * PART):np.searchsorted(filled, (part + 1) * PART)]
+        row = [[part], [(at - part * PART).astype("<u2").tobytes()], [cells[at].tobytes()]]
+        yield as_batch(pa.schema([("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())]), row)
+
+
+def levels(docs: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each cell are, over all documents: CELLS bytes reach the
+    driver, whatever the size of the corpus."""
+    rows = docs.select("text").mapInArrow(_count, "part int, places binary, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, counts binary").collect()
+    out = np.zeros(CELLS, np.uint8)
+    for r in rows:
+        out[r["part"] * PART:(r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-    cells = np.zeros(CELLS, np.int64)
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
     for b in slices(batches, "text"):
-        shingle, owner = ordered(*sets(b.column("text")))
-        cells += np.bincount((shingle & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        n, f1, f2 = fingerprints(shingle, owner, b.num_rows)
-        none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-        yield as_batch(schema, [b.column("doc_id"), b.column("tkey"), n, f1, f2, *none])
-    if cells.any():
-        k = CELLS // PART
-        parts = [x.tobytes() for x in cells.astype("<i8").reshape(k, PART)]
-        yield as_batch(schema, [*[pa.nulls(k, pa.int64())] * 5, np.arange(k, dtype=np.int32), parts])
+        yield as_batch(schema, [b.column("doc_id"), b.column("tkey"), *fingerprints(*ordered(*sets(b.column("text"))), b.num_rows)])
 
 
 def _add_parts(key: tuple, t: pa.Table) -> pa.Table:
+    """Sums of the tasks' counts as levels of one byte, six for each doubling."""
     total = np.zeros(PART, np.int64)
-    for x in t["counts"]:
-        total += np.frombuffer(x.as_py(), "<i8")
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    for places, counts in zip(t["places"], t["counts"], strict=True):
+        total[np.frombuffer(places.as_py(), "<u2")] += np.frombuffer(counts.as_py(), np.uint8)
+    level = np.minimum(np.round(6 * np.log2(1 + total)), 255).astype(np.uint8)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([level.tobytes()], pa.binary())})
 
 
 def _prefixes(cells: np.ndarray):
@@ -149,80 +164,65 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Search:
-    """DivideSkip over sets that enter by growing size."""
-
-    def __init__(self, lists: int, length: list[int]):
-        self.lists: list[list[int]] = [[] for _ in range(lists)]
-        self.one: list[int] = [-1] * lists  # a member, while all of a list are in its component
-        self.length, self.sizes, self.root = length, [], []
-
-    def find(self, x: int) -> int:
-        while self.root[x] != x:
-            self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
-        return x
-
-    def enter(self, size: int, own: list[int]) -> list[int]:
-        """Add a set of `size` shingles, of which `own` (list numbers, shortest list first) are
-        shared with others; the sets it now joins, one for each component."""
-        q = len(self.sizes)
-        self.sizes.append(size)
-        self.root.append(q)
-        found = []
+    """DivideSkip over sets in order of growing size; set q is searched among those before it.
+
+    `code` holds the list numbers of all sets one after another (`begin` of each), lists being
+    numbered by growing length, so that a set's shortest lists come first. A list is the
+    ascending places of the sets that hold its shingle."""
+
+    def __init__(self, sizes: np.ndarray, begin: np.ndarray, code: np.ndarray, lists: int):
+        self.sizes, self.begin, self.code = sizes, begin, code
+        owner = np.repeat(np.arange(len(sizes)), np.diff(begin))
+        order = np.lexsort((owner, code))
+        self.rows = owner[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=lists))])
+        self.rank = np.empty(len(code), np.int64)  # of a set in each of its lists
+        self.rank[order] = np.arange(len(code)) - self.start[code[order]]
+        self.label = np.arange(len(sizes))
+
+    def enter(self, q: int) -> list[int]:
+        """Join set q; sets that it links to, one for each component it now joins."""
+        at = slice(self.begin[q], self.begin[q + 1])
+        own, size = self.code[at], int(self.sizes[q])
         need = (4 * size + 4) // 5
-        if len(own) >= need:
-            lo = bisect_left(self.sizes, need)  # smaller sets cannot link
-            longest = max(self.length[i] for i in own)
-            n_long = min(need - 1, int(need / (0.01 * longest.bit_length() + 1)))
-            short, long = own[:len(own) - n_long], own[len(own) - n_long:]
-            met = self._merge(q, short, lo)
-            for r, c in met:
-                if self.find(r) != self.find(q) and self._reaches(q, r, c, long):
-                    self.root[self.find(r)] = self.find(q)
-                    found.append(r)
-        me = self.find(q)
-        for i in own:
-            if not self.lists[i]:
-                self.one[i] = q
-            elif self.one[i] >= 0 and self.find(self.one[i]) != me:
-                self.one[i] = -1
-            self.lists[i].append(q)
-        return found
-
-    def _merge(self, q: int, short: list[int], lo: int) -> Iterator[tuple[int, int]]:
-        """(set, how many short lists hold it), by a heap over the lists' next entries. A list
-        whose sets are all in q's component by now is passed over: its sets need no link."""
-        cursors = []
-        for i in short:
-            one = self.one[i]
-            if self.lists[i] and not (one >= 0 and self.find(one) == self.find(q)):
-                at = bisect_left(self.lists[i], lo)
-                if at < len(self.lists[i]):
-                    cursors.append((self.lists[i][at], i, at))
-        heapq.heapify(cursors)
-        while cursors:
-            r, count = cursors[0][0], 0
-            while cursors and cursors[0][0] == r:
-                _, i, at = cursors[0]
-                count += 1
-                one, rows = self.one[i], self.lists[i]
-                if at + 1 < len(rows) and not (one >= 0 and self.find(one) == self.find(q)):
-                    heapq.heapreplace(cursors, (rows[at + 1], i, at + 1))
-                else:
-                    heapq.heappop(cursors)
-            yield r, count
-
-    def _reaches(self, q: int, r: int, count: int, long: list[int]) -> bool:
-        need = -(-4 * (self.sizes[q] + self.sizes[r]) // 9)  # 100 * both >= 80 * either
+        first, stop = self.start[own], self.start[own] + self.rank[at]
+        if len(own) < need:
+            return []
+        lo = int(np.searchsorted(self.sizes, need))  # smaller sets cannot link
+        lists = [self.rows[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+        longest = max(map(len, lists), default=0)
+        n_long = min(need - 1, int(need / (0.01 * longest.bit_length() + 1)))
+        met = np.concatenate(lists[:len(lists) - n_long])
+        count = np.bincount(met[met >= lo] - lo, minlength=max(0, q - lo))
+        r = np.flatnonzero(count) + lo
+        count = count[r - lo]
+        # One set of each component first: the rest of a component that links need no probe.
+        group, most = self.label[r], np.argsort(-count, kind="stable")
+        chosen = most[np.unique(group[most], return_index=True)[1]]
+        found = self._reached(r[chosen], count[chosen], size, lists[len(lists) - n_long:])
+        rest = ~np.isin(group, self.label[found])
+        rest[chosen] = False
+        more = self._reached(r[rest], count[rest], size, lists[len(lists) - n_long:])
+        found = np.concatenate([found, more[np.unique(self.label[more], return_index=True)[1]]])
+        for x in found.tolist():
+            self.label[self.label == self.label[x]] = q
+        return found.tolist()
+
+    def _reached(self, r: np.ndarray, count: np.ndarray, size: int, long: list[np.ndarray]) -> np.ndarray:
+        """Sets of r, found `count` times so far, that reach the overlap with the long lists."""
+        wanted = -(-4 * (size + self.sizes[r]) // 9)  # 100 * both >= 80 * either
         left = len(long)
-        for i in long:
-            if count >= need or count + left < need:
+        for rows in long:
+            hope = count + left >= wanted
+            if not hope.all():
+                r, count, wanted = r[hope], count[hope], wanted[hope]
+            if not len(r):
                 break
-            rows = self.lists[i]
-            at = bisect_left(rows, r)
-            count += at < len(rows) and rows[at] == r
+            if len(rows):
+                place = np.minimum(np.searchsorted(rows, r), len(rows) - 1)
+                count = count + (rows[place] == r)
             left -= 1
-        return count >= need
+        return r[count >= wanted]
 
 
 def _search(key: tuple, t: pa.Table) -> pa.Table:
@@ -237,16 +237,23 @@ def _search(key: tuple, t: pa.Table) -> pa.Table:
         if good[i] and sid[i] not in seen:
             seen.add(sid[i])
             rows.append(i)
-    values, code, counts = np.unique(shingle, return_inverse=True, return_counts=True)
+    # Lists of the wanted sets, numbered by length; shingles of one set alone are no list.
     begin = np.concatenate([[0], np.cumsum(n)])
-    search = Search(len(values), counts.tolist())
+    at = ragged(begin[rows], n[rows]) if rows else np.zeros(0, np.int64)
+    _, code, counts = np.unique(shingle[at], return_inverse=True, return_counts=True)
+    by_length = np.argsort(counts, kind="stable")
+    number = np.empty(len(counts), np.int64)
+    number[by_length] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(rows)), n[rows]) if rows else at
+    shared = counts[code] > 1
+    code, owner = number[code[shared]], owner[shared]
+    order = np.lexsort((code, owner))
+    code, ends = code[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
+    search = Search(n[rows], ends, code, len(counts))
     u, v = [], []
-    for place, i in enumerate(rows):
-        own = code[begin[i]:begin[i + 1]]
-        own = own[counts[own] > 1]
-        own = own[np.argsort(counts[own], kind="stable")].tolist()
-        for r in search.enter(int(n[i]), own):
-            u.append(int(sid[rows[place]]))
+    for q, i in enumerate(rows):
+        for r in search.enter(q):
+            u.append(int(sid[i]))
             v.append(int(sid[rows[r]]))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -257,13 +264,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    profile = written(docs.mapInArrow(_profile, PASS), "shingle-profile")
-    # At most CELLS counts reach the driver, whatever the size of the corpus.
-    parts = profile.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_add_parts, "part int, counts binary").collect()
-    cells = np.zeros(CELLS, np.int64)
-    for r in parts:
-        cells[r["part"] * PART:(r["part"] + 1) * PART] = np.frombuffer(r["counts"], "<i8")
-    rows = profile.where("part IS NULL").select("doc_id", "tkey", "n", "f1", "f2")
+    rows = written(docs.mapInArrow(_profile, "doc_id long, tkey long, n long, f1 long, f2 long"), "shingle-profile")
+    cells = levels(docs)
     reps = written(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
                    .withColumn("sid", F.monotonically_increasing_id()), "sets")
 
