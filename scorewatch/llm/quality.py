@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import as_batch, slices, table, written
+from scorewatch.llm.common import as_batch, bundled, extended, slices, table, unbundled, written
 from scorewatch.llm.words import mix, positions, split_words, window_hashes, word_hashes
 
 BUCKETS = 1 << 16
@@ -100,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_ratio(docs: DataFrame) -> np.ndarray:
     """Log-ratio of every bucket from all rows of `docs` (text, trusted). Each task adds up its
     own counts; `BUCKETS` sums reach the driver, whatever the size of the corpus."""
-    total = lambda c: F.transform(F.array(*[F.sum(F.col(c)[k]) for k in range(PART)]), lambda x: x).alias(c)
+    total = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(PART)]).alias(c)
     rows = docs.mapInArrow(_count, "part int, raw array<long>, target array<long>").groupBy("part").agg(total("raw"), total("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
@@ -132,9 +132,8 @@ def _measure(ratio: np.ndarray, keep: list[str]):
 
 def measures(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
     """Columns `keep` of every row of `docs`, its base measures and score."""
-    schema = ", ".join(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)
     cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInArrow(_measure(ratio, keep), f"{schema}, {MEASURES}")
+    return docs.select(*cols).mapInArrow(_measure(ratio, keep), extended(docs.select(*keep).schema, MEASURES))
 
 
 def labels_by_doc(labels: DataFrame) -> DataFrame:
@@ -170,7 +169,8 @@ def threshold(measured: DataFrame, labels: DataFrame) -> float:
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` (doc_id among them) of every document, its measures, and `kept`."""
     lab = labels_by_doc(labels)
-    ratio = log_ratio(docs.select("doc_id", "text").join(lab, "doc_id", "left").select("text", "trusted"))
+    # Labels grow with the documents: neither side is broadcast, whatever its size.
+    ratio = log_ratio(docs.select("doc_id", "text").join(lab.hint("merge"), "doc_id", "left").select("text", "trusted"))
     measured = written(measures(docs, ratio, keep), "quality-measures")
     cut = threshold(measured, lab)
     return measured.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
@@ -178,7 +178,8 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
-    return judged(docs, labels, docs.columns).where("kept").select(*docs.columns)
+    rows = bundled(docs).withColumn("doc_id", F.col("row.doc_id"))
+    return unbundled(judged(rows, labels, ["row", "doc_id", "text"]).where("kept"), docs.columns)
 
 
 def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
