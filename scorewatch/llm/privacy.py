@@ -2,8 +2,8 @@
 
 Base kinds are found by pattern and checked (email, ip, card with Luhn, phone). Around
 every find (a protected entity), the `WINDOW` words on either side are its terms. On the
-whole corpus, over distinct texts, n(c, t) counts texts with t near entity c, n(c) texts
-with c, n(t) texts with t anywhere and N all texts. The term discloses the entity if
+whole corpus, n(c, t) counts documents with t near entity c, n(c) documents with c, n(t)
+documents with t anywhere and N all documents. The term discloses the entity if
 PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is at least `DISCLOSURE` of the entity's own
 information -log(n(c) / N), on the evidence of at least `SUPPORT` different windows
 (copies of a passage are one). Such terms are spans of kind `term`; `sanitised` puts a
@@ -146,7 +146,7 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _terms_in(bits: np.ndarray):
-    """(term, text) pairs, once for each text, of terms that the filter lets through."""
+    """(term, n): how many texts of a slice hold a term that the filter lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             counts, codes, dictionary = split_words(b.column("text"))
@@ -156,30 +156,29 @@ def _terms_in(bits: np.ndarray):
             place = term & (FILTER_BITS - 1)
             through = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             word = np.repeat(np.arange(len(n)), n)[through]
-            term = term[through]
-            # From words back to the texts that hold them.
+            names, term = np.unique(term[through], return_inverse=True)
+            # From words back to the texts that hold them, each term once for a text.
             has = np.zeros(len(n), bool)
             has[word] = True
-            owner = np.repeat(np.arange(len(counts)), counts)
             used = has[codes]
-            pair = np.unique(owner[used] * np.int64(len(n) + 1) + codes[used])
-            doc, w = pair // (len(n) + 1), pair % (len(n) + 1)
+            doc, w = np.repeat(np.arange(len(counts)), counts)[used], codes[used]
             lo, hi = np.searchsorted(word, w, "left"), np.searchsorted(word, w, "right")
             times = hi - lo
-            idx = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(term[idx]), b.column("tkey").take(pa.array(np.repeat(doc, times)))], names=["term", "tkey"])
+            at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            pair = np.unique(np.repeat(doc, times) * np.int64(len(names) + 1) + term[at])
+            texts = np.bincount(pair % (len(names) + 1), minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts.astype(np.int64))], names=["term", "n"])
 
     return run
 
 
 def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs where the term discloses the entity. `found` has (tkey, near) of all
-    rows, `docs` (tkey, text)."""
-    spark = docs.sparkSession
-    near = found.where(F.size("near") > 0).select("tkey", F.explode("near").alias("x")).select("tkey", "x.entity", "x.term", "x.win")
-    pairs = (near.groupBy("entity", "term").agg(F.countDistinct("win").alias("wins"), F.countDistinct("tkey").alias("n_ct")).where(F.col("wins") >= support))
+    """(entity, term) pairs where the term discloses the entity. `found` has (rid, near) of all
+    rows, `docs` their text."""
+    near = found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", "x.win")
+    pairs = (near.groupBy("entity", "term").agg(F.countDistinct("win").alias("wins"), F.countDistinct("rid").alias("n_ct")).where(F.col("wins") >= support))
     pairs = written(pairs, "term-pairs")
-    n_c = near.groupBy("entity").agg(F.countDistinct("tkey").alias("n_c"))
+    n_c = near.groupBy("entity").agg(F.countDistinct("rid").alias("n_c"))
     # A filter of FILTER_BITS bits tells the tasks which terms to count, whatever their number.
     place = F.expr(f"term & {FILTER_BITS - 1}")
     maps = (pairs.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
@@ -188,8 +187,8 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclo
     for r in maps:
         at = (r["bucket"] - 1) * 4096  # buckets of 32,768 positions are numbered from 1, as positions are
         bits[at:at + 4096] |= np.frombuffer(bytes(r["map"]), np.uint8)
-    n_t = docs.select("tkey", "text").mapInArrow(_terms_in(bits), "term long, tkey long").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = found.agg(F.countDistinct("tkey").alias("n")).first()["n"]
+    n_t = docs.select("text").mapInArrow(_terms_in(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    total = found.count()
     own = -F.log(F.col("n_c") / F.lit(total))
     pmi = F.log(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
     return (pairs.join(n_t, "term").join(n_c, "entity").where((own > 0) & (pmi >= disclosure * own)).select("entity", "term"))
@@ -205,8 +204,8 @@ def with_term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) of every row of `docs` (doc_id, text)."""
-    docs = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"))
-    found = written(find(docs).select("doc_id", "tkey", "base", "near").withColumn("rid", F.monotonically_increasing_id()), "personal-data")
+    docs = docs.select("doc_id", "text")
+    found = written(find(docs).select("doc_id", "base", "near").withColumn("rid", F.monotonically_increasing_id()), "personal-data")
     return with_term_spans(found, disclosing(found, docs)).select("doc_id", "base", "spans")
 
 
@@ -233,9 +232,9 @@ def _replace(names: list[str]):
 def sanitised(docs: DataFrame) -> DataFrame:
     """`docs` with every span of its text generalised to the label of its kind, and `n_chars`
     (where it is a column) the new length."""
-    keyed = bundled(docs).withColumn("tkey", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    found = written(find(keyed).withColumn("rid", F.monotonically_increasing_id()), "personal-data")
-    marked = with_term_spans(found, disclosing(found, keyed)).select("row", "text", "spans")
+    rows = bundled(docs)
+    found = written(find(rows).withColumn("rid", F.monotonically_increasing_id()), "personal-data")
+    marked = with_term_spans(found, disclosing(found, rows)).select("row", "text", "spans")
     out = unbundled(marked.mapInArrow(_replace(["row", "text"]), marked.select("row", "text").schema), docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
