@@ -2,12 +2,13 @@
 
 Base kinds are found by pattern and checked (email, ip, card with Luhn, phone). Around
 every find (a protected entity), the `WINDOW` words on either side are its terms. On the
-whole corpus, n(c, t) counts documents with t near entity c, n(c) documents with c, n(t)
-documents with t anywhere and N all documents. The term discloses the entity if
+whole corpus of N different texts (copies are one), n(c) counts texts with entity c, n(t)
+texts with term t and n(c, t) texts with both, t near or far. A term of c discloses it if
 PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is at least `DISCLOSURE` of the entity's own
-information -log(n(c) / N), on the evidence of at least `SUPPORT` different windows
-(copies of a passage are one). Such terms are spans of kind `term`; `sanitised` puts a
-general label in the place of every span.
+information -log(n(c) / N) and the log-likelihood ratio of the two occurring independently
+is at least `SIGNIFICANCE`. A single text is evidence enough where both are rare against N.
+Such terms are spans of kind `term`; `sanitised` puts a general label in the place of every
+span.
 
 Offsets are code points, end exclusive. Terms never overlap base spans.
 
@@ -29,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import bundled, extended, slices, table, unbundled, written
+from scorewatch.llm.common import as_batch, bundled, extended, slices, table, unbundled, written
 from scorewatch.llm.words import split_words, strings
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, DISCLOSURE = 4, 3, 0.9
+WINDOW, DISCLOSURE = 4, 0.9
+SIGNIFICANCE = 10.83  # chi-square of one degree of freedom at 0.001
 FILTER_BITS = 1 << 22  # of the filter of terms that may disclose
+TEXT_BITS = 1 << 24  # of the filter of texts whose terms are listed
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -93,9 +96,8 @@ def entity(kind: int, found: str) -> int:
     return key64(f"{KINDS[kind]}:" + (found.lower() if kind < 2 else re.sub(r"[^0-9]", "", found)))
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, window, start, end) of the words around each find. The window's number is
-    that of its words, so that copies of a passage share it."""
+def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """(entity, term, start, end) of the words around each find."""
     words = [(m.start(), m.end()) for m in TERM.finditer(text)]
     starts = [s for s, _, _ in spans]
 
@@ -108,16 +110,14 @@ def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> l
     for s, kind, e in spans:
         i, j = bisect_left(begins, s), bisect_left(begins, e)
         near = words[max(0, i - window):i] + words[j:j + window]
-        terms = [text[a:b].lower() for a, b in near]
-        number = key64(" ".join(terms))
         who = entity(kind, text[s:e])
-        out += [(who, key64(t), number, a, b) for t, (a, b) in zip(terms, near, strict=True)]
+        out += [(who, key64(text[a:b].lower()), a, b) for a, b in near]
     return out
 
 
-NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("win", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-FOUND = "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,win:long,start:int,end:int>>"
+FOUND = "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>, who array<long>"
 
 
 def _find(window: int):
@@ -129,69 +129,124 @@ def _find(window: int):
                 likely |= pc.match_substring_regex(text, hint).to_numpy(zero_copy_only=False)
             base: list = [[] for _ in range(len(text))]
             near: list = [[] for _ in range(len(text))]
+            who: list = [[] for _ in range(len(text))]
             at = np.flatnonzero(likely)
             for i, t in zip(at.tolist(), text.take(pa.array(at)).to_pylist(), strict=True):
                 spans = base_spans(t)
                 base[i] = [dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans]
-                near[i] = [dict(zip(("entity", "term", "win", "start", "end"), x, strict=True)) for x in surroundings(t, spans, window)] if spans else []
+                near[i] = [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in surroundings(t, spans, window)] if spans else []
+                who[i] = sorted({entity(k, t[s:e]) for s, k, e in spans})
             cols = {n: b.column(n) for n in b.schema.names}
-            yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(base, pa.list_(SPAN)), "near": pa.array(near, pa.list_(NEAR))})
+            yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(base, pa.list_(SPAN)), "near": pa.array(near, pa.list_(NEAR)), "who": pa.array(who, pa.list_(pa.int64()))})
 
     return run
 
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` with their base spans and the surroundings of each find."""
-    return docs.mapInArrow(_find(window), extended(docs.schema, FOUND))
+    """The rows of `docs` with their base spans, the surroundings of each find, the entities, and
+    `rid` and `tkey`, which number the row and its text."""
+    out = docs.mapInArrow(_find(window), extended(docs.schema, FOUND))
+    return out.withColumn("rid", F.monotonically_increasing_id()).withColumn("tkey", text_key())
 
 
-def _terms_in(bits: np.ndarray):
-    """(term, n): how many texts of a slice hold a term that the filter lets through."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            counts, codes, dictionary = split_words(b.column("text"))
-            per_word = [[key64(t.lower()) for t in TERM.findall(w)] for w in strings(dictionary)]
-            n = np.fromiter(map(len, per_word), np.int64, len(per_word))
-            term = np.fromiter((x for w in per_word for x in w), np.int64, int(n.sum()))
-            place = term & (FILTER_BITS - 1)
-            through = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            word = np.repeat(np.arange(len(n)), n)[through]
-            names, term = np.unique(term[through], return_inverse=True)
-            # From words back to the texts that hold them, each term once for a text.
-            has = np.zeros(len(n), bool)
-            has[word] = True
-            used = has[codes]
-            doc, w = np.repeat(np.arange(len(counts)), counts)[used], codes[used]
-            lo, hi = np.searchsorted(word, w, "left"), np.searchsorted(word, w, "right")
-            times = hi - lo
-            at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            pair = np.unique(np.repeat(doc, times) * np.int64(len(names) + 1) + term[at])
-            texts = np.bincount(pair % (len(names) + 1), minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts.astype(np.int64))], names=["term", "n"])
-
-    return run
+def text_key() -> Column:
+    """One number for all copies of a text; null for null text."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs where the term discloses the entity. `found` has (rid, near) of all
-    rows, `docs` their text."""
-    near = found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", "x.win")
-    pairs = (near.groupBy("entity", "term").agg(F.countDistinct("win").alias("wins"), F.countDistinct("rid").alias("n_ct")).where(F.col("wins") >= support))
-    pairs = written(pairs, "term-pairs")
-    n_c = near.groupBy("entity").agg(F.countDistinct("rid").alias("n_c"))
-    # A filter of FILTER_BITS bits tells the tasks which terms to count, whatever their number.
-    place = F.expr(f"term & {FILTER_BITS - 1}")
-    maps = (pairs.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
+def filter_of(keys: DataFrame, size: int) -> np.ndarray:
+    """A filter of `size` bits of the one column of `keys`, whatever their number."""
+    place = F.pmod(F.col(keys.columns[0]), F.lit(size))
+    maps = (keys.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("map")).collect())
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in maps:
         at = (r["bucket"] - 1) * 4096  # buckets of 32,768 positions are numbered from 1, as positions are
         bits[at:at + 4096] |= np.frombuffer(bytes(r["map"]), np.uint8)
-    n_t = docs.select("text").mapInArrow(_terms_in(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = found.count()
+    return bits
+
+
+def passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = keys & (8 * len(bits) - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def held(text: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms that the filter lets through, and (text, place of the term) pairs, each once,
+    texts in order."""
+    counts, codes, dictionary = split_words(text)
+    per_word = [[key64(t.lower()) for t in TERM.findall(w)] for w in strings(dictionary)]
+    n = np.fromiter(map(len, per_word), np.int64, len(per_word))
+    term = np.fromiter((x for w in per_word for x in w), np.int64, int(n.sum()))
+    through = passed(term, bits)
+    word = np.repeat(np.arange(len(n)), n)[through]
+    names, term = np.unique(term[through], return_inverse=True)
+    # From words back to the texts that hold them, each term once for a text.
+    has = np.zeros(len(n), bool)
+    has[word] = True
+    used = has[codes]
+    doc, w = np.repeat(np.arange(len(counts)), counts)[used], codes[used]
+    lo, hi = np.searchsorted(word, w, "left"), np.searchsorted(word, w, "right")
+    times = hi - lo
+    at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    pair = np.unique(np.repeat(doc, times) * np.int64(len(names) + 1) + term[at])
+    return names, pair // (len(names) + 1), pair % (len(names) + 1)
+
+
+def _terms_in(term_bits: np.ndarray, text_bits: np.ndarray):
+    """(term, n, null, null): how many texts of a task hold a term that the filter lets through;
+    (null, null, tkey, terms) of a text that has copies or entities, which is counted later."""
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64()), ("tkey", pa.int64()), ("terms", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in slices(batches, "text"):
+            names, doc, term = held(b.column("text"), term_bits)
+            tkey = pc.fill_null(b.column("tkey"), 0).to_numpy()
+            listed = passed(tkey, text_bits)[doc]
+            total, at = np.unique(np.concatenate([total, names]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([sums, np.bincount(term[~listed], minlength=len(names))]), len(total)).astype(np.int64)
+            of, begin = np.unique(doc[listed], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, listed.sum()), pa.int32()), pa.array(names[term[listed]]))
+            yield as_batch(schema, [pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.int64()), tkey[of], lists])
+        some = sums > 0
+        none = int(some.sum())
+        yield as_batch(schema, [total[some], sums[some], pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64()))])
+
+    return run
+
+
+def evidence(both: Column, c: Column, t: Column, total: int) -> Column:
+    """Log-likelihood ratio (Dunning) of the two-by-two table of texts with c and with t."""
+    part = lambda x, y: F.when(x > 0, x * F.log(x * F.lit(total) / y)).otherwise(0.0)
+    no_c, no_t = F.lit(total) - c, F.lit(total) - t
+    return 2 * (part(both, c * t) + part(c - both, c * no_t) + part(t - both, no_c * t) + part(no_t - c + both, no_c * no_t))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFICANCE, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term) pairs where the term discloses the entity. `found` has (tkey, near, who) of
+    all rows, `docs` their text."""
+    total = found.agg(F.countDistinct("tkey")).first()[0]
+    holds = written(found.where(F.size("who") > 0).select("tkey", F.explode("who").alias("entity")).distinct(), "entities")
+    n_c = holds.groupBy("entity").agg(F.count("*").cast("double").alias("n_c"))
+    near = found.where(F.size("near") > 0).select("tkey", F.explode("near").alias("x")).select("tkey", "x.entity", "x.term")
+    n_near = near.groupBy("term").agg(F.countDistinct("tkey").alias("n_near"))
     own = -F.log(F.col("n_c") / F.lit(total))
+    # As n(c, t) is n(c) or n(t) at most, a term far more frequent than the entity cannot disclose it.
+    rare = lambda n: (own > 0) & (F.log(F.lit(total) / F.greatest("n_c", n)) >= disclosure * own)
+    pairs = written(near.select("entity", "term").distinct().join(n_c, "entity").join(n_near, "term").where(rare("n_near")).drop("n_near"), "term-pairs")
+    copied = found.where("tkey IS NOT NULL").groupBy("tkey").count().where("count > 1")
+    term_bits = filter_of(pairs.select("term"), FILTER_BITS)
+    text_bits = filter_of(holds.select("tkey").unionByName(copied.select("tkey")), TEXT_BITS)
+    counted = written(docs.select("text", text_key().alias("tkey")).mapInArrow(_terms_in(term_bits, text_bits), "term long, n long, tkey long, terms array<long>"), "term-counts")
+    listed = counted.where("tkey IS NOT NULL").dropDuplicates(["tkey"]).select("tkey", F.explode("terms").alias("term"))
+    n_t = (counted.where("term IS NOT NULL").select("term", "n").unionByName(listed.select("term", F.lit(1).cast("long").alias("n")))
+           .groupBy("term").agg(F.sum("n").cast("double").alias("n_t")))
+    pairs = written(pairs.join(n_t, "term").where(rare("n_t")), "rare-pairs")
+    n_ct = pairs.select("entity", "term").join(listed, "term").join(holds, ["entity", "tkey"]).groupBy("entity", "term").agg(F.count("*").cast("double").alias("n_ct"))
     pmi = F.log(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
-    return (pairs.join(n_t, "term").join(n_c, "entity").where((own > 0) & (pmi >= disclosure * own)).select("entity", "term"))
+    sure = evidence(F.col("n_ct"), F.col("n_c"), F.col("n_t"), total) >= significance
+    return written(pairs.join(n_ct, ["entity", "term"]).where((pmi >= disclosure * own) & sure).select("entity", "term"), "disclosing")
 
 
 def with_term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -199,13 +254,13 @@ def with_term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
     terms = (found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*").join(pairs, ["entity", "term"])
              .groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("terms")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.drop("near").join(terms, "rid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", none)))).drop("terms")
+    return found.drop("near", "who", "tkey").join(terms, "rid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", none)))).drop("terms")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) of every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    found = written(find(docs).select("doc_id", "base", "near").withColumn("rid", F.monotonically_increasing_id()), "personal-data")
+    found = written(find(docs).drop("text"), "personal-data")
     return with_term_spans(found, disclosing(found, docs)).select("doc_id", "base", "spans")
 
 
@@ -233,7 +288,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """`docs` with every span of its text generalised to the label of its kind, and `n_chars`
     (where it is a column) the new length."""
     rows = bundled(docs)
-    found = written(find(rows).withColumn("rid", F.monotonically_increasing_id()), "personal-data")
+    found = written(find(rows), "personal-data")
     marked = with_term_spans(found, disclosing(found, rows)).select("row", "text", "spans")
     out = unbundled(marked.mapInArrow(_replace(["row", "text"]), marked.select("row", "text").schema), docs.columns)
     if "n_chars" in docs.columns:

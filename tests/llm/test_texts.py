@@ -218,6 +218,48 @@ def test_terms_that_disclose(spark):
     assert clean.where("doc_id >= 25").exceptAll(docs.where("doc_id >= 25").selectExpr("*", "1 AS spans", "length(text) AS n_chars")).where("text NOT LIKE '%EMAIL%'").count() == 0
 
 
+def disclosed_terms(texts, window=4):
+    """Per text the lower-case terms that disclose an entity, by counting over the different texts."""
+    corpus = sorted(set(texts))
+    letters = re.compile(r"[^\W\d_]+")
+    has = [{m[0].lower() for m in letters.finditer(t)} for t in corpus]
+    who, near = [set() for _ in corpus], defaultdict(set)
+    for i, t in enumerate(corpus):
+        spans = plain_spans(t)
+        words = [m for m in letters.finditer(t) if all(m.end() <= s or m.start() >= e for s, _, e in spans)]
+        for s, _, e in spans:
+            who[i].add(t[s:e].lower())
+            near[t[s:e].lower()] |= {m[0].lower() for m in [m for m in words if m.end() <= s][-window:] + [m for m in words if m.start() >= e][:window]}
+    total, out = len(corpus), defaultdict(set)
+    for c, terms in near.items():
+        n_c = sum(c in x for x in who)
+        for t in terms:
+            n_t, both = sum(t in x for x in has), sum(t in x and c in y for x, y in zip(has, who, strict=True))
+            cells = [(both, n_c * n_t), (n_c - both, n_c * (total - n_t)), (n_t - both, (total - n_c) * n_t), (total - n_c - n_t + both, (total - n_c) * (total - n_t))]
+            ratio = 2 * sum(x * math.log(x * total / y) for x, y in cells if x)
+            if n_c < total and math.log(both * total / (n_c * n_t)) >= 0.9 * math.log(total / n_c) and ratio >= 10.83:
+                out[c].add(t)
+    return out
+
+
+def test_rare_entities_and_signature_lines_disclose(spark):
+    rnd = np.random.default_rng(3)
+    common = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    fill = lambda n: " ".join(rnd.choice(common, n))
+    texts = [f"{fill(30)}\nQuentin Vale Harrowgate Mills q.vale@mask.org" for _ in range(6)]  # always the same words around it
+    texts += [f"{fill(20)} Ottoline wrote on@ce.org {fill(20)}", f"{fill(9)} Ambrose {fill(2)} tw@ice.org", f"{fill(9)} Ambrose {fill(30)} tw@ice.org"]
+    texts += [f"{fill(9)} Report {fill(1)} cop@ied.org {fill(9)}"] * 40 + [f"{fill(30)} report {fill(9)}" for _ in range(20)]  # copies are no evidence
+    texts += [fill(60) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == 4} for r in privacy.spans(docs).collect() if r.spans}
+    assert all({"Quentin", "Vale", "Harrowgate", "Mills"} <= got[i] for i in range(6))
+    assert {"Ottoline", "wrote"} <= got[6] and "Ambrose" in got[7] and "Report" not in got[9]
+    found = privacy.find(docs)
+    pairs = privacy.disclosing(privacy.written(found.drop("text"), "found"), docs)
+    want = {(privacy.entity(0, c), privacy.key64(t)) for c, terms in disclosed_terms(texts).items() for t in terms}
+    assert {tuple(r) for r in pairs.collect()} == want
+
+
 def test_empty(spark, empty_dir):
     for q in (quality.q_quality, jaccard.q_jaccard, privacy.q_privacy):
         assert q(spark, empty_dir).count() == 0
