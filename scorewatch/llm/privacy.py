@@ -7,8 +7,8 @@ texts with term t and n(c, t) texts with both, t near or far. A term of c disclo
 PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is at least `DISCLOSURE` of the entity's own
 information -log(n(c) / N) and the log-likelihood ratio of the two occurring independently
 is at least `SIGNIFICANCE`. A single text is evidence enough where both are rare against N.
-Such terms are spans of kind `term`; `sanitised` puts a general label in the place of every
-span.
+Every occurrence of such a term is a span of kind `term`, in all texts, also far from the
+entity or without it; `sanitised` puts a general label in the place of every span.
 
 Offsets are code points, end exclusive. Terms never overlap base spans.
 
@@ -96,28 +96,33 @@ def entity(kind: int, found: str) -> int:
     return key64(f"{KINDS[kind]}:" + (found.lower() if kind < 2 else re.sub(r"[^0-9]", "", found)))
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words around each find."""
-    words = [(m.start(), m.end()) for m in TERM.finditer(text)]
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that no base span touches."""
     starts = [s for s, _, _ in spans]
 
     def free(s: int, e: int) -> bool:
         i = bisect_left(starts, e)
         return all(spans[k][2] <= s for k in range(max(0, i - 3), i))
 
-    words = [w for w in words if free(*w)]
-    begins, out = [s for s, _ in words], []
+    return [m.span() for m in TERM.finditer(text) if free(*m.span())]
+
+
+def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[int, int]]:
+    """(entity, term) of the words around each find."""
+    words, out = words_outside(text, spans), set()
+    begins = [s for s, _ in words]
     for s, kind, e in spans:
         i, j = bisect_left(begins, s), bisect_left(begins, e)
         near = words[max(0, i - window):i] + words[j:j + window]
         who = entity(kind, text[s:e])
-        out += [(who, key64(text[a:b].lower()), a, b) for a, b in near]
+        out |= {(who, key64(text[a:b].lower())) for a, b in near}
     return out
 
 
-NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
+HIT = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-FOUND = "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>, who array<long>"
+FOUND = "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long>>, who array<long>, terms array<long>"
 
 
 def _find(window: int):
@@ -130,21 +135,24 @@ def _find(window: int):
             base: list = [[] for _ in range(len(text))]
             near: list = [[] for _ in range(len(text))]
             who: list = [[] for _ in range(len(text))]
+            terms: list = [[] for _ in range(len(text))]
             at = np.flatnonzero(likely)
             for i, t in zip(at.tolist(), text.take(pa.array(at)).to_pylist(), strict=True):
                 spans = base_spans(t)
                 base[i] = [dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans]
-                near[i] = [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in surroundings(t, spans, window)] if spans else []
+                near[i] = [dict(zip(("entity", "term"), x, strict=True)) for x in sorted(surroundings(t, spans, window))] if spans else []
                 who[i] = sorted({entity(k, t[s:e]) for s, k, e in spans})
+                terms[i] = sorted(map(key64, {x.lower() for x in TERM.findall(t)})) if spans else []
             cols = {n: b.column(n) for n in b.schema.names}
-            yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(base, pa.list_(SPAN)), "near": pa.array(near, pa.list_(NEAR)), "who": pa.array(who, pa.list_(pa.int64()))})
+            lists = {n: pa.array(x, pa.list_(pa.int64())) for n, x in (("who", who), ("terms", terms))}
+            yield pa.RecordBatch.from_pydict(cols | {"base": pa.array(base, pa.list_(SPAN)), "near": pa.array(near, pa.list_(NEAR))} | lists)
 
     return run
 
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` with their base spans, the surroundings of each find, the entities, and
-    `rid` and `tkey`, which number the row and its text."""
+    """The rows of `docs` with their base spans, the surroundings of each find, the entities, all
+    terms of a text with finds, and `rid` and `tkey`, which number the row and its text."""
     out = docs.mapInArrow(_find(window), extended(docs.schema, FOUND))
     return out.withColumn("rid", F.monotonically_increasing_id()).withColumn("tkey", text_key())
 
@@ -224,17 +232,18 @@ def evidence(both: Column, c: Column, t: Column, total: int) -> Column:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFICANCE, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs where the term discloses the entity. `found` has (tkey, near, who) of
-    all rows, `docs` their text."""
+    """(entity, term) pairs where the term discloses the entity. `found` has (tkey, near, who,
+    terms) of all rows, `docs` their text."""
     total = found.agg(F.countDistinct("tkey")).first()[0]
     holds = written(found.where(F.size("who") > 0).select("tkey", F.explode("who").alias("entity")).distinct(), "entities")
     n_c = holds.groupBy("entity").agg(F.count("*").cast("double").alias("n_c"))
     near = found.where(F.size("near") > 0).select("tkey", F.explode("near").alias("x")).select("tkey", "x.entity", "x.term")
-    n_near = near.groupBy("term").agg(F.countDistinct("tkey").alias("n_near"))
+    # Texts with entities alone bound n(t) from below.
+    n_held = found.where(F.size("terms") > 0).dropDuplicates(["tkey"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
     own = -F.log(F.col("n_c") / F.lit(total))
     # As n(c, t) is n(c) or n(t) at most, a term far more frequent than the entity cannot disclose it.
     rare = lambda n: (own > 0) & (F.log(F.lit(total) / F.greatest("n_c", n)) >= disclosure * own)
-    pairs = written(near.select("entity", "term").distinct().join(n_c, "entity").join(n_near, "term").where(rare("n_near")).drop("n_near"), "term-pairs")
+    pairs = written(near.select("entity", "term").distinct().join(n_c, "entity").join(n_held, "term").where(rare("n_held")).drop("n_held"), "term-pairs")
     copied = found.where("tkey IS NOT NULL").groupBy("tkey").count().where("count > 1")
     term_bits = filter_of(pairs.select("term"), FILTER_BITS)
     text_bits = filter_of(holds.select("tkey").unionByName(copied.select("tkey")), TEXT_BITS)
@@ -249,19 +258,41 @@ def disclosing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFIC
     return written(pairs.join(n_ct, ["entity", "term"]).where((pmi >= disclosure * own) & sure).select("entity", "term"), "disclosing")
 
 
-def with_term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`found` with `spans`: base spans and those of disclosing terms, ordered (kind 4: term)."""
-    terms = (found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*").join(pairs, ["entity", "term"])
-             .groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("terms")))
+def _hits(bits: np.ndarray):
+    """(tkey, hits): all occurrences, outside of base spans, of terms that the filter lets through."""
+    schema = pa.schema([("tkey", pa.int64()), ("hits", pa.list_(HIT))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            names, doc, _ = held(b.column("text"), bits)
+            wanted, at = set(names.tolist()), pa.array(np.unique(doc))
+            hits = []
+            for t in b.column("text").take(at).to_pylist():
+                found = [(key64(t[s:e].lower()), s, e) for s, e in words_outside(t, base_spans(t))]
+                hits.append([dict(zip(("term", "start", "end"), x, strict=True)) for x in found if x[0] in wanted])
+            yield as_batch(schema, [b.column("tkey").take(at), hits])
+
+    return run
+
+
+def with_term_spans(found: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`found` with `spans`: base spans and all occurrences of disclosing terms, ordered (kind 4:
+    term). `docs` has the text of all rows."""
+    terms = pairs.select("term").distinct()
+    hits = docs.select("text", text_key().alias("tkey")).mapInArrow(_hits(filter_of(terms, FILTER_BITS)), "tkey long, hits array<struct<term:long,start:int,end:int>>")
+    of_text = (hits.dropDuplicates(["tkey"]).select("tkey", F.explode("hits").alias("x")).select("tkey", "x.*").join(terms, "term")
+               .groupBy("tkey").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("terms")))
+    of_row = written(found.select("rid", "tkey").join(of_text, "tkey").select("rid", "terms"), "term-spans")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.drop("near", "who", "tkey").join(terms, "rid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", none)))).drop("terms")
+    return (found.drop("near", "who", "terms", "tkey").join(of_row, "rid", "left")
+            .withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", none)))).drop("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) of every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     found = written(find(docs).drop("text"), "personal-data")
-    return with_term_spans(found, disclosing(found, docs)).select("doc_id", "base", "spans")
+    return with_term_spans(found, docs, disclosing(found, docs)).select("doc_id", "base", "spans")
 
 
 LABELS = (*(f"[{k.upper()}]" for k in KINDS), "[TERM]")
@@ -289,7 +320,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     (where it is a column) the new length."""
     rows = bundled(docs)
     found = written(find(rows), "personal-data")
-    marked = with_term_spans(found, disclosing(found, rows)).select("row", "text", "spans")
+    marked = with_term_spans(found, rows, disclosing(found, rows)).select("row", "text", "spans")
     out = unbundled(marked.mapInArrow(_replace(["row", "text"]), marked.select("row", "text").schema), docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

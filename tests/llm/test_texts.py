@@ -260,6 +260,24 @@ def test_rare_entities_and_signature_lines_disclose(spark):
     assert {tuple(r) for r in pairs.collect()} == want
 
 
+def test_disclosing_terms_are_replaced_far_from_the_entity_and_without_it(spark):
+    rnd = np.random.default_rng(6)
+    common = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    fill = lambda n: " ".join(rnd.choice(common, n))
+    texts = [f"{fill(9)} Zorro writes as z@mask.org {fill(50)} ZORRO said zorro@{i}.org {fill(50)} (Zorro)" for i in range(9)]
+    texts += [f"{fill(9)} Zorro {fill(9)}"] * 3 + [f"{fill(9)} Zorros {fill(9)}", f"{fill(30)}, so Zorro"] + [fill(60) for _ in range(200)] + [None]
+    docs = spark.createDataFrame([(i % 100 or None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(3)
+    clean = {r.row: r.text for r in privacy.sanitised(docs).collect()}
+    assert clean.keys() == set(range(len(texts)))
+    plain = lambda t: re.sub(r"(?i)\b(zorro|writes|as|said)\b", "[TERM]", EMAIL.sub("[EMAIL]", t or "")) or None
+    near = re.compile(r"(?i)\bzorro\b")
+    for i, t in enumerate(texts):
+        assert not near.search(clean[i] or "") and (i < 9 or clean[i] == plain(t))
+    assert clean[0].count("[TERM]") >= 5 and clean[0].count("[EMAIL]") == 2
+    for r in privacy.spans(docs).collect():
+        assert all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+
+
 def test_empty(spark, empty_dir):
     for q in (quality.q_quality, jaccard.q_jaccard, privacy.q_privacy):
         assert q(spark, empty_dir).count() == 0
