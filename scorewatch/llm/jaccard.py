@@ -259,8 +259,8 @@ def _search(key: tuple, t: pa.Table) -> pa.Table:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, n, component_id) for every row of `docs` (doc_id, text); `tkey` is a hash
-    of the text."""
+    """(doc_id, tkey, n, component, component_id) for every row of `docs` (doc_id, text); `tkey` is
+    a hash of the text, `component` numbers the components (null without words)."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
@@ -288,15 +288,16 @@ def classes(docs: DataFrame) -> DataFrame:
     found = components(links)
     named = reps.select("sid", "f1", "f2", "rep").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("f1", "f2", "component_id")
-    out = rows.where("n > 0").join(named, ["f1", "f2"]).select("doc_id", "tkey", "n", "component_id")
-    return out.unionByName(rows.where("n = 0").select("doc_id", "tkey", "n", F.col("doc_id").alias("component_id")))
+    named = named.join(least, "component").select("f1", "f2", "component", "component_id")
+    out = rows.where("n > 0").join(named, ["f1", "f2"]).select("doc_id", "tkey", "n", "component", "component_id")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "tkey", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without all but one document of each component; documents without
-    words stay. The least (doc_id, text hash) of a component is kept."""
-    kept = (classes(docs).where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "tkey")).alias("k"))
+    words stay. The least (doc_id, text hash) of a component is kept. Components that share a
+    component id, as those without or with repeated doc_ids do, keep one each."""
+    kept = (classes(docs).where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "tkey")).alias("k"))
             .select(F.col("k.doc_id").alias("kept_id"), F.col("k.tkey").alias("kept_key")))
     rows = bundled(docs).withColumn("id", F.col("row.doc_id")).withColumn("tkey", F.xxhash64("text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]")

@@ -162,6 +162,25 @@ def test_one_of_each_keeps_one_document_of_a_group(spark, edge_dir):
     assert len(out) - len(worded) == sum(n == 0 for _, n, _ in found)
 
 
+def test_one_of_each_keeps_components_that_share_an_id(spark):
+    pair = "these words are in two texts that are quite alike and so they are near copies of each other"
+    rows = [(None, f"no id and {w} words of its own {w} and {w}") for w in ("red", "green", "blue")] + [(None, pair), (None, f"{pair} too"), (None, pair)]
+    rows += [(3, "repeated id with a first text of its own"), (3, "repeated id yet quite another second one"), (None, None), (None, " ")]
+    rows += [(9, "a b c d e f g"), (8, "a b c d e f g")]
+    texts = [(i, t) for i, t in rows]
+    sets, root = [shingles(t) for _, t in texts], list(range(len(texts)))
+    for a, b in links(sets):
+        root = [root[a] if x == root[b] else x for x in root]
+    groups = defaultdict(set)
+    for (i, t), s, c in zip(texts, sets, root, strict=True):
+        if s:
+            groups[c].add((i, t))
+    kept = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    worded = [r for r in kept if WORD.search(r[1] or "")]
+    assert len(groups) == 7 and len(worded) == 7 and len(kept) == 9
+    assert all(sum(r in g for r in worded) == 1 for g in groups.values()) and (8, "a b c d e f g") in worded
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 PATTERNS = {"email": EMAIL, "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
             "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
