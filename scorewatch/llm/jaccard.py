@@ -163,6 +163,17 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
+def merged(met: np.ndarray, lo: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different sets from `lo` in the concatenated lists, and how often each is there. Few
+    entries are sorted; counters for all sets of lo..q serve only where there are more entries."""
+    met = met[met >= lo]
+    if len(met) < q - lo:
+        return np.unique(met, return_counts=True)
+    count = np.bincount(met - lo)
+    r = np.flatnonzero(count)
+    return r + lo, count[r]
+
+
 class Search:
     """DivideSkip over sets in order of growing size; set q is searched among those before it.
 
@@ -192,10 +203,7 @@ class Search:
         lists = [self.rows[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
         longest = max(map(len, lists), default=0)
         n_long = min(need - 1, int(need / (0.01 * longest.bit_length() + 1)))
-        met = np.concatenate(lists[:len(lists) - n_long])
-        count = np.bincount(met[met >= lo] - lo, minlength=max(0, q - lo))
-        r = np.flatnonzero(count) + lo
-        count = count[r - lo]
+        r, count = merged(np.concatenate(lists[:len(lists) - n_long]), lo, q)
         # One set of each component first: the rest of a component that links need no probe.
         group, most = self.label[r], np.argsort(-count, kind="stable")
         chosen = most[np.unique(group[most], return_index=True)[1]]
@@ -230,7 +238,7 @@ def _search(key: tuple, t: pa.Table) -> pa.Table:
     text = t["text"].combine_chunks()
     shingle, owner = ordered(*sets(text))
     n, f1, f2 = fingerprints(shingle, owner, t.num_rows)
-    # A doc_id may name several texts: take one of each wanted set.
+    # The row of a set may be repeated: take one of each wanted set.
     good = (n > 0) & (f1 == t["f1"].to_numpy()) & (f2 == t["f2"].to_numpy())
     sid, seen, rows = t["sid"].to_numpy(), set(), []
     for i in np.lexsort((sid, n)).tolist():
@@ -258,6 +266,14 @@ def _search(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def fetched(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(meet, sid, f1, f2, text): each wanted set meets the text of its own row (doc_id, tkey), not
+    all texts under a repeated or null doc_id."""
+    wanted = wanted.select("meet", "sid", "f1", "f2", F.col("row.doc_id").alias("rep"), F.col("row.tkey").alias("rep_tkey"))
+    here = (F.col("rep_tkey") == F.col("tkey")) & F.col("rep").eqNullSafe(F.col("doc_id"))
+    return wanted.join(docs, here).select("meet", "sid", "f1", "f2", "text")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, n, component, component_id) for every row of `docs` (doc_id, text); `tkey` is
     a hash of the text, `component` numbers the components (null without words)."""
@@ -266,12 +282,12 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     rows = written(docs.mapInArrow(_profile, "doc_id long, tkey long, n long, f1 long, f2 long"), "shingle-profile")
     cells = levels(docs)
-    reps = written(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    reps = written(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "tkey")).alias("row"), F.max("n").alias("n"))
                    .withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     shared = (docs.select("text").mapInArrow(_prefixes(cells), "key long, a long, b long")
               .repartition(n_parts, "key").sortWithinPartitions("key", "a").mapInArrow(_ties, "u long, v long"))
-    blocks = written(components(shared).join(reps, F.col("node") == F.col("f1")).select("sid", "rep", "f1", "f2", "n", F.col("component").alias("block")), "blocks")
+    blocks = written(components(shared).join(reps, F.col("node") == F.col("f1")).select("sid", "row", "f1", "f2", "n", F.col("component").alias("block")), "blocks")
     sums = blocks.groupBy("block").agg(F.sum("n").alias("size"))
     total = sums.agg(F.sum("size").alias("s")).first()["s"] or 0
     groups = 1 + total // BLOCK_SHINGLES
@@ -282,8 +298,7 @@ def classes(docs: DataFrame) -> DataFrame:
              .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))))
              .withColumn("meet", F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("block"), F.lit(groups)))
                          .otherwise(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other")))))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    met = (dealt.select("meet", "sid", "rep", "f1", "f2").join(texts, dealt["rep"].eqNullSafe(texts["rep"])).select("meet", "sid", "f1", "f2", "text"))
+    met = fetched(dealt.select("meet", "sid", "row", "f1", "f2"), docs)
     links = met.groupBy("meet").applyInArrow(lambda key, t: _search(key, t), "u long, v long")
     found = components(links)
     named = reps.select("sid", "f1", "f2", "rep").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

@@ -162,6 +162,25 @@ def test_one_of_each_keeps_one_document_of_a_group(spark, edge_dir):
     assert len(out) - len(worded) == sum(n == 0 for _, n, _ in found)
 
 
+def test_sets_under_one_id_meet_their_own_text(spark, monkeypatch):
+    words = lambda d, i: " ".join(f"{d}x{i}y{j}" for j in range(20))
+    rows = [(d, words(d, i) + end) for i in range(20) for d in (None, 5) for end in ("", " end")]
+    seen, plain = [], jaccard.fetched
+    monkeypatch.setattr(jaccard, "fetched", lambda *a: seen.append(plain(*a)) or seen[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = Counter((r.doc_id, r.n, r.component_id) for r in jaccard.classes(docs).collect())
+    assert out == Counter(classes(rows))
+    met = seen[0].collect()
+    assert len(met) == len({(r.meet, r.sid) for r in met}) > 40
+
+
+@pytest.mark.parametrize("n, q", [(0, 9), (5, 1000), (3000, 50)])
+def test_merged_lists(n, q):
+    met = np.random.default_rng(n).integers(0, q, n)
+    r, count = jaccard.merged(met, 4, q)
+    assert dict(zip(r.tolist(), count.tolist(), strict=True)) == Counter(x for x in met.tolist() if x >= 4) and (np.diff(r) > 0).all()
+
+
 def test_one_of_each_keeps_components_that_share_an_id(spark):
     pair = "these words are in two texts that are quite alike and so they are near copies of each other"
     rows = [(None, f"no id and {w} words of its own {w} and {w}") for w in ("red", "green", "blue")] + [(None, pair), (None, f"{pair} too"), (None, pair)]
