@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import importlib
+from scorewatch.llm import chat, huffman, jaccard, mtree, packing, pieces, privacy, quality, sharding, spelling, tokencounts, urls, whitening
 
-_MODULES = ("mtree", "huffman", "quality", "pieces", "jaccard", "packing", "sharding", "urls", "privacy", "chat")
+_MODULES = (mtree, huffman, quality, pieces, jaccard, packing, sharding, urls, privacy, chat, spelling, tokencounts, whitening)
 
 
 def _entries(attribute: str) -> dict:
     out = {}
     for m in _MODULES:
-        out.update(getattr(importlib.import_module(f"{__package__}.{m}"), attribute))
+        out.update(getattr(m, attribute))
     return out
 
 
