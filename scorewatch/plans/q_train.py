@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorewatch.operators import calibration as CA
 from scorewatch.operators import ensemble as EN
 from scorewatch.operators import fitted as FT
 from scorewatch.operators import metrics as M
@@ -31,41 +32,130 @@ def train_base(spark, sf_dir):
     return M.all_metrics(sl, ["model_id"]).select("model_id", "n", "auc_roc", "brier_score", "calibration_error")
 
 
-def _cv(spark, sf_dir):
-    ls = FX.loans_split(spark, sf_dir).where(F.col("split") != "test").select("loan_id", F.col("TARGET").alias("label"), "month_no", *FEATS)
-    return TR.cross_validate(ls, None, "loan_id", "label", pipeline=lambda: FT.FeaturePipeline(label="label", exclude=["loan_id"]))
+#: Written fold scores by application and folder: both keys below read one cross-validation.
+_FOLD_SCORES: dict[tuple[str, str], object] = {}
+
+
+def fold_scores(spark, sf_dir):
+    """Scores of every fold of train+val, features fitted per fold: a written table, made once for an
+    application and a folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLD_SCORES:
+        ls = FX.loans_split(spark, sf_dir).where(F.col("split") != "test").select("loan_id", F.col("TARGET").alias("label"), "month_no", *FEATS)
+        _FOLD_SCORES[key] = cut_lineage(TR.fold_scores(ls, None, "loan_id", "label", pipeline=lambda: FT.FeaturePipeline(label="label", exclude=["loan_id"])), "cv-scores")
+    return _FOLD_SCORES[key]
 
 
 @register("cross_validate", None)
 def cross_validate(spark, sf_dir):
     """#131/#132/#136: 5-fold stratified CV of the equal-weight ensemble on train+val, features fitted per fold."""
-    return _cv(spark, sf_dir).select("fold", "n", "auc_roc", "brier_score", "calibration_error")
+    return M.all_metrics(fold_scores(spark, sf_dir), ["fold"]).select("fold", "n", "auc_roc", "brier_score", "calibration_error")
 
 
 @register("cv_summary", None)
 def cv_summary(spark, sf_dir):
     """#131: mean / population std of fold metrics and the best fold."""
-    return TR.cv_summary(_cv(spark, sf_dir))
-
-
-@register("isotonic", None)
+    return TR.cv_summary(M.all_metrics(fold_scores(spark, sf_dir), ["fold"]))
+
+
+def isotonic_sql(src: str, by: list[str], out: str) -> str:
+    """CTE `out` (by..., lo, hi, n, value, next_lo, next_value): slopes of the greatest convex minorant of the
+    cumulated labels, walked from corner to corner. Needs WITH RECURSIVE."""
+    b, part = ", ".join(by), f"PARTITION BY {', '.join(by)}"
+    on = " AND ".join(f"{out}_c.{c} = h.{c}" for c in by)
+    hb = ", ".join(f"h.{c}" for c in by)
+    return f"""{out}_c AS (SELECT {b}, x, row_number() OVER w AS i, CAST(sum(n) OVER w AS BIGINT) AS w, CAST(sum(s) OVER w AS BIGINT) AS s
+  FROM (SELECT {b}, prob AS x, count(*) AS n, sum(label) AS s FROM {src} GROUP BY ALL) WINDOW w AS ({part} ORDER BY x)),
+{out}_h AS (SELECT DISTINCT {b}, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS w, CAST(0 AS BIGINT) AS s FROM {out}_c
+  UNION ALL
+  SELECT {b}, t.i, t.w, t.s FROM (
+    SELECT {hb}, arg_min(struct_pack(i := {out}_c.i, w := {out}_c.w, s := {out}_c.s),
+      struct_pack(m := CAST({out}_c.s - h.s AS DOUBLE) / CAST({out}_c.w - h.w AS DOUBLE), d := -{out}_c.i)) AS t
+    FROM {out}_h h JOIN {out}_c ON {on} AND {out}_c.i > h.i GROUP BY ALL)),
+{out}_b AS (SELECT * FROM (SELECT *, lag(i) OVER v AS i0, w - lag(w) OVER v AS n, s - lag(s) OVER v AS k FROM {out}_h WINDOW v AS ({part} ORDER BY i)) WHERE i > 0),
+{out} AS (SELECT *, lead(lo) OVER v AS next_lo, lead(value) OVER v AS next_value, first_value(value) OVER v AS least FROM (
+  SELECT {', '.join(f'z.{c}' for c in by)}, a.x AS lo, e.x AS hi, z.n, CAST(z.k AS DOUBLE) / CAST(z.n AS DOUBLE) AS value FROM {out}_b z
+  JOIN {out}_c a ON {' AND '.join(f'a.{c} = z.{c}' for c in by)} AND a.i = z.i0 + 1 JOIN {out}_c e ON {' AND '.join(f'e.{c} = z.{c}' for c in by)} AND e.i = z.i)
+  WINDOW v AS ({part} ORDER BY lo))"""
+
+
+_CALIBRATED = """CASE WHEN b.lo IS NULL THEN f.least WHEN t.prob <= b.hi OR b.next_lo IS NULL THEN b.value
+    ELSE b.value + (b.next_value - b.value) * ((t.prob - b.hi) / (b.next_lo - b.hi)) END"""
+_RECURSIVE = lambda *views: "WITH RECURSIVE " + with_views(*views)[len("WITH "):].rstrip("\n")
+_ISO_SQL = _RECURSIVE("split_long") + """,
+tr AS (SELECT * FROM split_long WHERE split = 'train' AND prob IS NOT NULL),
+""" + isotonic_sql("tr", ["model_id"], "iso")
+
+
+def _train_calibration(spark, sf_dir):
+    lo = FX.loans_split(spark, sf_dir)
+    sl = lo.select("split", F.col("TARGET").alias("label"), F.expr("stack(3, 'a', score_a, 'b', score_b, 'c', score_c) AS (model_id, prob)"))
+    return sl, CA.fit_isotonic(sl.where(F.col("split") == "train"), by=["model_id"])
+
+
+@register("isotonic_blocks", _ISO_SQL + f"""
+SELECT model_id, {r6('lo', 'lo')}, {r6('hi', 'hi')}, n, {r6('value', 'value')} FROM iso""")
+def isotonic_blocks(spark, sf_dir):
+    """#121: the calibration of every model's scores on train, block by block."""
+    b = _train_calibration(spark, sf_dir)[1].blocks
+    return b.select("model_id", "lo", "hi", F.col("w").alias("n"), (F.col("s") / F.col("w")).alias("value"))
+
+
+@register("isotonic", _ISO_SQL + f"""
+SELECT t.model_id, {r6('avg((t.prob - t.label) * (t.prob - t.label))', 'brier_raw')}, {r6(f'avg(({_CALIBRATED} - t.label) * ({_CALIBRATED} - t.label))', 'brier_calibrated')}
+FROM (SELECT * FROM split_long WHERE split = 'test' AND prob IS NOT NULL) t ASOF LEFT JOIN iso b ON t.model_id = b.model_id AND t.prob >= b.lo
+JOIN (SELECT model_id, any_value(least) AS least FROM iso GROUP BY model_id) f ON f.model_id = t.model_id GROUP BY t.model_id""")
 def isotonic(spark, sf_dir):
-    """#121: isotonic calibration of score_b on train, applied to test; metrics before/after."""
-    lo = FX.loans_split(spark, sf_dir).select("split", F.col("TARGET").alias("label"), F.col("score_b").alias("prob"))
-    model = TR.fit_isotonic(lo.where(F.col("split") == "train"))
-    test = TR.apply_isotonic(lo.where(F.col("split") == "test"), model)
-    raw = M.brier(test, []).select(F.col("brier_score").alias("brier_raw"), F.lit(1).alias("_k"))
-    cal = M.brier(test.withColumn("prob", F.col("calibrated")), []).select(
-        F.col("brier_score").alias("brier_calibrated"), F.lit(1).alias("_k"))
-    return raw.join(cal, "_k").drop("_k")
+    """#121: isotonic calibration of every model on train, applied to test; Brier score before and after."""
+    sl, cal = _train_calibration(spark, sf_dir)
+    test = CA.apply_isotonic(sl.where((F.col("split") == "test") & F.col("prob").isNotNull()), cal)
+    sq = lambda c: F.avg((F.col(c) - F.col("label")) * (F.col(c) - F.col("label")))
+    return test.groupBy("model_id").agg(sq("prob").alias("brier_raw"), sq("calibrated").alias("brier_calibrated"))
+
+
+def _recalibration_sql() -> str:
+    from scorewatch.plans.q_ensemble import _MON_SQL
+
+    return _RECURSIVE("scored_long") + ",\n" + _MON_SQL + f""",
+called AS (SELECT s.* FROM scored_long s JOIN mon USING (model_id, month_no) WHERE mon.brier_score > 0.15e0 AND s.prob IS NOT NULL),
+fit AS (SELECT * FROM called WHERE (model_id, month_no) IN (SELECT (model_id, month_no) FROM called GROUP BY model_id, month_no HAVING count(*) >= {CA.MIN_ROWS})),
+""" + isotonic_sql("fit", ["model_id", "month_no"], "iso") + f""",
+cals AS (SELECT model_id, month_no AS cal_month, any_value(least) AS least FROM iso GROUP BY ALL),
+t AS (SELECT s.model_id, s.month_no, s.prob, s.label, c.cal_month, c.least FROM (SELECT * FROM scored_long WHERE prob IS NOT NULL) s
+  ASOF LEFT JOIN cals c ON s.model_id = c.model_id AND s.month_no > c.cal_month),
+u AS (SELECT t.model_id, t.month_no, t.cal_month, t.prob, t.label,
+    CASE WHEN t.cal_month IS NULL THEN t.prob ELSE {_CALIBRATED.replace('f.least', 't.least')} END AS calibrated
+  FROM t ASOF LEFT JOIN iso b ON t.model_id = b.model_id AND t.cal_month = b.month_no AND t.prob >= b.lo)
+SELECT model_id, month_no, cal_month, {r6('avg((prob - label) * (prob - label))', 'brier_raw')}, {r6('avg((calibrated - label) * (calibrated - label))', 'brier_calibrated')}
+FROM u GROUP BY ALL"""
+
+
+@register("recalibration", _recalibration_sql())
+def recalibration(spark, sf_dir):
+    """#121: wherever a model's monitor calls for it at the end of a month (rolling Brier above 0.15), a
+    calibration is fitted on that month; every month is scored through the latest one before it.
+    All calibrations are one fit."""
+    from scorewatch.plans.q_ensemble import _monitored
+
+    sl = FX.scored_long(spark, sf_dir).where("prob IS NOT NULL")
+    calls = _monitored(spark, sf_dir).where(F.col("brier_score") > EN.RECALIBRATION_THRESHOLD).select("model_id", "month_no")
+    cal = CA.fit_isotonic(sl.join(calls, ["model_id", "month_no"]), by=["model_id", "month_no"])
+    made = cal.blocks.select(F.col("model_id").alias("m"), F.col("month_no").alias("c")).distinct()
+    months = sl.select("model_id", "month_no").distinct()
+    latest = months.join(made, (F.col("model_id") == F.col("m")) & (F.col("c") < F.col("month_no")), "left").groupBy("model_id", "month_no").agg(F.max("c").alias("cal_month"))
+    rows = sl.join(latest, ["model_id", "month_no"]).select("model_id", F.col("month_no").alias("month"), F.col("cal_month").alias("month_no"), "prob", "label")
+    out = CA.apply_isotonic(rows, cal)
+    sq = lambda c: F.avg((F.col(c) - F.col("label")) * (F.col(c) - F.col("label")))
+    return out.groupBy("model_id", "month", "month_no").agg(sq("prob").alias("brier_raw"), sq("calibrated").alias("brier_calibrated")).select(
+        "model_id", F.col("month").alias("month_no"), F.col("month_no").alias("cal_month"), "brier_raw", "brier_calibrated")
 
 
 @register("calibrated_cv", None)
 def calibrated_cv(spark, sf_dir):
     """#122: base learners cross-fitted with isotonic calibration on train, metrics per learner on test."""
     d = _train_frame(spark, sf_dir)
-    models = TR.calibrated_cv(d.where(F.col("split") == "train"), FEATS, "loan_id", "label")
-    sl = TR.score_calibrated(models, d.where(F.col("split") == "test"), ["loan_id"], "label")
+    folds, cal = TR.calibrated_cv(d.where(F.col("split") == "train"), FEATS, "loan_id", "label")
+    sl = TR.score_calibrated(folds, cal, d.where(F.col("split") == "test"), ["loan_id"], "label")
     return M.all_metrics(sl, ["model_id"]).select("model_id", "n", "auc_roc", "brier_score", "calibration_error")
 
 

@@ -93,7 +93,10 @@ def test_validate_scores_strict(spark):
 def test_spec_validation():
     from scorewatch.operators.training import EnsembleSpec
 
-    EnsembleSpec(stability_alpha=0.0)
+    EnsembleSpec(stability_alpha=1.0)
+    for alpha in (0.0, -0.1, 1.1):
+        with pytest.raises(ValueError):
+            EnsembleSpec(stability_alpha=alpha)
     with pytest.raises(ValueError):
         EnsembleSpec(calibration_window=0)
     with pytest.raises(ValueError):
