@@ -13,14 +13,17 @@ d(q, entry) - radius, and q.entry + |q| radius. A page waits in a heap under its
 tree is left when the best bound cannot beat the k-th result. Bounds are rounded to whole
 scores, and at equal score the least id decides, so pages of equal vectors are cut too.
 
-Queries meet their own tree first; its k-th score is their threshold in all other trees,
-which blocks of queries visit.
+Queries meet their own tree first; its k-th score is their threshold in all other trees. Blocks
+of queries walk a tree together: a page waits under the best bound of those that want it, and is
+compared with all of them at once; each query keeps its own threshold and drops out of a page on its own.
 
 Defined cases: null vectors, vectors with null or non-finite components and rows with a null
 vec_id take no part; shorter vectors count as padded with zeros; rows with one vec_id are rows
 of their own (ties by vec_id, then row), and only the query's own row is no candidate; with
-fewer than k candidates all are returned; an empty table gives no rows. Products too large for
-exact double sums are an error.
+fewer than k candidates all are returned; an empty table gives no rows. Components of any size
+are whole doubles: where products are too large for exact double sums, bounds are widened by the
+error of a sum and every possible result is scored in Python integers; ranks follow the exact scores,
+and a score beyond 64 bits is null. An entry whose 256-fold is no finite double takes no part.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import as_batch, table, written
+from scorewatch.llm.common import as_batch, extended, table, written
 
 TREE_ROWS, MAX_PIVOTS = 4096, 256
 LEAF, FANOUT = 128, 16
@@ -122,61 +125,111 @@ class Tree:
         f = lambda b: np.frombuffer(b, "<f8")
         self.pages[number] = (leaf, f(vectors).reshape(-1, self.dim), f(to_parent), f(radius), f(norm), np.frombuffer(least, "<i8"), np.frombuffer(ref, "<i8"))
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: tuple[int, int, int] | None) -> list[tuple[int, int, int]]:
-        """The (score, -id, -row) of up to k best rows but row `own`, if above `floor`, ascending."""
-        q2 = float(q @ q)
-        q1 = q2 ** 0.5
-        best: list[tuple[int, int, int]] = []
-        bar = floor
-        heap: list[tuple[float, int, int, float]] = [(-np.inf, 0, 0, -1.0)]
-
-        def bound(dist: np.ndarray, norm: np.ndarray) -> np.ndarray:
-            """Largest whole score at a distance of at least `dist`."""
-            return np.floor((q2 + norm - np.maximum(dist, 0) ** 2) / 2 + 1e-6 + 1e-12 * (q2 + norm))
-
-        def hopeful(score: np.ndarray, least: np.ndarray) -> np.ndarray:
-            return np.ones(len(score), bool) if bar is None else (score > bar[0]) | ((score == bar[0]) & (least <= -bar[1]))
-
+    def search(self, x: np.ndarray, own: np.ndarray, k: int, floors: list[tuple[int, int, int] | None], wide: bool = False) -> list[list[tuple[int, int, int]]]:
+        """For each query (a row of `x`) the (score, -id, -row) of up to k best rows but row `own`, if
+        above its floor, ascending. `wide`: scores need more than doubles."""
+        found = _Results(k, floors)
+        q2 = (x ** 2).sum(1)
+        everyone = np.arange(len(x))
+        heap: list[tuple] = [(-np.inf, 0, 0, everyone, np.full(len(x), np.inf), None)]
         while heap:
-            top, low, number, d_parent = heapq.heappop(heap)
-            if bar is not None and (-top < bar[0] or (-top == bar[0] and low > -bar[1])):
-                break  # no page left can do better
-            leaf, x, to_parent, radius, norm, least, ref = self.pages[number]
-            todo = np.arange(len(x))
-            if d_parent >= 0:  # the stored distances spare computations
-                todo = todo[hopeful(bound(np.abs(d_parent - to_parent) - radius - 1e-9 * (d_parent + to_parent), norm), least)]
+            top, low, number, who, most, d_parent = heapq.heappop(heap)
+            if -top < found.score.min():
+                break  # no page left can do better for any query
+            stay = found.hopeful(who, most, low)
+            who, d_parent = who[stay], None if d_parent is None else d_parent[stay]
+            if not len(who):
+                continue
+            leaf, o, to_parent, radius, norm, least, ref = self.pages[number]
+            todo = np.arange(len(o))
+            if d_parent is not None:  # the stored distances spare computations
+                near = np.abs(d_parent[:, None] - to_parent) - radius - 1e-9 * (d_parent[:, None] + to_parent)
+                hope = found.hopeful(who[:, None], _bound(q2[who], near, norm), least)
+                todo = np.flatnonzero(hope.any(axis=0))
+                rows = hope.any(axis=1)
+                who = who[rows]
             if not len(todo):
                 continue
-            score = x[todo] @ q
+            score = x[who] @ o[todo].T
             if leaf:
-                for i in np.flatnonzero(hopeful(score, least[todo])).tolist():
-                    found = (int(score[i]), -int(least[todo[i]]), -int(ref[todo[i]]))
-                    if -found[2] != own and (bar is None or found > bar):
-                        if len(best) < k:
-                            heapq.heappush(best, found)
-                        else:
-                            heapq.heapreplace(best, found)
-                        if len(best) == k and (bar is None or best[0] > bar):
-                            bar = best[0]
+                error = 1e-14 * len(x.T) * np.sqrt(q2[who, None] * norm[todo]) if wide else 0.0
+                for a, i in np.argwhere(found.hopeful(who[:, None], score + error, least[todo])).tolist():
+                    q, row = who[a], todo[i]
+                    if ref[row] != own[q]:
+                        exact = sum(int(u) * int(v) for u, v in zip(x[q].tolist(), o[row].tolist(), strict=True)) if wide else int(score[a, i])
+                        found.add(q, (exact, -int(least[row]), -int(ref[row])))
+                continue
+            if wide:
+                d = np.sqrt(((x[who, None, :] - o[None, todo]) ** 2).sum(-1))
             else:
-                o2 = (x[todo] ** 2).sum(1)
-                d = np.sqrt(np.maximum(q2 + o2 - 2 * score, 0))
-                r = radius[todo]
-                most = np.minimum(bound(d - r - 1e-9 * (d + r), norm[todo]), np.floor(score + q1 * r * (1 + 1e-12) + 1e-6 + 1e-12 * np.abs(score)))
-                for i in np.flatnonzero(hopeful(most, least[todo])).tolist():
-                    heapq.heappush(heap, (-float(most[i]), int(least[todo[i]]), int(ref[todo[i]]), float(d[i])))
-        return sorted(best)
+                d = np.sqrt(np.maximum(q2[who, None] + (o[todo] ** 2).sum(1) - 2 * score, 0))
+            r = radius[todo]
+            most = np.minimum(_bound(q2[who], d - r - 1e-9 * (d + r), norm[todo]), np.floor(score + np.sqrt(q2[who, None]) * r * (1 + 1e-12) + 1e-6 + 1e-12 * np.sqrt(q2[who, None] * norm[todo])))
+            hope = found.hopeful(who[:, None], most, least[todo])
+            for i in np.flatnonzero(hope.any(axis=0)).tolist():
+                some = hope[:, i]
+                heapq.heappush(heap, (-float(most[some, i].max()), int(least[todo[i]]), int(ref[todo[i]]), who[some], most[some, i], d[some, i]))
+        return [sorted(b) for b in found.best]
+
+
+class _Results:
+    """The k best of each query of a block, and what beats them: a score, and at equal score an id."""
+
+    def __init__(self, k: int, floors: list[tuple[int, int, int] | None]):
+        self.k, self.bars = k, list(floors)
+        self.best: list[list] = [[] for _ in floors]
+        self.score, self.low = np.full(len(floors), -np.inf), np.zeros(len(floors), np.int64)
+        for q, bar in enumerate(floors):
+            if bar is not None:
+                self._raise(q, bar)
+
+    def _raise(self, q: int, bar: tuple[int, int, int]) -> None:
+        # A double below the exact score: pages at the bar itself are not cut too early.
+        near = float(bar[0])
+        self.bars[q], self.score[q], self.low[q] = bar, near if near <= bar[0] else np.nextafter(near, -np.inf), -bar[1]
+
+    def hopeful(self, who: np.ndarray, most: np.ndarray, least) -> np.ndarray:
+        """Where `most` may still beat the bar of `who`."""
+        score = self.score[who]
+        return ~(most < score) & ((most != score) | (least <= self.low[who]) | np.isinf(score))
+
+    def add(self, q: int, row: tuple[int, int, int]) -> None:
+        bar, best = self.bars[q], self.best[q]
+        if bar is not None and row <= bar:
+            return
+        if len(best) < self.k:
+            heapq.heappush(best, row)
+        else:
+            heapq.heapreplace(best, row)
+        if len(best) == self.k and (bar is None or best[0] > bar):
+            self._raise(q, best[0])
+
+
+def _bound(q2: np.ndarray, dist: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Largest whole scores at distances of at least `dist`."""
+    both = q2[:, None] + norm
+    return np.floor((both - np.maximum(dist, 0) ** 2) / 2 + 1e-6 + 1e-12 * both)
+
+
+def sort_key(score: int) -> str:
+    """Text that sorts like the number."""
+    digits = str(abs(score))
+    text = f"{len(digits):05d}{digits}"
+    return "1" + text if score >= 0 else "0" + text.translate(_NINES)
+
+
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
-def _search(dim: int, k: int):
-    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64()), ("rid", pa.int64())])
+def _search(dim: int, k: int, wide: bool):
+    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("score", pa.string()), ("key", pa.string()), ("vec_id", pa.int64()), ("rid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, tree = None, Tree(dim)
         for b in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t, queries, page, leaf, *raw = row
+            for at in range(b.num_rows):
+                t, queries, page, leaf, *raw = (c[at].as_py() for c in b.columns)
                 if t != number:  # pages of a tree come before its queries
                     number, tree = t, Tree(dim)
                 if not queries:
@@ -185,10 +238,13 @@ def _search(dim: int, k: int):
                 if not tree.pages:
                     continue
                 x = np.frombuffer(raw[0], "<f8").reshape(-1, dim)
-                floors = np.frombuffer(raw[1], "<i8").reshape(-1, 4)
+                marks = np.frombuffer(raw[1], "<i8").reshape(-1, 3).tolist()
+                scores = raw[2].decode().split(",")
                 ids, rows = np.frombuffer(raw[4], "<i8"), np.frombuffer(raw[5], "<i8")
-                for q, floor, i, r in zip(x, floors.tolist(), ids.tolist(), rows.tolist(), strict=True):
-                    out += [(r, i, s, -m, -w) for s, m, w in tree.search(q, r, k, tuple(floor[1:]) if floor[0] else None)]
+                floors = [(int(f), i, r) if known else None for f, (known, i, r) in zip(scores, marks, strict=True)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    found = tree.search(x, rows, k, floors, wide)
+                out += [(r, i, str(f), sort_key(f), -m, -w) for r, i, best in zip(rows.tolist(), ids.tolist(), found, strict=True) for f, m, w in best]
             if out:
                 yield as_batch(schema, [list(c) for c in zip(*out, strict=True)])
 
@@ -196,21 +252,23 @@ def _search(dim: int, k: int):
 
 
 def _block(dim: int):
-    """One row from a block of queries, addressed to tree `tree`. A floor is (known, score, -id, -row)."""
+    """One row from a block of queries, addressed to tree `tree`. A floor is (known, -id, -row) and a score."""
     def run(key: tuple, t: pa.Table) -> pa.Table:
         x = matrix(t["v"], dim)
-        floors = np.stack([t[c].to_numpy() for c in ("known", "f_score", "f_id", "f_row")], 1)
-        empty = b""
-        raw = [x.astype("<f8").tobytes(), floors.astype("<i8").tobytes(), empty, empty, t["vec_id"].to_numpy().astype("<i8").tobytes(), t["rid"].to_numpy().astype("<i8").tobytes()]
+        marks = np.stack([t[c].to_numpy() for c in ("known", "f_id", "f_row")], 1)
+        scores = ",".join(t["f_score"].to_pylist()).encode()
+        raw = [x.astype("<f8").tobytes(), marks.astype("<i8").tobytes(), scores, b"", t["vec_id"].to_numpy().astype("<i8").tobytes(), t["rid"].to_numpy().astype("<i8").tobytes()]
         return pa.Table.from_batches([as_batch(PAGE, [[key[0].as_py()], [True], [key[1].as_py()], [False], *[[r] for r in raw]])])
 
     return run
 
 
 def integers(vectors: DataFrame, column: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v): whole components of the rows that take part."""
-    ok = F.col("vec_id").isNotNull() & F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(ok).select("vec_id", F.transform(column, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    """(vec_id, v): components as whole doubles, of the rows that take part."""
+    v = F.transform(column, lambda x: x.cast("double") * scale)
+    ok = F.col("vec_id").isNotNull() & F.col(column).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    floor = lambda x: F.rint(x) - F.when(F.rint(x) > x, F.lit(1.0)).otherwise(F.lit(0.0))
+    return vectors.where(ok).select("vec_id", F.transform(v, floor).alias("v"))
 
 
 class Forest:
@@ -221,8 +279,7 @@ class Forest:
         most = F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0)))
         facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), most.alias("most")).first()
         self.dim = max(1, facts["dim"] or 1)
-        if 4 * self.dim * (facts["most"] or 0) ** 2 >= 1 << 53:
-            raise ValueError("components are too large for exact products")
+        self.wide = 4 * self.dim * float(facts["most"] or 0) ** 2 >= 1 << 53
         # Pivots: the first distinct vectors of a bounded sample, rows in the order of a hash.
         n = max(1, min(max_pivots, (facts["n"] or 0) // tree_rows))
         sample = rows.select("v", F.xxhash64("rid").alias("h")).orderBy("h").limit(4 * max_pivots).collect()
@@ -231,7 +288,7 @@ class Forest:
             p = np.zeros((len(pivots), self.dim))
             for i, v in enumerate(pivots):
                 p[i, :len(v)] = v
-            rows = written(rows.mapInArrow(_nearest(p), "vec_id long, v array<long>, query boolean, rid long, pivot int"), "pivoted")
+            rows = written(rows.mapInArrow(_nearest(p), extended(rows.schema, "pivot int")), "pivoted")
         else:
             rows = rows.withColumn("pivot", F.lit(0))
         trees, base = F.lit(0), 0
@@ -247,25 +304,26 @@ class Forest:
 
     def _meet(self, blocks: DataFrame, k: int) -> DataFrame:
         both = self.pages.unionByName(blocks).repartition(self.parts, "tree").sortWithinPartitions("tree", "queries", "page")
-        return both.mapInArrow(_search(self.dim, k), "query_row long, query_id long, score long, vec_id long, rid long")
+        return both.mapInArrow(_search(self.dim, k, self.wide), "query_row long, query_id long, score string, key string, vec_id long, rid long")
 
     def search(self, k: int) -> DataFrame:
         """(query_id, rank, vec_id, score) of every query row."""
-        none = [F.lit(0).cast("long").alias(c) for c in ("known", "f_score", "f_id", "f_row")]
+        none = [F.lit(0).cast("long").alias("known"), F.lit("0").alias("f_score"), *[F.lit(0).cast("long").alias(c) for c in ("f_id", "f_row")]]
         queries = self.rows.where("query").select("tree", "vec_id", "v", "rid")
         share = F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-queries.count() // BLOCK_QUERIES)))).cast("int")
         at_home = queries.select("*", share.alias("part"), *none).groupBy("tree", "part").applyInArrow(_block(self.dim), PAGE_DDL)
         first = written(self._meet(at_home, k), "home-results")
-        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "rid"))
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("key"), "vec_id", "rid"))
         kth = (first.withColumn("rank", rank).where(F.col("rank") == k)
                .select(F.col("query_row").alias("rid"), F.lit(1).cast("long").alias("known"), F.col("score").alias("f_score"), (-F.col("vec_id")).alias("f_id"), (-F.col("rid")).alias("f_row")))
-        floors = queries.join(kth, "rid", "left").select("rid", "vec_id", "v", F.col("tree").alias("home"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("known", "f_score", "f_id", "f_row")])
+        floors = queries.join(kth, "rid", "left").select("rid", "vec_id", "v", F.col("tree").alias("home"), F.coalesce("f_score", F.lit("0")).alias("f_score"),
+                                                         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("known", "f_id", "f_row")])
         # Every block of queries that share a home visits all other trees.
         blocks = floors.withColumnRenamed("home", "tree").withColumn("part", share).groupBy("tree", "part").applyInArrow(_block(self.dim), PAGE_DDL)
         others = F.filter(F.sequence(F.lit(0), F.lit(max(0, self.n_trees - 1))), lambda t: t != F.col("tree"))
         sent = blocks.withColumn("tree", F.explode(others))
         found = first.unionByName(self._meet(sent, k))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.expr("try_cast(score AS long)").alias("score"))
 
 
 def _nearest(p: np.ndarray):

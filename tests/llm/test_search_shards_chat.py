@@ -1,6 +1,7 @@
 """Top-k search, shards, URL filter and chat examples."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -68,8 +69,28 @@ def test_search_skips_vectors_that_take_no_part(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, tree string, rid int")
     got = Counter(tuple(r) for r in mtree.Forest(mtree.integers(df), F.col("vec_id") % 50 == 0).search(5).collect())
     assert got == best([(0, [128, 256]), (5, [0, -1]), (50, [-256, 512])], 5, lambda i: i % 50 == 0)
-    with pytest.raises(ValueError):
-        mtree.Forest(mtree.integers(spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>")), F.lit(True))
+
+
+@pytest.mark.parametrize("tree_rows", [20, 4096])
+def test_components_of_any_size_are_scored_exactly(spark, tree_rows):
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rnd.normal(size=(90, 6)) * 3e7)]
+    rows += [(200 + i, [3e7, -2e7, 1e-3 * i, 5.0, 0.0, 1.0]) for i in range(30)]  # scores that differ in the last digits
+    large = [(500, [1e30, 1.0]), (550, [-1e30, 2.0]), (600, [1e30, 1.0, 3.0]), (650, [2.0**1020])]
+    df = spark.createDataFrame(rows + large, "vec_id long, embedding array<double>").repartition(3)
+    got = mtree.Forest(mtree.integers(df), F.col("vec_id") % 10 == 0, tree_rows=tree_rows).search(5).collect()
+    whole = {i: [math.floor(256 * c) for c in v] + [0] * (6 - len(v)) for i, v in rows + large[:3]}
+    want = set()
+    for q in (i for i in whole if i % 10 == 0):
+        score = {c: sum(a * b for a, b in zip(whole[q], whole[c], strict=True)) for c in whole if c != q}
+        best = sorted(score, key=lambda c: (-score[c], c))[:5]
+        want |= {(q, r + 1, c, score[c] if abs(score[c]) < 2**63 else None) for r, c in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_sort_keys_sort_like_numbers():
+    numbers = sorted({0, 1, -1, 9, 10, -9, -10, 2**63, -(2**63), 10**80, -(10**80), 123, -123, 124, -124})
+    assert sorted(numbers, key=mtree.sort_key) == numbers
 
 
 @pytest.mark.parametrize("bucket_bytes", [sharding.BUCKET_BYTES, 20_000])

@@ -151,14 +151,16 @@ def test_jaccard_with_shared_passages_and_dealt_blocks(spark, monkeypatch, limit
 def test_one_of_each_keeps_one_document_of_a_group(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     rows = rows_of(spark, edge_dir)
-    found = classes(rows)
-    groups = {c for _, n, c in found if n} - {None}
-    unnamed = {t for (i, t), (_, n, c) in zip(rows, found, strict=True) if n and c is None}
+    found = classes([(i, t) for i, (_, t) in enumerate(rows)])  # components by place: ids repeat and may be null
+    groups = defaultdict(set)
+    for (_, n, c), r in zip(found, rows, strict=True):
+        if n:
+            groups[c].add(r)
     kept = jaccard.one_of_each(docs)
     out = kept.collect()
     assert kept.columns == docs.columns
-    worded = [r for r in out if WORD.search(r.text or "")]
-    assert len(worded) == len(groups) + len(unnamed)
+    worded = [(r.doc_id, r.text) for r in out if WORD.search(r.text or "")]
+    assert len(worded) == len(groups) and all(sum(r in g for r in worded) == 1 for g in groups.values())
     assert len(out) - len(worded) == sum(n == 0 for _, n, _ in found)
 
 
