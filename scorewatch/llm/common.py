@@ -25,10 +25,21 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | N
     """`df` as a Parquet table in the shared checkpoint folder, read back with its own
     schema. Later steps scan the files, so a lost executor costs one task and not the
     steps before it."""
+    return written_at(df, name, codec, partition_by)[0]
+
+
+def written_at(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """As `written`, with the folder, for `dropped`."""
     path = scratch_path(df.sparkSession, name)
     w = df.write.option("compression", codec)
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a table that `written_at` made and nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star
 steps. Every step is a grouped minimum and a join, so a node with a third of all edges is
-pre-aggregated and its join side split; the edges of each step are a written table."""
+pre-aggregated and its join side split; the edges of each step are a written table, and those of
+the step before it go. No edges give no nodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import written
+from scorewatch.llm.common import dropped, written_at
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -26,13 +27,15 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u, v: long); the component is its least node."""
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    now, path = written_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     mark = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (state["n"], state["h"]) or not state["n"]:
             break
         mark = (state["n"], state["h"])
-        now = written(_small(_stars(now)), "edges")
+        done = path
+        now, path = written_at(_small(_stars(now)), "edges")
+        dropped(edges.sparkSession, done)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -4,7 +4,8 @@
    document's set size and 128-bit set fingerprint. Documents with equal fingerprints are
    one set from here on.
 2. All documents order their shingles alike, rare cells first (any common order is exact; a
-   good one keeps shared passages out of the first shingles). Two sets that link share a
+   good one keeps shared passages out of the first shingles). A shingle alone in its cell is in one
+   document and is not shipped. Two sets that link share a
    shingle among the first n - ceil(0.8 n) + 1 of each. Shingles shared there tie sets into
    blocks (connected components); no set links outside its block.
 3. Each block's texts meet once. Sets are searched by growing size among smaller ones by
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.llm.common import as_batch, bundled, slices, table, unbundled, written
 from scorewatch.llm.components import components
+from scorewatch.llm.filters import filter_of, passed
 from scorewatch.llm.encoders import ragged
 from scorewatch.llm.words import mix, positions, split_words, window_hashes, word_hashes
 
@@ -38,6 +40,11 @@ N = 5
 #: Counters of one byte; with about one for four different shingles, shared passages stand out.
 CELLS, PART = 1 << 25, 1 << 16
 BLOCK_SHINGLES = 1 << 21
+#: Level of a cell that counts one document.
+ALONE = 6
+#: Bits of the filter of texts that meet others; it saves shuffling the rest, beyond about as many
+#: texts as bits less and less.
+TEXT_BITS = 1 << 25
 
 
 def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,24 +87,24 @@ def fingerprints(shingle: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, places, counts): this task's filled cells, by place in their part; 255 is frequent in
-    any case."""
+    """(part, filled, places, counts): bits of this task's filled cells, and the counts of those above
+    one by place in their part; 255 is frequent in any case."""
     cells = np.zeros(CELLS, np.uint8)
     for b in slices(batches, "text"):
         at, n = np.unique(ordered(*sets(b.column("text")))[0] & np.uint64(CELLS - 1), return_counts=True)
         at = at.astype(np.int64)
         cells[at] = np.minimum(cells[at] + n, 255)
-    filled = np.flatnonzero(cells)
-    for part in np.unique(filled // PART).tolist():
-        at = filled[np.searchsorted(filled, part * PART):np.searchsorted(filled, (part + 1) * PART)]
-        row = [[part], [(at - part * PART).astype("<u2").tobytes()], [cells[at].tobytes()]]
-        yield as_batch(pa.schema([("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())]), row)
+    for part in np.unique(np.flatnonzero(cells) // PART).tolist():
+        own = cells[part * PART:(part + 1) * PART]
+        more = np.flatnonzero(own > 1)  # most filled cells hold one: a bit each is enough
+        row = [[part], [np.packbits(own > 0).tobytes()], [more.astype("<u2").tobytes()], [own[more].tobytes()]]
+        yield as_batch(pa.schema([("part", pa.int32()), ("filled", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())]), row)
 
 
 def levels(docs: DataFrame) -> np.ndarray:
     """How frequent the shingles of each cell are, over all documents: CELLS bytes reach the
     driver, whatever the size of the corpus."""
-    rows = docs.select("text").mapInArrow(_count, "part int, places binary, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(_count, "part int, filled binary, places binary, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, counts binary").collect()
     out = np.zeros(CELLS, np.uint8)
     for r in rows:
         out[r["part"] * PART:(r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint8)
@@ -113,15 +120,17 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _add_parts(key: tuple, t: pa.Table) -> pa.Table:
     """Sums of the tasks' counts as levels of one byte, six for each doubling."""
     total = np.zeros(PART, np.int64)
-    for places, counts in zip(t["places"], t["counts"], strict=True):
-        total[np.frombuffer(places.as_py(), "<u2")] += np.frombuffer(counts.as_py(), np.uint8)
+    for filled, places, counts in zip(t["filled"], t["places"], t["counts"], strict=True):
+        total += np.unpackbits(np.frombuffer(filled.as_py(), np.uint8))
+        total[np.frombuffer(places.as_py(), "<u2")] += np.frombuffer(counts.as_py(), np.uint8) - np.int64(1)
     level = np.minimum(np.round(6 * np.log2(1 + total)), 255).astype(np.uint8)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([level.tobytes()], pa.binary())})
 
 
 def _prefixes(cells: np.ndarray):
     """Rows (key, a, null): set a has shingle `key` in its prefix; (key, a, b): a shares one with b.
-    Within a slice each key names one set, and the others are tied to it."""
+    Within a slice each key names one set, and the others are tied to it. A shingle alone in its cell
+    is in one document only and ties nothing."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +138,7 @@ def _prefixes(cells: np.ndarray):
             shingle, owner = ordered(*sets(b.column("text")), cells)
             n, f1, _ = fingerprints(shingle, owner, b.num_rows)
             prefix = n - (4 * n + 4) // 5 + 1
-            use = positions(n)[1] < prefix[owner]
+            use = (positions(n)[1] < prefix[owner]) & (cells[shingle & np.uint64(CELLS - 1)] > ALONE)
             key, node = shingle[use].view(np.int64), f1[owner[use]]
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
@@ -270,8 +279,17 @@ def fetched(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(meet, sid, f1, f2, text): each wanted set meets the text of its own row (doc_id, tkey), not
     all texts under a repeated or null doc_id."""
     wanted = wanted.select("meet", "sid", "f1", "f2", F.col("row.doc_id").alias("rep"), F.col("row.tkey").alias("rep_tkey"))
+    some = docs.mapInArrow(_let_through(filter_of(wanted.select("rep_tkey"), TEXT_BITS)), docs.schema)
     here = (F.col("rep_tkey") == F.col("tkey")) & F.col("rep").eqNullSafe(F.col("doc_id"))
-    return wanted.join(docs, here).select("meet", "sid", "f1", "f2", "text")
+    return wanted.join(some.hint("merge"), here).select("meet", "sid", "f1", "f2", "text")
+
+
+def _let_through(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passed(b.column("tkey").fill_null(0).to_numpy(), bits)))
+
+    return run
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -312,11 +330,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without all but one document of each component; documents without
     words stay. The least (doc_id, text hash) of a component is kept. Components that share a
     component id, as those without or with repeated doc_ids do, keep one each."""
-    kept = (classes(docs).where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "tkey")).alias("k"))
-            .select(F.col("k.doc_id").alias("kept_id"), F.col("k.tkey").alias("kept_key")))
-    rows = bundled(docs).withColumn("id", F.col("row.doc_id")).withColumn("tkey", F.xxhash64("text"))
+    kept = classes(docs).where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "tkey")).alias("k"))
+    # One key of both, never null: the texts move once for the join and for repeated rows.
+    key = lambda i, t: F.concat_ws(" ", F.coalesce(i.cast("string"), F.lit("-")), t.cast("string"))
+    kept = kept.select(key(F.col("k.doc_id"), F.col("k.tkey")).alias("key"))
+    rows = bundled(docs).withColumn("key", key(F.col("row.doc_id"), F.xxhash64("text")))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]")
-    chosen = rows.where(worded).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tkey") == F.col("kept_key")), "left_semi").dropDuplicates(["id", "tkey"])
+    chosen = rows.where(worded).join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     return unbundled(chosen.unionByName(rows.where(~worded)), docs.columns)
 
 

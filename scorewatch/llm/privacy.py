@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import as_batch, bundled, extended, slices, table, unbundled, written
+from scorewatch.llm.filters import filter_of, passed
 from scorewatch.llm.words import split_words, strings
 
 KINDS = ("email", "ip", "card", "phone")
@@ -162,23 +163,6 @@ def text_key() -> Column:
     return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
 
 
-def filter_of(keys: DataFrame, size: int) -> np.ndarray:
-    """A filter of `size` bits of the one column of `keys`, whatever their number."""
-    place = F.pmod(F.col(keys.columns[0]), F.lit(size))
-    maps = (keys.select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("map")).collect())
-    bits = np.zeros(size // 8, np.uint8)
-    for r in maps:
-        at = (r["bucket"] - 1) * 4096  # buckets of 32,768 positions are numbered from 1, as positions are
-        bits[at:at + 4096] |= np.frombuffer(bytes(r["map"]), np.uint8)
-    return bits
-
-
-def passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = keys & (8 * len(bits) - 1)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
-
 def held(text: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The terms that the filter lets through, and (text, place of the term) pairs, each once,
     texts in order."""
