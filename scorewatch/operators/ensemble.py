@@ -2,8 +2,8 @@
 
 Every operator takes `by` keys (portfolio, region, run) so many ensembles are
 updated in one job. Per-model state is small (models x keys rows); the
-row-level work (rolling Brier over scored rows) is distributed by a global
-row index and prefix sums, never by one window over a whole model.
+row-level work (rolling Brier over scored rows) streams sorted ranges that
+exchange halos, never one window over a whole model.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.operators.rankstats import prefix_sums
+from scorewatch.operators.rolling import rolling_means
+from scorewatch.session import cut_lineage
 
 # fixed values (must equal the original's)
 SCORE_AUC_WEIGHT = 0.6
@@ -76,12 +77,22 @@ def monitor_metrics(scored: DataFrame, by: Sequence[str], batch: str, order: Seq
     """#116/#123: what an update of each batch reads: (by..., model, batch, brier_score, auc_roc),
     the model's rolling Brier score over its last n pairs at the end of the batch, and the
     batch's AUC (0.5 with one class). `order` begins with `batch`."""
+    return monitor_windows(scored, by, batch, order, [n], model, min_n, label, prob).drop("window")
+
+
+def monitor_windows(scored: DataFrame, by: Sequence[str], batch: str, order: Sequence[str], windows: Sequence[int], model: str = "model_id",
+                    min_n: int = MIN_BUFFER, label: str = "label", prob: str = "prob") -> DataFrame:
+    """`monitor_metrics` for several windows from one pass over the rows, with the column `window`."""
     from scorewatch.operators.rankstats import auc_roc
 
-    keys = [*by, model]
-    rolling = batch_reports(rolling_brier(scored, keys, order, n, min_n, label, prob), keys, batch)
+    keys, windows = [*by, model], sorted({int(n) for n in windows})
+    names = list(dict.fromkeys([*keys, batch, *order]))
+    rolling = rolling_means(squared_errors(scored, names, label, prob), keys, list(dict.fromkeys([batch, *order])), "_sq", windows)
+    last = rolling.groupBy(*keys, batch).agg(F.max_by(F.struct(*[_reported(n, min_n).alias(f"b{n}") for n in windows]), F.struct(*order)).alias("r"))
+    parts = ", ".join(f"{n}, r.b{n}" for n in windows)
+    last = last.selectExpr(*[f"`{c}`" for c in [*keys, batch]], f"stack({len(windows)}, {parts}) AS (window, brier_score)")
     auc = auc_roc(scored, [*keys, batch], label, prob).select(*keys, batch, F.coalesce("auc_roc", F.lit(0.5)).alias("auc_roc"))
-    return rolling.join(auc, [*keys, batch]).select(*keys, batch, F.col("rolling_brier").alias("brier_score"), "auc_roc")
+    return last.join(auc, [*keys, batch]).select(*keys, batch, "window", "brier_score", "auc_roc")
 
 
 def weight_stats(weights: DataFrame, model_metrics: DataFrame, by: Sequence[str] = (), model: str = "model_id",
@@ -103,64 +114,30 @@ def weight_stats(weights: DataFrame, model_metrics: DataFrame, by: Sequence[str]
         .otherwise(F.lit("Low")).alias("diversity_level"))
 
 
-def _as_integral(c: str, dtype) -> F.Column:
-    from pyspark.sql.types import TimestampNTZType, TimestampType
-
-    if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp"))
-    return F.col(c).cast("bigint")
-
-
-def order_key(df: DataFrame, order: Sequence[str]) -> F.Column:
-    """One exact decimal key with the lexicographic order of integral (or timestamp)
-    order columns: k = c1 * 10^d + (c2 - min2), d = digits of the c2 range."""
-    order = list(order)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if len(order) == 1:
-        return _as_integral(order[0], types[order[0]]).cast("decimal(38,0)")
-    if len(order) > 2:
-        raise ValueError("order_key supports one or two order columns")
-    c1, c2 = (_as_integral(c, types[c]) for c in order)
-    r = df.agg(F.min(c2).alias("lo"), F.max(c2).alias("hi")).first()
-    lo, hi = int(r["lo"] or 0), int(r["hi"] or 0)
-    scale = 10 ** len(str(max(hi - lo, 0) + 1))
-    return (c1.cast("decimal(38,0)") * F.lit(scale).cast("decimal(38,0)") + (c2 - F.lit(lo)).cast("decimal(38,0)")).cast("decimal(38,0)")
-
-
-def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """1-based row number within `by` in `order` (order columns unique within `by`),
-    plus running sums `<c>_below` of `extra` columns, without a single-task window:
-    distributed prefix sums over one exact composite order key."""
-    d = df.withColumn("_key", order_key(df, order)).withColumn("_one", F.lit(1).cast("bigint"))
-    ps = prefix_sums(d, by, "_key", ["_one", *extra], bucketing="range")
-    return ps.withColumn("rn", F.col("_one_below") + F.lit(1)).drop("_one", "_one_below", "_one_total", "_key")
-
-
 def rolling_brier(scored: DataFrame, by: Sequence[str], order: Sequence[str], n: int = WINDOW,
                   min_n: int = MIN_BUFFER, label: str = "label", prob: str = "prob") -> DataFrame:
-    """#82: Brier over the last n (prob, label) pairs at every row; 0.0 until min_n pairs.
-
-    rolling(i) = (S(i) - S(i-n)) / min(i, n) with S the running sum of squared
-    errors: distributed prefix sums give the row index and S at once, and one
-    equi-join on (by, rn - n) gives S(i-n). Output: by..., order..., rn, n_window, rolling_brier.
-    """
+    """#82: Brier score over the last n (prob, label) pairs at every row; 0.0 until min_n pairs.
+    Output: by..., order..., n_window, rolling_brier."""
     if n <= 0:
         raise ValueError("calibration_window must be positive")
+    names = list(dict.fromkeys([*by, *order]))
+    r = rolling_means(squared_errors(scored, names, label, prob), by, order, "_sq", [n])
+    return r.select(*names, F.col(f"n_{n}").alias("n_window"), _reported(n, min_n).alias("rolling_brier"))
+
+
+def squared_errors(scored: DataFrame, keep: Sequence[str], label: str, prob: str) -> DataFrame:
     y = F.col(label).cast("double")
-    base = scored.select(*by, *order, ((F.col(prob) - y) * (F.col(prob) - y)).alias("sq"))
-    ps = row_index(base, by, order, ["sq"]).withColumn("S", F.col("sq_below") + F.col("sq"))
-    back = ps.select(*by, (F.col("rn") + F.lit(n)).alias("rn"), F.col("S").alias("S_back"))
-    j = ps.join(back, [*by, "rn"], "left")
-    cnt = F.least(F.col("rn"), F.lit(n))
-    val = (F.col("S") - F.coalesce(F.col("S_back"), F.lit(0.0))) / cnt
-    return j.select(*by, *order, "rn", cnt.alias("n_window"),
-                    F.when(cnt >= F.lit(min_n), val).otherwise(F.lit(0.0)).alias("rolling_brier"))
+    return scored.select(*keep, ((F.col(prob) - y) * (F.col(prob) - y)).alias("_sq"))
+
+
+def _reported(n: int, min_n: int):
+    return F.when(F.col(f"n_{n}") >= F.lit(min_n), F.col(f"mean_{n}")).otherwise(F.lit(0.0))
 
 
-def batch_reports(rolling: DataFrame, by: Sequence[str], batch: str) -> DataFrame:
+def batch_reports(rolling: DataFrame, by: Sequence[str], batch: str, order: Sequence[str]) -> DataFrame:
     """One report per batch = the rolling value at the last row of the batch."""
     return rolling.groupBy(*by, batch).agg(
-        F.max_by(F.struct("n_window", "rolling_brier"), F.col("rn")).alias("r")).select(
+        F.max_by(F.struct("n_window", "rolling_brier"), F.struct(*order)).alias("r")).select(
         *by, batch, "r.n_window", "r.rolling_brier")
 
 
@@ -256,10 +233,7 @@ def search_weights(scored: DataFrame, scored_eval: DataFrame, grid: Sequence[tup
     weights meet the held-out scores on the model id."""
     from scorewatch.operators.rankstats import auc_roc
 
-    batches = None
-    for n in sorted({int(g[2]) for g in grid}):
-        m = monitor_metrics(scored, [], batch, order, model, n, min_n).withColumn("window", F.lit(n))
-        batches = m if batches is None else batches.unionByName(m)
+    batches = cut_lineage(monitor_windows(scored, [], batch, order, [g[2] for g in grid], model, min_n), "monitor-windows")
     cands = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(float(a)).alias("alpha"), F.lit(float(f)).alias("min_weight"),
                                F.lit(int(n)).alias("w"), F.lit(float(t)).alias("threshold")) for i, (a, f, n, t) in enumerate(grid)])
     each = batches.withColumn("_g", F.explode(cands)).where(F.col("_g.w") == F.col("window")).select("*", "_g.cand", "_g.alpha", "_g.min_weight", "_g.threshold").drop("_g")

@@ -86,7 +86,7 @@ def ensemble_score(spark, sf_dir):
 def rolling_brier(spark, sf_dir):
     """#82: rolling Brier over the last 1000 pairs per model, reported at the end of each month."""
     r = EN.rolling_brier(FX.scored_long(spark, sf_dir), ["model_id"], ["month_no", "loan_id"], 1000, 100)
-    return EN.batch_reports(r, ["model_id"], "month_no")
+    return EN.batch_reports(r, ["model_id"], "month_no", ["month_no", "loan_id"])
 
 
 _HIST_SQL = "hist AS (SELECT model_id, month_no, avg((prob - label) * (prob - label)) AS brier FROM scored_long GROUP BY ALL)"
