@@ -52,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_
             stop = max(start + 1, int(ends.searchsorted(base + limit, side="right")))
             yield b.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on, and share an executor's memory
 
 
 def bundled(docs: DataFrame) -> DataFrame:

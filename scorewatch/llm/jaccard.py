@@ -1,18 +1,22 @@
 """N-gram Jaccard join: exact links between word-shingle sets by T-occurrence search.
 
-1. One pass over all texts counts shingles in `CELLS` hashed cells, another gives each
-   document's set size and 128-bit set fingerprint. Documents with equal fingerprints are
-   one set from here on.
-2. All documents order their shingles alike, rare cells first (any common order is exact; a
-   good one keeps shared passages out of the first shingles). A shingle alone in its cell is in one
-   document and is not shipped. Two sets that link share a
-   shingle among the first n - ceil(0.8 n) + 1 of each. Shingles shared there tie sets into
-   blocks (connected components); no set links outside its block.
-3. Each block's texts meet once. Sets are searched by growing size among smaller ones by
+1. One pass over all texts gives each document's set size and 128-bit set fingerprint.
+   Documents with equal fingerprints are one set from here on.
+2. Two sets that link miss at most d = n - ceil(0.8 n) of the shingles of each. So of any fixed part
+   of the shingle universe that holds more than d shingles of a set, some are common; and in one
+   order of all shingles, the first common one is among the first d + 1 of both. The part is
+   the shingles below a threshold (`SAMPLES`; the least that leaves each set enough, or all of them);
+   sets below 1.25 * `SMALL` use all of theirs, in an index of their own. The order is by the number of
+   documents, counted exactly: the shingles of a slice of texts go, packed and once a set, to the
+   shingle's partition, and only those found elsewhere too come back to the slice. A set whose
+   d + 1 rarest shingles are its alone links with nothing and is out.
+3. The shingles left among the first d + 1, seldom those of passages that many documents share,
+   tie sets into blocks (connected components); no set links outside its block.
+4. Each block's texts meet once. Sets are searched by growing size among smaller ones by
    DivideSkip: the longest lists are set aside, the short ones are merged, and what they
    leave is binary-probed in the long lists until the required overlap is out of reach.
    Blocks above `BLOCK_SHINGLES` are dealt into chunks, and every pair of chunks meets.
-4. Links (a spanning forest per task) give the components.
+5. Links (a spanning forest per task) give the components.
 
 Shingles are 64-bit hashes of `N` words. A document of fewer words has its whole sequence
 as one shingle; one without words (or null text) has none and links with nothing.
@@ -22,11 +26,13 @@ Repeated ids and rows are documents of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +43,13 @@ from scorewatch.llm.encoders import ragged
 from scorewatch.llm.words import mix, positions, split_words, window_hashes, word_hashes
 
 N = 5
-#: Counters of one byte; with about one for four different shingles, shared passages stand out.
-CELLS, PART = 1 << 25, 1 << 16
+#: Shares of the shingle universe that sets of `SMALL` shingles or more may send.
+SAMPLES, SMALL = (0.4, 0.55, 0.7, 0.85, 1.0), 256
+#: Bits of a shingle that travel; equal ones of different shingles cost work, no result.
+KEY_BITS = 48
+#: From so many sets of one slice on, a shingle leaves the slice once for all of them.
+LOCAL_HOT, HOT_OWNER = 16, 0xFFFF
 BLOCK_SHINGLES = 1 << 21
-#: Level of a cell that counts one document.
-ALONE = 6
 #: Bits of the filter of texts that meet others; it saves shuffling the rest, beyond about as many
 #: texts as bits less and less.
 TEXT_BITS = 1 << 25
@@ -65,16 +73,32 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingle, owner
 
 
-def ordered(shingle: np.ndarray, owner: np.ndarray, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (shingle, row), in each row by cell count and hash."""
-    keys = (shingle, owner) if cells is None else (shingle, cells[shingle & np.uint64(CELLS - 1)], owner)
-    at = np.lexsort(keys)
+def ordered(shingle: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (shingle, row), by row and shingle."""
+    at = np.lexsort((shingle, owner))
     shingle, owner = shingle[at], owner[at]
     new = np.ones(len(at), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
     return shingle[new], owner[new]
 
 
+def misses(n: np.ndarray) -> np.ndarray:
+    """Most shingles of a set of n that a linked one may lack."""
+    return n - (4 * n + 4) // 5
+
+
+def keys_of(shingle: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, row) of distinct shingles in order: their upper KEY_BITS."""
+    key = shingle >> np.uint64(64 - KEY_BITS)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    return key[new], owner[new]
+
+
+def threshold(share: float) -> np.uint64:
+    return np.uint64(min(int(share * (1 << KEY_BITS)), (1 << KEY_BITS) - 1))
+
+
 def fingerprints(shingle: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set size, two 64-bit sums over the set) of each row, from distinct shingles in row order."""
     n = np.bincount(owner, minlength=rows).astype(np.int64)
@@ -86,72 +110,165 @@ def fingerprints(shingle: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.
     return n, out[0], out[1]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, filled, places, counts): bits of this task's filled cells, and the counts of those above
-    one by place in their part; 255 is frequent in any case."""
-    cells = np.zeros(CELLS, np.uint8)
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tkey, n, f1, f2, sample): `sample` numbers the least share of the universe that leaves
+    more shingles of the set than a linked one may lack."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sample", pa.int32())])
     for b in slices(batches, "text"):
-        at, n = np.unique(ordered(*sets(b.column("text")))[0] & np.uint64(CELLS - 1), return_counts=True)
-        at = at.astype(np.int64)
-        cells[at] = np.minimum(cells[at] + n, 255)
-    for part in np.unique(np.flatnonzero(cells) // PART).tolist():
-        own = cells[part * PART:(part + 1) * PART]
-        more = np.flatnonzero(own > 1)  # most filled cells hold one: a bit each is enough
-        row = [[part], [np.packbits(own > 0).tobytes()], [more.astype("<u2").tobytes()], [own[more].tobytes()]]
-        yield as_batch(pa.schema([("part", pa.int32()), ("filled", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())]), row)
-
-
-def levels(docs: DataFrame) -> np.ndarray:
-    """How frequent the shingles of each cell are, over all documents: CELLS bytes reach the
-    driver, whatever the size of the corpus."""
-    rows = docs.select("text").mapInArrow(_count, "part int, filled binary, places binary, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, counts binary").collect()
-    out = np.zeros(CELLS, np.uint8)
-    for r in rows:
-        out[r["part"] * PART:(r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint8)
-    return out
+        shingle, owner = ordered(*sets(b.column("text")))
+        n, f1, f2 = fingerprints(shingle, owner, b.num_rows)
+        key, of = keys_of(shingle, owner)
+        few = [np.bincount(of[key <= threshold(x)], minlength=b.num_rows) <= misses(n) for x in SAMPLES[:-1]]
+        sample = np.where(n >= SMALL, np.sum(few, axis=0), 0).astype(np.int32)
+        yield as_batch(schema, [b.column("doc_id"), b.column("tkey"), n, f1, f2, sample])
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
-    for b in slices(batches, "text"):
-        yield as_batch(schema, [b.column("doc_id"), b.column("tkey"), *fingerprints(*ordered(*sets(b.column("text"))), b.num_rows)])
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit integers as one string of bytes."""
+    return np.concatenate([np.array([len(arrays), *map(len, arrays)], np.int64), *(x.astype(np.int64) for x in arrays)]).tobytes()
+
 
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    all_ = np.frombuffer(raw, np.int64)
+    k = int(all_[0])
+    return np.split(all_[1 + k:], np.cumsum(all_[1:1 + k])[:-1])
 
-def _add_parts(key: tuple, t: pa.Table) -> pa.Table:
-    """Sums of the tasks' counts as levels of one byte, six for each doubling."""
-    total = np.zeros(PART, np.int64)
-    for filled, places, counts in zip(t["filled"], t["places"], t["counts"], strict=True):
-        total += np.unpackbits(np.frombuffer(filled.as_py(), np.uint8))
-        total[np.frombuffer(places.as_py(), "<u2")] += np.frombuffer(counts.as_py(), np.uint8) - np.int64(1)
-    level = np.minimum(np.round(6 * np.log2(1 + total)), 255).astype(np.uint8)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([level.tobytes()], pa.binary())})
 
+def key_bytes(key: np.ndarray) -> bytes:
+    """Keys by byte planes: the upper bytes of sorted keys repeat."""
+    return np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BITS // 8:].T).tobytes()
 
-def _prefixes(cells: np.ndarray):
-    """Rows (key, a, null): set a has shingle `key` in its prefix; (key, a, b): a shares one with b.
-    Within a slice each key names one set, and the others are tied to it. A shingle alone in its cell
-    is in one document only and ties nothing."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+def keys_from(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(KEY_BITS // 8, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 8 - KEY_BITS // 8:] = planes.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+SENT = "part int, base long, keys binary, owners binary, weights binary, facts binary"
+SENT_SCHEMA = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("weights", pa.binary()), ("facts", pa.binary())])
+
+
+def _send(share: float, parts: int):
+    """Rows for the partitions of shingles: of every slice `base` its (key, owner) pairs, owners
+    numbering its different sets, small sets' in partitions of their own; and one row of facts for the
+    slice itself: fingerprints, sizes, keys in both indices, and who owns the keys sent once for many."""
+    most = threshold(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
         for b in slices(batches, "text"):
-            shingle, owner = ordered(*sets(b.column("text")), cells)
-            n, f1, _ = fingerprints(shingle, owner, b.num_rows)
-            prefix = n - (4 * n + 4) // 5 + 1
-            use = (positions(n)[1] < prefix[owner]) & (cells[shingle & np.uint64(CELLS - 1)] > ALONE)
-            key, node = shingle[use].view(np.int64), f1[owner[use]]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            head = node[first][np.cumsum(first) - 1] if len(key) else node
-            tie = np.unique(np.stack([node[head != node], head[head != node]], 1), axis=0) if (head != node).any() else np.zeros((0, 2), np.int64)
-            yield as_batch(schema, [key[first], node[first], pa.nulls(int(first.sum()), pa.int64())])
-            yield as_batch(schema, [tie[:, 0], tie[:, 0], tie[:, 1]])
+            base, number = (task << 32) + number, number + 1
+            shingle, owner = ordered(*sets(b.column("text")))
+            n, f1, f2 = fingerprints(shingle, owner, b.num_rows)
+            # Equal sets of a slice count once.
+            some = np.flatnonzero(n > 0)
+            first = some[np.sort(np.unique(np.stack([f1[some], f2[some]], 1), axis=0, return_index=True)[1])] if len(some) else some
+            if not len(first):
+                continue
+            place = np.full(b.num_rows, -1)
+            place[first] = np.arange(len(first))
+            key, of = keys_of(shingle, owner)
+            of = place[of]
+            key, of = key[of >= 0], of[of >= 0]
+            n = n[first]
+            rows, sizes, hot = [], [], []
+            for small, use in ((1, n[of] < SMALL + SMALL // 4), (0, (n[of] >= SMALL) & (key <= most))):
+                k, o = key[use], of[use]
+                sizes.append(np.bincount(o, minlength=len(first)))
+                order = np.lexsort((o, k))
+                k, o = k[order], o[order]
+                begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+                count = np.diff(np.append(begin, len(k)))
+                many = np.repeat(count >= LOCAL_HOT, count)
+                shared = count >= LOCAL_HOT
+                hot += [k[begin[shared]], count[shared], o[many]]
+                k, o = np.concatenate([k[~many], k[begin[shared]]]), np.concatenate([o[~many], np.full(int(shared.sum()), HOT_OWNER)])
+                w = np.concatenate([np.ones(int((~many).sum()), np.int64), count[shared]])
+                part = (k % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((k, part))
+                k, o, w, part = k[order], o[order], w[order], part[order]
+                ends = np.searchsorted(part, np.arange(parts + 1))
+                for i, (x, z) in enumerate(itertools.pairwise(ends.tolist())):
+                    if z > x:
+                        rows.append((2 * i + small, base, key_bytes(k[x:z]), o[x:z].astype("<u2").tobytes(), w[x:z][o[x:z] == HOT_OWNER].astype("<u4").tobytes(), None))
+            rows.append((base % (2 * parts), base, b"", b"", b"", packed(f1[first], n, *sizes, *hot)))
+            yield as_batch(SENT_SCHEMA, list(map(list, zip(*rows, strict=True))))
 
     return run
 
 
+BACK = "base long, small int, keys binary, owners binary, levels binary, facts binary"
+BACK_SCHEMA = pa.schema([("base", pa.int64()), ("small", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("levels", pa.binary()), ("facts", pa.binary())])
+
+
+def _shared(group: tuple, t: pa.Table) -> pa.Table:
+    """The keys of a partition that more than one set has, back to their slices with their level: eight for
+    each doubling of the number of sets. Facts pass through."""
+    t = t.combine_chunks()
+    out = []
+    rows = list(zip(*(t[c].to_pylist() for c in ("base", "keys", "owners", "weights", "facts")), strict=True))
+    rows, through = [r for r in rows if r[4] is None], [r for r in rows if r[4] is not None]
+    out += [(base, 0, b"", b"", b"", facts) for base, *_, facts in through]
+    if rows:
+        keys = [keys_from(r[1]) for r in rows]
+        owners = [np.frombuffer(r[2], "<u2") for r in rows]
+        weights = [np.ones(len(o), np.int64) for o in owners]
+        for w, o, r in zip(weights, owners, rows, strict=True):
+            w[o == HOT_OWNER] = np.frombuffer(r[3], "<u4")
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        df = np.bincount(which, weights=np.concatenate(weights))
+        level = np.minimum(np.round(8 * np.log2(df)), 255).astype(np.uint8)[which]
+        more = (df > 1.5)[which]
+        small = group[0].as_py() % 2
+        at = 0
+        for r, k, o in zip(rows, keys, owners, strict=True):
+            keep, own = more[at:at + len(k)], level[at:at + len(k)]
+            at += len(k)
+            if keep.any():
+                out.append((r[0], small, key_bytes(k[keep]), o[keep].tobytes(), own[keep].tobytes(), None))
+    return pa.Table.from_batches([as_batch(BACK_SCHEMA, list(map(list, zip(*out, strict=True))) if out else [[]] * 6)])
+
+
+def _first_shared(group: tuple, t: pa.Table) -> pa.Table:
+    """Rows (key, a, null): set a has the shared shingle `key` among its first; (key, a, b): a shares one
+    with b. Within a slice each key names one set, and the others are tied to it."""
+    rows = list(zip(*(t[c].to_pylist() for c in ("small", "keys", "owners", "levels", "facts")), strict=True))
+    f1, n, all_small, all_large, *hot = unpacked(next(r[4] for r in rows if r[4] is not None))
+    keys, nodes = [], []
+    for small, size, (hot_key, hot_n, hot_owner) in ((1, all_small, hot[:3]), (0, all_large, hot[3:])):
+        mine = [r for r in rows if r[4] is None and r[0] == small]
+        if not mine:
+            continue
+        key = np.concatenate([keys_from(r[1]) for r in mine])
+        owner = np.concatenate([np.frombuffer(r[2], "<u2") for r in mine]).astype(np.int64)
+        level = np.concatenate([np.frombuffer(r[3], np.uint8) for r in mine])
+        many = owner == HOT_OWNER  # such a key goes to all that have it, in the order of the facts
+        where = np.argsort(key[many])
+        k, lv = key[many][where], level[many][where]
+        assert (k == hot_key.astype(np.uint64)).all()  # noqa: S101 - sent once, shared for certain
+        key = np.concatenate([key[~many], np.repeat(k, hot_n)])
+        level = np.concatenate([level[~many], np.repeat(lv, hot_n)])
+        owner = np.concatenate([owner[~many], hot_owner])
+        alone = size - np.bincount(owner, minlength=len(n))
+        quota = misses(n) + 1 - alone
+        order = np.lexsort((key, level, owner))
+        key, owner = key[order], owner[order]
+        use = positions(np.bincount(owner, minlength=len(n)))[1] < quota[owner]
+        keys.append(key[use].astype(np.int64) | small << KEY_BITS)
+        nodes.append(f1[owner[use]])
+    key, node = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, nodes))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    head = node[first][np.cumsum(first) - 1] if len(key) else node
+    tie = np.unique(np.stack([node[head != node], head[head != node]], 1), axis=0) if (head != node).any() else np.zeros((0, 2), np.int64)
+    return pa.table({"key": pa.array(np.concatenate([key[first], tie[:, 0]])), "a": pa.array(np.concatenate([node[first], tie[:, 0]])),
+                     "b": pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(tie[:, 1])])})
+
+
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges from rows sorted by key: each set of a key is tied to the key's first."""
     last_key, last_head = None, None
@@ -298,12 +415,13 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    rows = written(docs.mapInArrow(_profile, "doc_id long, tkey long, n long, f1 long, f2 long"), "shingle-profile")
-    cells = levels(docs)
+    rows = written(docs.mapInArrow(_profile, "doc_id long, tkey long, n long, f1 long, f2 long, sample int"), "shingle-profile")
+    share = SAMPLES[rows.agg(F.max("sample")).first()[0] or 0]
     reps = written(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "tkey")).alias("row"), F.max("n").alias("n"))
                    .withColumn("sid", F.monotonically_increasing_id()), "sets")
 
-    shared = (docs.select("text").mapInArrow(_prefixes(cells), "key long, a long, b long")
+    back = docs.select("text").mapInArrow(_send(share, n_parts), SENT).groupBy("part").applyInArrow(_shared, BACK)
+    shared = (back.groupBy("base").applyInArrow(_first_shared, "key long, a long, b long")
               .repartition(n_parts, "key").sortWithinPartitions("key", "a").mapInArrow(_ties, "u long, v long"))
     blocks = written(components(shared).join(reps, F.col("node") == F.col("f1")).select("sid", "row", "f1", "f2", "n", F.col("component").alias("block")), "blocks")
     sums = blocks.groupBy("block").agg(F.sum("n").alias("size"))

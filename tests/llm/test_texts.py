@@ -148,6 +148,44 @@ def test_jaccard_with_shared_passages_and_dealt_blocks(spark, monkeypatch, limit
     assert sorted((r.doc_id, r.n, r.component_id) for r in out.collect()) == sorted(classes(docs))
 
 
+def test_jaccard_near_the_sizes_where_samples_begin(spark):
+    """Sets of 180 to 420 shingles: all of theirs, a sample, or both; similarities around 0.8, and a passage
+    that many share."""
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"v{i}" for i in range(6000)])
+    passage = list(rng.choice(vocabulary, 60))
+    texts = []
+    for i in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(180, 400))))
+        if i % 2:
+            words[20:20] = passage
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(int(rng.integers(0, 9))):
+                words[int(rng.integers(0, len(words)))] = "changed"
+            cut = int(rng.integers(0, 45))
+            words = words[cut:] if rng.random() < 0.5 else words + list(rng.choice(vocabulary, cut))
+    docs = list(enumerate(texts))
+    want = sorted(classes(docs))
+    assert 60 < len({c for _, _, c in want}) < 200
+    out = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert sorted((r.doc_id, r.n, r.component_id) for r in out.collect()) == want
+
+
+def test_sample_is_large_enough_for_every_set():
+    rng = np.random.default_rng(1)
+    shingle = np.sort(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    shingle[:] = np.sort(shingle | np.uint64(1 << 63))  # nothing in the lower half: the first share is too small
+    owner = np.zeros(300, np.int64)
+    key, of = jaccard.keys_of(shingle, owner)
+    few = [int((key <= jaccard.threshold(x)).sum()) for x in jaccard.SAMPLES]
+    assert few[0] == 0 and few[-1] == 300 and jaccard.misses(np.array([300]))[0] == 60
+    assert jaccard.keys_from(jaccard.key_bytes(key)).tolist() == key.tolist()
+    a, b = jaccard.unpacked(jaccard.packed(np.array([5, -6]), np.zeros(0)))
+    assert a.tolist() == [5, -6] and len(b) == 0
+
+
 def test_one_of_each_keeps_one_document_of_a_group(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     rows = rows_of(spark, edge_dir)
