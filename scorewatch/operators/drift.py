@@ -82,7 +82,7 @@ def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
     long = tagged_long(ref, cur, features)
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
-    r = prefix_sums(counts, ["feature"], "value", ["c_ref", "c_cur"], buckets, "range")
+    r = prefix_sums(counts, ["feature"], "value", ["c_ref", "c_cur"], buckets, "sketch")
     return r.select(
         "feature", "value",
         F.try_divide((F.col("c_ref_below") + F.col("c_ref")).cast("double"), F.col("c_ref_total").cast("double")).alias("cdf_ref"),
@@ -124,11 +124,11 @@ def ks_by_group(ref: DataFrame, cur: DataFrame, features: Sequence[str], group:
     cur_c = cl.groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias("c_g"))
     vals = (ref_c.unionByName(cur_c.select("feature", "value", F.lit(0).cast("bigint").alias("c_ref")))
             .groupBy("feature", "value").agg(F.sum("c_ref").alias("c_ref")))
-    rv = prefix_sums(vals, ["feature"], "value", ["c_ref"], buckets, "range").select(
+    rv = prefix_sums(vals, ["feature"], "value", ["c_ref"], buckets, "sketch").select(
         "feature", "value",
         (F.col("c_ref_below") + F.col("c_ref")).alias("r_le"), F.col("c_ref_below").alias("r_lt"),
         F.col("c_ref_total").alias("n_ref"))
-    g = prefix_sums(cur_c, [*group, "feature"], "value", ["c_g"], buckets, "range")
+    g = prefix_sums(cur_c, [*group, "feature"], "value", ["c_g"], buckets, "sketch")
     j = g.join(rv, ["feature", "value"])
     nr, ng = F.col("n_ref").cast("double"), F.col("c_g_total").cast("double")
     fr_le, fr_lt = F.col("r_le") / nr, F.col("r_lt") / nr

@@ -7,8 +7,8 @@ task for the whole table. Instead:
 
 1. pre-aggregate to one row per (group, distinct value) (map-side partial
    aggregation does most of the work);
-2. cut each group's value range into `buckets` ordered buckets using
-   approximate quantiles (any cut is correct; quantiles only balance it);
+2. cut each group's value range into `buckets` ordered buckets, by default at the
+   quantiles of a mergeable sketch (any cut is correct; quantiles only balance it);
 3. bucket totals (groups x buckets rows) give per-bucket offsets through a
    window over that small table;
 4. the running sum is a window partitioned by (group, bucket) plus the offset.
@@ -19,6 +19,7 @@ single hot value is one row after step 1. Results are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -61,6 +62,57 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str,
     return df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(*aggs)
 
 
+def bounds_below(bounds, x, most: int):
+    """How many of the rising `bounds` (at most `most`) lie below x: first in steps of about the root of
+    `most`, then inside one step."""
+    step = max(1, math.isqrt(most))
+    every = F.transform(F.sequence(F.lit(step), F.lit(max(step, most)), F.lit(step)), lambda i: F.get(bounds, i - 1))
+    whole = F.size(F.filter(every, lambda v: v < x))
+    return (whole * step + F.size(F.filter(F.slice(bounds, whole * step + 1, step), lambda v: v < x))).cast("int")
+
+
+def bucketed(counts: DataFrame, by: Sequence[str], order: str, buckets: int, bucketing: str) -> DataFrame:
+    """`counts` with `_bucket`, ordered like `order` within a group (see `prefix_sums`)."""
+    by = list(by)
+    x = F.col(order).cast("double")
+    if bucketing == "unit":
+        # values in [0, 1] (probabilities): fixed cut points, no pre-pass
+        c2 = counts.withColumn("_bucket", F.least(F.greatest(F.floor(x * F.lit(buckets)), F.lit(0)),
+                                                  F.lit(buckets - 1)).cast("int"))
+    elif bucketing == "range":
+        # equal-width cut of each group's [min, max]: one cheap aggregate (groups rows)
+        if by:
+            rng = counts.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+            c2 = counts.join(rng, by)
+            lo, hi = F.col("_lo"), F.col("_hi")
+        else:
+            r = counts.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+            c2 = counts
+            lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
+        width = F.when(hi > lo, (hi - lo) / F.lit(buckets))
+        b = F.coalesce(F.floor((x - lo) / width), F.lit(0))
+        c2 = c2.withColumn("_bucket", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
+        if by:
+            c2 = c2.drop("_lo", "_hi")
+    elif bucketing == "sketch":
+        # A mergeable quantile sketch per group: whatever the values, buckets hold about as many rows each.
+        fracs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        sketch = F.kll_sketch_agg_double(x, F.lit(min(4096, max(200, 4 * buckets))))
+        bounds = counts.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by).agg(sketch.alias("_sketch")).select(
+            *by, F.array_sort(F.array_distinct(F.kll_sketch_get_quantile_double("_sketch", fracs))).alias("_bounds"))
+        if by:
+            c2 = counts.join(bounds, by, "left")
+            at = F.coalesce(F.col("_bounds"), F.array().cast("array<double>"))
+        else:
+            r = bounds.first()
+            at = F.array(*[F.lit(float(v)) for v in (r["_bounds"] if r else None) or []]).cast("array<double>")
+            c2 = counts
+        c2 = c2.withColumn("_bucket", bounds_below(at, x, buckets)).drop("_bounds")
+    else:
+        raise ValueError("bucketing must be 'unit', 'range' or 'sketch'")
+    return c2
+
+
 def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
                 buckets: int | None = DEFAULT_BUCKETS, bucketing: str = "range", checkpoint: bool = False) -> DataFrame:
     """Add `<c>_below` (sum over strictly smaller `order` in the same group) and
@@ -71,7 +123,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
     choice only affects balance:
       unit      floor(x * buckets) clipped; for probabilities, no pre-pass
       range     equal-width over each group's [min, max]; one cheap aggregate
-      quantile  approximate quantiles; balanced for any distribution, costlier
+      sketch    quantiles of a sketch per group; balanced for any distribution, one aggregate
     """
     by = list(by)
     if buckets is None:
@@ -94,44 +146,11 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
         from scorewatch.session import cut_lineage
 
         counts = cut_lineage(counts, "prefix-counts")
-    x = F.col(order).cast("double")
-    if bucketing == "unit":
-        # values in [0, 1] (probabilities): fixed cut points, no pre-pass
-        c2 = counts.withColumn("_bucket", F.least(F.greatest(F.floor(x * F.lit(buckets)), F.lit(0)),
-                                                  F.lit(buckets - 1)).cast("int"))
-    elif bucketing == "range":
-        # equal-width cut of each group's [min, max]: one cheap aggregate (groups rows)
-        if by:
-            rng = counts.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-            c2 = counts.join(rng, by)
-            lo, hi = F.col("_lo"), F.col("_hi")
-        else:
-            r = counts.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-            c2 = counts
-            lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
-        width = F.when(hi > lo, (hi - lo) / F.lit(buckets))
-        b = F.coalesce(F.floor((x - lo) / width), F.lit(0))
-        c2 = c2.withColumn("_bucket", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
-        if by:
-            c2 = c2.drop("_lo", "_hi")
-    elif bucketing == "quantile":
-        fracs = [i / buckets for i in range(1, buckets)]
-        q = F.percentile_approx(x, F.array(*[F.lit(f) for f in fracs]), 10000)
-        if by:
-            bounds = counts.groupBy(*by).agg(q.alias("_bounds"))
-            c2 = counts.join(bounds, by)
-            bucket = F.size(F.filter(F.col("_bounds"), lambda v: v < x))
-        else:
-            cut = counts.agg(q.alias("b")).first()["b"] or []
-            c2 = counts
-            bucket = F.size(F.filter(F.array(*[F.lit(float(v)) for v in cut]).cast("array<double>"),
-                                     lambda v: v < x))
-        c2 = c2.withColumn("_bucket", bucket.cast("int"))
-        if by:
-            c2 = c2.drop("_bounds")
-    else:
-        raise ValueError("bucketing must be 'unit', 'range' or 'quantile'")
+    c2 = bucketed(counts, by, order, buckets, bucketing)
+    if bucketing == "sketch":  # sketches are random: every branch below must see the same cut
+        from scorewatch.session import cut_lineage
 
+        c2 = cut_lineage(c2, "prefix-ranges")
     bt = c2.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}_bt") for c in cols])
     wo = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*by)
@@ -221,7 +240,7 @@ def two_sample_cdf(long_df: DataFrame, by: Sequence[str], value: str, is_b: str,
     """
     counts = (long_df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count_if(~F.col(is_b)).alias("ca"), F.count_if(F.col(is_b)).alias("cb")))
-    r = prefix_sums(counts, by, value, ["ca", "cb"], buckets)
+    r = prefix_sums(counts, by, value, ["ca", "cb"], buckets, "sketch")
     return r.select(
         *by, value,
         F.try_divide((F.col("ca_below") + F.col("ca")).cast("double"), F.col("ca_total").cast("double")).alias("cdf_a"),
