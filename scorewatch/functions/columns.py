@@ -155,13 +155,37 @@ def stability_level(score) -> Column:
     return level(score, STABILITY_LEVELS, "Needs attention", strict_greater=False)
 
 
+#: Largest samples whose KS p-value is exact.
+KS_EXACT = 64
+
+
+def ks_exact(d, n, m) -> Column:
+    """P(D >= d) for samples of n and m values without ties: one less the share of the lattice paths
+    from (0, 0) to (n, m) that stay where |i / n - j / m| < d, counted row by row in an array fold."""
+    d, n, m = col(d), col(n).cast("long"), col(m).cast("long")
+    h = F.round(d * n * m).cast("long")
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), k)
+    first = F.transform(upto(m), lambda j: F.when(j * n < h, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    def row(before, i):
+        def cell(out, j):
+            left = F.coalesce(F.get(out, (j - 1).cast("int")), F.lit(0.0))
+            return F.concat(out, F.array(F.when(F.abs(i * m - j * n) < h, F.get(before, j.cast("int")) + left).otherwise(F.lit(0.0))))
+        return F.aggregate(upto(m), F.array().cast("array<double>"), cell)
+
+    inside = F.element_at(F.aggregate(F.sequence(F.lit(1).cast("long"), n), first, row), -1)
+    paths = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(1.0), lambda acc, k: acc * (m + k).cast("double") / k.cast("double"))
+    return F.least(F.greatest(F.lit(1.0) - inside / paths, F.lit(0.0)), F.lit(1.0))
+
+
 def ks_pvalue(d, n, m, terms: int = 100) -> Column:
-    """#91: asymptotic two-sample KS p-value (Stephens' effective-n correction).
+    """#91: two-sample KS p-value: exact where both samples hold at most KS_EXACT values, else asymptotic
+    (Stephens' effective-n correction).
 
     en = round(n*m/(n+m)); lam = (sqrt(en) + 0.12 + 0.11/sqrt(en)) * D;
     p = 2 * sum_{k=1..terms} (-1)^(k-1) exp(-2 k^2 lam^2), clipped to [0, 1];
-    p = 1 when lam < 0.2. This is an approximation of the exact small-sample
-    distribution, so the flag can differ near the threshold for tiny samples.
+    p = 1 when lam < 0.2. The asymptotic form approximates the exact distribution, so a flag can
+    differ near the threshold for samples not much larger than KS_EXACT.
     """
     d, n, m = col(d), col(n).cast("double"), col(m).cast("double")
     en = F.round(n * m / (n + m))
@@ -173,7 +197,8 @@ def ks_pvalue(d, n, m, terms: int = 100) -> Column:
         * F.exp(F.lit(-2.0) * (k * k).cast("double") * lam * lam),
     )
     p = F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0))
-    return F.when((n <= 0) | (m <= 0), F.lit(None).cast("double")).when(lam < F.lit(0.2), F.lit(1.0)).otherwise(p)
+    return F.when((n <= 0) | (m <= 0), F.lit(None).cast("double")).when(
+        (n <= KS_EXACT) & (m <= KS_EXACT), ks_exact(d, n, m)).when(lam < F.lit(0.2), F.lit(1.0)).otherwise(p)
 
 
 def chi2_sf(stat, dof, terms: int = 2000) -> Column:

@@ -8,6 +8,7 @@ exchange halos, never one window over a whole model.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -221,6 +222,33 @@ def weighted_importance(importances: DataFrame, weights: DataFrame, by: Sequence
     return s.select(*by, feature, F.try_divide(F.col("_s"), F.sum("_s").over(w)).alias("importance"))
 
 
+# fixed values (must equal the original's search ranges): alpha, floor, recalibration threshold, windows
+SEARCH_ALPHA, SEARCH_FLOOR, SEARCH_THRESHOLD = (0.01, 0.3), (0.01, 0.2), (0.1, 0.25)
+SEARCH_WINDOWS = range(500, 2001, 250)
+SEARCH_TRIALS = 30
+
+
+def radical_inverse(i: int, base: int) -> float:
+    """Digits of i mirrored at the point: evenly spread over [0, 1) for i = 1, 2, ..."""
+    out, step = 0.0, 1.0 / base
+    while i:
+        i, digit = divmod(i, base)
+        out, step = out + digit * step, step / base
+    return out
+
+
+def search_points(trials: int = SEARCH_TRIALS, seed: int = 42) -> list[tuple[float, float, int, float]]:
+    """#133: (alpha, min_weight, window, recalibration_threshold) candidates: a Halton sequence over the
+    whole ranges, turned by a seeded offset in each dimension."""
+    turn = [random.Random(seed * 31 + d).random() for d in range(4)]
+    out = []
+    for i in range(1, trials + 1):
+        u = [(radical_inverse(i, base) + t) % 1.0 for base, t in zip((2, 3, 5, 7), turn, strict=True)]
+        (a, f, t), windows = (lo + x * (hi - lo) for x, (lo, hi) in zip((u[0], u[1], u[3]), (SEARCH_ALPHA, SEARCH_FLOOR, SEARCH_THRESHOLD), strict=True)), SEARCH_WINDOWS
+        out.append((round(a, 6), round(f, 6), windows[int(u[2] * len(windows))], round(t, 6)))
+    return out
+
+
 def search_weights(scored: DataFrame, scored_eval: DataFrame, grid: Sequence[tuple[float, float, int, float]],
                    batch: str, order: Sequence[str], model: str = "model_id", key: str = "loan_id",
                    min_n: int = MIN_BUFFER) -> DataFrame:
@@ -240,8 +268,8 @@ def search_weights(scored: DataFrame, scored_eval: DataFrame, grid: Sequence[tup
     keys = ["cand", "alpha", "min_weight", "window", "threshold"]
     path = weight_trajectory(each, keys, batch, model, "alpha", "min_weight")
     final = path.groupBy(*keys, model).agg(F.max_by("weight", F.col(batch)).alias("weight"))
-    calls = (each.groupBy(*keys, batch).agg(F.max("brier_score").alias("b")).groupBy(*keys)
-             .agg(F.count_if(F.col("b") > F.col("threshold")).alias("recalibrations")))
+    calls = (each.groupBy(*keys, batch).agg(F.max("brier_score").alias("_worst")).groupBy(*keys)
+             .agg(F.count_if(F.col("_worst") > F.col("threshold")).alias("recalibrations")))
     ens = scored_eval.join(final, model).groupBy(*keys, key, "label").agg(F.sum(F.col("weight") * F.col("prob")).alias("prob"))
     # Weights add up to 1 but for rounding.
     ens = ens.withColumn("prob", F.least(F.col("prob"), F.lit(1.0)))

@@ -159,8 +159,8 @@ def calibrated_cv(spark, sf_dir):
     return M.all_metrics(sl, ["model_id"]).select("model_id", "n", "auc_roc", "brier_score", "calibration_error")
 
 
-#: alpha, min_weight, window, recalibration threshold
-GRID = [(a, f, n, t) for a in (0.05, 0.1, 0.3) for f in (0.01, 0.05) for n in (500, 1000) for t in (0.15, 0.25)]
+#: alpha, min_weight, window, recalibration threshold of every trial
+GRID = EN.search_points()
 
 
 def _search_sql() -> str:
@@ -204,13 +204,16 @@ def evaluate_split(spark, sf_dir):
     ls = FX.loans_split(spark, sf_dir).drop("score_a", "score_b", "score_c", "customer_id")
     pipe = FT.FeaturePipeline(label="TARGET", exclude=["loan_id", "split"])
     pipe.fit(ls.where(F.col("split") == "train"))
-    tr, te = (cut_lineage(pipe.transform(ls.where(F.col("split") == s), keep=["loan_id", "TARGET"]), f"features-{s}") for s in ("train", "test"))
+    tr = cut_lineage(pipe.transform(ls.where(F.col("split") == "train"), keep=["loan_id", "TARGET"]), "features-train")
     feats = [c for c in tr.columns if c not in ("loan_id", "TARGET")]
     models = TR.train_base(tr, feats, "TARGET")
-    sl = TR.score_long(models, te, ["loan_id"], "TARGET")
-    w = EN.equal_weights(sl, [], "model_id")
-    ens = EN.ensemble_score(sl, w, ["loan_id", "label"])
-    top = EN.weighted_importance(TR.importances(models, feats), w).orderBy(F.desc("importance"), "feature").first()
+    w = EN.equal_weights(TR.importances(models, feats), [], "model_id")
+    path = scratch_path(spark, "bundle")
+    TR.Bundle(models, pipe, w).save(spark, path)
+    loaded = TR.Bundle.load(spark, path)  # what is evaluated is what was saved
+    sl = loaded.score(ls.where(F.col("split") == "test"), "loan_id", "TARGET")
+    ens = EN.ensemble_score(sl, loaded.weights, ["loan_id", "label"])
+    top = EN.weighted_importance(TR.importances(loaded.models, feats), w).orderBy(F.desc("importance"), "feature").first()
     m = M.all_metrics(ens, []).select("n", "auc_roc", "auc_pr", "brier_score", "calibration_error", "f1_score")
     return m.select("*", F.lit(top["feature"]).alias("top_feature"), F.lit(top["importance"]).alias("top_importance"))
 
