@@ -3,6 +3,7 @@ intermediate tables, and Arrow batch plumbing for `mapInArrow` functions."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,7 +53,15 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_
             stop = max(start + 1, int(ends.searchsorted(base + limit, side="right")))
             yield b.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # workers live on, and share an executor's memory
+    given_back()
+
+
+def given_back() -> None:
+    """Freed memory back to the system: workers live on after a task, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def bundled(docs: DataFrame) -> DataFrame:

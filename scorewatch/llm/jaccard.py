@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import as_batch, bundled, slices, table, unbundled, written
+from scorewatch.llm.common import as_batch, bundled, given_back, slices, table, unbundled, written
 from scorewatch.llm.components import components
 from scorewatch.llm.filters import filter_of, passed
 from scorewatch.llm.encoders import ragged
@@ -49,7 +49,7 @@ SAMPLES, SMALL = (0.4, 0.55, 0.7, 0.85, 1.0), 256
 KEY_BITS = 48
 #: From so many sets of one slice on, a shingle leaves the slice once for all of them.
 LOCAL_HOT, HOT_OWNER = 16, 0xFFFF
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 #: Bits of the filter of texts that meet others; it saves shuffling the rest, beyond about as many
 #: texts as bits less and less.
 TEXT_BITS = 1 << 25
@@ -385,10 +385,13 @@ def _search(key: tuple, t: pa.Table) -> pa.Table:
     code, ends = code[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
     search = Search(n[rows], ends, code, len(counts))
     u, v = [], []
+    del shingle, at, counts, code, owner, order, shared
     for q, i in enumerate(rows):
         for r in search.enter(q):
             u.append(int(sid[i]))
             v.append(int(sid[rows[r]]))
+    del search
+    given_back()
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
@@ -426,7 +429,7 @@ def classes(docs: DataFrame) -> DataFrame:
     blocks = written(components(shared).join(reps, F.col("node") == F.col("f1")).select("sid", "row", "f1", "f2", "n", F.col("component").alias("block")), "blocks")
     sums = blocks.groupBy("block").agg(F.sum("n").alias("size"))
     total = sums.agg(F.sum("size").alias("s")).first()["s"] or 0
-    groups = 1 + total // BLOCK_SHINGLES
+    groups = 1 + 2 * total // BLOCK_SHINGLES  # about half a limit together, and one block more at most
     # A block above the limit is dealt into chunks; every pair of chunks is a group of its own.
     chunks = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / BLOCK_SHINGLES))
     dealt = (blocks.join(sums.where(F.col("size") > BLOCK_SHINGLES).select("block", chunks.alias("chunks")), "block", "left")
