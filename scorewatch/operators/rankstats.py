@@ -75,6 +75,8 @@ def bucketed(counts: DataFrame, by: Sequence[str], order: str, buckets: int, buc
     """`counts` with `_bucket`, ordered like `order` within a group (see `prefix_sums`)."""
     by = list(by)
     x = F.col(order).cast("double")
+    if bucketing == "given":
+        return counts
     if bucketing == "unit":
         # values in [0, 1] (probabilities): fixed cut points, no pre-pass
         c2 = counts.withColumn("_bucket", F.least(F.greatest(F.floor(x * F.lit(buckets)), F.lit(0)),
@@ -124,6 +126,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
       unit      floor(x * buckets) clipped; for probabilities, no pre-pass
       range     equal-width over each group's [min, max]; one cheap aggregate
       sketch    quantiles of a sketch per group; balanced for any distribution, one aggregate
+      given     the column `_bucket` of `counts`
     """
     by = list(by)
     if buckets is None:

@@ -4,24 +4,26 @@ Sources are file streams over parquet; results go to parquet under the shared
 checkpoint folder (`spark.checkpoint.dir`), written per micro-batch into a
 `batch_id=<n>` folder with overwrite, so a retried batch replaces its own
 output (idempotent). `read_latest` folds the per-batch updates into the
-current value per key. Tests run them with `trigger(availableNow=True)` and
-compare with the batch operators on the same rows.
+current value per key. `replay` feeds tables to a stream part by part; the same query goes on
+from its checkpoint with each, so state and stored results carry over micro-batches. Tests
+run them with `trigger(availableNow=True)` and compare with the batch operators on the same rows.
 """
 
 from __future__ import annotations
 
+import math
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
 
-from scorewatch.session import scratch_path
+from scorewatch.session import cut_lineage, scratch_path
+from scorewatch.streaming.lastn import ROCKSDB, last_n_monitor
 
 WATERMARK = "1 hour"
+#: Quantiles of a reference sketch that drift is measured at.
+POINTS = 200
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -44,9 +46,19 @@ def event_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_scores(spark, sf_dir, ev).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _write_batches(df: DataFrame, name: str, mode: str = "update", fn=None) -> str:
-    spark = df.sparkSession
-    out = scratch_path(spark, name)
+def replay(parts: Sequence[DataFrame], name: str = "replay") -> Iterator[DataFrame]:
+    """A stream over a folder that gets `parts` one after another: each turn writes the next part and
+    gives the stream; a query that goes on from its checkpoint sees that part as new files."""
+    folder = scratch_path(parts[0].sparkSession, name)
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        yield part.sparkSession.readStream.schema(part.schema).parquet(folder)
+
+
+def _write_batches(df: DataFrame, name: str, mode: str = "update", fn=None, out: str | None = None) -> str:
+    """Run `df` on all that is new and write every micro-batch (or `fn` of it) into a folder of its own.
+    `out`: where an earlier run of the same query has left its checkpoint and results."""
+    out = out or scratch_path(df.sparkSession, name)
 
     def sink(batch: DataFrame, batch_id: int):
         res = fn(batch, batch_id) if fn else batch
@@ -88,121 +100,176 @@ def run_window_quality(stream: DataFrame, by: Sequence[str], window: str, slide:
     return read_latest(stream.sparkSession, path, ["window_start", "window_end", *by])
 
 
-def last_n_monitor(stream: DataFrame, key: str, order: Sequence[str] = ("ts", "event_id"), n: int = 1000,
-                   min_n: int = 100, label: str = "label", prob: str = "prob") -> DataFrame:
-    """#140: keyed state holding the newest n (order, prob, label) rows; after each
-    micro-batch emits (key, n_window, rolling_brier) with 0.0 below min_n pairs.
-    State per key is bounded by n rows."""
-    order = list(order)
-    out_schema = f"`{key}` string, n_window bigint, rolling_brier double, rows_seen bigint"
-    state_schema = "o1 array<long>, o2 array<long>, p array<double>, y array<double>, seen long"
-
-    def fn(k, pdfs, state):
-        if state.exists:
-            o1, o2, p, y, seen = state.get
-            buf = pd.DataFrame({"o1": list(o1), "o2": list(o2), "p": list(p), "y": list(y)})
-        else:
-            buf, seen = pd.DataFrame({"o1": [], "o2": [], "p": [], "y": []}), 0
-        allr = buf
-        for pdf in pdfs:  # chunks of a key's rows: never more than n rows and a chunk at a time
-            seen += len(pdf)
-            more = pd.DataFrame({"o1": pdf["_o1"].astype("int64"), "o2": pdf["_o2"].astype("int64"),
-                                 "p": pdf[prob].astype(float), "y": pdf[label].astype(float)})
-            allr = (pd.concat([allr, more], ignore_index=True) if len(allr) else more).sort_values(["o1", "o2"]).tail(n)
-        state.update((allr["o1"].astype("int64").tolist(), allr["o2"].astype("int64").tolist(),
-                      allr["p"].tolist(), allr["y"].tolist(), int(seen)))
-        cnt = len(allr)
-        val = float(((allr["p"] - allr["y"]) ** 2).mean()) if cnt >= min_n else 0.0
-        yield pd.DataFrame({key: [str(k[0])], "n_window": [cnt], "rolling_brier": [val], "rows_seen": [seen]})
-
-    s = stream.select(F.col(key).cast("string").alias(key),
-                      F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_o1") if order[0] == "ts" else F.col(order[0]).cast("bigint").alias("_o1"),
-                      F.col(order[1]).cast("bigint").alias("_o2"), prob, label)
-    return s.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
-
-
-def run_last_n_monitor(stream: DataFrame, key: str, n: int = 1000, min_n: int = 100) -> DataFrame:
-    mon = last_n_monitor(stream, key, n=n, min_n=min_n)
-    path = _write_batches(mon, "last-n-monitor", "update")
-    return read_latest(stream.sparkSession, path, [key])
-
-
-def run_stream_drift(stream: DataFrame, reference: DataFrame, features: Sequence[str]) -> DataFrame:
-    """#141: per micro-batch KS drift of the batch against a fixed reference; rows appended per batch."""
-    from scorewatch.operators.drift import ks_drift
-
-    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        return ks_drift(reference.select(*features), batch.select(*features), list(features))
-
-    path = _write_batches(stream.select(*features), "stream-drift", "append", fn)
+def run_last_n_monitor(stream: DataFrame, key: str, n: int = 1000, min_n: int = 100, out: str | None = None) -> DataFrame:
+    """#140: every micro-batch's monitor values so far, with `batch_id`. The state store is RocksDB's for this
+    query alone."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        path = _write_batches(last_n_monitor(stream, key, n=n, min_n=min_n), "last-n-monitor", "update", out=out)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(path)
+
+
+class StoredReference:
+    """#141: what drift checks read of a reference sample. The sample is counted once, into a table
+    (feature, value, how many are at or below) in ranges whose bounds are kept as numbers, or into
+    one quantile sketch a feature; later batches do not touch the sample."""
+
+    def __init__(self, reference: DataFrame, features: Sequence[str], buckets: int = 32, sketch_k: int = 800):
+        from scorewatch.operators.drift import unpivot
+        from scorewatch.operators.rankstats import bucketed, prefix_sums
+
+        self.features, self.k = list(features), sketch_k
+        long = unpivot(reference.select(*features), features).where(F.col("value").isNotNull())
+        counts = cut_lineage(bucketed(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")), ["feature"], "value", buckets, "sketch"), "reference-counts")
+        ranked = prefix_sums(counts, ["feature"], "value", ["c"], buckets, "given")
+        self.table = cut_lineage(ranked.select("feature", "value", F.col("_bucket").alias("part"), (F.col("c_below") + F.col("c")).alias("r_le"), F.col("c_total").alias("n_ref")), "reference-cdf")
+        ends = self.table.groupBy("feature", "part").agg(F.max("value").alias("hi"), F.max("r_le").alias("r_le"), F.max("n_ref").alias("n")).orderBy("feature", "part").collect()
+        self.ends = {f: [(r["hi"], r["r_le"]) for r in ends if r["feature"] == f] for f in self.features}  # at most `buckets` rows a feature
+        self.n = {f: next((r["n"] for r in ends if r["feature"] == f), 0) for f in self.features}
+        self.sketches = cut_lineage(long.groupBy("feature").agg(F.kll_sketch_agg_double("value", F.lit(sketch_k)).alias("ref")), "reference-sketch")
+
+    def _of_feature(self, make):
+        out = F.lit(None)
+        for f in self.features:
+            out = F.when(F.col("feature") == f, make(f)).otherwise(out)
+        return out
+
+    def ks(self, batch: DataFrame, alpha: float = 0.05) -> DataFrame:
+        """Exact KS of a batch against the reference: (feature, statistic, p_value, is_drift, n_ref, n_cur)."""
+        from scorewatch.functions.columns import ks_pvalue
+        from scorewatch.operators.drift import unpivot
+        from scorewatch.operators.rankstats import prefix_sums
+
+        cur = unpivot(batch.select(*self.features), self.features).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+        highs = self._of_feature(lambda f: F.array(*[F.lit(float(h)) for h, _ in self.ends[f][:-1]]).cast("array<double>"))
+        cur = cur.withColumn("_bucket", F.size(F.filter(highs, lambda h: h < F.col("value"))).cast("int"))
+        # Ranges are numbered by their rank among those that hold values.
+        at = self._of_feature(lambda f: F.array(*[F.lit(float(h)) for h, _ in self.ends[f][:-1]]).cast("array<double>"))
+        ref = self.table.select("feature", "value", F.size(F.filter(at, lambda h: h < F.col("value"))).cast("int").alias("_bucket"), F.lit(0).cast("bigint").alias("c"), "r_le")
+        both = cut_lineage(cur.withColumn("r_le", F.lit(None).cast("bigint")).unionByName(ref)
+                           .groupBy("feature", "_bucket", "value").agg(F.sum("c").alias("c"), F.max("r_le").alias("r_le")), "batch-union")
+        g = prefix_sums(both, ["feature"], "value", ["c"], 2, "given")
+        before = self._of_feature(lambda f: F.get(F.array(*[F.lit(int(r)) for r in [0, *(r for _, r in self.ends[f])]]).cast("array<bigint>"), F.col("_bucket")))
+        w = Window.partitionBy("feature", "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        below = F.coalesce(F.last("r_le", ignorenulls=True).over(w), before).cast("double")
+        n = self._of_feature(lambda f: F.lit(int(self.n[f])).cast("bigint"))
+        gap = g.select("feature", F.abs(F.try_divide(below, n) - (F.col("c_below") + F.col("c")) / F.col("c_total")).alias("gap"), F.col("c_total").alias("n_cur"), n.alias("n_ref"))
+        d = gap.groupBy("feature").agg(F.max("gap").alias("statistic"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
+        p = ks_pvalue("statistic", "n_ref", "n_cur")
+        return d.select("feature", "statistic", p.alias("p_value"), (p < F.lit(alpha)).alias("is_drift"), "n_ref", "n_cur")
+
+    def sketch_of(self, batch: DataFrame) -> DataFrame:
+        """(feature, cur): the batch's own quantile sketches; sketches of several batches merge."""
+        from scorewatch.operators.drift import unpivot
+
+        return unpivot(batch.select(*self.features), self.features).where(F.col("value").isNotNull()).groupBy("feature").agg(F.kll_sketch_agg_double("value", F.lit(self.k)).alias("cur"))
+
+    def sketch_error(self) -> float:
+        """Bound of the error of `sketched_ks` (99 % sure): the rank errors of two sketches at k, at two ends each, and
+        the step of the points that they are compared at."""
+        return 2 * 2.446 / self.k ** 0.9433 + 1 / POINTS
+
+    def points(self) -> dict[str, list[float]]:
+        """The reference's quantiles, each with its next smaller number: values at and below every jump."""
+        shares = F.array(*[F.lit(i / POINTS) for i in range(POINTS + 1)])
+        rows = self.sketches.select("feature", F.kll_sketch_get_quantile_double("ref", shares).alias("q")).collect()
+        return {r["feature"]: sorted({x for q in r["q"] for x in (q, math.nextafter(q, -math.inf))}) for r in rows}
+
+    def sketched_ks(self, sketches: DataFrame) -> DataFrame:
+        """(feature, statistic, error) of sketches (feature, cur) against the reference's, at POINTS quantiles of the
+        reference: between two of them its CDF rises by one step at most."""
+        at = {f: F.array(*[F.lit(x) for x in xs]) for f, xs in self.points().items()}
+        j = sketches.join(self.sketches, "feature")
+        gap = F.lit(None).cast("double")
+        for f, xs in at.items():
+            both = F.zip_with(F.kll_sketch_get_rank_double("ref", xs), F.kll_sketch_get_rank_double("cur", xs), lambda a, b: F.abs(a - b))
+            gap = F.when(F.col("feature") == f, F.array_max(both)).otherwise(gap)
+        return j.select("feature", gap.alias("statistic"), F.lit(self.sketch_error()).alias("error"))
+
+
+def run_stream_drift(stream: DataFrame, reference: StoredReference, out: str | None = None) -> DataFrame:
+    """#141: per micro-batch KS drift of the batch against a stored reference; rows appended per batch."""
+    path = _write_batches(stream.select(*reference.features), "stream-drift", "append", lambda batch, _: reference.ks(batch), out)
     return stream.sparkSession.read.parquet(path)
 
 
-def batch_weights(batch: DataFrame, prev: DataFrame | None, models: Sequence[str], label: str = "label",
-                  alpha: float = 0.1, min_weight: float = 0.05) -> DataFrame:
-    """#142: the weights after one micro-batch, from the weights before it (None: equal weights)."""
+def run_stream_sketches(stream: DataFrame, reference: StoredReference, out: str | None = None) -> DataFrame:
+    """#141: (feature, statistic, error) of all batches so far together: one sketch a batch is kept, and merged."""
+    path = _write_batches(stream.select(*reference.features), "stream-sketches", "append", lambda batch, _: reference.sketch_of(batch), out)
+    return reference.sketched_ks(stream.sparkSession.read.parquet(path).groupBy("feature").agg(F.kll_merge_agg_double("cur").alias("cur")))
+
+
+def run_stream_weights(stream: DataFrame, models: Sequence[str], order: Sequence[str] = ("ts", "event_id"), label: str = "label", alpha: float = 0.1,
+                       min_weight: float = 0.05, n: int = 1000, min_n: int = 100, out: str | None = None) -> DataFrame:
+    """#142: weights after every micro-batch, from the rolling Brier score of each model's monitor (its last n
+    pairs by `order`, 0 below min_n) and the batch's AUC (0.5 with one class). A batch reads the weights
+    and monitors of the batch before from that batch's folder alone and writes its own, so
+    re-running it changes nothing; a model without scores in a batch keeps its weight."""
     from scorewatch.operators import ensemble as EN
-    from scorewatch.operators.metrics import brier
     from scorewatch.operators.rankstats import auc_roc
 
-    parts = ", ".join(f"'{m}', `{m}`" for m in models)
-    long = batch.selectExpr(f"`{label}` AS label", f"stack({len(models)}, {parts}) AS (model_id, prob)").where(F.col("prob").isNotNull())
-    mm = auc_roc(long, ["model_id"]).select("model_id", "auc_roc").join(
-        brier(long, ["model_id"]).select("model_id", "brier_score"), "model_id")
-    if prev is None:
-        prev = EN.equal_weights(batch.sparkSession.createDataFrame([(m,) for m in models], "model_id string"), [], "model_id")
-    return EN.update_weights(mm, prev, [], "model_id", alpha, min_weight)
-
-
-def run_stream_weights(stream: DataFrame, models: Sequence[str], label: str = "label",
-                       alpha: float = 0.1, min_weight: float = 0.05) -> DataFrame:
-    """#142: per micro-batch weight update. Each batch reads the previous batch's
-    weights from the output table (equal weights at the start) and writes its own
-    batch folder, so re-running a batch is idempotent. A batch with one class counts an AUC of
-    0.5; a model without scores in a batch keeps its weight."""
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream-weights")
-    data = f"{out}/data"
+    out = out or scratch_path(spark, "stream-weights")
+    parts = ", ".join(f"'{m}', `{m}`" for m in models)
+    newest = Window.partitionBy("model_id").orderBy(*[F.col(c).desc() for c in order])
 
     def sink(batch: DataFrame, batch_id: int):
-        prev = None
-        if batch_id > 0:
-            try:
-                old = spark.read.parquet(data).where(F.col("batch_id") < batch_id)
-                last = old.agg(F.max("batch_id")).first()[0]
-            except AnalysisException:  # nothing written yet
-                old, last = None, None
-            if last is not None:
-                prev = old.where(F.col("batch_id") == last).select("model_id", "weight")
-        w = batch_weights(batch, prev, models, label, alpha, min_weight)
-        w.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{data}/batch_id={batch_id}")
+        long = batch.selectExpr(*[f"`{c}`" for c in order], f"`{label}` AS label", f"stack({len(models)}, {parts}) AS (model_id, prob)").where(F.col("prob").isNotNull())
+        long = cut_lineage(long, "weights-batch")
+        held = long
+        if batch_id:
+            prev = spark.read.parquet(f"{out}/data/batch_id={batch_id - 1}").select("model_id", "weight")
+            held = held.unionByName(spark.read.parquet(f"{out}/monitors/batch_id={batch_id - 1}"))
+        else:
+            prev = EN.equal_weights(spark.createDataFrame([(m,) for m in models], "model_id string"), [], "model_id")
+        held.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n").write.mode("overwrite").parquet(f"{out}/monitors/batch_id={batch_id}")
+        sq = (F.col("prob") - F.col("label")) * (F.col("prob") - F.col("label"))
+        rolling = spark.read.parquet(f"{out}/monitors/batch_id={batch_id}").groupBy("model_id").agg(
+            F.when(F.count(F.lit(1)) >= min_n, F.avg(sq)).otherwise(F.lit(0.0)).alias("brier_score"))
+        mm = auc_roc(long, ["model_id"]).select("model_id", "auc_roc").join(rolling, "model_id")
+        w = EN.update_weights(mm, prev, [], "model_id", alpha, min_weight)
+        w.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(data)
+    return spark.read.parquet(f"{out}/data")
 
 
 def label_join(predictions: DataFrame, labels: DataFrame, key: str = "event_id", pred_ts: str = "ts",
-               label_ts: str = "label_ts", max_delay: str = "2 hours", watermark: str = WATERMARK) -> DataFrame:
+               label_ts: str = "label_ts", max_delay: str = "2 hours", watermark: str = WATERMARK, how: str = "left_outer") -> DataFrame:
     """#143: stream-stream join of predictions with labels that arrive later:
-    same key, label time within [prediction time, prediction time + max_delay].
-    Watermarks on both sides bound the join state."""
+    same key, label time within [prediction time, prediction time + max_delay]. Watermarks on both
+    sides bound the join state: a prediction whose label has not come when they pass its time
+    leaves with `labelled` false, and a label behind the watermark finds nothing any more."""
     p = predictions.withWatermark(pred_ts, watermark)
     lab = labels.withColumnRenamed(key, "_l_key").withWatermark(label_ts, watermark)
     cond = ((F.col(key) == F.col("_l_key"))
             & (F.col(label_ts) >= F.col(pred_ts))
             & (F.col(label_ts) <= F.col(pred_ts) + F.expr(f"INTERVAL {max_delay}")))
-    return p.join(lab, cond, "inner").drop("_l_key")
-
-
-def run_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions and labels from two streams over events; labels arrive one hour later."""
-    ev = event_score_stream(spark, sf_dir)
-    preds = ev.select("event_id", "ts", "event_type", "prob")
-    labs = event_score_stream(spark, sf_dir).select(
-        F.col("event_id"), (F.col("ts") + F.expr("INTERVAL 1 hour")).alias("label_ts"), "label")
-    j = label_join(preds, labs)
-    path = _write_batches(j, "label-join", "append")
-    return spark.read.parquet(path).drop("batch_id")
+    return p.join(lab, cond, how).withColumn("labelled", F.col("_l_key").isNotNull()).drop("_l_key")
+
+
+def run_label_join(predictions: DataFrame, labels: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
+    """One turn of the join on all that is new: (joined and expired predictions so far, labels so far that came
+    behind the watermark). The watermark that a turn ends with is stored for the next; the labels
+    pass by it in a query of their own, as the join drops late ones silently."""
+    spark = predictions.sparkSession
+    try:
+        mark = spark.read.parquet(f"{out}/watermark").first()["watermark"]
+    except Exception:  # noqa: BLE001 - the first turn
+        mark = None
+    behind = F.lit(False) if mark is None else F.col("label_ts") < F.lit(mark).cast("timestamp")
+    late = _write_batches(labels, "late-labels", "append", lambda batch, _: batch.where(behind), f"{out}/late")
+    joined = label_join(predictions, labels)
+    q = (joined.writeStream.outputMode("append").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/joined/data/batch_id={i}"))
+         .option("checkpointLocation", f"{out}/joined/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    marks = [p["eventTime"].get("watermark") for p in q.recentProgress if p["eventTime"].get("watermark")]
+    if marks:
+        spark.createDataFrame([(max(marks),)], "watermark string").coalesce(1).write.mode("overwrite").parquet(f"{out}/watermark")
+    return spark.read.parquet(f"{out}/joined/data").drop("batch_id"), spark.read.parquet(late).drop("batch_id")

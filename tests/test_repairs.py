@@ -12,6 +12,7 @@ from scorewatch.operators import fitted as FT
 from scorewatch.operators import rankstats as RS
 from scorewatch.operators import splits as SP
 from scorewatch.sources import fixtures as FX
+from scorewatch.session import scratch_path
 from scorewatch.streaming import monitor as SM
 
 SF = "/root/testdata/sf0.001"
@@ -128,12 +129,16 @@ def test_trajectories_per_key_and_candidate(spark):
 
 
 def test_stream_batch_of_one_class_keeps_weights_apart(spark):
-    batch = spark.createDataFrame([(0, 0.2, 0.5), (0, 0.1, 0.6)], "label int, a double, b double")
-    prev = spark.createDataFrame([("a", 0.8), ("b", 0.2)], "model_id string, weight double")
-    got = {r.model_id: r.weight for r in SM.batch_weights(batch, prev, ["a", "b"]).collect()}
-    assert got == pytest.approx(plain_update({"a": 0.8, "b": 0.2}, {"a": (None, 0.025), "b": (None, 0.305)}))
-    gone = {r.model_id: r.weight for r in SM.batch_weights(batch.withColumn("b", F.lit(None).cast("double")), prev, ["a", "b"]).collect()}
-    assert gone["a"] > 0.5 and gone["b"] == pytest.approx(plain_update({"a": 0.8, "b": 0.2}, {"a": (None, 0.025)})["b"])
+    """The AUC of a batch with one class is 0.5; a model without scores keeps its weight."""
+    rows = [(1, 1, 0, 0.2, 0.5), (2, 2, 0, 0.1, 0.6), (3, 3, 0, 0.3, None)]
+    df = spark.createDataFrame(rows, "ts int, event_id int, label int, a double, b double")
+    got, out = None, scratch_path(spark, "test-weights")
+    for stream in SM.replay([df.where("ts < 3"), df.where("ts = 3")]):
+        got = SM.run_stream_weights(stream, ["a", "b"], min_n=1, out=out)
+    got = {(r.batch_id, r.model_id): r.weight for r in got.collect()}
+    one = plain_update({"a": 0.5, "b": 0.5}, {"a": (None, 0.025), "b": (None, 0.305)})
+    two = plain_update(one, {"a": (None, (0.04 + 0.01 + 0.09) / 3)})
+    assert {m: got[0, m] for m in "ab"} == pytest.approx(one) and {m: got[1, m] for m in "ab"} == pytest.approx(two)
 
 
 def test_no_local_folder_off_a_local_master():
