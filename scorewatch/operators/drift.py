@@ -13,11 +13,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scorewatch.functions.columns import (
     chi2_sf, drift_level, edge_bin, ks_pvalue, lin_edges, with_edge_bin,
 )
-from scorewatch.operators.rankstats import DEFAULT_BUCKETS, prefix_sums
+from scorewatch.operators.rankstats import DEFAULT_BUCKETS, checked_label, checked_score, prefix_sums
+from scorewatch.session import cut_lineage
 
 SIGNIFICANCE = 0.05
 JS_THRESHOLD = 0.1
@@ -160,24 +162,9 @@ def js_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
     is_drift = distance > threshold. A constant feature (min = max) gets NULL.
     """
     feats = common_features(ref, cur, features)
-    nb = edges - 1
-    long = tagged_long(ref, cur, feats).where(F.col("value").isNotNull())
-    ranges = value_ranges(long)
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(nb))
-    binned = with_edge_bin(with_ranges(long, ranges), "value", F.col("lo"), step, nb, F.col("hi"))
-    counts = binned.groupBy("feature", "bin").agg(
+    counts = tagged_long(ref, cur, feats).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
-    w = Window.partitionBy("feature")  # at most `edges` rows per feature
-    probs = counts.select(
-        "feature", "bin",
-        (F.col("c_ref") / F.sum("c_ref").over(w)).alias("p"),
-        (F.col("c_cur") / F.sum("c_cur").over(w)).alias("q"))
-    dist, div = _js_from_probs("p", "q", ["feature"])
-    js = probs.groupBy("feature").agg(dist.alias("js_distance"), div.alias("js_divergence"))
-    names = long.sparkSession.createDataFrame([(f,) for f in ranges], "feature string")
-    out = names.join(js, "feature", "left")
-    return out.select("feature", "js_distance", "js_divergence",
-                      F.coalesce(F.col("js_distance") > F.lit(threshold), F.lit(False)).alias("is_drift"))
+    return js_of_counts(cut_lineage(counts, "value-counts"), ["feature"], edges, threshold)
 
 
 def prediction_js(ref: DataFrame, cur: DataFrame, prob: str = "prob", edges: int = PRED_JS_EDGES,
@@ -365,39 +352,62 @@ COMPARED = ("auc_roc", "auc_pr", "precision", "recall", "f1_score", "accuracy",
             "approval_rate_optimal", "default_rate_if_all_approved")
 
 
-def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], prob: str = "prob",
-                 label: str | None = "label", alpha: float = SIGNIFICANCE) -> DataFrame:
-    """#104: one row: KS/JS summary, prediction drift, overall score, level, recommendations, and
-    with labels the performance comparison, `<metric>_degradation` = reference - current (#57).
-
-    The prediction KS runs in the same unpivot/prefix-sum job as the feature KS
-    (the prediction is one more column of the long frame); all performance figures come
-    from one score-count table of both samples."""
-    from scorewatch.operators.metrics import all_metrics
-
-    pred = "__prediction__"
-    feats = list(features)
-    ks_all = ks_drift(ref.withColumn(pred, F.col(prob)), cur.withColumn(pred, F.col(prob)), feats + [pred], alpha)
-    is_pred = F.col("feature") == pred
-    of_pred = lambda c: F.max(F.when(is_pred, F.col(c))).alias(f"prediction_ks_{c}")
-    k = ks_all.agg(F.count_if(~is_pred).alias("total_features"), F.count_if(~is_pred & F.col("is_drift")).alias("ks_drift_count"),
-                   of_pred("statistic"), of_pred("p_value"), F.max(F.when(is_pred, F.col("is_drift"))).alias("prediction_drift"))
-    js = js_drift(ref, cur, feats).agg(F.count(F.lit(1)).alias("js_total"), F.count_if("is_drift").alias("js_drift_count"))
-    sel = [F.col(prob).alias("prob")] + ([F.col(label).alias("label")] if label else [F.lit(0).alias("label")])
-    both = (ref.select(*sel).withColumn("is_cur", F.lit(False))
-            .unionByName(cur.select(*sel).withColumn("is_cur", F.lit(True))))
-    of = lambda c, flag: F.max(F.when(F.col("is_cur") == flag, F.col(c)))
-    mean = both.groupBy("is_cur").agg(F.avg("prob").alias("m")).agg((of("m", True) - of("m", False)).alias("mean_prediction_shift"))
-    parts = [k, js, mean]
+PREDICTION = "__prediction__"
+
+
+def sample_counts(df: DataFrame, sample: str, features: Sequence[str], prob: str, label: str | None) -> DataFrame:
+    """(sample, feature, value, n, pos): how often each sample has each value of each feature and of the
+    prediction, and how many of those rows have label 1. Written once: whatever a report says is a
+    function of these counts."""
+    y = checked_label(label).cast("bigint") if label else F.lit(0).cast("bigint")
+    wide = df.select(F.col(sample).alias("_s"), y.alias("_y"), *[F.col(f"`{f}`") for f in features], checked_score(prob).alias(PREDICTION))
+    long = unpivot(wide, [*features, PREDICTION], keep=["_s", "_y"]).where(F.col("value").isNotNull())
+    return cut_lineage(long.groupBy(F.col("_s").alias("sample"), "feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")), "sample-counts")
+
+
+def drift_reports(df: DataFrame, sample: str, pairs: Sequence[tuple[str, object, object]], features: Sequence[str],
+                  prob: str = "prob", label: str | None = "label", alpha: float = SIGNIFICANCE) -> DataFrame:
+    """#104/#105: one report per (name, reference sample, current sample) of `pairs`: KS/JS summary,
+    prediction drift, overall score, level, recommendations, and with labels the performance
+    comparison, `<metric>_degradation` = reference - current (#57).
+
+    The rows are read once, into the count table of `sample_counts`; pairs share it. What is
+    compared per pair is one row per (feature, value)."""
+    from scorewatch.operators.metrics import metric_rows
+
+    c = sample_counts(df, sample, features, prob, label)
+    roles = F.array_compact(F.array(*[F.when(F.col("sample") == F.lit(s), F.struct(F.lit(name).alias("pair"), F.lit(is_cur).alias("is_cur")))
+                                      for name, ref, cur in pairs for s, is_cur in ((ref, False), (cur, True))]))
+    of = lambda flag: F.sum(F.when(F.col("r.is_cur") == flag, F.col("n")).otherwise(F.lit(0))).cast("bigint")
+    paired = c.select(F.explode(roles).alias("r"), "feature", "value", "n").groupBy("r.pair", "feature", "value").agg(of(False).alias("c_ref"), of(True).alias("c_cur"))
+    paired = cut_lineage(paired, "paired-counts")
+
+    is_pred = F.col("feature") == PREDICTION
+    ranked = prefix_sums(paired, ["pair", "feature"], "value", ["c_ref", "c_cur"], None, "sketch")
+    share = lambda x: F.try_divide((F.col(f"{x}_below") + F.col(x)).cast("double"), F.col(f"{x}_total").cast("double"))
+    d = ranked.groupBy("pair", "feature").agg(F.max(F.abs(share("c_ref") - share("c_cur"))).alias("statistic"), F.max("c_ref_total").alias("n_ref"), F.max("c_cur_total").alias("n_cur"))
+    d = d.withColumn("p_value", ks_pvalue("statistic", "n_ref", "n_cur")).withColumn("is_drift", F.col("p_value") < F.lit(alpha))
+    of_pred = lambda x, name: F.max(F.when(is_pred, F.col(x))).alias(name)
+    k = d.groupBy("pair").agg(F.count_if(~is_pred).alias("total_features"), F.count_if(~is_pred & F.col("is_drift")).alias("ks_drift_count"),
+                              of_pred("statistic", "prediction_ks_statistic"), of_pred("p_value", "prediction_ks_p_value"), of_pred("is_drift", "prediction_drift"))
+    js = js_of_counts(paired.where(~is_pred), ["pair", "feature"]).groupBy("pair").agg(F.count(F.lit(1)).alias("js_total"), F.count_if("is_drift").alias("js_drift_count"))
+
+    pred = c.where(is_pred)
+    m = pred.groupBy("sample").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    if label:
+        scores = pred.select("sample", F.col("value").alias("prob"), F.col("pos").cast("bigint").alias("pos"), (F.col("n") - F.col("pos")).cast("bigint").alias("neg"))
+        rows = metric_rows(prefix_sums(scores, ["sample"], "prob", ["pos", "neg"], None, "unit"), ["sample"])
+        m = m.join(rows.withColumn("auc", F.when(~F.col("degenerate"), F.col("auc_roc"))), "sample")
+    m = cut_lineage(m, "sample-metrics")
+    names = df.sparkSession.createDataFrame([(n, r, x) for n, r, x in pairs], StructType([StructField("pair", StringType()), *(
+        StructField(s, c.schema["sample"].dataType) for s in ("ref", "cur"))]))
+    side = lambda x: m.select(F.col("sample").alias(x), F.struct(*m.columns).alias(f"{x}_m"))
+    both = names.join(side("ref"), "ref", "left").join(side("cur"), "cur", "left")
+    gap = lambda x: F.col(f"ref_m.{x}") - F.col(f"cur_m.{x}")
+    out = [(F.col("cur_m.mean") - F.col("ref_m.mean")).alias("mean_prediction_shift")]
     if label:
-        m = all_metrics(both, ["is_cur"]).withColumn("auc", F.when(~F.col("degenerate"), F.col("auc_roc")))
-        gap = of("auc", False) - of("auc", True)
-        parts.append(m.agg(gap.alias("auc_degradation"), F.coalesce(gap > F.lit(0.05), F.lit(False)).alias("significant_auc_drop"),
-                           *[(of(c, False) - of(c, True)).alias(f"{c}_degradation") for c in COMPARED]))
-    u = parts[0]
-    for p_ in parts[1:]:  # one row each
-        u = u.unionByName(p_, allowMissingColumns=True)
-    row = u.agg(*[F.max(c).alias(c) for p_ in parts for c in p_.columns])
+        out += [gap("auc").alias("auc_degradation"), F.coalesce(gap("auc") > F.lit(0.05), F.lit(False)).alias("significant_auc_drop"), *[gap(x).alias(f"{x}_degradation") for x in COMPARED]]
+    row = both.select("pair", *out).join(k, "pair").join(js, "pair")
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     row = row.withColumn("ks_drift_ratio", ratio("ks_drift_count", "total_features")).withColumn("js_drift_ratio", ratio("js_drift_count", "js_total"))
     score = overall_drift_score("ks_drift_ratio", "js_drift_ratio", "prediction_drift")
@@ -407,6 +417,28 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], prob:
         recommendations(score, "ks_drift_ratio", "prediction_drift", auc_deg).alias("recommendations"))
 
 
+def js_of_counts(counts: DataFrame, by: Sequence[str], edges: int = JS_EDGES, threshold: float = JS_THRESHOLD) -> DataFrame:
+    """(by..., js_distance, js_divergence, is_drift) of counted values (by..., value, c_ref, c_cur); see `js_drift`."""
+    by, nb = list(by), edges - 1
+    ranges = counts.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(nb))
+    binned = with_edge_bin(counts.join(ranges.where(F.col("hi") > F.col("lo")), by), "value", F.col("lo"), step, nb, F.col("hi"))
+    bins = binned.groupBy(*by, "bin").agg(F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur"))
+    w = Window.partitionBy(*by)  # at most `edges` rows a group
+    probs = bins.select(*by, "bin", F.try_divide("c_ref", F.sum("c_ref").over(w)).alias("p"), F.try_divide("c_cur", F.sum("c_cur").over(w)).alias("q"))
+    dist, div = _js_from_probs("p", "q", by)
+    js = probs.groupBy(*by).agg(dist.alias("js_distance"), div.alias("js_divergence"))
+    return ranges.select(*by).join(js, by, "left").select(*by, "js_distance", "js_divergence", F.coalesce(F.col("js_distance") > F.lit(threshold), F.lit(False)).alias("is_drift"))
+
+
+def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], prob: str = "prob",
+                 label: str | None = "label", alpha: float = SIGNIFICANCE) -> DataFrame:
+    """#104: the report of one pair of samples, one row."""
+    cols = list(dict.fromkeys([*features, prob, *([label] if label else [])]))
+    both = ref.select(*cols).withColumn("_sample", F.lit("ref")).unionByName(cur.select(*cols).withColumn("_sample", F.lit("cur")))
+    return drift_reports(both, "_sample", [("report", "ref", "cur")], features, prob, label, alpha).drop("pair")
+
+
 def window_drift(ref_tail: DataFrame, cur: DataFrame, features: Sequence[str],
                  alpha: float = SIGNIFICANCE) -> DataFrame:
     """#98: KS against a reference window: any drift, ratio, drifted feature list

@@ -289,8 +289,13 @@ def all_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", pro
     AUC/AP/threshold metrics/Brier/log loss; ECE and profit ignore weights.
     Rows with a NULL probability are not scored (validate with #21 first).
     """
+    return metric_rows(ranked_scores(df, by, prob, label, weight, buckets), by, prob, weight is not None, threshold, bins, ece_mode)
+
+
+def metric_rows(r: DataFrame, by: Sequence[str], prob: str = "prob", weight: bool = False, threshold: float = 0.5,
+                bins: int = ECE_BINS, ece_mode: str = "standard") -> DataFrame:
+    """`all_metrics` from a ranked score-count table (by..., prob, pos, neg and their prefix sums)."""
     by = list(by)
-    r = ranked_scores(df, by, prob, label, weight, buckets)
     p = F.col(prob).cast("double")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pn = F.col("pos_n") if weight else F.col("pos")

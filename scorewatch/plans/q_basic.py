@@ -32,11 +32,9 @@ def _loans_sel(extra: str = "") -> str:
 
 @register("scan_loans", W_LOANS + f"SELECT {_loans_sel()} FROM loans")
 def scan_loans(spark, sf_dir):
-    """#1: the loan view with its required label column checked."""
-    df = FX.loans(spark, sf_dir)
-    if "TARGET" not in df.columns:
-        raise ValueError("Required column 'TARGET' not found in data")
-    return df
+    """#1: the loan view over orders read and checked by the loan reader."""
+    orders = read_loans(spark, f"{sf_dir}/orders.parquet", LoanSpec(label="o_totalprice", period="o_orderdate"))
+    return FX.loans(spark, sf_dir, orders)
 
 
 @register("scan_items", """
@@ -48,7 +46,8 @@ SELECT CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_
 FROM lineitem""")
 def scan_items(spark, sf_dir):
     """#2: second schema (label loan_status) from lineitem with a duplicate-safe key."""
-    return FX.items_book(spark, sf_dir).drop("row_hash")
+    items = read_loans(spark, f"{sf_dir}/lineitem.parquet", LoanSpec(label="l_returnflag", period="l_shipdate"))
+    return FX.items_book(spark, sf_dir, items).drop("row_hash")
 
 
 @register("sample_n", W_LOANS + """
@@ -358,10 +357,11 @@ def best_threshold(spark, sf_dir):
 
 
 @register("metrics_degenerate", W_LOANS + "SELECT CNT_ITEMS, auc_roc, degenerate, brier_score FROM (" + all_metrics_sql(
-    "(SELECT CNT_ITEMS, TARGET AS label, score_c AS prob FROM loans WHERE CNT_ITEMS <= 1)", ["CNT_ITEMS"]) + ")")
+    "(SELECT CNT_ITEMS, TARGET AS label, score_c AS prob FROM loans)", ["CNT_ITEMS"]) + ")")
 def metrics_degenerate(spark, sf_dir):
-    """#80: single-class groups (orders with 0 or 1 item) -> auc 0.5, degenerate, Brier still computed."""
-    lo = FX.loans(spark, sf_dir).where(F.col("CNT_ITEMS") <= 1).select(
+    """#80: per number of items; a single-class group (orders without items) has AUC 0.5 and is flagged,
+    its Brier score is still computed."""
+    lo = FX.loans(spark, sf_dir).select(
         "CNT_ITEMS", F.col("TARGET").alias("label"), F.col("score_c").alias("prob"))
     return M.all_metrics(lo, ["CNT_ITEMS"]).select("CNT_ITEMS", "auc_roc", "degenerate", "brier_score")
 
@@ -442,25 +442,26 @@ def join_scores(spark, sf_dir):
     return orders.join(sc, "loan_id")
 
 
+_NAMED = ["month_no", "AMT_CREDIT", "revol_util", "installment", "DAYS_BIRTH", "TARGET"]
+
+
 def _nw_sql() -> str:
     cases = []
     for weight, words in DS.NAME_WEIGHTS:
         cond = " OR ".join(f"contains(lower(col), '{w}')" for w in words)
         cases.append(f"WHEN {cond} THEN {dlit(weight)}")
-    cols = ["month_no", "AMT_CREDIT", "revol_util", "installment", "DAYS_BIRTH", "TARGET"]
     return W_LOANS + f"""
-SELECT col AS feature, CASE {' '.join(cases)} ELSE 1e0 END AS weight
-FROM (SELECT DISTINCT col FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)} FROM loans LIMIT 1)
-      ON {', '.join(cols)} INTO NAME col VALUE v))"""
+SELECT col AS feature, CASE {' '.join(cases)} ELSE 1e0 END AS weight, count(*) AS n, count(v) AS n_values
+FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NAMED)} FROM loans) UNPIVOT INCLUDE NULLS (v FOR col IN ({', '.join(_NAMED)})) GROUP BY col"""
 
 
 @register("name_weights", _nw_sql())
 def name_weights(spark, sf_dir):
-    """#39: keyword weights of feature names (1.5 time, 1.3 risk, else 1.0)."""
-    cols = ["month_no", "AMT_CREDIT", "revol_util", "installment", "DAYS_BIRTH", "TARGET"]
-    lo = FX.loans(spark, sf_dir).select(*cols).limit(1)
-    names = lo.select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
-    return names.select("feature", DS.name_weight_expr(F.col("feature")).alias("weight"))
+    """#39: keyword weights of feature names (1.5 time, 1.3 risk, else 1.0), with the rows and the values of each feature."""
+    parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in _NAMED)
+    long = FX.loans(spark, sf_dir).selectExpr(f"stack({len(_NAMED)}, {parts}) AS (feature, value)")
+    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"))
+    return n.select("feature", DS.name_weight_expr(F.col("feature")).alias("weight"), "n", "n_values")
 
 
 @register("stratified_folds", W_LOANS + """

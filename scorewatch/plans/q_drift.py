@@ -271,6 +271,46 @@ def drift_report(spark, sf_dir):
     return _report(spark, sf_dir)
 
 
+#: Within each dataset every two splits, and the test splits of the two datasets.
+PAIRS = [(f"{d}: {a} to {b}", f"{d}_{a}", f"{d}_{b}") for d in ("loans", "items") for a, b in (("train", "val"), ("train", "test"), ("val", "test"))]
+PAIRS.append(("loans to items: test", "loans_test", "items_test"))
+
+
+def _reports_sql() -> str:
+    pairs = ", ".join(f"('{n}', '{r}', '{c}')" for n, r, c in PAIRS)
+    unpivoted = "(UNPIVOT (SELECT sample, amount, rate FROM smp) ON amount, rate INTO NAME feature VALUE value)"
+    pick = lambda src: (f"SELECT pair || '|' || feature AS feature, value, sample = cur AS is_cur FROM {src} JOIN pr ON sample IN (ref, cur) "
+                        "WHERE value IS NOT NULL AND NOT isnan(value)")
+    long, preds = pick(unpivoted), pick("(SELECT sample, 'prediction' AS feature, prob AS value FROM smp)")
+    js = _JS_SQL.split("SELECT r.feature", 1)[0].replace(_W.rstrip("\n") + ",", "WITH ", 1).replace(_LONG, long)
+    m = all_metrics_sql("(SELECT sample, label, prob FROM smp)", ["sample"], rounded=False)
+    gaps = ", ".join(r6(f"a.{c} - b.{c}", f"{c}_degradation") for c in D.COMPARED)
+    return with_views("book").rstrip("\n") + f""",
+smp AS (SELECT dataset || '_' || split AS sample, label, prob, amount, rate FROM book),
+pr(pair, ref, cur) AS (VALUES {pairs}),
+ks AS (SELECT split_part(feature, '|', 1) AS pair, count(*) AS total_features, count_if(is_drift) AS ks_drift_count FROM ({ks_sql(long)}) GROUP BY 1),
+js AS (SELECT split_part(feature, '|', 1) AS pair, count(*) AS js_total, count_if(is_drift) AS js_drift_count FROM (
+  {js} SELECT r.feature, coalesce(sqrt(js.div) > 0.1e0, false) AS is_drift FROM rng r LEFT JOIN js ON r.feature = js.feature) GROUP BY 1),
+pk AS (SELECT split_part(feature, '|', 1) AS pair, * FROM ({ks_sql(preds)})),
+mm AS (SELECT m.*, n.mean, CASE WHEN m.degenerate THEN NULL ELSE m.auc_roc END AS auc FROM ({m}) m JOIN (SELECT sample, avg(prob) AS mean FROM smp GROUP BY sample) n USING (sample)),
+s AS (SELECT pair, total_features, ks_drift_count, js_drift_count, CAST(ks_drift_count AS DOUBLE) / total_features AS ks_drift_ratio, CAST(js_drift_count AS DOUBLE) / js_total AS js_drift_ratio
+  FROM ks JOIN js USING (pair)),
+p AS (SELECT pr.pair, pk.statistic AS prediction_ks_statistic, pk.p_value AS prediction_ks_p_value, pk.is_drift AS prediction_drift,
+  {r6('b.mean - a.mean', 'mean_prediction_shift')}, {r6('a.auc - b.auc', 'auc_degradation')}, coalesce(a.auc - b.auc > 0.05e0, false) AS significant_auc_drop, {gaps}
+  FROM pr JOIN pk USING (pair) JOIN mm a ON a.sample = pr.ref JOIN mm b ON b.sample = pr.cur)
+SELECT pair, CAST(s.total_features AS BIGINT) AS total_features, CAST(s.ks_drift_count AS BIGINT) AS ks_drift_count, CAST(s.js_drift_count AS BIGINT) AS js_drift_count,
+  {r6('s.ks_drift_ratio', 'ks_drift_ratio')}, {r6('s.js_drift_ratio', 'js_drift_ratio')}, p.* EXCLUDE (pair),
+  {r6(_SCORE, 'overall_drift_score')}, {_LEVEL} AS drift_level, {_recs_sql(_SCORE, 's.ks_drift_ratio', 'p.prediction_drift', 'p.auc_degradation')} AS recommendations
+FROM s JOIN p USING (pair)"""
+
+
+@register("drift_reports", _reports_sql())
+def drift_reports(spark, sf_dir):
+    """#105: the full drift report for every pair of splits of both datasets, and between the datasets."""
+    df = FX.book(spark, sf_dir).withColumn("sample", F.concat_ws("_", "dataset", "split"))
+    return D.drift_reports(df, "sample", PAIRS, ["amount", "rate"])
+
+
 _WIN_FEATS = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "revol_util", "score_b"]
 
 

@@ -25,6 +25,12 @@ def metrics_by_split(spark, sf_dir):
     return M.all_metrics(_split_long(spark, sf_dir), ["split", "model_id"])
 
 
+@register("metrics_by_dataset", with_views("book") + all_metrics_sql("book", ["dataset", "split"]))
+def metrics_by_dataset(spark, sf_dir):
+    """#135: the full metric row per (dataset, split)."""
+    return M.all_metrics(FX.book(spark, sf_dir), ["dataset", "split"])
+
+
 @register("metrics_by_period", with_views("scored_long") + all_metrics_sql("scored_long", ["month_no", "model_id"]))
 def metrics_by_period(spark, sf_dir):
     """#107: full metric row per (period, model)."""

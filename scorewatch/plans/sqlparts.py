@@ -74,6 +74,13 @@ SELECT * REPLACE (
 FROM loans
 """)
 
+view("book", ("loans",))("""
+SELECT dataset, CASE WHEN month_no < 40 THEN 'train' WHEN month_no < 55 THEN 'val' ELSE 'test' END AS split, label, prob, amount, rate FROM (
+  SELECT 'loans' AS dataset, month_no, TARGET AS label, score_c AS prob, AMT_ANNUITY / nullif(CNT_ITEMS, 0) AS amount, revol_util / 10e0 AS rate FROM loans
+  UNION ALL SELECT 'items', CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER), CAST(l_returnflag = 'R' AS INTEGER),
+    l_quantity / 50e0, l_extendedprice, l_discount * 100e0 FROM lineitem) WHERE month_no IS NOT NULL
+""")
+
 view("doc_quality")("""
 SELECT l.doc_id, CAST(l.quality AS INTEGER) AS label,
   least(greatest(d.n_chars / 20000e0, 0e0), 1e0) AS prob,

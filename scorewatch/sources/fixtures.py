@@ -1,7 +1,7 @@
 """Derived scored-record views over the driver tables.
 
 These are the inputs every operator is exercised with. Each view has a DuckDB
-twin in `scorewatch.plans.oracle` so results can be checked value by value.
+twin in `scorewatch.plans.sqlparts` so results can be checked value by value.
 
 Scale notes
 -----------
@@ -23,9 +23,9 @@ from scorewatch.sources.tables import read_table
 MODELS = ("a", "b", "c")
 
 
-def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loans(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One row per order; label TARGET, period month_no, three score columns."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = (read_table(spark, sf_dir, "orders") if orders is None else orders).select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     items = (
@@ -103,29 +103,26 @@ def loans_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def items_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Copies of one row that are numbered at a time.
+COPY_BLOCK = 65_536
+
+
+def items_book(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Second schema from lineitem: label loan_status, period ISSUE_MONTH, key (row_hash, dup_no).
 
-    lineitem has no unique key; the key is the full-row hash plus the copy
-    number among identical rows. Copies of one row may be a third of the
-    table, so copies are numbered per (hash, input partition) - a group no
-    larger than one input split - and offset by the counts of earlier
-    partitions (a table of at most partitions rows per hash).
+    lineitem has no unique key; the key is the full-row hash plus the copy number among
+    identical rows. Equal rows are counted first, so copies that are a third of the table are
+    one row of the shuffle, and their numbers are dealt out again in blocks.
     """
-    from pyspark.sql import Window
-
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
     h = F.xxhash64(*[F.col(c) for c in li.columns])
-    d = li.withColumn("row_hash", h).withColumn("_part", F.spark_partition_id())
-    counts = d.groupBy("row_hash", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy("row_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("row_hash", "_part", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("row_hash", "_part").orderBy("l_linenumber")
+    d = li.groupBy(*li.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("row_hash", h)
+    d = d.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPY_BLOCK))))
+    first = F.col("_block") * COPY_BLOCK + 1
     return (
-        d.join(offsets, ["row_hash", "_part"])
-        .withColumn("dup_no", F.row_number().over(w) + F.col("_off"))
+        d.withColumn("dup_no", F.explode(F.sequence(first, F.least(first + COPY_BLOCK - 1, "_n"))))
         .select(
-            "row_hash", "dup_no",
+            "row_hash", F.col("dup_no").cast("int").alias("dup_no"),
             ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("ISSUE_MONTH"),
             F.col("l_quantity").alias("loan_amnt"),
             F.col("l_extendedprice").alias("term_price"),
@@ -135,6 +132,16 @@ def items_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both datasets under common names: (dataset, split, label, prob, amount, rate)."""
+    lo = loans(spark, sf_dir).select(F.lit("loans").alias("dataset"), "month_no", F.col("TARGET").alias("label"), F.col("score_c").alias("prob"),
+                                     (F.col("AMT_ANNUITY") / F.col("CNT_ITEMS")).alias("amount"), (F.col("revol_util") / F.lit(10.0)).alias("rate"))
+    it = items_book(spark, sf_dir).select(F.lit("items").alias("dataset"), F.col("ISSUE_MONTH").alias("month_no"), F.col("loan_status").alias("label"),
+                                          (F.col("loan_amnt") / F.lit(50.0)).alias("prob"), F.col("term_price").alias("amount"), F.col("dti").alias("rate"))
+    split = F.when(F.col("month_no") < 40, "train").when(F.col("month_no") < 55, "val").otherwise("test")
+    return lo.unionByName(it).where(F.col("month_no").isNotNull()).select("dataset", split.alias("split"), "label", "prob", "amount", "rate")
+
+
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels join documents: label quality, prob n_chars/20000 clipped, weight 1+toxic."""
     lab = read_table(spark, sf_dir, "labels")

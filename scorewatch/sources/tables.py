@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -23,6 +24,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# fixed values (must equal the original's)
+FALLBACK_ROWS = {"regime": 50_000, "stress": 30_000}
+
+
 @dataclass(frozen=True)
 class LoanSpec:
     """Per-dataset reader settings: label column, period column, file format."""
@@ -38,12 +43,14 @@ LENDING_CLUB = LoanSpec(label="loan_status", period="ISSUE_MONTH")
 
 
 def read_loans(spark: SparkSession, path: str, spec: LoanSpec = HOME_CREDIT,
-               on_error: str = "raise", fallback_rows: int = 50000, seed: int = 42) -> DataFrame:
+               on_error: str = "raise", fallback_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Scan a loan table and check the required label column (#1, #2).
 
     on_error='raise' (default) surfaces missing files, empty files and parse
     errors. on_error='fallback' returns the distributed synthetic generator
-    (#3, #5) instead, like the original loader did.
+    (#3, #5) instead, like the original loader did: 50,000 rows of the first schema, 30,000 of the second
+    unless `fallback_rows` says otherwise. Rows that cannot be parsed would fail only when they are
+    read, so with a fallback the whole file is parsed once first.
     """
     if on_error not in ("raise", "fallback"):
         raise ValueError("on_error must be 'raise' or 'fallback'")
@@ -59,12 +66,14 @@ def read_loans(spark: SparkSession, path: str, spec: LoanSpec = HOME_CREDIT,
             raise ValueError(f"Required column '{spec.label}' not found in data")
         if not df.columns or df.isEmpty():
             raise ValueError("Data file is empty")
+        if on_error == "fallback":
+            df.write.format("noop").mode("overwrite").save()
         return df
-    except (AnalysisException, ValueError, OSError) as exc:
+    except (PySparkException, Py4JJavaError, ValueError, OSError) as exc:
         if on_error == "raise":
             raise
         from scorewatch.sources.generators import gen_loans
 
         kind = "regime" if spec.label == "TARGET" else "stress"
         _ = exc
-        return gen_loans(spark, fallback_rows, seed=seed, kind=kind)
+        return gen_loans(spark, fallback_rows or FALLBACK_ROWS[kind], seed=seed, kind=kind)
