@@ -7,6 +7,8 @@ a fixed number of parts. Texts where a cut is not certain go to the library whol
 
 Plain Latin words need neither normalisation nor pre-tokenisation: they go straight to the
 library's model, in the byte alphabet of its pre-tokenizer.
+
+No texts give no ids; a null text is empty, and an empty one has no ids.
 """
 
 from __future__ import annotations

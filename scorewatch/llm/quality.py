@@ -6,8 +6,10 @@ raw corpus. A document's score is the mean over its n-grams of
 log p_target(bucket) - log p_raw(bucket), so its length does not matter. A document is
 kept if it passes the base rules and its score is at least the threshold: one number,
 the cut on a fixed grid of scores with the least weighted error on all labelled documents
-that pass the base rules, a wrongly rejected good share weighing `REJECT_COST` times a
-wrongly kept bad share.
+that pass the base rules: a wrongly rejected share of the trusted ones weighs `REJECT_COST`
+times a wrongly kept share of the others, toxic ones among them. A trusted document has helped to
+count its own n-grams, so the cut is fitted on scores by a target without the documents of its
+own fold (`FOLDS`, by the text); all documents are then judged by the whole target.
 
 Tokens of the n-grams are words cut at the border of letters/digits and other signs.
 
@@ -21,6 +23,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from scorewatch.llm.common import as_batch, bundled, extended, slices, table, unbundled, written
 from scorewatch.llm.words import mix, positions, split_words, window_hashes, word_hashes
 
-BUCKETS = 1 << 16
+BUCKETS, FOLDS = 1 << 16, 5
 SMOOTHING = 1.0
 REJECT_COST = 20.0
 GRID = 100  # cuts per unit of score
@@ -85,34 +88,45 @@ def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(48)).astype(np.int64) % BUCKETS, np.concatenate([positions(counts)[0], owner])
 
 
+def _folds(texts: pa.Array) -> np.ndarray:
+    """Fold of each text, equal for copies."""
+    return np.fromiter((zlib.crc32((t or "").encode()) % FOLDS for t in texts.to_pylist()), np.int64, len(texts))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros((FOLDS, BUCKETS), np.int64)
     for b in slices(batches, "text"):
-        bucket, owner = _buckets(b.column("text"))
+        text = b.column("text")
+        bucket, owner = _buckets(text)
         good = pc.fill_null(b.column("trusted"), False).to_numpy(zero_copy_only=False)
         raw += np.bincount(bucket, minlength=BUCKETS)
-        target += np.bincount(bucket[good[owner]], minlength=BUCKETS)
+        use = good[owner]
+        target += np.bincount(_folds(text)[owner[use]] * BUCKETS + bucket[use], minlength=FOLDS * BUCKETS).reshape(FOLDS, BUCKETS)
     if raw.any():
-        schema = pa.schema([("part", pa.int32()), ("raw", pa.list_(pa.int64())), ("target", pa.list_(pa.int64()))])
-        yield as_batch(schema, [np.arange(BUCKETS // PART, dtype=np.int32), raw.reshape(-1, PART).tolist(), target.reshape(-1, PART).tolist()])
+        schema = pa.schema([("part", pa.int32()), ("raw", pa.list_(pa.int64())), *((f"t{k}", pa.list_(pa.int64())) for k in range(FOLDS))])
+        yield as_batch(schema, [np.arange(BUCKETS // PART, dtype=np.int32), *(x.reshape(-1, PART).tolist() for x in (raw, *target))])
 
 
 def log_ratio(docs: DataFrame) -> np.ndarray:
-    """Log-ratio of every bucket from all rows of `docs` (text, trusted). Each task adds up its
-    own counts; `BUCKETS` sums reach the driver, whatever the size of the corpus."""
+    """Log-ratio of every bucket from all rows of `docs` (text, trusted): with the whole target, then without
+    each fold of it. Each task adds up its own counts; `BUCKETS` sums reach the driver, whatever
+    the size of the corpus."""
+    names = ["raw", *(f"t{k}" for k in range(FOLDS))]
     total = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(PART)]).alias(c)
-    rows = docs.mapInArrow(_count, "part int, raw array<long>, target array<long>").groupBy("part").agg(total("raw"), total("target")).collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r["part"] * PART:(r["part"] + 1) * PART] = r["raw"]
-        target[r["part"] * PART:(r["part"] + 1) * PART] = r["target"]
+    counted = docs.mapInArrow(_count, "part int, " + ", ".join(f"{c} array<long>" for c in names))
+    raw, target = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
+    for r in counted.groupBy("part").agg(*map(total, names)).collect():
+        at = slice(r["part"] * PART, (r["part"] + 1) * PART)
+        raw[at] = r["raw"]
+        for k in range(FOLDS):
+            target[k, at] = r[f"t{k}"]
     if not target.any():
-        return np.zeros(BUCKETS)
+        return np.zeros((FOLDS + 1, BUCKETS))
     share = lambda c: np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS))
-    return share(target) - share(raw)
+    return np.array([share(t) - share(raw) for t in (target.sum(axis=0), *(target.sum(axis=0) - t for t in target))])
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, fit_score double"
 
 
 def _measure(ratio: np.ndarray, keep: list[str]):
@@ -121,26 +135,27 @@ def _measure(ratio: np.ndarray, keep: list[str]):
             text = b.column("text")
             m = _base(text)
             bucket, owner = _buckets(text)
-            n = np.bincount(owner, minlength=len(text))
-            score = np.bincount(owner, weights=ratio[bucket], minlength=len(text)) / np.maximum(n, 1)
+            n = np.maximum(np.bincount(owner, minlength=len(text)), 1)
+            mean = lambda x: pa.array(np.bincount(owner, weights=x, minlength=len(text)) / n)  # noqa: B023, E731
             failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-            cols = {k: b.column(k) for k in keep} | {k: pa.array(v) for k, v in m.items()} | {"base_failed": pa.array(failed), "score": pa.array(score)}
-            yield pa.RecordBatch.from_pydict(cols)
+            cols = {k: b.column(k) for k in keep} | {k: pa.array(v) for k, v in m.items()} | {"base_failed": pa.array(failed)}
+            yield pa.RecordBatch.from_pydict(cols | {"score": mean(ratio[0][bucket]), "fit_score": mean(ratio[1 + _folds(text)[owner], bucket])})
 
     return run
 
 
 def measures(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns `keep` of every row of `docs`, its base measures and score."""
+    """Columns `keep` of every row of `docs`, its base measures, its score, and the one without its own fold."""
     cols = list(dict.fromkeys([*keep, "text"]))
     return docs.select(*cols).mapInArrow(_measure(ratio, keep), extended(docs.select(*keep).schema, MEASURES))
 
 
 def labels_by_doc(labels: DataFrame) -> DataFrame:
-    """(doc_id, good, trusted), one row per labelled doc_id; rows without a quality label do not count."""
+    """(doc_id, trusted), one row per labelled doc_id: of good quality and not toxic by all its labels. Rows
+    without a quality label do not count."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    good, clean = F.min("quality") == 1, F.max(F.coalesce("toxic", F.lit(0))) == 0
-    return rows.groupBy("doc_id").agg(good.alias("good"), (good & clean).alias("trusted"))
+    clean = (F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
+    return rows.groupBy("doc_id").agg(clean.alias("trusted"))
 
 
 def threshold(measured: DataFrame, labels: DataFrame) -> float:
@@ -148,8 +163,8 @@ def threshold(measured: DataFrame, labels: DataFrame) -> float:
     of the best cuts that lie together. Only counts per grid cell reach the driver, and scores
     lie within +-log of the n-gram total, so the cells are bounded."""
     cells = (measured.where(~F.col("base_failed")).join(labels, "doc_id")
-             .groupBy(F.floor(F.col("score") * GRID).alias("cell")).agg(
-                 F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).orderBy("cell").collect())
+             .groupBy(F.floor(F.col("fit_score") * GRID).alias("cell")).agg(
+                 F.sum(F.col("trusted").cast("long")).alias("good"), F.sum((~F.col("trusted")).cast("long")).alias("bad")).orderBy("cell").collect())
     good, bad = sum(r["good"] for r in cells), sum(r["bad"] for r in cells)
     if not good or not bad:
         return -math.inf

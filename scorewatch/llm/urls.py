@@ -1,13 +1,14 @@
 """URL filter: rules first, gradient-boosted trees on lexical features for the rest.
 
 Every step is a DataFrame or SQL expression; the trees are Spark ML's. URLs that a rule
-decides are the labelled URLs. The classifier is fitted on at most `MAX_LABELLED` of
-them, taken in the order of a seeded hash of the url, and judges every url that no rule
-fits.
+decides are the labelled URLs. The classifier is fitted on at most `MAX_LABELLED` different
+ones, taken in the order of a seeded hash of the url and weighted by their copies, and
+judges every url that no rule fits.
 
 Features: lengths of url, host and path; path depth; digit ratio; character entropy;
 numbers of parameters, dots, hyphens; scheme; and the smoothed share of blocked urls
-among labelled ones by host suffix and by registered domain (suffix statistics).
+among all labelled rows by host suffix and by registered domain (suffix statistics). For a url of
+the fit, rows of its own fold of urls do not count: its label is not in its features.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and is judged
 by the classifier; with labelled urls of one verdict only, all others get that verdict;
@@ -27,7 +28,7 @@ from scorewatch.llm.common import table, written
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_LABELLED = 20_000
-ROUNDS, DEPTH, SEED = 15, 4, 17
+ROUNDS, DEPTH, SEED, FOLDS = 15, 4, 17, 5
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_digits", "f_entropy", "f_params", "f_query_len", "f_dots",
             "f_hyphens", "f_secure", "f_suffix", "f_domain"]
@@ -73,28 +74,43 @@ def with_features(df: DataFrame, url: str = "url") -> DataFrame:
         count(u, "-").alias("f_hyphens"), u.startswith("https://").cast("double").alias("f_secure"))
 
 
+KEYS = ("suffix", "domain")
+
+
 class UrlModel:
     """The fitted trees with the suffix and domain statistics they were trained on."""
 
-    def __init__(self, sample: DataFrame, rounds: int, depth: int, seed: int):
+    def __init__(self, labelled: DataFrame, max_labelled: int, rounds: int, depth: int, seed: int):
+        """`labelled`: (label, copies, url_hash, url, suffix, domain, features) of every different labelled url."""
         self.trees, self.only = None, "allow"
-        counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+        counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
         self.prior = counts.get(1.0, 0) / max(1, sum(counts.values()))
-        stats = lambda key: sample.groupBy(key).agg(
-            ((F.sum("label") + 5 * self.prior) / (F.count("*") + 5)).alias(f"f_{key}"))
-        self.stats = {k: stats(k) for k in ("suffix", "domain")}
+        each = labelled.withColumn("fold", F.pmod("url_hash", F.lit(FOLDS)))
+        self.folds = {k: written(each.groupBy(k, "fold").agg(F.sum(F.col("label") * F.col("copies")).alias("b"), F.sum("copies").alias("n")), f"url-{k}") for k in KEYS}
         if len(counts) == 1:
             self.only = "block" if 1.0 in counts else "allow"
         elif counts:
+            sample = each.orderBy("url_hash", "url").limit(max_labelled)
             stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"),
                       GBTClassifier(labelCol="label", featuresCol="features", predictionCol="blocked", maxIter=rounds,
-                                    maxDepth=depth, seed=seed, stepSize=0.2)]
-            self.trees = Pipeline(stages=stages).fit(self._joined(sample))
+                                    maxDepth=depth, seed=seed, stepSize=0.2, weightCol="copies")]
+            self.trees = Pipeline(stages=stages).fit(written(self._out_of_fold(sample), "url-sample"))
+
+    def _share(self, b: Column, n: Column) -> Column:
+        return (F.coalesce(b, F.lit(0.0)) + 5 * self.prior) / (F.coalesce(n, F.lit(0)) + 5)
+
+    def _out_of_fold(self, df: DataFrame) -> DataFrame:
+        for k, stat in self.folds.items():
+            total = stat.groupBy(k).agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+            df = df.join(total, k, "left").join(stat, [k, "fold"], "left")
+            df = df.withColumn(f"f_{k}", self._share(F.col("all_b") - F.coalesce("b", F.lit(0.0)), F.col("all_n") - F.coalesce("n", F.lit(0)))).drop("all_b", "all_n", "b", "n")
+        return df
 
     def _joined(self, df: DataFrame) -> DataFrame:
-        # At most MAX_LABELLED keys each: the statistics come from the bounded sample alone.
-        for key, stat in self.stats.items():
-            df = df.join(F.broadcast(stat), key, "left").fillna({f"f_{key}": self.prior})
+        # A merge join at every size: the statistics have as many rows as the labelled urls have domains.
+        for k, stat in self.folds.items():
+            total = stat.groupBy(k).agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+            df = df.join(total.hint("merge"), k, "left").withColumn(f"f_{k}", self._share(F.col("all_b"), F.col("all_n"))).drop("all_b", "all_n")
         return df
 
     def judge(self, df: DataFrame) -> DataFrame:
@@ -112,11 +128,13 @@ def prepared(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
 
 def fit(df: DataFrame, url: str = "url", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, depth: int = DEPTH,
         seed: int = SEED) -> UrlModel:
-    """Fit on at most `max_labelled` urls that a rule decides (`df` from `prepared`)."""
-    sample = (df.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
-              .orderBy(F.xxhash64(F.lit(seed), url), url).limit(max_labelled)
-              .select("label", "suffix", "domain", *[f for f in FEATURES if f not in ("f_suffix", "f_domain")]))
-    return UrlModel(written(sample, "url-labelled"), rounds, depth, seed)
+    """Fit on at most `max_labelled` different urls that a rule decides (`df` from `prepared`); the statistics are of all."""
+    rows = df.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    own = [f for f in FEATURES if f not in ("f_suffix", "f_domain")]
+    # Copies of a url are counted first: it has one verdict, and one set of features.
+    labelled = rows.groupBy(url, "label").agg(F.count(F.lit(1)).cast("double").alias("copies"), *[F.first(c).alias(c) for c in (*KEYS, *own)])
+    labelled = labelled.withColumn("url_hash", F.xxhash64(F.lit(seed), F.col(url))).withColumnRenamed(url, "url")
+    return UrlModel(written(labelled, "url-labelled"), max_labelled, rounds, depth, seed)
 
 
 def q_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

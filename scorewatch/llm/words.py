@@ -1,5 +1,6 @@
 """Words of whole texts as integer codes: one C++ pass splits and dictionary-encodes a
-slice of texts, so Python touches each distinct word of a slice once."""
+slice of texts, so Python touches each distinct word of a slice once. No texts, and null, empty or
+blank ones, have no words."""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from conftest import SF_MID
+from pyspark.sql import functions as F
 from test_texts import WORD, base, classes, plain_spans
 from test_tokens import check_sequences, library
 
@@ -60,6 +61,32 @@ def test_packing_stage(stages):
     check_sequences(got, sum(n.values()))
 
 
+@pytest.mark.parametrize("where", ["edge", "empty", "clash"])
+def test_stages_take_any_rows(spark, edge_dir, empty_dir, tmp_path, where):
+    """Nulls in all columns, repeated rows and ids, odd texts, no rows, and columns named like those of the operators."""
+    d = empty_dir if where == "empty" else edge_dir
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    if where == "clash":
+        more = ("row", "kept", "n", "key", "tkey", "copy", "component", "base", "spans", "rid", "piece", "start", "length", "sequence_id", "offset", "score", "trusted")
+        nothing = spark.createDataFrame([(None, None)] * 2, "doc_id long, text string").select("*", *[F.lit(None).cast("string").alias(c) for c in more])
+        docs = docs.select("doc_id", "text", *[F.lit(f"of {c}").alias(c) for c in more]).unionByName(nothing)
+    columns, before = docs.columns, docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, d).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 3:
+            assert after.columns == columns
+            rest = [c for c in columns if c not in ("text", "n_chars")]
+            assert after.select(*rest).exceptAll(before.select(*rest)).isEmpty()
+        before = after
+    if where == "empty":
+        assert before.isEmpty()
+    else:
+        kept = spark.read.parquet(f"{tmp_path}/2")
+        assert 0 < kept.count() and before.select("doc_id").distinct().exceptAll(kept.select("doc_id").distinct()).isEmpty()
+        assert before.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n != m or n > 2048").isEmpty()
+
+
 def test_run_gives_the_last_stage(spark, stages):
     got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF_MID).collect())
     assert got == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages[4].collect())

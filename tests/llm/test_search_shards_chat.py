@@ -95,29 +95,50 @@ def test_sort_keys_sort_like_numbers():
 
 @pytest.mark.parametrize("bucket_bytes", [sharding.BUCKET_BYTES, 20_000])
 def test_shards(spark, edge_dir, bucket_bytes):
-    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(400)).select("doc_id", "text"))
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text", F.lit(99).alias("slot"), F.lit("x").alias("bucket"))
+    docs = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(400)).select(*docs.columns))
     rows = docs.collect()
     out = sharding.sharded(docs, 24, bucket_bytes=bucket_bytes)
     got = out.collect()
-    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in rows)
+    assert Counter((r.row.doc_id, r.text, r.row.slot, r.row.bucket) for r in got) == Counter((r.doc_id, r.text, 99, "x") for r in rows)
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
     assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     sizes = [len(s) for s in slots.values()]
     assert max(sizes) - min(sizes) <= 1
-    again = sharding.sharded(docs, 24, bucket_bytes=bucket_bytes).collect()
-    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    for parts in (2, 5):  # the order does not depend on how the input is split
+        again = sharding.sharded(docs.repartition(parts), 24, bucket_bytes=bucket_bytes).collect()
+        assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     other = sharding.sharded(docs, 24, seed=5, bucket_bytes=bucket_bytes).collect()
     assert Counter(map(tuple, other)) != Counter(map(tuple, got))
 
 
+def test_equal_rows_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPY_BLOCK", 4)
+    rows = [(1, "a")] * 11 + [(1, "b")] * 2 + [(None, None)] * 3 + [(2, "c"), (3, "c")]
+    out = sharding.numbered(sharding.bundled(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).collect()
+    assert sorted((str(r.row.doc_id), str(r.text), r["copy"]) for r in out) == sorted(
+        [("1", "a", i) for i in range(11)] + [("1", "b", 0), ("1", "b", 1)] + [("None", "None", i) for i in range(3)] + [("2", "c", 0), ("3", "c", 0)])
+
+
+def test_shards_by_the_plain_order(spark):
+    """Each bucket holds its rows in the order of a seeded permutation of their sorted keys; shards cut that order."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(CAST(id AS string), 40) AS text")
+    keyed = sharding.scatter(sharding.bundled(docs), 8, sharding.SEED).collect()
+    order = []
+    for k in range(8):
+        mine = sorted((r.key, r.row.doc_id) for r in keyed if r.bucket == k)
+        order += [mine[i][1] for i in np.random.Generator(np.random.PCG64([sharding.SEED, k])).permutation(len(mine))]
+    got = sorted((r.shard, r.slot, r.row.doc_id) for r in sharding.sharded(docs, 7).collect())
+    assert [i for *_, i in got] == order
+
+
 def test_shards_are_shuffled(spark):
     got = sharding.sharded(spark.range(4000).selectExpr("id AS doc_id", "CAST(id AS string) AS text").repartition(3), 4, bucket_bytes=60_000).orderBy("shard", "slot").collect()
-    ids = np.array([r.doc_id for r in got])
+    ids = np.array([r.row.doc_id for r in got])
     assert abs(np.corrcoef(np.arange(len(ids)), ids)[0, 1]) < 0.06
-    assert all(abs(np.mean([r.doc_id for r in got if r.shard == s]) - 2000) < 200 for s in range(4))
+    assert all(abs(np.mean([r.row.doc_id for r in got if r.shard == s]) - 2000) < 200 for s in range(4))
 
 
 def test_sharding_query(spark):
@@ -172,6 +193,20 @@ def test_url_trees_learn(spark):
     assert np.mean([got[i] == v for i, _, v in rows[400:]]) > 0.95
 
 
+def test_url_statistics_cover_all_rows_out_of_fold(spark):
+    rows = [(i, f"http://h{i % 40}.{'good' if i % 2 else 'bad'}.com/p{i}", "allow" if i % 2 else "block") for i in range(200)] + [(900, "http://hot.bad.com/", "block")] * 500
+    df = urls.prepared(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"), rules=())
+    df = df.drop("ruled").withColumn("ruled", F.when(F.col("domain") == "good.com", "allow").otherwise("block"))
+    model = urls.fit(df, max_labelled=50, rounds=2)
+    total = {r.domain: (r.b, r.n) for r in model.folds["domain"].groupBy("domain").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
+    assert total == {"good.com": (0.0, 100.0), "bad.com": (600.0, 600.0)} and model.prior == 600 / 700
+    each = spark.createDataFrame([("bad.com", "com", int(k)) for k in range(urls.FOLDS)], "domain string, suffix string, fold long")
+    own = {r.fold: (r.b, r.n) for r in model.folds["domain"].where("domain = 'bad.com'").collect()}
+    for r in model._out_of_fold(each).collect():
+        b, n = own.get(r.fold, (0, 0))
+        assert r.f_domain == pytest.approx((600 - b + 5 * model.prior) / (600 - n + 5))
+
+
 def test_url_model_without_both_labels(spark):
     for rule, want in ((("block", "zzz", "/"), "allow"), (("block", "com", "/"), "block"), (("allow", "com", "/"), "allow")):
         df = urls.prepared(spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.io/")], "page_id long, url string"), rules=(rule,))

@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -68,9 +70,28 @@ def test_quality_query(spark, edge_dir, where):
 def test_quality_separates_labelled_documents(spark):
     out = quality.q_quality(spark, SF_MID)
     labels = spark.read.parquet(f"{SF_MID}/labels.parquet")
-    rows = out.where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
-    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+    rows = out.where("not base_failed").join(labels, "doc_id", "left").select("quality", "toxic", "kept").collect()
+    trusted, bad, unlabelled = ([r.kept for r in rows if (r.quality, r.toxic) in x] for x in ({(1, 0)}, {(0, 0), (0, 1)}, {(None, None)}))
+    assert sum(trusted) >= 0.99 * len(trusted) and sum(bad) <= 0.1 * len(bad)
+    # Documents that the target was not counted on are judged alike: about the labelled share of bad ones goes.
+    assert sum(unlabelled) >= 0.85 * len(unlabelled)
+
+
+def test_cut_is_fitted_without_the_own_fold(spark):
+    """The score that fits the cut, by brute force, for trusted documents and their copies."""
+    texts = [f"{'alpha beta gamma delta ' * 15} word{i} other{i * 7} {'x' * i}" for i in range(40)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0])]
+    labels = [(i, 1, 0) for i in range(30)] + [(i, 1, 1) for i in range(30, 35)] + [(i, 0, 0) for i in range(35, 40)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judged(df, lab, ["doc_id"]).collect()}
+    buckets = {i: quality._buckets(pa.array([t]))[0] for i, t in docs}
+    raw = sum(np.bincount(b, minlength=quality.BUCKETS) for b in buckets.values())
+    fold = {i: zlib.crc32(t.encode()) % quality.FOLDS for i, t in docs}
+    share = lambda c: np.log((c + 1) / (c.sum() + quality.BUCKETS))
+    for i, _ in docs:
+        target = sum((np.bincount(buckets[j], minlength=quality.BUCKETS) for j in range(30) if fold[j] != fold[i]), np.zeros(quality.BUCKETS))
+        assert got[i].fit_score == pytest.approx(float(np.mean((share(target) - share(raw))[buckets[i]])))
+    assert got[0].fit_score == got[100].fit_score and got[0].score > got[0].fit_score
 
 
 def test_quality_without_labels(spark, edge_dir):
