@@ -7,6 +7,10 @@ DataFrame, which is written as Parquet and reread as the next stage's docs:
 2. n-gram Jaccard join: one document of each group of near copies stays;
 3. personal data: every span is replaced by the label of its kind;
 4. best-fit packing: pieces of all remaining documents with their sequence and place.
+
+Defined cases, each the operator's own: all columns may be null and other columns may have any
+name; repeated rows and ids are rows of their own (the Jaccard join keeps one of equal texts);
+an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -19,18 +23,22 @@ from scorewatch.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts fail the base rules and go; a null doc_id has no label; repeated rows are judged alike."""
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal rows and of near copies one stays, whatever their ids; texts without words all stay."""
     return jaccard.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; a null text stays null; copies of a text get the same replacements."""
     return privacy.sanitised(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null or empty text is one piece of its end id; repeated rows and ids have pieces of their own."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

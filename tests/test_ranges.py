@@ -95,3 +95,26 @@ def test_codes_of_a_million_values(spark):
     assert {(r.column, r.value, r.code) for r in state.where("column != 'big'").collect()} == {("small", "0", 0), ("small", "1", 1), ("small", "2", 2), ("half", "é", 0)}
     plan = state._jdf.queryExecution().toString()
     assert "dense_rank" not in plan
+
+
+def test_profile_without_shuffled_values(spark):
+    """What decides roles and constant columns is exact: distinct numbers near a limit, shares of common values."""
+    from scorewatch.operators.descriptive import role_of
+
+    rnd = random.Random(12)
+    n = 2000
+    rows = [(i, i % 50, i % 51, i % 100, i % 101, 7 if i % 50 else None, 7.0 if i % 100 else float("nan"), "same" if i >= 41 else f"v{i}", None, rnd.random(),
+             "a" if rnd.random() < 0.6 else f"b{i}") for i in range(n)]
+    names = ["id", "fifty", "fifty_one", "hundred", "hundred_one", "with_null", "with_nan", "mostly", "none", "real", "majority"]
+    df = spark.createDataFrame(rows, "id int, fifty int, fifty_one int, hundred int, hundred_one int, with_null int, with_nan double, mostly string, none string, real double, majority string").repartition(4)
+    got = FT.FeaturePipeline()._profile(df)
+    for i, c in enumerate(names):
+        x = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        top = max((x.count(v) for v in set(x[:100]) | set(x[-3:])), default=0) if c not in ("id", "real") else 1
+        p, kind = got[c], c not in ("mostly", "none", "majority")
+        assert p["rows"] == n and p["nulls"] == n - len(x)
+        assert role_of(c, kind, p["distinct"], n) == role_of(c, kind, len(set(x)), n)
+        assert p["distinct"] == len(set(x)) if len(set(x)) <= 101 else p["distinct"] > 1000 or c == "majority"
+        assert (p["top_nn"] or 0) == top if top > n / 2 else (p["top_nn"] or 0) <= n / 2
+        if kind and x:
+            assert (p["lo"], p["hi"]) == (min(x), max(x))
