@@ -5,8 +5,9 @@ every find (a protected entity), the `WINDOW` words on either side are its terms
 whole corpus of N different texts (copies are one), n(c) counts texts with entity c, n(t)
 texts with term t and n(c, t) texts with both, t near or far. A term of c discloses it if
 PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is at least `DISCLOSURE` of the entity's own
-information -log(n(c) / N) and the log-likelihood ratio of the two occurring independently
-is at least `SIGNIFICANCE`. A single text is evidence enough where both are rare against N.
+information -log(n(c) / N), and the log-likelihood ratio of the two occurring independently
+is more than chance gives any of the neighbouring pairs of the corpus (with probability 1 - `LEVEL`, all
+pairs together). A single text is evidence enough only where pairs are few against N.
 Every occurrence of such a term is a span of kind `term`, in all texts, also far from the
 entity or without it; `sanitised` puts a general label in the place of every span.
 
@@ -20,6 +21,7 @@ no rows.
 from __future__ import annotations
 
 import re
+import statistics
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -36,9 +38,10 @@ from scorewatch.llm.words import split_words, strings
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, DISCLOSURE = 4, 0.9
-SIGNIFICANCE = 10.83  # chi-square of one degree of freedom at 0.001
-FILTER_BITS = 1 << 22  # of the filter of terms that may disclose
-TEXT_BITS = 1 << 24  # of the filter of texts whose terms are listed
+#: Chance that any pair of a corpus is taken for disclosing without being so.
+LEVEL = 0.05
+#: Sizes of the filters of terms that may disclose and of texts whose terms are listed.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -159,8 +162,19 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def text_key() -> Column:
-    """One number for all copies of a text; null for null text."""
-    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    """One key of 128 bits for all copies of a text; null for null text."""
+    return F.when(F.col("text").isNotNull(), F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64(F.lit(1), F.col("text")))))
+
+
+def bits_for(keys: int) -> int:
+    """Size of a filter of so many keys: sixteen bits each, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
+
+
+def significance_of(tests: int, level: float = LEVEL) -> float:
+    """The log-likelihood ratio that one of `tests` pairs must reach so that with `level` none does by chance
+    (chi-square of one degree of freedom, Bonferroni)."""
+    return statistics.NormalDist().inv_cdf(level / max(1, tests) / 2) ** 2
 
 
 def held(text: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,22 +202,21 @@ def held(text: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def _terms_in(term_bits: np.ndarray, text_bits: np.ndarray):
     """(term, n, null, null): how many texts of a task hold a term that the filter lets through;
     (null, null, tkey, terms) of a text that has copies or entities, which is counted later."""
-    schema = pa.schema([("term", pa.int64()), ("n", pa.int64()), ("tkey", pa.int64()), ("terms", pa.list_(pa.int64()))])
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64()), ("tkey", pa.string()), ("terms", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in slices(batches, "text"):
             names, doc, term = held(b.column("text"), term_bits)
-            tkey = pc.fill_null(b.column("tkey"), 0).to_numpy()
-            listed = passed(tkey, text_bits)[doc]
+            listed = passed(b.column("mark").to_numpy(), text_bits)[doc]
             total, at = np.unique(np.concatenate([total, names]), return_inverse=True)
             sums = np.bincount(at, np.concatenate([sums, np.bincount(term[~listed], minlength=len(names))]), len(total)).astype(np.int64)
             of, begin = np.unique(doc[listed], return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, listed.sum()), pa.int32()), pa.array(names[term[listed]]))
-            yield as_batch(schema, [pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.int64()), tkey[of], lists])
+            yield as_batch(schema, [pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.int64()), b.column("tkey").take(pa.array(of)), lists])
         some = sums > 0
         none = int(some.sum())
-        yield as_batch(schema, [total[some], sums[some], pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64()))])
+        yield as_batch(schema, [total[some], sums[some], pa.nulls(none, pa.string()), pa.nulls(none, pa.list_(pa.int64()))])
 
     return run
 
@@ -215,9 +228,10 @@ def evidence(both: Column, c: Column, t: Column, total: int) -> Column:
     return 2 * (part(both, c * t) + part(c - both, c * no_t) + part(t - both, no_c * t) + part(no_t - c + both, no_c * no_t))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFICANCE, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, significance: float | None = None, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) pairs where the term discloses the entity. `found` has (tkey, near, who,
-    terms) of all rows, `docs` their text."""
+    terms) of all rows, `docs` their text. `significance`: the least log-likelihood ratio, by default that of
+    LEVEL over all neighbouring pairs together."""
     total = found.agg(F.countDistinct("tkey")).first()[0]
     holds = written(found.where(F.size("who") > 0).select("tkey", F.explode("who").alias("entity")).distinct(), "entities")
     n_c = holds.groupBy("entity").agg(F.count("*").cast("double").alias("n_c"))
@@ -227,11 +241,15 @@ def disclosing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFIC
     own = -F.log(F.col("n_c") / F.lit(total))
     # As n(c, t) is n(c) or n(t) at most, a term far more frequent than the entity cannot disclose it.
     rare = lambda n: (own > 0) & (F.log(F.lit(total) / F.greatest("n_c", n)) >= disclosure * own)
-    pairs = written(near.select("entity", "term").distinct().join(n_c, "entity").join(n_held, "term").where(rare("n_held")).drop("n_held"), "term-pairs")
+    neighbours = written(near.select("entity", "term").distinct(), "neighbours")
+    significance = significance_of(neighbours.count()) if significance is None else significance
+    pairs = written(neighbours.join(n_c, "entity").join(n_held, "term").where(rare("n_held")).drop("n_held"), "term-pairs")
     copied = found.where("tkey IS NOT NULL").groupBy("tkey").count().where("count > 1")
-    term_bits = filter_of(pairs.select("term"), FILTER_BITS)
-    text_bits = filter_of(holds.select("tkey").unionByName(copied.select("tkey")), TEXT_BITS)
-    counted = written(docs.select("text", text_key().alias("tkey")).mapInArrow(_terms_in(term_bits, text_bits), "term long, n long, tkey long, terms array<long>"), "term-counts")
+    term_bits = filter_of(pairs.select("term"), bits_for(pairs.count()))
+    listed_texts = written(holds.select("tkey").unionByName(copied.select("tkey")).distinct(), "listed-texts")
+    text_bits = filter_of(listed_texts.select(F.xxhash64("tkey").alias("mark")), bits_for(listed_texts.count()))
+    texts = docs.select("text", text_key().alias("tkey")).withColumn("mark", F.xxhash64("tkey"))
+    counted = written(texts.mapInArrow(_terms_in(term_bits, text_bits), "term long, n long, tkey string, terms array<long>"), "term-counts")
     listed = counted.where("tkey IS NOT NULL").dropDuplicates(["tkey"]).select("tkey", F.explode("terms").alias("term"))
     n_t = (counted.where("term IS NOT NULL").select("term", "n").unionByName(listed.select("term", F.lit(1).cast("long").alias("n")))
            .groupBy("term").agg(F.sum("n").cast("double").alias("n_t")))
@@ -244,7 +262,7 @@ def disclosing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFIC
 
 def _hits(bits: np.ndarray):
     """(tkey, hits): all occurrences, outside of base spans, of terms that the filter lets through."""
-    schema = pa.schema([("tkey", pa.int64()), ("hits", pa.list_(HIT))])
+    schema = pa.schema([("tkey", pa.string()), ("hits", pa.list_(HIT))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -262,8 +280,8 @@ def _hits(bits: np.ndarray):
 def with_term_spans(found: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """`found` with `spans`: base spans and all occurrences of disclosing terms, ordered (kind 4:
     term). `docs` has the text of all rows."""
-    terms = pairs.select("term").distinct()
-    hits = docs.select("text", text_key().alias("tkey")).mapInArrow(_hits(filter_of(terms, FILTER_BITS)), "tkey long, hits array<struct<term:long,start:int,end:int>>")
+    terms = written(pairs.select("term").distinct(), "terms")
+    hits = docs.select("text", text_key().alias("tkey")).mapInArrow(_hits(filter_of(terms, bits_for(terms.count()))), "tkey string, hits array<struct<term:long,start:int,end:int>>")
     of_text = (hits.dropDuplicates(["tkey"]).select("tkey", F.explode("hits").alias("x")).select("tkey", "x.*").join(terms, "term")
                .groupBy("tkey").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("terms")))
     of_row = written(found.select("rid", "tkey").join(of_text, "tkey").select("rid", "terms"), "term-spans")

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -330,13 +331,14 @@ def disclosed_terms(texts, window=4):
             who[i].add(t[s:e].lower())
             near[t[s:e].lower()] |= {m[0].lower() for m in [m for m in words if m.end() <= s][-window:] + [m for m in words if m.start() >= e][:window]}
     total, out = len(corpus), defaultdict(set)
+    least = NormalDist().inv_cdf(0.05 / sum(map(len, near.values())) / 2) ** 2  # for all pairs together
     for c, terms in near.items():
         n_c = sum(c in x for x in who)
         for t in terms:
             n_t, both = sum(t in x for x in has), sum(t in x and c in y for x, y in zip(has, who, strict=True))
             cells = [(both, n_c * n_t), (n_c - both, n_c * (total - n_t)), (n_t - both, (total - n_c) * n_t), (total - n_c - n_t + both, (total - n_c) * (total - n_t))]
             ratio = 2 * sum(x * math.log(x * total / y) for x, y in cells if x)
-            if n_c < total and math.log(both * total / (n_c * n_t)) >= 0.9 * math.log(total / n_c) and ratio >= 10.83:
+            if n_c < total and math.log(both * total / (n_c * n_t)) >= 0.9 * math.log(total / n_c) and ratio >= least:
                 out[c].add(t)
     return out
 
@@ -359,6 +361,22 @@ def test_rare_entities_and_signature_lines_disclose(spark):
     assert {tuple(r) for r in pairs.collect()} == want
 
 
+def test_chance_pairs_do_not_disclose(spark):
+    """Many identifiers that occur once, among rare words that occur once: only planted names are found."""
+    rnd = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rare = lambda: "".join(rnd.choice(letters, 9))
+    common = [rare() for _ in range(200)]
+    texts = [f"{' '.join(rnd.choice(common, 12))} {rare()} {rare()} {rare()} user{i}@mail.org {rare()} {rare()} {rare()} {' '.join(rnd.choice(common, 12))}" for i in range(400)]
+    planted = {f"planted{'abcdefghij'[k]}": f"who{k}@mask.org" for k in range(8)}
+    texts += [f"{rare()} {' '.join(rnd.choice(common, 9))} {name} {mail} {' '.join(rnd.choice(common, 9))}" for name, mail in planted.items() for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = privacy.find(docs)
+    got = {tuple(r) for r in privacy.disclosing(privacy.written(found.drop("text"), "found"), docs).collect()}
+    want = {(privacy.entity(0, mail), privacy.key64(name)) for name, mail in planted.items()}
+    assert want <= got and len(got) == len(want)  # recall and precision 1
+
+
 def test_disclosing_terms_are_replaced_far_from_the_entity_and_without_it(spark):
     rnd = np.random.default_rng(6)
     common = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
