@@ -84,7 +84,7 @@ def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
     long = tagged_long(ref, cur, features)
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
-    r = prefix_sums(counts, ["feature"], "value", ["c_ref", "c_cur"], buckets, "sketch")
+    r = prefix_sums(counts, ["feature"], "value", ["c_ref", "c_cur"], buckets, "quantile")
     return r.select(
         "feature", "value",
         F.try_divide((F.col("c_ref_below") + F.col("c_ref")).cast("double"), F.col("c_ref_total").cast("double")).alias("cdf_ref"),
@@ -126,11 +126,11 @@ def ks_by_group(ref: DataFrame, cur: DataFrame, features: Sequence[str], group:
     cur_c = cl.groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias("c_g"))
     vals = (ref_c.unionByName(cur_c.select("feature", "value", F.lit(0).cast("bigint").alias("c_ref")))
             .groupBy("feature", "value").agg(F.sum("c_ref").alias("c_ref")))
-    rv = prefix_sums(vals, ["feature"], "value", ["c_ref"], buckets, "sketch").select(
+    rv = prefix_sums(vals, ["feature"], "value", ["c_ref"], buckets, "quantile").select(
         "feature", "value",
         (F.col("c_ref_below") + F.col("c_ref")).alias("r_le"), F.col("c_ref_below").alias("r_lt"),
         F.col("c_ref_total").alias("n_ref"))
-    g = prefix_sums(cur_c, [*group, "feature"], "value", ["c_g"], buckets, "sketch")
+    g = prefix_sums(cur_c, [*group, "feature"], "value", ["c_g"], buckets, "quantile")
     j = g.join(rv, ["feature", "value"])
     nr, ng = F.col("n_ref").cast("double"), F.col("c_g_total").cast("double")
     fr_le, fr_lt = F.col("r_le") / nr, F.col("r_lt") / nr
@@ -383,7 +383,7 @@ def drift_reports(df: DataFrame, sample: str, pairs: Sequence[tuple[str, object,
     paired = cut_lineage(paired, "paired-counts")
 
     is_pred = F.col("feature") == PREDICTION
-    ranked = prefix_sums(paired, ["pair", "feature"], "value", ["c_ref", "c_cur"], None, "sketch")
+    ranked = prefix_sums(paired, ["pair", "feature"], "value", ["c_ref", "c_cur"], None, "quantile")
     share = lambda x: F.try_divide((F.col(f"{x}_below") + F.col(x)).cast("double"), F.col(f"{x}_total").cast("double"))
     d = ranked.groupBy("pair", "feature").agg(F.max(F.abs(share("c_ref") - share("c_cur"))).alias("statistic"), F.max("c_ref_total").alias("n_ref"), F.max("c_cur_total").alias("n_cur"))
     d = d.withColumn("p_value", ks_pvalue("statistic", "n_ref", "n_cur")).withColumn("is_drift", F.col("p_value") < F.lit(alpha))

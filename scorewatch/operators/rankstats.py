@@ -96,7 +96,7 @@ def bucketed(counts: DataFrame, by: Sequence[str], order: str, buckets: int, buc
         c2 = c2.withColumn("_bucket", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
         if by:
             c2 = c2.drop("_lo", "_hi")
-    elif bucketing == "sketch":
+    elif bucketing == "quantile":
         # A mergeable quantile sketch per group: whatever the values, buckets hold about as many rows each.
         fracs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
         sketch = F.kll_sketch_agg_double(x, F.lit(min(4096, max(200, 4 * buckets))))
@@ -111,7 +111,7 @@ def bucketed(counts: DataFrame, by: Sequence[str], order: str, buckets: int, buc
             c2 = counts
         c2 = c2.withColumn("_bucket", bounds_below(at, x, buckets)).drop("_bounds")
     else:
-        raise ValueError("bucketing must be 'unit', 'range' or 'sketch'")
+        raise ValueError("bucketing must be 'unit', 'range', 'quantile' or 'given'")
     return c2
 
 
@@ -125,7 +125,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
     choice only affects balance:
       unit      floor(x * buckets) clipped; for probabilities, no pre-pass
       range     equal-width over each group's [min, max]; one cheap aggregate
-      sketch    quantiles of a sketch per group; balanced for any distribution, one aggregate
+      quantile  quantiles of a sketch per group; balanced for any distribution, one aggregate
       given     the column `_bucket` of `counts`
     """
     by = list(by)
@@ -150,7 +150,7 @@ def prefix_sums(counts: DataFrame, by: Sequence[str], order: str, cols: Sequence
 
         counts = cut_lineage(counts, "prefix-counts")
     c2 = bucketed(counts, by, order, buckets, bucketing)
-    if bucketing == "sketch":  # sketches are random: every branch below must see the same cut
+    if bucketing == "quantile":  # sketches are random: every branch below must see the same cut
         from scorewatch.session import cut_lineage
 
         c2 = cut_lineage(c2, "prefix-ranges")
@@ -243,7 +243,7 @@ def two_sample_cdf(long_df: DataFrame, by: Sequence[str], value: str, is_b: str,
     """
     counts = (long_df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count_if(~F.col(is_b)).alias("ca"), F.count_if(F.col(is_b)).alias("cb")))
-    r = prefix_sums(counts, by, value, ["ca", "cb"], buckets, "sketch")
+    r = prefix_sums(counts, by, value, ["ca", "cb"], buckets, "quantile")
     return r.select(
         *by, value,
         F.try_divide((F.col("ca_below") + F.col("ca")).cast("double"), F.col("ca_total").cast("double")).alias("cdf_a"),

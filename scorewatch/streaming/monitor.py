@@ -124,7 +124,7 @@ class StoredReference:
 
         self.features, self.k = list(features), sketch_k
         long = unpivot(reference.select(*features), features).where(F.col("value").isNotNull())
-        counts = cut_lineage(bucketed(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")), ["feature"], "value", buckets, "sketch"), "reference-counts")
+        counts = cut_lineage(bucketed(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")), ["feature"], "value", buckets, "quantile"), "reference-counts")
         ranked = prefix_sums(counts, ["feature"], "value", ["c"], buckets, "given")
         self.table = cut_lineage(ranked.select("feature", "value", F.col("_bucket").alias("part"), (F.col("c_below") + F.col("c")).alias("r_le"), F.col("c_total").alias("n_ref")), "reference-cdf")
         ends = self.table.groupBy("feature", "part").agg(F.max("value").alias("hi"), F.max("r_le").alias("r_le"), F.max("n_ref").alias("n")).orderBy("feature", "part").collect()

@@ -21,7 +21,7 @@ def outliers(spark, n=4000):
 @pytest.mark.parametrize("buckets", [4, 37, 200])
 def test_an_outlier_leaves_ranges_balanced(spark, buckets):
     counts = outliers(spark)
-    rows = RS.bucketed(counts, ["k"], "v", buckets, "sketch").collect()
+    rows = RS.bucketed(counts, ["k"], "v", buckets, "quantile").collect()
     sizes = {}
     for r in rows:
         if r.k == "f":
@@ -36,7 +36,7 @@ def test_an_outlier_leaves_ranges_balanced(spark, buckets):
 @pytest.mark.parametrize("by", [["k"], []])
 def test_prefix_sums_in_sketched_ranges(spark, by):
     counts = outliers(spark, 500) if by else outliers(spark, 500).where("k = 'f'").drop("k")
-    out = RS.prefix_sums(counts, by, "v", ["c"], 7, "sketch").collect()
+    out = RS.prefix_sums(counts, by, "v", ["c"], 7, "quantile").collect()
     groups = {}
     for r in out:
         groups.setdefault(r["k"] if by else None, []).append(r)
