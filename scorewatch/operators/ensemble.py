@@ -213,6 +213,53 @@ def weight_trajectory(batch_metrics: DataFrame, by: Sequence[str], batch: str, m
     return out.select(*by, batch, F.col("_x._models").alias(model), F.col("_x.weight").alias("weight"))
 
 
+def repeated_monitors(scored: DataFrame, order: Sequence[str], updates: int, model: str = "model_id", n: int = WINDOW,
+                      min_n: int = MIN_BUFFER, label: str = "label", prob: str = "prob") -> DataFrame:
+    """(update, model, brier_score, auc_roc) for `updates` updates that each pass the same rows through the
+    monitors again: after t of them a monitor holds the last min(n, t * rows) pairs of the repeated
+    rows, some whole rounds and the last rows of one."""
+    from scorewatch.operators.rankstats import auc_roc
+
+    base = cut_lineage(squared_errors(scored, list(dict.fromkeys([model, *order])), label, prob).where("_sq IS NOT NULL"), "update-errors")
+    whole = base.groupBy(model).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_sq").alias("_all"))
+    place = F.row_number().over(Window.partitionBy(model).orderBy(*[F.col(c).desc() for c in order]))
+    last = base.withColumn("_place", place).where(F.col("_place") <= n).join(whole, model)
+    last = last.where(F.col("_place") <= F.lit(n) % F.col("_rows")).groupBy(model).agg(F.sum("_sq").alias("_last"))
+    each = whole.join(last, model, "left").join(auc_roc(scored, [model], label, prob).select(model, F.coalesce("auc_roc", F.lit(0.5)).alias("auc_roc")), model)
+    each = each.withColumn("update", F.explode(F.sequence(F.lit(1), F.lit(updates))))
+    held = F.least(F.lit(n).cast("long"), F.col("update") * F.col("_rows"))
+    total = F.floor(held / F.col("_rows")) * F.col("_all") + F.when(held % F.col("_rows") > 0, F.coalesce("_last", F.lit(0.0))).otherwise(0.0)
+    return each.select("update", model, F.when(held >= min_n, total / held).otherwise(F.lit(0.0)).alias("brier_score"), "auc_roc")
+
+
+def early_stopped_updates(scored: DataFrame, order: Sequence[str], key: str, max_updates: int = 20, patience: int = 5, min_delta: float = 0.001,
+                          model: str = "model_id", alpha: float = ALPHA, min_weight: float = MIN_WEIGHT, n: int = WINDOW) -> DataFrame:
+    """#119/#120: weights are updated on validation scores again and again, from equal weights, until the
+    ensemble's AUC has not improved by more than `min_delta` for `patience` evaluations.
+    (update, model, weight, auc_roc, stopped) for every evaluated update, update 0 being equal weights.
+
+    The weights of all updates are one fold over a small table; the ensembles of `patience` updates at a
+    time are scored in one job, and no later ones once the AUC has stopped rising."""
+    from scorewatch.operators.rankstats import auc_roc
+
+    metrics = repeated_monitors(scored, order, max_updates - 1, model, n) if max_updates > 1 else None
+    start = equal_weights(scored, [], model).select(F.lit(0).alias("update"), model, "weight")
+    path = start if metrics is None else start.unionByName(weight_trajectory(metrics, [], "update", model, alpha, min_weight))
+    path = cut_lineage(path, "update-weights")
+    aucs: list[float] = []
+    best, misses = float("-inf"), 0
+    while len(aucs) < max_updates and misses < patience:
+        some = path.where(F.col("update").between(len(aucs), min(max_updates, len(aucs) + patience) - 1))
+        ens = scored.join(some, model).groupBy("update", key, "label").agg(F.least(F.sum(F.col("weight") * F.col("prob")), F.lit(1.0)).alias("prob"))
+        for r in sorted(auc_roc(ens, ["update"]).collect(), key=lambda r: r["update"]):  # `patience` rows
+            if misses < patience:
+                a = 0.5 if r["auc_roc"] is None else r["auc_roc"]
+                aucs.append(a)
+                best, misses = (a, 0) if a > best + min_delta else (best, misses + 1)
+    table = scored.sparkSession.createDataFrame([(i, a, i == len(aucs) - 1 and misses >= patience) for i, a in enumerate(aucs)], "update int, auc_roc double, stopped boolean")
+    return path.join(table, "update").select("update", model, "weight", "auc_roc", "stopped")
+
+
 def weighted_importance(importances: DataFrame, weights: DataFrame, by: Sequence[str] = (),
                         model: str = "model_id", feature: str = "feature", imp: str = "importance") -> DataFrame:
     """#128: sum_models w * importance per feature, normalised to sum to 1 per key."""

@@ -136,6 +136,37 @@ def weight_trajectory(spark, sf_dir):
     return EN.weight_trajectory(_monitored(spark, sf_dir), [], "month_no")
 
 
+def _early_sql(updates: int = 20, patience: int = 5) -> str:
+    auc = auc_sql(ranked_sql("vl", ["model_id"]), ["model_id"])
+    ens = auc_sql(ranked_sql("ens", ["u"]), ["u"])
+    return "WITH RECURSIVE " + with_views("loans_split", "scored_long")[len("WITH "):].rstrip("\n") + f""",
+vl AS (SELECT s.* FROM scored_long s WHERE month_no >= 40 AND month_no < 55),
+wh AS (SELECT model_id, count(*) AS n, sum((prob - label) * (prob - label)) AS s_all FROM vl GROUP BY model_id),
+la AS (SELECT model_id, sum(sq) AS s_last FROM (SELECT model_id, (prob - label) * (prob - label) AS sq, row_number() OVER (PARTITION BY model_id ORDER BY month_no DESC, loan_id DESC) AS r FROM vl)
+  JOIN wh USING (model_id) WHERE r <= 1000 % n GROUP BY model_id),
+mon AS (SELECT u, model_id, 0.6e0 * coalesce(auc_roc, 0.5e0) + 0.4e0 / (CASE WHEN held >= 100 THEN (held // n * s_all + CASE WHEN held % n > 0 THEN s_last ELSE 0e0 END) / held ELSE 0e0 END + 1e-8) AS s
+  FROM (SELECT t.u, wh.*, la.s_last, a.auc_roc, least(1000, t.u * wh.n) AS held FROM range(1, {updates}) t(u) CROSS JOIN wh LEFT JOIN la USING (model_id) JOIN ({auc}) a USING (model_id))),
+w AS (SELECT CAST(0 AS BIGINT) AS u, model_id, 1e0 / count(*) OVER () AS weight FROM wh
+  UNION ALL
+  SELECT u, model_id, x / sum(x) OVER () FROM (SELECT u, model_id, greatest(0.9e0 * weight + 0.1e0 * (e / sum(e) OVER ()), 0.05e0) AS x FROM (
+    SELECT m.u, m.model_id, w.weight, exp(m.s - max(m.s) OVER ()) AS e FROM w JOIN mon m ON m.u = w.u + 1 AND m.model_id = w.model_id))),
+ens AS (SELECT w.u, vl.loan_id, vl.label, least(sum(w.weight * vl.prob), 1e0) AS prob FROM vl JOIN w USING (model_id) GROUP BY ALL),
+ev AS (SELECT u, coalesce(auc_roc, 0.5e0) AS auc_roc FROM ({ens})),
+st AS (SELECT u, auc_roc, auc_roc AS best, 0 AS misses FROM ev WHERE u = 0
+  UNION ALL
+  SELECT ev.u, ev.auc_roc, CASE WHEN ev.auc_roc > st.best + 0.001e0 THEN ev.auc_roc ELSE st.best END, CASE WHEN ev.auc_roc > st.best + 0.001e0 THEN 0 ELSE st.misses + 1 END
+  FROM st JOIN ev ON ev.u = st.u + 1 WHERE st.misses < {patience})
+SELECT CAST(st.u AS INTEGER) AS update, w.model_id, {r6('w.weight', 'weight')}, {r6('st.auc_roc', 'auc_roc')}, st.misses >= {patience} AS stopped FROM st JOIN w USING (u)"""
+
+
+@register("early_stopped_updates", _early_sql())
+def early_stopped_updates(spark, sf_dir):
+    """#119/#120: weights updated on the validation months until the ensemble's AUC stops rising (at most 20
+    evaluations, patience 5)."""
+    val = cut_lineage(FX.scored_long(spark, sf_dir).where("month_no >= 40 AND month_no < 55"), "validation-scores")
+    return EN.early_stopped_updates(val, ["month_no", "loan_id"], "loan_id")
+
+
 @register("fold_brier", with_views("loans") + f"""
 SELECT fold, count(*) AS n, {r6('avg((score_c - TARGET) * (score_c - TARGET))', 'brier_score')} FROM (
   SELECT *, CAST((row_number() OVER (PARTITION BY TARGET ORDER BY (loan_id * 48271 + 42) % 2147483647, loan_id) - 1) % 3 AS INTEGER) AS fold
