@@ -28,7 +28,7 @@ from scorewatch.llm.common import table, written
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_LABELLED = 20_000
-ROUNDS, DEPTH, SEED, FOLDS = 15, 4, 17, 5
+ROUNDS, DEPTH, SEED, FOLDS, SALTS = 15, 4, 17, 5, 16
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_digits", "f_entropy", "f_params", "f_query_len", "f_dots",
             "f_hyphens", "f_secure", "f_suffix", "f_domain"]
@@ -107,10 +107,13 @@ class UrlModel:
         return df
 
     def _joined(self, df: DataFrame) -> DataFrame:
-        # A merge join at every size: the statistics have as many rows as the labelled urls have domains.
+        # A merge join at every size: the statistics have as many rows as the labelled urls have domains. One domain
+        # may hold most pages, so every key is dealt over SALTS tasks.
+        salt = F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")
         for k, stat in self.folds.items():
             total = stat.groupBy(k).agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
-            df = df.join(total.hint("merge"), k, "left").withColumn(f"f_{k}", self._share(F.col("all_b"), F.col("all_n"))).drop("all_b", "all_n")
+            total = total.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            df = df.withColumn("salt", salt).join(total.hint("merge"), [k, "salt"], "left").withColumn(f"f_{k}", self._share(F.col("all_b"), F.col("all_n"))).drop("all_b", "all_n", "salt")
         return df
 
     def judge(self, df: DataFrame) -> DataFrame:
