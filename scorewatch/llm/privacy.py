@@ -41,7 +41,7 @@ WINDOW, DISCLOSURE = 4, 0.9
 #: Chance that any pair of a corpus is taken for disclosing without being so.
 LEVEL = 0.05
 #: Sizes of the filters of terms that may disclose and of texts whose terms are listed.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -167,8 +167,9 @@ def text_key() -> Column:
 
 
 def bits_for(keys: int) -> int:
-    """Size of a filter of so many keys: sixteen bits each, within bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
+    """Size of a filter of so many keys: 256 bits each or more, within bounds. A key has one bit, so one of
+    as many other keys passes by chance."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (256 * keys).bit_length()))
 
 
 def significance_of(tests: int, level: float = LEVEL) -> float:
