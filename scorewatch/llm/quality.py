@@ -43,6 +43,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SIGNS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 PART = 256  # count rows hold this many buckets
+SLICE = 2 << 20  # text bytes at a time: words cut at signs are many, and an executor's memory is shared
 
 
 def _base(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -95,7 +96,7 @@ def _folds(texts: pa.Array) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros((FOLDS, BUCKETS), np.int64)
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE):
         text = b.column("text")
         bucket, owner = _buckets(text)
         good = pc.fill_null(b.column("trusted"), False).to_numpy(zero_copy_only=False)
@@ -131,7 +132,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def _measure(ratio: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             text = b.column("text")
             m = _base(text)
             bucket, owner = _buckets(text)
