@@ -104,23 +104,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = good[owner]
         target += np.bincount(_folds(text)[owner[use]] * BUCKETS + bucket[use], minlength=FOLDS * BUCKETS).reshape(FOLDS, BUCKETS)
     if raw.any():
-        schema = pa.schema([("part", pa.int32()), ("raw", pa.list_(pa.int64())), *((f"t{k}", pa.list_(pa.int64())) for k in range(FOLDS))])
-        yield as_batch(schema, [np.arange(BUCKETS // PART, dtype=np.int32), *(x.reshape(-1, PART).tolist() for x in (raw, *target))])
+        schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("counts", pa.list_(pa.int64()))])
+        parts = BUCKETS // PART
+        for kind, counts in enumerate((raw, *target)):
+            if counts.any():
+                values = pa.ListArray.from_arrays(pa.array(np.arange(parts + 1) * PART, pa.int32()), pa.array(counts))
+                yield as_batch(schema, [np.full(parts, kind, np.int32), np.arange(parts, dtype=np.int32), values])
 
 
 def log_ratio(docs: DataFrame) -> np.ndarray:
     """Log-ratio of every bucket from all rows of `docs` (text, trusted): with the whole target, then without
     each fold of it. Each task adds up its own counts; `BUCKETS` sums reach the driver, whatever
     the size of the corpus."""
-    names = ["raw", *(f"t{k}" for k in range(FOLDS))]
-    total = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(PART)]).alias(c)
-    counted = docs.mapInArrow(_count, "part int, " + ", ".join(f"{c} array<long>" for c in names))
-    raw, target = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
-    for r in counted.groupBy("part").agg(*map(total, names)).collect():
-        at = slice(r["part"] * PART, (r["part"] + 1) * PART)
-        raw[at] = r["raw"]
-        for k in range(FOLDS):
-            target[k, at] = r[f"t{k}"]
+    total = F.array(*[F.sum(F.col("counts")[k]) for k in range(PART)]).alias("counts")
+    sums = docs.mapInArrow(_count, "kind int, part int, counts array<long>").groupBy("kind", "part").agg(total)
+    all_ = np.zeros((FOLDS + 1, BUCKETS))
+    for r in sums.collect():
+        all_[r["kind"], r["part"] * PART:(r["part"] + 1) * PART] = r["counts"]
+    raw, target = all_[0], all_[1:]
     if not target.any():
         return np.zeros((FOLDS + 1, BUCKETS))
     share = lambda c: np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS))
