@@ -84,6 +84,10 @@ def ecdf(ref: DataFrame, cur: DataFrame, features: Sequence[str],
     long = tagged_long(ref, cur, features)
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count_if(~F.col("is_cur")).alias("c_ref"), F.count_if(F.col("is_cur")).alias("c_cur"))
+    return _ecdf_of_counts(counts, buckets)
+
+
+def _ecdf_of_counts(counts: DataFrame, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     r = prefix_sums(counts, ["feature"], "value", ["c_ref", "c_cur"], buckets, "quantile")
     return r.select(
         "feature", "value",
@@ -100,7 +104,10 @@ def ks_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = No
     NULL values are skipped (n_ref / n_cur count the non-NULL ones).
     """
     feats = common_features(ref, cur, features)
-    e = ecdf(ref, cur, feats, buckets)
+    return _ks_of_ecdf(ecdf(ref, cur, feats, buckets), alpha)
+
+
+def _ks_of_ecdf(e: DataFrame, alpha: float) -> DataFrame:
     d = e.groupBy("feature").agg(
         F.max(F.abs(F.col("cdf_ref") - F.col("cdf_cur"))).alias("statistic"),
         F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
@@ -288,11 +295,11 @@ def prediction_drift(ref: DataFrame, cur: DataFrame, prob: str = "prob", label:
         F.col("p_value").alias("prediction_ks_p_value"),
         F.col("is_drift").alias("prediction_drift"),
         (F.col("mc") - F.col("mr")).alias("mean_prediction_shift"),
-        F.lit("prob").alias("feature"),
+        "feature",
     )
     if label:
-        both = (r.withColumn("is_cur", F.lit(False)).unionByName(c.withColumn("is_cur", F.lit(True))))
-        a = _auc(both, ["is_cur"]).groupBy().agg(
+        scores = counts.select("is_cur", F.col("value").alias("prob"), "pos", (F.col("n") - F.col("pos")).alias("neg"))
+        a = auc_terms(prefix_sums(scores, ["is_cur"], "prob", ["pos", "neg"], None, "unit"), ["is_cur"]).groupBy().agg(
             F.max(F.when(~F.col("is_cur"), F.col("auc_roc"))).alias("ra"),
             F.max(F.when(F.col("is_cur"), F.col("auc_roc"))).alias("ca")).withColumn("feature", F.lit("prob"))
         out = out.join(a, "feature").select(
