@@ -89,13 +89,26 @@ def monitor_windows(scored: DataFrame, by: Sequence[str], batch: str, order: Seq
     keys, windows = [*by, model], sorted({int(n) for n in windows})
     names = list(dict.fromkeys([*keys, batch, *order]))
     rolling = rolling_means(squared_errors(scored, names, label, prob), keys, list(dict.fromkeys([batch, *order])), "_sq", windows)
-    last = rolling.groupBy(*keys, batch).agg(F.max_by(F.struct(*[_reported(n, min_n).alias(f"b{n}") for n in windows]), F.struct(*order)).alias("r"))
+    last = batch_ends(rolling, [*keys, batch], order).groupBy(*keys, batch).agg(
+        F.max_by(F.struct(*[_reported(n, min_n).alias(f"b{n}") for n in windows]), F.struct(*order)).alias("r"))
     parts = ", ".join(f"{n}, r.b{n}" for n in windows)
     last = last.selectExpr(*[f"`{c}`" for c in [*keys, batch]], f"stack({len(windows)}, {parts}) AS (window, brier_score)")
     auc = auc_roc(scored, [*keys, batch], label, prob).select(*keys, batch, F.coalesce("auc_roc", F.lit(0.5)).alias("auc_roc"))
     return last.join(auc, [*keys, batch]).select(*keys, batch, "window", "brier_score", "auc_roc")
 
 
+def batch_ends(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last rows by `order` of every group of `keys` (several where they tie). The places of the ends are hashed
+    sums of plain columns, a row a group, and meet the rows again: no task sorts rows to find them."""
+    for c in [c for c in order if c not in set(keys)]:
+        ends = rows.groupBy(*keys).agg(F.max(c).alias("_end")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_end")
+        same = F.col(c).eqNullSafe(F.col("_end"))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        rows = rows.join(ends, same, "left_semi")
+    return rows
+
+
 def weight_stats(weights: DataFrame, model_metrics: DataFrame, by: Sequence[str] = (), model: str = "model_id",
                  auc: str = "auc_roc", brier: str = "brier_score",
                  threshold: float = RECALIBRATION_THRESHOLD) -> DataFrame:
@@ -273,6 +286,8 @@ def weighted_importance(importances: DataFrame, weights: DataFrame, by: Sequence
 SEARCH_ALPHA, SEARCH_FLOOR, SEARCH_THRESHOLD = (0.01, 0.3), (0.01, 0.2), (0.1, 0.25)
 SEARCH_WINDOWS = range(500, 2001, 250)
 SEARCH_TRIALS = 30
+#: Ensemble scores that one task makes and counts, candidates times rows.
+ENSEMBLES_PER_TASK = 2_000_000
 
 
 def radical_inverse(i: int, base: int) -> float:
@@ -304,9 +319,10 @@ def search_weights(scored: DataFrame, scored_eval: DataFrame, grid: Sequence[tup
     ensemble on `scored_eval`. Output: the candidate, how many batches called for recalibration,
     and the AUC.
 
-    Candidates are attached by `explode` of a literal array; one fold per candidate; the final
-    weights meet the held-out scores on the model id."""
-    from scorewatch.operators.rankstats import auc_roc
+    Candidates are attached by `explode` of a literal array; one fold per candidate. Held-out scores
+    become one row a key, written once; each candidate's ensemble is a sum over that row, and rows are
+    dealt out so that a task makes about `ENSEMBLES_PER_TASK` of them."""
+    from scorewatch.operators.rankstats import auc_terms, prefix_sums, score_counts
 
     batches = cut_lineage(monitor_windows(scored, [], batch, order, [g[2] for g in grid], model, min_n), "monitor-windows")
     cands = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(float(a)).alias("alpha"), F.lit(float(f)).alias("min_weight"),
@@ -317,7 +333,23 @@ def search_weights(scored: DataFrame, scored_eval: DataFrame, grid: Sequence[tup
     final = path.groupBy(*keys, model).agg(F.max_by("weight", F.col(batch)).alias("weight"))
     calls = (each.groupBy(*keys, batch).agg(F.max("brier_score").alias("_worst")).groupBy(*keys)
              .agg(F.count_if(F.col("_worst") > F.col("threshold")).alias("recalibrations")))
-    ens = scored_eval.join(final, model).groupBy(*keys, key, "label").agg(F.sum(F.col("weight") * F.col("prob")).alias("prob"))
-    # Weights add up to 1 but for rounding.
-    ens = ens.withColumn("prob", F.least(F.col("prob"), F.lit(1.0)))
-    return auc_roc(ens, keys).select(*keys, "auc_roc").join(calls, keys)
+    found = {(r["cand"], r[model]): float(r["weight"]) for r in final.select("cand", model, "weight").collect()}  # candidates x models
+    names = sorted({m for _, m in found}, key=str)
+    if not names:
+        return final.select(*keys, F.lit(None).cast("double").alias("auc_roc")).join(calls, keys)
+    # One row per key first: its candidates' ensembles are then sums over the columns, and no rows times candidates are shuffled by key.
+    wide = scored_eval.where(F.col(model).isin(*names)).groupBy(key, "label").agg(*[F.sum(F.when(F.col(model) == F.lit(m), F.col("prob"))).alias(f"_p{j}") for j, m in enumerate(names)])
+    wide = cut_lineage(wide, "eval-scores")
+    tasks = max(scored.sparkSession.sparkContext.defaultParallelism, 1 + wide.count() * len(grid) // ENSEMBLES_PER_TASK)
+
+    def ensemble(cand: int):
+        terms = [F.lit(found[cand, m]) * F.coalesce(F.col(f"_p{j}"), F.lit(0.0)) for j, m in enumerate(names) if (cand, m) in found]
+        scored_by = F.coalesce(*[F.col(f"_p{j}") for j, m in enumerate(names) if (cand, m) in found])
+        # Weights add up to 1 but for rounding.
+        return F.when(scored_by.isNotNull(), F.least(sum(terms[1:], terms[0]), F.lit(1.0)))
+
+    each_cand = F.explode(F.array(*[F.struct(F.lit(i).alias("cand"), ensemble(i).alias("prob")) for i in sorted({i for i, _ in found})]))
+    ens = wide.repartition(tasks).select("label", each_cand.alias("_c")).select("_c.cand", "label", "_c.prob")
+    counts = cut_lineage(score_counts(ens, ["cand"], "prob", "label"), "ensemble-counts")
+    auc = auc_terms(prefix_sums(counts, ["cand"], "prob", ["pos", "neg"], None, "unit"), ["cand"])
+    return auc.select("cand", "auc_roc").join(calls, "cand").select(*keys, "auc_roc", "recalibrations")
