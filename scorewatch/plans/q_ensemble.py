@@ -40,9 +40,16 @@ f AS (SELECT model_id, greatest(0.9e0 * weight + 0.1e0 * (e / sum(e) OVER ()), 0
 nw AS (SELECT model_id, w / sum(w) OVER () AS weight FROM f)"""
 
 
-def _monitored(spark, sf_dir):
+def written_scores(spark, sf_dir):
+    """`scored_long` as a written table, for queries that pass over the scores several times: range cuts, rolling
+    sums and AUC read it, and the joins of the view run once."""
+    return cut_lineage(FX.scored_long(spark, sf_dir), "scored-long")
+
+
+def _monitored(spark, sf_dir, scores=None):
     """Monitor metrics of every model at every month, a small table that is written once."""
-    m = EN.monitor_metrics(FX.scored_long(spark, sf_dir), [], "month_no", ["month_no", "loan_id"])
+    scores = written_scores(spark, sf_dir) if scores is None else scores
+    m = EN.monitor_metrics(scores, [], "month_no", ["month_no", "loan_id"])
     return cut_lineage(m, "monitor-metrics")
 
 

@@ -135,10 +135,11 @@ def recalibration(spark, sf_dir):
     """#121: wherever a model's monitor calls for it at the end of a month (rolling Brier above 0.15), a
     calibration is fitted on that month; every month is scored through the latest one before it.
     All calibrations are one fit."""
-    from scorewatch.plans.q_ensemble import _monitored
+    from scorewatch.plans.q_ensemble import _monitored, written_scores
 
-    sl = FX.scored_long(spark, sf_dir).where("prob IS NOT NULL")
-    calls = _monitored(spark, sf_dir).where(F.col("brier_score") > EN.RECALIBRATION_THRESHOLD).select("model_id", "month_no")
+    scores = written_scores(spark, sf_dir)
+    sl = scores.where("prob IS NOT NULL")
+    calls = _monitored(spark, sf_dir, scores).where(F.col("brier_score") > EN.RECALIBRATION_THRESHOLD).select("model_id", "month_no")
     cal = CA.fit_isotonic(sl.join(calls, ["model_id", "month_no"]), by=["model_id", "month_no"])
     made = cal.blocks.select(F.col("model_id").alias("m"), F.col("month_no").alias("c")).distinct()
     months = sl.select("model_id", "month_no").distinct()
@@ -192,7 +193,9 @@ FROM ({auc_sql(ranked_sql('ens', ['cand']), ['cand'])}) z JOIN g USING (cand) JO
 @register("search_weights", _search_sql())
 def search_weights(spark, sf_dir):
     """#133: search over alpha, floor, monitor window and recalibration threshold by replayed trajectories; AUC on the test split."""
-    sl = FX.scored_long(spark, sf_dir)
+    from scorewatch.plans.q_ensemble import written_scores
+
+    sl = written_scores(spark, sf_dir)
     ev = sl.where(F.col("month_no") >= 55).select("loan_id", "model_id", "label", "prob")
     return EN.search_weights(sl.where(F.col("month_no") < 55), ev, GRID, "month_no", ["month_no", "loan_id"])
 
