@@ -279,18 +279,21 @@ def bin_align(ref_hist: DataFrame, cur_hist: DataFrame, keys: Sequence[str] = ("
 
 def prediction_drift(ref: DataFrame, cur: DataFrame, prob: str = "prob", label: str | None = "label",
                      alpha: float = SIGNIFICANCE, auc_drop: float = 0.05) -> DataFrame:
-    """#94-96: prediction KS, mean shift, and (with labels) AUC degradation ref - cur."""
-    from scorewatch.operators.rankstats import auc_roc as _auc
-
-    r = ref.select(F.col(prob).alias("prob"), *( [F.col(label).alias("label")] if label else []))
-    c = cur.select(F.col(prob).alias("prob"), *( [F.col(label).alias("label")] if label else []))
-    ks = ks_drift(r.select("prob"), c.select("prob"), ["prob"], alpha)
-    means = (r.select(F.col("prob"), F.lit(False).alias("is_cur"))
-             .unionByName(c.select(F.col("prob"), F.lit(True).alias("is_cur")))
-             .agg(F.avg(F.when(~F.col("is_cur"), F.col("prob"))).alias("mr"),
-                  F.avg(F.when(F.col("is_cur"), F.col("prob"))).alias("mc"),
-                  F.lit("prob").alias("feature")))
-    out = ks.join(means, "feature").select(
+    """#94-96: prediction KS, mean shift, and (with labels) AUC degradation ref - cur. The samples are read once, into
+    a written table of how often each has each score and how many of those rows have label 1."""
+    from scorewatch.operators.rankstats import auc_terms
+
+    p = checked_score(prob) if label else F.col(prob).cast("double")
+    y = checked_label(label).cast("bigint") if label else F.lit(0).cast("bigint")
+    of = lambda df, flag: df.where(F.col(prob).isNotNull()).select(p.alias("value"), y.alias("y"), F.lit(flag).alias("is_cur"))
+    counts = of(ref, False).unionByName(of(cur, True)).groupBy("is_cur", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    counts = cut_lineage(counts, "prediction-counts").withColumn("feature", F.lit("prob"))
+    num = F.nanvl(F.col("value"), F.lit(None).cast("double"))
+    side = lambda flag: F.sum(F.when(F.col("is_cur") == flag, F.col("n")).otherwise(F.lit(0))).cast("bigint")
+    both = counts.withColumn("value", num).where("value IS NOT NULL").groupBy("feature", "value").agg(side(False).alias("c_ref"), side(True).alias("c_cur"))
+    ks = _ks_of_ecdf(_ecdf_of_counts(both), alpha)
+    mean = lambda flag: F.try_divide(F.sum(F.when(F.col("is_cur") == flag, F.col("value") * F.col("n"))), F.sum(F.when(F.col("is_cur") == flag, F.col("n"))))
+    out = ks.join(counts.groupBy("feature").agg(mean(False).alias("mr"), mean(True).alias("mc")), "feature").select(
         F.col("statistic").alias("prediction_ks_statistic"),
         F.col("p_value").alias("prediction_ks_p_value"),
         F.col("is_drift").alias("prediction_drift"),
