@@ -365,14 +365,16 @@ COMPARED = ("auc_roc", "auc_pr", "precision", "recall", "f1_score", "accuracy",
 PREDICTION = "__prediction__"
 
 
-def sample_counts(df: DataFrame, sample: str, features: Sequence[str], prob: str, label: str | None) -> DataFrame:
-    """(sample, feature, value, n, pos): how often each sample has each value of each feature and of the
+def sample_columns(df: DataFrame, sample: str, samples: Sequence[object], features: Sequence[str], prob: str, label: str | None) -> DataFrame:
+    """(feature, value, n0, pos0, n1, pos1, ...): how often each of `samples` has each value of each feature and of the
     prediction, and how many of those rows have label 1. Written once: whatever a report says is a
     function of these counts."""
     y = checked_label(label).cast("bigint") if label else F.lit(0).cast("bigint")
     wide = df.select(F.col(sample).alias("_s"), y.alias("_y"), *[F.col(f"`{f}`") for f in features], checked_score(prob).alias(PREDICTION))
-    long = unpivot(wide, [*features, PREDICTION], keep=["_s", "_y"]).where(F.col("value").isNotNull())
-    return cut_lineage(long.groupBy(F.col("_s").alias("sample"), "feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")), "sample-counts")
+    long = unpivot(wide, [*features, PREDICTION], keep=["_s", "_y"]).where(F.col("value").isNotNull() & F.col("_s").isin(*samples))
+    of = lambda s, x: F.sum(F.when(F.col("_s") == F.lit(s), x).otherwise(F.lit(0))).cast("bigint")
+    aggs = [a for i, s in enumerate(samples) for a in (of(s, F.lit(1)).alias(f"n{i}"), of(s, F.col("_y")).alias(f"pos{i}"))]
+    return cut_lineage(long.groupBy("feature", "value").agg(*aggs), "sample-counts")
 
 
 def drift_reports(df: DataFrame, sample: str, pairs: Sequence[tuple[str, object, object]], features: Sequence[str],
@@ -381,16 +383,15 @@ def drift_reports(df: DataFrame, sample: str, pairs: Sequence[tuple[str, object,
     prediction drift, overall score, level, recommendations, and with labels the performance
     comparison, `<metric>_degradation` = reference - current (#57).
 
-    The rows are read once, into the count table of `sample_counts`; pairs share it. What is
-    compared per pair is one row per (feature, value)."""
+    The rows are read once, into a written table of one row per (feature, value) with the counts of every sample of
+    `pairs`; a pair's counts are two of its columns, so nothing is shuffled again for the pairs."""
     from scorewatch.operators.metrics import metric_rows
 
-    c = sample_counts(df, sample, features, prob, label)
-    roles = F.array_compact(F.array(*[F.when(F.col("sample") == F.lit(s), F.struct(F.lit(name).alias("pair"), F.lit(is_cur).alias("is_cur")))
-                                      for name, ref, cur in pairs for s, is_cur in ((ref, False), (cur, True))]))
-    of = lambda flag: F.sum(F.when(F.col("r.is_cur") == flag, F.col("n")).otherwise(F.lit(0))).cast("bigint")
-    paired = c.select(F.explode(roles).alias("r"), "feature", "value", "n").groupBy("r.pair", "feature", "value").agg(of(False).alias("c_ref"), of(True).alias("c_cur"))
-    paired = cut_lineage(paired, "paired-counts")
+    samples = list(dict.fromkeys(s for _, ref, cur in pairs for s in (ref, cur)))
+    c = sample_columns(df, sample, samples, features, prob, label)
+    at = {s: i for i, s in enumerate(samples)}
+    roles = F.explode(F.array(*[F.struct(F.lit(name).alias("pair"), F.col(f"n{at[ref]}").alias("c_ref"), F.col(f"n{at[cur]}").alias("c_cur")) for name, ref, cur in pairs]))
+    paired = c.select(roles.alias("r"), "feature", "value").select("r.pair", "feature", "value", "r.c_ref", "r.c_cur").where("c_ref + c_cur > 0")
 
     is_pred = F.col("feature") == PREDICTION
     ranked = prefix_sums(paired, ["pair", "feature"], "value", ["c_ref", "c_cur"], None, "quantile")
@@ -402,7 +403,8 @@ def drift_reports(df: DataFrame, sample: str, pairs: Sequence[tuple[str, object,
                               of_pred("statistic", "prediction_ks_statistic"), of_pred("p_value", "prediction_ks_p_value"), of_pred("is_drift", "prediction_drift"))
     js = js_of_counts(paired.where(~is_pred), ["pair", "feature"]).groupBy("pair").agg(F.count(F.lit(1)).alias("js_total"), F.count_if("is_drift").alias("js_drift_count"))
 
-    pred = c.where(is_pred)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"n{i}").alias("n"), F.col(f"pos{i}").alias("pos")) for s, i in at.items()]))
+    pred = c.where(is_pred).select(each.alias("r"), "value").select("r.*", "value").where("n > 0")
     m = pred.groupBy("sample").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
     if label:
         scores = pred.select("sample", F.col("value").alias("prob"), F.col("pos").cast("bigint").alias("pos"), (F.col("n") - F.col("pos")).cast("bigint").alias("neg"))
@@ -410,7 +412,7 @@ def drift_reports(df: DataFrame, sample: str, pairs: Sequence[tuple[str, object,
         m = m.join(rows.withColumn("auc", F.when(~F.col("degenerate"), F.col("auc_roc"))), "sample")
     m = cut_lineage(m, "sample-metrics")
     names = df.sparkSession.createDataFrame([(n, r, x) for n, r, x in pairs], StructType([StructField("pair", StringType()), *(
-        StructField(s, c.schema["sample"].dataType) for s in ("ref", "cur"))]))
+        StructField(s, df.schema[sample].dataType) for s in ("ref", "cur"))]))
     side = lambda x: m.select(F.col("sample").alias(x), F.struct(*m.columns).alias(f"{x}_m"))
     both = names.join(side("ref"), "ref", "left").join(side("cur"), "cur", "left")
     gap = lambda x: F.col(f"ref_m.{x}") - F.col(f"cur_m.{x}")
