@@ -98,14 +98,14 @@ def monitor_windows(scored: DataFrame, by: Sequence[str], batch: str, order: Seq
 
 
 def batch_ends(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last rows by `order` of every group of `keys` (several where they tie). The places of the ends are hashed
-    sums of plain columns, a row a group, and meet the rows again: no task sorts rows to find them."""
+    """The last rows by `order` of every group of `keys` (several where they tie). The ends are a hashed maximum, one
+    row a group (models times batches), broadcast to the rows: these are neither sorted nor shuffled."""
     for c in [c for c in order if c not in set(keys)]:
         ends = rows.groupBy(*keys).agg(F.max(c).alias("_end")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_end")
         same = F.col(c).eqNullSafe(F.col("_end"))
         for i, k in enumerate(keys):
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        rows = rows.join(ends, same, "left_semi")
+        rows = rows.join(F.broadcast(ends), same, "left_semi")
     return rows
 
 
