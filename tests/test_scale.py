@@ -18,6 +18,22 @@ def test_training_partitions_follow_the_cores():
     assert all(TR.training_parts(n, 12) >= n // TR.MOST_ROWS_PER_TASK for n in range(0, 60_000_000, 777_777))
 
 
+def test_codes_of_few_values_need_no_join(spark, monkeypatch):
+    from scorewatch.operators import fitted as FT
+
+    df = spark.range(400).selectExpr("id", "case when id % 9 = 0 then null else concat('v', id % 5) end AS few", "cast(id % 100 as string) AS many")
+    state = FT.fit_ordinal(df.where("id % 5 <> 3 and id % 100 < 95"), ["few", "many"])
+    out = FT.apply_ordinal(df, state, ["few", "many"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1  # `many` has more than INLINE_CODES values
+    got = sorted(map(tuple, out.collect()), key=str)
+    monkeypatch.setattr(FT, "INLINE_CODES", 0)
+    joined = FT.apply_ordinal(df, state, ["few", "many"])
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    assert got == sorted(map(tuple, joined.collect()), key=str) and joined.dtypes == out.dtypes
+    assert any(r[1] is None for r in got) and {r[1] for r in got} >= {0, 1, 2, 3}
+
+
 def test_candidates_do_not_multiply_rows_in_a_shuffle_by_key(spark, monkeypatch):
     sl = FX.scored_long(spark, SF_SMALL)
     args = sl.where("month_no < 55"), sl.where("month_no >= 55").select("loan_id", "model_id", "label", "prob"), EN.search_points(3), "month_no", ["month_no", "loan_id"]
